@@ -206,5 +206,5 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
             raw.append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(raw, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    done = docs.withColumn("_d", summary(F.col(text_col)))
-    return done.withColumns({c: F.col("_d")[c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_d")
+    done = docs.withColumn("__digest", summary(F.col(text_col)))
+    return done.withColumns({c: F.col("__digest")[c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("__digest")

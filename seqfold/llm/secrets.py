@@ -36,8 +36,8 @@ RULES = (
 )
 
 
-def with_blob(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
+def with_blob(docs: DataFrame, text_col: str = "text", name: str = "blob") -> DataFrame:
+    return docs.withColumn(name, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
 
 
 def _matches(rule: Rule, number: int, text: Column) -> Column:
@@ -89,7 +89,7 @@ def masked(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
     """docs with the spans that the ledger has for a text's blob replaced by [kind]; overlapping spans become the first's kind.
 
     Rows without a finding, null texts among them, stay as they are."""
-    keyed = with_blob(docs, text_col).withColumnRenamed("blob", "_blob")
+    keyed = with_blob(docs, text_col, "_blob")
     held = ledger.where(F.size("spans") > 0).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("part"))
     by_blob = held.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("_found")).withColumnRenamed("blob", "_blob")
     text = F.col(text_col)

@@ -80,6 +80,6 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", reject_at: floa
         p = chain.probabilities(text.to_pylist())
         return pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], p.ravel())
 
-    scored = docs.withColumn("_p", chained(F.col(text_col)))
-    scored = scored.withColumns({f"p_{n}": F.col("_p")[k] for k, n in enumerate(chain.names)})
-    return scored.withColumn("rejected", F.col("_p")[0] >= reject_at).drop("_p")
+    scored = docs.withColumn("__chain", chained(F.col(text_col)))
+    scored = scored.withColumns({f"p_{n}": F.col("__chain")[k] for k, n in enumerate(chain.names)})
+    return scored.withColumn("rejected", F.col("__chain")[0] >= reject_at).drop("__chain")

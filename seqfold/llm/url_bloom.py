@@ -7,7 +7,8 @@ the false ones; the longest rule that fits wins.
 
 Canonical form: the host, up to "/", "?" or "#" after the first "://", with A-Z lower-cased, and the path up to
 "?" or "#". Null URLs and those without "://" have neither, fit no rule and get the default verdict.
-Repeated rows are each judged; other input columns are ignored; an empty table gives an empty result.
+Repeated rows are each judged; other input columns are ignored; an empty table gives an empty result; without
+rules every URL gets the default.
 """
 
 from __future__ import annotations
@@ -62,6 +63,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     sizes = rules.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
     host, path = canonical(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    if not sizes.labels:
+        return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     shapes = urls.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     hosts = F.filter(F.array(*[F.when(F.size(labels) >= n, F.substring_index("host", ".", -n)) for n in sorted(sizes.labels)]), lambda h: h.isNotNull())
