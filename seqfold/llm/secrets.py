@@ -61,7 +61,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         due = blobs.withColumn("due", every)
     else:
         catalogue = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for n, r in enumerate(rules)])
-        rule_rows = ledger.select("blob", F.filter(catalogue, lambda c: (c["kind"] == F.col("kind")) & (c["version"] == F.col("version")))[0]["n"].alias("n")).where("n is not null")
+        rule_rows = ledger.select("blob", F.get(F.filter(catalogue, lambda c: (c["kind"] == F.col("kind")) & (c["version"] == F.col("version"))), F.lit(0))["n"].alias("n")).where("n is not null")
         seen = rule_rows.groupBy("blob").agg(F.collect_set("n").alias("seen"))  # as many as there are rules, at most
         due = blobs.join(seen, "blob", "left").withColumn("due", F.array_except(every, F.coalesce("seen", F.array().cast("array<int>")))).where(F.size("due") > 0).drop("seen")
     arrays = [F.when(F.array_contains("due", n), _matches(r, n, F.col("text"))) for n, r in enumerate(rules)]
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found) for every row of docs: array<struct<start, rank, kind, end>> in order of start, then rank of the kind."""
     rank = F.element_at(F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (f"{r.kind}@{r.version}", n)]), F.concat("kind", F.lit("@"), "version"))
-    hits = ledger.where(F.size("spans") > 0).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("part")).where(F.col("part")[0]["rank"].isNotNull())
+    hits = ledger.where(F.size("spans") > 0).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("part")).where(F.get("part", F.lit(0))["rank"].isNotNull())
     by_blob = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("found"))  # a row for each rule
     paths = with_blob(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
     return paths.join(by_blob, "blob", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")).alias("found"))
