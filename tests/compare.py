@@ -19,7 +19,7 @@ def rows(p: pd.DataFrame) -> list[tuple]:
     def plain(v):
         if isinstance(v, list | np.ndarray):
             return str(list(v))
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if pd.isna(v):
             return "null"
         if isinstance(v, bool | np.bool_):
             return str(bool(v))
