@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_se
         mass = [np.zeros(len(s)) for s in sums]
         for pdf in batches:
             for gene, w, names, vals in zip(pdf["gene"], pdf["w"], pdf["kmers"], pdf["freqs"], strict=True):
-                rng = np.random.default_rng([seed, int(gene) & 0x7FFFFFFF])
+                rng = np.random.default_rng([seed, zlib.crc32(str(gene).encode())])
                 cols = np.array([at[x] for x in names if x in at], int)
                 v = np.array([f for x, f in zip(names, vals, strict=True) if x in at])
                 for s, m in zip(sums, mass, strict=True):
@@ -84,7 +86,7 @@ def shuffled_runs(cds: DataFrame, family: dict[str, str], targets: list[str], pe
                 mark = np.array([c in wanted for c in codons], bool)
                 seen, above = count(mark), 0
                 if seen:
-                    rng = np.random.default_rng([seed, int(gene) & 0x7FFFFFFF])
+                    rng = np.random.default_rng([seed, zlib.crc32(str(gene).encode())])
                     places: dict[str, list[int]] = {}
                     for i, c in enumerate(codons):
                         places.setdefault(family.get(c, c), []).append(i)
@@ -97,4 +99,4 @@ def shuffled_runs(cds: DataFrame, family: dict[str, str], targets: list[str], pe
                 out.append((gene, seen, (above + 1) / (permutations + 1) if seen else 1.0))
             yield pd.DataFrame(out, columns=["gene", "n_runs", "p"])
 
-    return cds.select("gene", "seq").mapInPandas(test, "gene long, n_runs long, p double")
+    return cds.select("gene", "seq").mapInPandas(test, f"gene {cds.schema['gene'].dataType.simpleString()}, n_runs long, p double")
