@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqfold.operators.sequences import kmer_counts, kmer_freq, positions
+from seqfold.operators.sequences import kmer_counts, kmer_freq, occurrences, positions
 
 
 def members(cds: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -13,9 +13,9 @@ def members(cds: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def geneset_mean(cds: DataFrame, k: int) -> DataFrame:
-    """(kmer, observed): the unweighted mean over genes."""
+    """(kmer, observed): the unweighted mean over genes. An occurrence adds 1 / windows, so no counts by gene are needed and only sums by k-mer are shuffled."""
     n = cds.agg(F.count("*").alias("n_genes"))
-    return kmer_freq(cds, k).groupBy("kmer").agg(F.sum("freq").alias("s")).join(F.broadcast(n)).select("kmer", (F.col("s") / F.col("n_genes")).alias("observed"))
+    return occurrences(cds, k).groupBy("kmer").agg(F.sum(1.0 / F.col("windows")).alias("s")).join(F.broadcast(n)).select("kmer", (F.col("s") / F.col("n_genes")).alias("observed"))
 
 
 def background(cds: DataFrame, k: int) -> DataFrame:
@@ -27,17 +27,14 @@ def background(cds: DataFrame, k: int) -> DataFrame:
 
 
 def composition(cds: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(kmer, observed, expected, z_score, cohens_d, n_set): a set against all genes, in closed form: the standard error is sd / sqrt(n)."""
-    inside = members(cds, chosen)
-    size = inside.agg(F.count("*").alias("n_set"))
-    both = background(cds, k).join(geneset_mean(inside, k), "kmer", "left").join(F.broadcast(size))
-    seen = F.coalesce("observed", F.lit(0.0))
-    gap = seen - F.col("mean")
-    return both.select(
-        "kmer", seen.alias("observed"), F.col("mean").alias("expected"), "n_set",
-        F.when(F.col("sd") > 0, gap / (F.col("sd") / F.sqrt("n_set"))).otherwise(0.0).alias("z_score"),
-        F.when(F.col("sd") > 0, gap / F.col("sd")).otherwise(0.0).alias("cohens_d"),
-    )
+    """(kmer, observed, expected, z_score, cohens_d, n_set): a set against all genes, in closed form: the standard error is sd / sqrt(n).
+
+    One pass over the sequences: the sums of the set and of all genes come from the same cells."""
+    flagged = cds.join(chosen.withColumn("inside", F.lit(1)), "gene", "left")
+    n = flagged.agg(F.count("*").alias("n"), F.count("inside").alias("n_set"))
+    d = deviation(kmer_freq(cds, k), "kmer", "freq", chosen, n)
+    gap = F.col("observed") - F.col("expected")
+    return d.select("kmer", "observed", "expected", "n_set", "z_score", F.when(F.col("sd") > 1e-12, gap / F.col("sd")).otherwise(0.0).alias("cohens_d"))
 
 
 def matched_pool(stats: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -78,7 +75,7 @@ def deviation(values: DataFrame, key: str, value: str, chosen: DataFrame, n_all:
         F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.coalesce(F.sum(F.when(F.col("inside") == 1, F.col(value))), F.lit(0.0)).alias("t"))
     var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     d = sums.join(F.broadcast(n_all)).select(key, (F.col("t") / F.col("n_set")).alias("observed"), (F.col("s") / F.col("n")).alias("expected"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"), "n_set")
-    return d.select(key, "observed", "expected", "sd", F.when(F.col("sd") > 1e-12, (F.col("observed") - F.col("expected")) / (F.col("sd") / F.sqrt("n_set"))).otherwise(0.0).alias("z_score"))
+    return d.select(key, "observed", "expected", "sd", "n_set", F.when(F.col("sd") > 1e-12, (F.col("observed") - F.col("expected")) / (F.col("sd") / F.sqrt("n_set"))).otherwise(0.0).alias("z_score"))
 
 
 def attribution(aa: DataFrame, codon: DataFrame, z: float = 1.96) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqfold.operators.sequences import kmer_freq
+from seqfold.operators.sequences import occurrences
 
 
 def with_copies(rules: DataFrame, copies: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def demand(cds: DataFrame, expression: DataFrame, k: int = 1, top: int | None =
     if top is not None:
         w = w.orderBy(F.desc("w"), "gene").limit(top)
     total = w.agg(F.sum("w").alias("total"))
-    per = kmer_freq(cds, k).join(w, "gene").groupBy("kmer").agg(F.sum(F.col("w") * F.col("freq")).alias("s"))
+    per = occurrences(cds, k).join(w, "gene").groupBy("kmer").agg(F.sum(F.col("w") / F.col("windows")).alias("s"))
     return per.join(F.broadcast(total)).select("kmer", (F.col("s") / F.col("total")).alias("demand"))
 
 
