@@ -6,9 +6,12 @@ Points come in rounds, and a shingle stops as soon as its next point lies beyond
 register. Two documents agree in a register with the probability Jaccard of their weighted shingles.
 
 Bands of the signature give candidate links; a link holds if the Jaccard similarity of the shingle sets is
-0.8 or more, computed exactly. A band's bucket is not expanded into pairs: members are held against its
-least member, links are joined to components, and only what a bucket still has in different components is
-held against each other, until nothing is left. Texts with equal words collapse to one member beforehand.
+0.8 or more, computed exactly. A band's bucket is not expanded into pairs. First its members are held against
+its most central one, which shares most buckets with others; then, PIVOT_ROUNDS times, those outside the bucket's largest
+component against another of its members; last, whatever is still outside against all of the bucket that it can be
+similar to. Two sets cannot be if too many of their shingles are in no other open set at all (an exact bound), nor,
+but for 4.6 standard deviations, if the one-bit sketches of their signatures differ in more than FAR of 125 bits. So no link between buckets' members is lost, and a large group of copies costs a few
+comparisons for each copy. Texts with equal words collapse to one member beforehand.
 
 Null texts and texts without words have no shingles: a null or a null id is a class of its own, texts without words
 are copies of each other only if equal. A text of fewer than five words has one shingle, all its words.
@@ -29,6 +32,9 @@ U = np.uint64
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 SHINGLE = 5
+PIVOT_ROUNDS = 1
+FAR = 28
+BROADCAST_IDS = 1_000_000  # ids (8 bytes each) up to this count are broadcast, more are joined by a shuffle
 
 
 def signatures(key: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -69,7 +75,7 @@ def _content(w: T.Words, seed: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, c1, c2, band): two hashes of a text's words, and the hash of each band; band is empty for texts without words."""
+    """(id, c1, c2, s1, s2, band): two hashes of a text's words, a bit of each register, and the hash of each band; band is empty for texts without words."""
 
     def sketch(batches):
         for b in batches:
@@ -83,15 +89,17 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     band[k] = U(k + 1)
                     for r in range(rows):
                         band[k] = T.mix(band[k] * U(3) + sig[:, k * rows + r])
+                bits = (T.mix(sig) & U(1)).astype(U)
+                s1, s2 = ((bits[:, a : a + 64] << np.arange(bits[:, a : a + 64].shape[1], dtype=U)).sum(axis=1, dtype=U) for a in (0, 64))
                 c1, c2, has = _content(w, 31), _content(w, 57), np.diff(w.bounds) > 0
                 for i in np.flatnonzero(~has):
                     raw = T.words([(part[i] or "").encode("utf-8", "replace").hex()])  # no words: the text itself, as one word
                     c1[i], c2[i] = (_content(raw, 5)[0], _content(raw, 9)[0])
                 sizes = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
                 values = band.T[has].ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(sizes, pa.array(values))], ["id", "c1", "c2", "band"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(sizes, pa.array(values))], ["id", "c1", "c2", "s1", "s2", "band"])
 
-    return docs.mapInArrow(sketch, "id long, c1 long, c2 long, band array<long>")
+    return docs.mapInArrow(sketch, "id long, c1 long, c2 long, s1 long, s2 long, band array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -108,47 +116,73 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, "id long, set array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the distinct pairs (a, b) whose shingle sets have the similarity."""
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = kept(shingle_sets(texts.join(used, "id", "left_semi")))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a over b, of (id, pivot)."""
+    return pairs.where("id <> pivot").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+
+
+def _facts(sets: DataFrame) -> DataFrame:
+    """(id, n, a): the size of each set, and how many of its shingles another of the sets has."""
+    lone = sets.select("id", F.explode("set").alias("x")).groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    return sets.select("id", F.size("set").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("a"))
+
+
+def _links(shared: DataFrame, bits: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, label): the components of the links within buckets. shared: (bucket, id); bits: (id, s1, s2)."""
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
+    central = shared.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("c"))
+    pivots = shared.join(central, "id").groupBy("bucket").agg(F.max(F.struct("c", (-F.col("id")).alias("m")))["m"].alias("m"))
+    stars = _ordered(shared.join(pivots.select("bucket", (-F.col("m")).alias("pivot")), "bucket"))
+    links = kept(_verified(stars, sets, similarity))
+    for step in range(PIVOT_ROUNDS + 1):
+        label = components(links)
+        named = shared.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id"))["id"].alias("pivot"))
+        largest = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label", "pivot")).alias("top")).where("k > 1")
+        outside = kept(named.join(largest.select("bucket", "top.label", "top.pivot").withColumnRenamed("label", "main"), "bucket").where("label <> main").select("bucket", "id", "label", "main", "pivot"))
+        if outside.isEmpty():
+            return label
+        if step < PIVOT_ROUNDS:
+            pairs = _ordered(outside)
+        else:
+            open_ = kept(named.join(outside.select("bucket").distinct(), "bucket"))
+            shares = open_.groupBy("id").agg(F.collect_list("bucket").alias("in"))  # a bucket for each band at most
+            facts = kept(_facts(sets.join(open_.select("id").distinct(), "id")).join(bits, "id").join(shares, "id"))
+            mine = outside.select("bucket", "id", "label", "main").join(facts, "id").where(F.col("a") >= similarity * F.col("n"))
+            other = open_.join(facts, "id").select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "label", "n", "a", "s1", "s2", "in")])
+            near = F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o_s2"))) <= FAR
+            common = F.least("a", "o_a")
+            once = F.array_min(F.array_intersect("in", "o_in")) == F.col("bucket")  # a pair counts in the first of its buckets
+            fits = (F.col("label") != F.col("o_label")) & ((F.col("id") > F.col("o_id")) | (F.col("o_label") == F.col("main"))) & near & (common >= similarity * (F.col("n") + F.col("o_n") - common))
+            pairs = _ordered(mine.join(other, "bucket").where(F.when(fits, once).otherwise(False)).select("id", F.col("o_id").alias("pivot")))
+        links = kept(links.unionByName(_verified(pairs, sets, similarity)))
+    return components(links)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id) for every row of docs with an id: the least id of its class of near duplicates.
 
     Of rows with one id and several texts the least text counts. Rows with a null id are left out."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     told = kept(sketches(texts.where("text is not null")))
-    exact = told.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
+    exact = kept(told.groupBy("c1", "c2").agg(F.min("id").alias("rep")))  # written, so that the join below can split a text with very many copies
     copies = kept(told.select("id", "c1", "c2").join(exact, ["c1", "c2"]).select("id", "rep"))
     lead = copies.where("id = rep").select("id").distinct()
-    member = told.where(F.size("band") > 0).select("id", F.explode("band").alias("bucket")).join(lead, "id", "left_semi")
-    least = member.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("bucket", "b")
-    shared = kept(member.join(least, "bucket").select("bucket", "id", "b"))
-    read = texts.where("text is not null")
-    links = kept(_verified(shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), read, similarity))
-    tried = None
-    while True:
-        label = components(links)
-        named = shared.select("bucket", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        rest = kept(named.join(split, "bucket"))
-        # what shares a bucket across components and was not compared yet
-        pairs = rest.select("bucket", F.col("id").alias("a"), "label").join(rest.select("bucket", F.col("id").alias("b"), F.col("label").alias("other")), "bucket").where("a > b and label <> other").select("a", "b").distinct()
-        done = shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct() if tried is None else tried
-        pairs = kept(pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        more = kept(_verified(pairs, read, similarity))
-        tried = kept(done.unionByName(pairs))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+    member = told.where(F.size("band") > 0).join(lead, "id", "left_semi").select("id", F.explode("band").alias("bucket"))
+    several = member.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
+    shared = kept(member.join(several, "bucket").select("bucket", "id"))
+    used = kept(shared.select("id").distinct())
+    side = F.broadcast(used) if used.count() <= BROADCAST_IDS else used
+    sets = kept(shingle_sets(texts.where("text is not null").join(side, "id", "left_semi")))
+    label = _links(shared, told.join(side, "id", "left_semi").select("id", "s1", "s2"), sets, similarity)
     found = copies.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
     alone = texts.where("text is null").select("id", F.col("id").alias("class_id"))
     return found.unionByName(alone).groupBy("id").agg(F.min("class_id").alias("class_id"))
