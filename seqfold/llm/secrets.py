@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqfold.llm.storage import kept
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -80,7 +82,8 @@ def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
     """(doc_id, found) for every row of docs: array<struct<start, rank, kind, end>> in order of start, then rank of the kind."""
     rank = F.element_at(F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (f"{r.kind}@{r.version}", n)]), F.concat("kind", F.lit("@"), "version"))
     hits = ledger.where(F.size("spans") > 0).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("part")).where(F.get("part", F.lit(0))["rank"].isNotNull())
-    by_blob = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("found"))  # a row for each rule
+    # at most a row for each rule is gathered; written, so that the join can split a blob with very many paths
+    by_blob = kept(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("found")))
     paths = with_blob(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
     return paths.join(by_blob, "blob", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")).alias("found"))
 
@@ -91,7 +94,7 @@ def masked(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
     Rows without a finding, null texts among them, stay as they are."""
     keyed = with_blob(docs, text_col, "_blob")
     held = ledger.where(F.size("spans") > 0).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("part"))
-    by_blob = held.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("_found")).withColumnRenamed("blob", "_blob")
+    by_blob = kept(held.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("_found")).withColumnRenamed("blob", "_blob"))
     text = F.col(text_col)
 
     def step(a: Column, s: Column) -> Column:
