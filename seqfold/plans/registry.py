@@ -26,7 +26,7 @@ class Tables:
 
     @property
     def cds(self) -> DataFrame:
-        return sequences.from_documents(self.read("documents"))
+        return sequences.from_documents(spread(self.read("documents"), "doc_id"))
 
     def rated(self, quality: int) -> DataFrame:
         """The genes of a set: each id once."""
@@ -65,6 +65,13 @@ class Tables:
         return [c for x, c in w if x >= middle]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by its key if its files give fewer partitions than there are cores. What groups by the key later then needs no other shuffle;
+    a table of many files is left as it lies, and counts are combined before their shuffle instead."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(x: Column | str) -> Column:
     """Six digits, without a negative zero."""
     return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
