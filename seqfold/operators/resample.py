@@ -29,7 +29,8 @@ def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_se
 
     Replicates are never joined to cells. How often gene g is drawn in a replicate is Poisson with mean n_set / N, given
     the sum, so each task draws the counts for its own genes from a seed of the gene and adds up, for every replicate block,
-    count * freq by k-mer: tasks hold (block of replicates) x (k-mers) at most, and partial sums meet in a group by block.
+    count * freq by k-mer: tasks hold (replicates of a pass) x (k-mers), and partial sums meet in a group by block. For k of 1 and 2; triplets
+    have the closed form.
     genes: (gene, idx, w); freq: (gene, kmer, freq)."""
     total = genes.count()
     block = 250
@@ -37,12 +38,13 @@ def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_se
     at = {x: i for i, x in enumerate(kmers)}
     rate = n_set / max(1, total)
 
-    def partial(batches):
-        sums = [np.zeros((min(block, reps - b), len(kmers))) for b in range(0, reps, block)]
+    def partial(batches, first: int, last: int):
+        starts = range(first, last, block)
+        sums = [np.zeros((min(block, last - b), len(kmers))) for b in starts]
         mass = [np.zeros(len(s)) for s in sums]
         for pdf in batches:
             for gene, w, names, vals in zip(pdf["gene"], pdf["w"], pdf["kmers"], pdf["freqs"], strict=True):
-                rng = np.random.default_rng([seed, zlib.crc32(str(gene).encode())])
+                rng = np.random.default_rng([seed, first, zlib.crc32(str(gene).encode())])
                 cols = np.array([at[x] for x in names if x in at], int)
                 v = np.array([f for x, f in zip(names, vals, strict=True) if x in at])
                 for s, m in zip(sums, mass, strict=True):
@@ -51,13 +53,17 @@ def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_se
                     hit = np.flatnonzero(c)
                     if len(cols):
                         s[np.ix_(hit, cols)] += c[hit, None] * v[None, :]
-        for b, (s, m) in enumerate(zip(sums, mass, strict=True)):
+        for b, s, m in zip(starts, sums, mass, strict=True):
             if m.any():
-                yield pd.DataFrame({"block": [b], "sums": [s.ravel().tolist()], "mass": [m.tolist()]})
+                yield pd.DataFrame({"block": [b // block], "sums": [s.ravel().tolist()], "mass": [m.tolist()]})
 
     packed = freq.groupBy("gene").agg(F.collect_list("kmer").alias("kmers"), F.collect_list("freq").alias("freqs"))
     rows = genes.join(packed, "gene", "left").select("gene", F.col(weight).alias("w") if weight else F.lit(1.0).alias("w"), F.coalesce("kmers", F.array().cast("array<string>")).alias("kmers"), F.coalesce("freqs", F.array().cast("array<double>")).alias("freqs"))
-    parts = rows.mapInPandas(partial, "block int, sums array<double>, mass array<double>")
+    span = max(block, block * (20_000_000 // (block * max(1, len(kmers)))))  # replicates of a pass: a task holds 160 MB of sums at most
+    parts = None
+    for first in range(0, reps, span):
+        one = rows.mapInPandas(lambda batches, first=first: partial(batches, first, min(first + span, reps)), "block int, sums array<double>, mass array<double>")
+        parts = one if parts is None else parts.unionByName(one)
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         mass = np.sum([np.array(x) for x in pdf["mass"]], axis=0)

@@ -24,6 +24,8 @@ def composition(cds: DataFrame, chosen: DataFrame, k: int = 1, background: str =
         raise ValueError("k is 1, 2 or 3")
     if background not in ("all", "matched") or model not in ("analytic", "bootstrap", "glm"):
         raise ValueError("background is all or matched; model is analytic, bootstrap or glm")
+    if k == 3 and model == "bootstrap":
+        raise ValueError("triplets are tested in closed form")
     shape = cds.select("gene", F.length("seq").alias("len"), sequences.gc(F.col("seq")).alias("gc"))
     pool = cds if background == "all" else frequency.members(cds, frequency.matched_pool(shape, chosen).select("gene"))
     inside = sequences.trimmed(frequency.members(cds, chosen), trim_ramp)
