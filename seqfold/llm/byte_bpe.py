@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000  # entries that each of a worker's dictionaries holds at most
+MEMO = 150_000  # entries that each of a worker's dictionaries holds at most
 
 
 class Bpe:

@@ -13,7 +13,7 @@ import numpy as np
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1_500_000  # characters of text worked on at once
+_CHUNK = 400_000  # characters of text worked on at once
 
 _WORD = np.zeros(256, bool)
 _WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
