@@ -1,10 +1,10 @@
 """License scans by a positional index of rare licence words, in DataFrame functions alone.
 
-Document frequencies of the licence vocabulary are counted over all documents. Each document looks up its
-TOP licence words of the highest inverse document frequency in the postings (word, template, position);
-a word at place p and a posting at position t propose that the template begins at word p - t. Of the
-proposed places those count at which a share of LEAST or more of the template's words, in their relative positions,
-and all words of its mandatory key phrase stand. Base labels come from exact phrases, wherever they stand.
+Document frequencies of the licence vocabulary are counted over all documents. The index holds, for each template, the word
+of its mandatory key phrase that has the highest inverse document frequency, and its position. A document looks up those of
+these rare words that it has; a word at place p and a posting at position t propose that the template begins at
+word p - t. Of the proposed places those count at which a share of LEAST or more of the template's words, in their
+relative positions, and all words of the key phrase stand; as the key phrase is mandatory, no place is missed. Base labels come from exact phrases, wherever they stand.
 
 A word is a run of digits, a-z (A-Z are lower-cased) and characters beyond ASCII. A null text counts as empty: no words, no
 labels, score 0. Texts are read whole; repeated rows get equal results; input columns other than id
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TOP, LEAST = 8, 0.8
+LEAST = 0.8
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -42,7 +42,7 @@ TEMPLATES = (
 def words_of(text: Column) -> Column:
     """array<string>; empty for a text without words."""
     plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, " "))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -73,21 +73,26 @@ def _all(conditions: list[Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
 
     score: the largest share of a template's words found in place, its key phrase among them; else 0."""
     worded = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     idf = rarity(worded, templates)
-    ranked = F.array(*map(F.lit, sorted(idf, key=lambda w: (-idf[w], w))))
-    postings = {w: [(n, p) for n, (_, t, _) in enumerate(templates) for p, x in enumerate(t.split()) if x == w] for w in idf}
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for n, (_, text, key) in enumerate(templates):
+        words, phrase = text.split(), key.split()
+        at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+        best = max(range(len(phrase)), key=lambda k: (idf[phrase[k]], phrase[k]))
+        postings.setdefault(phrase[best], []).append((n, at + best))
+    ranked = F.array(*map(F.lit, sorted(postings, key=lambda w: (-idf[w], w))))
     index = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in ps]))])
     catalogue = F.array(*[
         F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t.split())).alias("words"), F.lit(f" {t} ".index(f" {key} ") and len(t[: f" {t} ".index(f" {key} ")].split())).alias("start"), F.lit(len(key.split())).alias("size"))
         for label, t, key in templates
     ])
     base = [_places(F.col("words"), p) for p in PHRASES]
-    found = worded.select("doc_id", "words", *[b.alias(f"b{k}") for k, b in enumerate(base)], F.slice(F.array_intersect(ranked, "words"), 1, top).alias("rare"))
+    found = worded.select("doc_id", "words", *[b.alias(f"b{k}") for k, b in enumerate(base)], F.array_intersect(ranked, "words").alias("rare"))
 
     def proposed(words: Column, rare: Column) -> Column:
         at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x["w"]))
@@ -99,7 +104,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
         share = F.size(F.filter(same, lambda s: s)) / F.size(same)
         return F.struct(t["label"].alias("label"), share.alias("share"), F.forall(F.slice(same, t["start"] + 1, t["size"]), lambda s: s).alias("key"))
 
-    cands = found.withColumn("hits", F.when(F.size("rare") > 1, F.filter(F.transform(proposed(F.col("words"), F.col("rare")), matched), lambda m: m["key"] & (m["share"] >= least))).otherwise(F.array().cast("array<struct<label:string,share:double,key:boolean>>")))
+    cands = found.withColumn("hits", F.when(F.size("rare") > 0, F.filter(F.transform(proposed(F.col("words"), F.col("rare")), matched), lambda m: m["key"] & (m["share"] >= least))).otherwise(F.array().cast("array<struct<label:string,share:double,key:boolean>>")))
     named = F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
     places = cands.withColumns({"base": F.concat(*[F.col(f"b{k}") for k in range(len(base))]), "named": named})
     return places.select(
