@@ -1,9 +1,9 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles, banding and exact verification.
+"""Near-duplicate documents by ProbMinHash over word shingles, banding and exact verification.
 
-Signature: every distinct shingle of a document (five words; weight: its count) is a Poisson process of
-that rate; its points fall on random registers and each register keeps the shingle that reaches it first.
+Signature: every distinct shingle of a document (five words) is a Poisson process of the rate of its weight; its points fall on random registers and each register keeps the shingle that reaches it first.
 Points come in rounds, and a shingle stops as soon as its next point lies beyond the document's slowest
-register. Two documents agree in a register with the probability Jaccard of their weighted shingles.
+register. Two documents agree in a register with the probability Jaccard of their weighted shingles. Here every
+shingle has the weight 1, however often it stands in a text, so that is the Jaccard of the shingle sets, the measure verified.
 
 Bands of the signature give candidate links; a link holds if the Jaccard similarity of the shingle sets is
 0.8 or more, computed exactly. A band's bucket is not expanded into pairs. First its members are held against
@@ -83,7 +83,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             for lo, hi in T.chunks(texts):
                 part, n = texts[lo:hi], hi - lo
                 w = T.words(part)
-                sig = signatures(*_weighted(w), n, bands * rows)
+                key, doc, _ = _weighted(w)
+                sig = signatures(key, doc, np.ones(len(key)), n, bands * rows)  # equal weights: registers agree by what is verified
                 band = np.zeros((bands, n), U)
                 for k in range(bands):
                     band[k] = U(k + 1)

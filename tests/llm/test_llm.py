@@ -302,6 +302,18 @@ def test_near_duplicates_by_brute_force(spark):
     assert probminhash.classes(df.where("false")).count() == 0
 
 
+def test_near_duplicates_that_differ_in_repeats_of_a_line(spark):
+    rng, texts = random.Random(9), {}
+    for k in range(8):
+        ws = [f"v{k}x{i}" for i in range(200)]
+        at = 12 * rng.randrange(16)
+        for repeats in (0, 20, 40, 60):
+            texts[len(texts)] = " ".join(ws + ws[at : at + 12] * repeats)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = plain_classes(texts)
+    assert len(set(want.values())) == 8 and dict(map(tuple, probminhash.classes(df).collect())) == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     keys = rng.integers(1, 2**62, 300).astype(np.uint64)
