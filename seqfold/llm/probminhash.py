@@ -9,9 +9,10 @@ Bands of the signature give candidate links; a link holds if the Jaccard similar
 0.8 or more, computed exactly. A band's bucket is not expanded into pairs. First its members are held against
 its most central one, which shares most buckets with others; then, PIVOT_ROUNDS times, those outside the bucket's largest
 component against another of its members; last, whatever is still outside against all of the bucket that it can be
-similar to. Two sets cannot be if too many of their shingles are in no other open set at all (an exact bound), nor,
-but for 4.6 standard deviations, if the one-bit sketches of their signatures differ in more than FAR of 125 bits. So no link between buckets' members is lost, and a large group of copies costs a few
-comparisons for each copy. Texts with equal words collapse to one member beforehand.
+similar to. Two sets cannot be if too many of their shingles are in no other open set at all, nor if none of their rarest
+shingles is common, of so many that the others alone fall short of the similarity (prefix filter). Both bounds are exact, so
+no link between buckets' members is lost, and a large group of copies costs a few comparisons for each copy. Texts with equal
+words collapse to one member beforehand.
 
 Null texts and texts without words have no shingles: a null or a null id is a class of its own, texts without words
 are copies of each other only if equal. A text of fewer than five words has one shingle, all its words.
@@ -33,7 +34,6 @@ BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 SHINGLE = 5
 PIVOT_ROUNDS = 1
-FAR = 28
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) up to this count are broadcast, more are joined by a shuffle
 
 
@@ -75,7 +75,7 @@ def _content(w: T.Words, seed: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, c1, c2, s1, s2, band): two hashes of a text's words, a bit of each register, and the hash of each band; band is empty for texts without words."""
+    """(id, c1, c2, band): two hashes of a text's words and the hash of each band; band is empty for texts without words."""
 
     def sketch(batches):
         for b in batches:
@@ -90,17 +90,15 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     band[k] = U(k + 1)
                     for r in range(rows):
                         band[k] = T.mix(band[k] * U(3) + sig[:, k * rows + r])
-                bits = (T.mix(sig) & U(1)).astype(U)
-                s1, s2 = ((bits[:, a : a + 64] << np.arange(bits[:, a : a + 64].shape[1], dtype=U)).sum(axis=1, dtype=U) for a in (0, 64))
                 c1, c2, has = _content(w, 31), _content(w, 57), np.diff(w.bounds) > 0
                 for i in np.flatnonzero(~has):
                     raw = T.words([(part[i] or "").encode("utf-8", "replace").hex()])  # no words: the text itself, as one word
                     c1[i], c2[i] = (_content(raw, 5)[0], _content(raw, 9)[0])
                 sizes = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
                 values = band.T[has].ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(sizes, pa.array(values))], ["id", "c1", "c2", "s1", "s2", "band"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(sizes, pa.array(values))], ["id", "c1", "c2", "band"])
 
-    return docs.mapInArrow(sketch, "id long, c1 long, c2 long, s1 long, s2 long, band array<long>")
+    return docs.mapInArrow(sketch, "id long, c1 long, c2 long, band array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -130,14 +128,21 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("id <> pivot").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
 
 
-def _facts(sets: DataFrame) -> DataFrame:
-    """(id, n, a): the size of each set, and how many of its shingles another of the sets has."""
-    lone = sets.select("id", F.explode("set").alias("x")).groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    return sets.select("id", F.size("set").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("a"))
+def _facts(sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, a, rare): the size of each set, how many of its shingles another of the sets has, and of these the rarest.
 
+    The rarest n - ceil(similarity * n) + 1 shingles of two similar sets have one in common, since both follow one order;
+    rare leaves out those that no other set has, which come first in it."""
+    each = sets.select("id", F.explode("set").alias("x"))
+    common = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    own = each.join(common, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "x")))["x"].alias("own"))
+    held = sets.select("id", F.size("set").alias("n")).join(own, "id", "left").select("id", "n", F.coalesce("own", F.array().cast("array<long>")).alias("own"))
+    needed = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    return held.select("id", "n", F.size("own").alias("a"), F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - needed + 1).cast("int")).alias("rare"))
 
-def _links(shared: DataFrame, bits: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, label): the components of the links within buckets. shared: (bucket, id); bits: (id, s1, s2)."""
+
+def _links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, label): the components of the links within buckets. shared: (bucket, id)."""
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
     central = shared.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("c"))
     pivots = shared.join(central, "id").groupBy("bucket").agg(F.max(F.struct("c", (-F.col("id")).alias("m")))["m"].alias("m"))
@@ -156,14 +161,13 @@ def _links(shared: DataFrame, bits: DataFrame, sets: DataFrame, similarity: floa
         else:
             open_ = kept(named.join(outside.select("bucket").distinct(), "bucket"))
             shares = open_.groupBy("id").agg(F.collect_list("bucket").alias("in"))  # a bucket for each band at most
-            facts = kept(_facts(sets.join(open_.select("id").distinct(), "id")).join(bits, "id").join(shares, "id"))
+            facts = kept(_facts(sets.join(open_.select("id").distinct(), "id"), similarity).join(shares, "id"))
             mine = outside.select("bucket", "id", "label", "main").join(facts, "id").where(F.col("a") >= similarity * F.col("n"))
-            other = open_.join(facts, "id").select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "label", "n", "a", "s1", "s2", "in")])
-            near = F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o_s2"))) <= FAR
+            other = open_.join(facts, "id").select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "label", "n", "a", "rare", "in")])
             common = F.least("a", "o_a")
             once = F.array_min(F.array_intersect("in", "o_in")) == F.col("bucket")  # a pair counts in the first of its buckets
-            fits = (F.col("label") != F.col("o_label")) & ((F.col("id") > F.col("o_id")) | (F.col("o_label") == F.col("main"))) & near & (common >= similarity * (F.col("n") + F.col("o_n") - common))
-            pairs = _ordered(mine.join(other, "bucket").where(F.when(fits, once).otherwise(False)).select("id", F.col("o_id").alias("pivot")))
+            fits = (F.col("label") != F.col("o_label")) & ((F.col("id") > F.col("o_id")) | (F.col("o_label") == F.col("main"))) & (common >= similarity * (F.col("n") + F.col("o_n") - common))
+            pairs = _ordered(mine.join(other, "bucket").where(F.when(fits, F.when(F.arrays_overlap("rare", "o_rare"), once)).otherwise(False)).select("id", F.col("o_id").alias("pivot")))
         links = kept(links.unionByName(_verified(pairs, sets, similarity)))
     return components(links)
 
@@ -183,7 +187,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     used = kept(shared.select("id").distinct())
     side = F.broadcast(used) if used.count() <= BROADCAST_IDS else used
     sets = kept(shingle_sets(texts.where("text is not null").join(side, "id", "left_semi")))
-    label = _links(shared, told.join(side, "id", "left_semi").select("id", "s1", "s2"), sets, similarity)
+    label = _links(shared, sets, similarity)
     found = copies.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
     alone = texts.where("text is null").select("id", F.col("id").alias("class_id"))
     return found.unionByName(alone).groupBy("id").agg(F.min("class_id").alias("class_id"))

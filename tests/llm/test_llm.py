@@ -314,6 +314,18 @@ def test_near_duplicates_that_differ_in_repeats_of_a_line(spark):
     assert len(set(want.values())) == 8 and dict(map(tuple, probminhash.classes(df).collect())) == want
 
 
+def test_no_link_within_a_bucket_is_lost(spark, monkeypatch):
+    """Everything in one bucket: 400 pairs of 8 and 9 words with 4 of 5 shingles in common, and 30 with 20 of 25."""
+    texts = {}
+    for k in range(430):
+        ws = [f"u{k}x{i}" for i in range(9 if k < 400 else 29)]
+        texts |= {2 * k: " ".join(ws), 2 * k + 1: " ".join(ws[: 8 if k < 400 else 24])}
+    whole = probminhash.sketches
+    monkeypatch.setattr(probminhash, "sketches", lambda *a: whole(*a).withColumn("band", F.array(F.lit(1).cast("long"))))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(map(tuple, probminhash.classes(df).collect())) == {d: d - d % 2 for d in texts}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     keys = rng.integers(1, 2**62, 300).astype(np.uint64)
