@@ -6,8 +6,13 @@ at a small Hamming distance, so tables that sample a few embedding positions are
 hash for edit distance. The walk is run from every word of every document at once (each start is an
 item-sized window); items, grouped by length, are looked up in each table. A hit is kept if enough of
 the sampled positions agree, and verified by the exact word edit distance between the item and the best
-matching span around the window. TABLES and PICKS are set for a recall of 0.95 at 10 % edited
-words and 0.9 at the limit of 15 %; unedited items, whose embeddings agree everywhere, are always found.
+matching span around the window.
+
+The tables sample the first steps of the walk alone and so miss items that are edited there. What they miss
+is found by anchors: k edits leave one of any k + 1 pieces of an item as it was. Each item is cut into one piece
+more than the edits that it may have, every piece is looked up by its exact words at every word of every document,
+and a hit is verified like one of the tables'. So each match within the limit is found, whatever the place
+and the kind of its edits.
 
 The benchmark is taken in blocks of bounded size, each broadcast and held against all documents; documents
 are never shuffled. Null or empty texts and items match nothing; documents of any length are searched whole;
@@ -41,6 +46,7 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     classes: list[tuple[int, list]]
+    anchors: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # of each size: sorted hashes of pieces, the item and the place in it of each
 
 
 def walk(h: np.ndarray, steps: int, stop: np.ndarray) -> np.ndarray:
@@ -78,7 +84,33 @@ def _keys(embedded: np.ndarray, picks: np.ndarray, table: int) -> np.ndarray:
 _MASK = (1 << 16) - 1
 
 
-def index(ids: list[int], texts: list) -> Items:
+def _grams(h: np.ndarray, sizes: list[int]):
+    """(size, hash of the size words from each place on) for each of the ascending sizes."""
+    key, n = np.zeros(len(h), U), 0
+    for size in sizes:
+        for n in range(n, size):
+            key = T.mix(key[: max(0, len(h) - n)] * U(3) + h[n:])
+        n = size
+        yield size, key
+
+
+def _anchors(parts: list[np.ndarray], rate: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The pieces of all items that the tables hold: one more of each than it may have edits, of one size."""
+    cuts: dict[int, list[tuple[int, int, int]]] = {}
+    for k, p in enumerate(parts):
+        if len(p) >= SHORTEST:
+            pieces = int(rate * len(p)) + 1
+            size = len(p) // pieces
+            key = dict(_grams(p, [size]))[size]
+            cuts.setdefault(size, []).extend((int(key[i * len(p) // pieces]), k, i * len(p) // pieces) for i in range(pieces))
+    out = []
+    for size, rows in sorted(cuts.items()):
+        rows.sort()
+        out.append((size, np.array([r[0] for r in rows], U), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])))
+    return out
+
+
+def index(ids: list[int], texts: list, rate: float = RATE) -> Items:
     w = T.words(texts)
     parts = [w.hash[a:b] for a, b in zip(w.bounds, w.bounds[1:], strict=False)]
     kept = [(i, p) for i, p in zip(ids, parts, strict=True) if len(p)]
@@ -102,7 +134,7 @@ def index(ids: list[int], texts: list) -> Items:
             order = np.argsort(key, kind="stable")
             tables.append((seen, key[order], order))
         classes.append((cls, [picks, tables, emb, np.array(members)]))
-    return Items([i for i, _ in kept], [p for _, p in kept], classes)
+    return Items([i for i, _ in kept], [p for _, p in kept], classes, _anchors([p for _, p in kept], rate))
 
 
 def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -160,6 +192,18 @@ def search(texts: list, items: Items, rate: float = RATE) -> list[tuple[int, int
                 place, col = place[near], col[near]
             start.append(place if at is None else at[place])
             member.append(members[col])
+    begin = bounds[:-1][doc]
+    for (_, keys, item, place), (size, key) in zip(items.anchors, _grams(h, [a[0] for a in items.anchors]), strict=True):
+        marked = np.zeros(_MASK + 1, bool)
+        marked[(keys & U(_MASK)).astype(np.int64)] = True
+        at = np.flatnonzero(stop[: len(key)] - np.arange(len(key)) >= size)
+        at = at[marked[(key[at] & U(_MASK)).astype(np.int64)]]
+        lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
+        n = hi - lo
+        hit = np.repeat(np.arange(len(at)), n)
+        row = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + lo[hit]
+        start.append(np.maximum(at[hit] - place[row], begin[at[hit]]))
+        member.append(item[row])
     pair = np.unique(np.stack([np.concatenate(member), np.concatenate(start)]), axis=1)
     found = sorted(zip(doc[pair[1]].tolist(), pair[0].tolist(), pair[1].tolist(), strict=True))
     best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -170,7 +214,7 @@ def search(texts: list, items: Items, rate: float = RATE) -> list[tuple[int, int
         if a < done.get((d, k), -1):  # the spans around an earlier hit cover this one
             continue
         lo, hi = max(int(bounds[d]), a - slack), min(int(bounds[d + 1]), a + len(item) + 2 * slack)
-        if (item[:, None] == h[lo:hi][None, :]).any(1).sum() < (1 - rate) * len(item):  # each word that the span lacks is an edit
+        if (item[:, None] == h[lo:hi][None, :]).any(1).sum() < len(item) - int(rate * len(item)):  # each word that the span lacks is an edit
             continue
         edits, start = best_span(item, h[lo:hi])
         done[d, k] = a + 1 if edits else hi
@@ -200,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast((ids, items))
 
         def scan(batches, shared=shared):
-            known = index(*shared.value)
+            known = index(*shared.value, rate)
             for b in batches:
                 names, texts = b.column("doc_id"), b.column("text").to_pylist()
                 rows = [(names[lo + d].as_py(), *hit) for lo, hi in T.chunks(texts, 400_000) for d, *hit in search(texts[lo:hi], known, rate)]

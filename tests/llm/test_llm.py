@@ -136,6 +136,34 @@ def test_decontamination_recall(spark, texts):
         assert sum((k, i) in found for k, (i, _) in enumerate(items)) >= least * len(items)
 
 
+def edited(ws, kind, k, rng):
+    """ws with k of its words replaced in its head, its head cut off, or words deleted, replaced or added anywhere."""
+    new = [f"new{rng.randrange(10**12)}" for _ in range(k)]
+    if kind == "head replaced":
+        return [*new, *ws[k:]]
+    if kind == "head missing":
+        return ws[k:]
+    ws = list(ws)
+    if kind == "head scattered":
+        for p, x in zip(rng.sample(range(min(len(ws), 96)), k), new, strict=True):
+            ws[p] = x
+    for x in new if kind in ("deleted", "mixed") else []:
+        p, keep = rng.randrange(len(ws)), kind == "mixed" and rng.randrange(3)
+        ws[p : p + (keep != 1)] = [x] * (keep > 0)
+    return ws
+
+
+@pytest.mark.parametrize("size", [7, 14, 20, 37, 59, 120, 250, 500])
+def test_decontamination_finds_every_kind_of_edit_up_to_the_limit(size):
+    rng, vocab = random.Random(size), [f"w{i}" for i in range(5000)]
+    items = [rng.choices(vocab, k=size) for _ in range(20)]
+    index, k = cgk_decontam.index(list(range(20)), [" ".join(x) for x in items]), int(cgk_decontam.RATE * size)
+    for kind in ("head replaced", "head missing", "head scattered", "deleted", "mixed"):
+        docs = [" ".join(rng.choices(vocab, k=30) + edited(x, kind, k, rng) + rng.choices(vocab, k=30)) for x in items]
+        found = {(d, i): e for d, i, _, e in cgk_decontam.search(docs, index)}
+        assert all(found.get((d, d), 99) <= k for d in range(20)), kind
+
+
 def test_decontamination_against_containment(spark, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
     norm = {d: " " + " ".join(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower())) + " " for d, t in texts.items()}
