@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, near duplicates, benchmark decontamination, secrets, token encoding.
 
 Each stage is written as Parquet to the shared folder and read again as the next one's documents.
-Rows with a null id or text pass the filters and are encoded as empty.
+Rows with a null text pass the filters and are encoded as empty; a null or repeated id is judged by its text.
 """
 
 from __future__ import annotations

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqfold.llm import tokens as T
+from seqfold.llm.probminhash import row_key
 
 U = np.uint64
 TABLES, PICKS = 24, 3  # LSH tables for each length class, sampled embedding positions in each
@@ -256,6 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null id or text stay."""
-    found = contaminated(docs, benchmark, id_col, text_col, rate=rate).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+    """docs without the rows that hold a benchmark item, whether or not their ids are null or repeated; rows with a null text stay."""
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    found = contaminated(keyed, benchmark, "__row", text_col, rate=rate).select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(found, "__row", "left_anti").select(docs.columns)

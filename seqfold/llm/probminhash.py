@@ -14,15 +14,16 @@ shingles is common, of so many that the others alone fall short of the similarit
 no link between buckets' members is lost, and a large group of copies costs a few comparisons for each copy. Texts with equal
 words collapse to one member beforehand.
 
-Null texts and texts without words have no shingles: a null or a null id is a class of its own, texts without words
-are copies of each other only if equal. A text of fewer than five words has one shingle, all its words.
+Rows are told apart by a key, a hash of id and text, so that repeated or null ids are compared like others; rows with equal
+ids and texts are one document. Null texts and texts without words have no shingles: a null is a class of its own, texts
+without words are copies of each other only if equal. A text of fewer than five words has one shingle, all its words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqfold.llm import tokens as T
@@ -75,11 +76,11 @@ def _content(w: T.Words, seed: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, c1, c2, band): two hashes of a text's words and the hash of each band; band is empty for texts without words."""
+    """(id, name, c1, c2, band): two hashes of a text's words and the hash of each band; band is empty for texts without words."""
 
     def sketch(batches):
         for b in batches:
-            ids, texts = b.column("id"), b.column("text").to_pylist()
+            ids, names, texts = b.column("id"), b.column("name"), b.column("text").to_pylist()
             for lo, hi in T.chunks(texts):
                 part, n = texts[lo:hi], hi - lo
                 w = T.words(part)
@@ -96,9 +97,9 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     c1[i], c2[i] = (_content(raw, 5)[0], _content(raw, 9)[0])
                 sizes = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
                 values = band.T[has].ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(sizes, pa.array(values))], ["id", "c1", "c2", "band"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), names.slice(lo, n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(sizes, pa.array(values))], ["id", "name", "c1", "c2", "band"])
 
-    return docs.mapInArrow(sketch, "id long, c1 long, c2 long, band array<long>")
+    return docs.mapInArrow(sketch, "id long, name long, c1 long, c2 long, band array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -172,28 +173,42 @@ def _links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return components(links)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, class_id) for every row of docs with an id: the least id of its class of near duplicates.
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash of a row's id and text, never null."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(text_col))
 
-    Of rows with one id and several texts the least text counts. Rows with a null id are left out."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    told = kept(sketches(texts.where("text is not null")))
+
+def _told(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, name, label) for every row of docs with a text: its key, its id and a key that stands for its class of near duplicates."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("text"))
+    told = kept(sketches(texts))
     exact = kept(told.groupBy("c1", "c2").agg(F.min("id").alias("rep")))  # written, so that the join below can split a text with very many copies
-    copies = kept(told.select("id", "c1", "c2").join(exact, ["c1", "c2"]).select("id", "rep"))
-    lead = copies.where("id = rep").select("id").distinct()
-    member = told.where(F.size("band") > 0).join(lead, "id", "left_semi").select("id", F.explode("band").alias("bucket"))
+    copies = kept(told.select("id", "name", "c1", "c2").join(exact, ["c1", "c2"]).select("id", "name", "rep"))
+    member = told.where(F.size("band") > 0).join(exact.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("band").alias("bucket")).distinct()
     several = member.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     shared = kept(member.join(several, "bucket").select("bucket", "id"))
     used = kept(shared.select("id").distinct())
     side = F.broadcast(used) if used.count() <= BROADCAST_IDS else used
-    sets = kept(shingle_sets(texts.where("text is not null").join(side, "id", "left_semi")))
+    sets = kept(shingle_sets(texts.join(side, "id", "left_semi")).dropDuplicates(["id"]))
     label = _links(shared, sets, similarity)
-    found = copies.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
-    alone = texts.where("text is null").select("id", F.col("id").alias("class_id"))
-    return found.unionByName(alone).groupBy("id").agg(F.min("class_id").alias("class_id"))
+    return copies.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("id", "name", F.coalesce("label", "rep").alias("label"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, class_id) for every row of docs with an id: the least id of its class of near duplicates.
+
+    An id with several texts has a row for each class that they are in. Rows with a null id are compared, but left out."""
+    told = kept(_told(docs, id_col, text_col, similarity))
+    least = told.groupBy("label").agg(F.min("name").alias("class_id"))
+    found = told.where("name is not null").join(least, "label").select(F.col("name").alias("id"), "class_id")
+    alone = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("class_id"))
+    return found.unionByName(alone).distinct()
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each class, that with the least id; rows with a null id or text stay."""
-    drop = classes(docs, id_col, text_col, similarity).where("id <> class_id").select(F.col("id").alias(id_col))
-    return docs.join(drop, id_col, "left_anti")
+    """docs with one row of each class, one with the least id (a null id is the last); rows with a null text stay."""
+    told = kept(_told(docs, id_col, text_col, similarity))
+    least = told.groupBy("label").agg(F.min(F.struct(F.col("name").isNull().alias("n"), "name", "id"))["id"].alias("keep"))
+    drop = told.join(least, "label").where("id <> keep").select(F.col("id").alias("__row"))
+    once = docs.where(F.col(text_col).isNotNull()).withColumn("__row", row_key(id_col, text_col)).join(drop, "__row", "left_anti").dropDuplicates(["__row"]).drop("__row")
+    return once.unionByName(docs.where(F.col(text_col).isNull())).select(docs.columns)

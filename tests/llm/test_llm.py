@@ -342,6 +342,17 @@ def test_near_duplicates_that_differ_in_repeats_of_a_line(spark):
     assert len(set(want.values())) == 8 and dict(map(tuple, probminhash.classes(df).collect())) == want
 
 
+def test_rows_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a + " more"), (None, a), (3, b), (3, c), (None, c), (None, "z " + b), (None, "lone text"), (None, "lone text"), (4, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, probminhash.deduplicated(df).collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (3, c), (None, "lone text"), (4, None), (None, None)], key=str)
+    bench = spark.createDataFrame([(1, c)], "item_id long, text string")
+    left = sorted(map(tuple, cgk_decontam.clean(df, bench).collect()), key=str)
+    assert left == sorted([r for r in rows if r[1] != c], key=str)
+
+
 def test_no_link_within_a_bucket_is_lost(spark, monkeypatch):
     """Everything in one bucket: 400 pairs of 8 and 9 words with 4 of 5 shingles in common, and 30 with 20 of 25."""
     texts = {}
