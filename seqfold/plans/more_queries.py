@@ -180,7 +180,7 @@ def glm_gc3(t: Tables) -> DataFrame:
 def composition_bootstrap(t: Tables) -> DataFrame:
     """Set against all by resampling whole genes; converges to analytic_z."""
     inside = frequency.members(t.cds, t.set_a)
-    return resample.bootstrap_kmers(sequences.kmer_freq(t.cds, 1), t.cds.select("gene"), frequency.geneset_mean(inside, 1), inside.count(), reps=2000)
+    return resample.bootstrap_kmers(sequences.kmer_freq(t.cds, 1), t.cds.select("gene"), frequency.geneset_mean(inside, 1), inside.count(), reps=10_000)
 
 
 @query()
@@ -189,13 +189,13 @@ def demand_bootstrap(t: Tables) -> DataFrame:
     w = weights.demand_rank(t.cds, t.expression).where("weight > 0").select("gene", "weight")
     inside = frequency.members(t.cds, t.set_a)
     observed = weights.demand(inside, t.expression).select("kmer", F.col("demand").alias("observed"))
-    return resample.bootstrap_kmers(sequences.kmer_freq(t.cds, 1), w, observed, inside.count(), reps=2000, weight="weight")
+    return resample.bootstrap_kmers(sequences.kmer_freq(t.cds, 1), w, observed, inside.count(), reps=10_000, weight="weight")
 
 
 @query()
 def run_permutations(t: Tables) -> DataFrame:
     """Runs of a set's target codons against synonymous shuffles."""
-    return resample.shuffled_runs(frequency.members(t.cds, t.set_b), dims.FAMILY, ["GAA", "AGA"], permutations=200)
+    return resample.shuffled_runs(frequency.members(t.cds, t.set_b), dims.FAMILY, ["GAA", "AGA"], permutations=1000)
 
 
 @query()

@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from seqfold import plans
+from seqfold.operators import resample
 from tests.compare import connection, same
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,3 +34,12 @@ def test_bootstrap_converges_to_closed_form(spark):
     strong = [k for k in drawn if abs(exact[k]) > 0.5]
     assert strong and all(abs(drawn[k] / exact[k] - 1) < 0.35 for k in strong)
     assert all(abs(drawn[k] - exact[k]) < 0.35 for k in drawn if abs(exact[k]) <= 0.5)
+
+
+def test_resampling_has_the_counts_of_the_reference(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(resample, "bootstrap_kmers", lambda *a, reps, weight=None: asked.update({weight: reps}))
+    monkeypatch.setattr(resample, "shuffled_runs", lambda *a, permutations: asked.update(runs=permutations))
+    for name in ("composition_bootstrap", "demand_bootstrap", "run_permutations"):
+        plans.QUERIES[name](spark, FOLDER)
+    assert asked == {None: 10_000, "weight": 10_000, "runs": 1000}
