@@ -2,26 +2,25 @@
 
 The CGK random walk maps a sequence of words to a longer one: step j emits the word under the pointer and
 moves on if the j-th random bit of that word is set. Sequences at a small edit distance get embeddings
-at a small Hamming distance, so tables that sample a few embedding positions are a locality-sensitive
-hash for edit distance. The walk is run from every word of every document at once (each start is an
-item-sized window); items, grouped by length, are looked up in each table. A hit is kept if enough of
-the sampled positions agree, and verified by the exact word edit distance between the item and the best
-matching span around the window.
-
-The tables sample the first steps of the walk alone and so miss items that are edited there. What they miss
-is found by anchors: k edits leave one of any k + 1 pieces of an item as it was. Each item is cut into one piece
-more than the edits that it may have, every piece is looked up by its exact words at every word of every document,
-and a hit is verified like one of the tables'. So each match within the limit is found, whatever the place
-and the kind of its edits.
-
-The benchmark is taken in blocks of bounded size, each broadcast and held against all documents; documents
+at a small Hamming distance, and equal ones equal embeddings, so tables that sample a few embedding positions
+are a locality-sensitive hash for edit distance. The walk is run from every word of every document at once (each start is a
+window), sampled and looked up in each table. A hit is verified by the exact word edit distance between
+the item and the best matching span of the item-sized window around it.
+
+An item is not embedded from its first word alone, since edits there would throw its whole walk off. It is cut into
+windows of its own, one more than it may have edits, so that of an item within the limit one window at least
+has no edit; a table samples only steps at which the item's walk is still inside the window, so that window's sample is the
+document's, and the item is found whatever the place and the kind of its edits. Windows with edits behind the sampled
+steps, or with walks that meet again, add to that.
+
+The benchmark is taken in blocks of bounded size, one at a time, each broadcast and held against all documents; documents
 are never shuffled. Null or empty texts and items match nothing; documents of any length are searched whole;
-repeated rows each get their rows; items with equal words each match; items shorter than SHORTEST words are
-searched by their exact words.
+repeated rows each get their rows; items with equal words each match; items too short for an edit are found by their exact words.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,23 +30,35 @@ from pyspark.sql import functions as F
 
 from seqfold.llm import tokens as T
 from seqfold.llm.probminhash import row_key
+from seqfold.llm.storage import kept
 
 U = np.uint64
-TABLES, PICKS = 24, 3  # LSH tables for each length class, sampled embedding positions in each
+STEPS = (1, 2, 3, 4, 5, 6, 8, 10, 12)  # of the walk: a window is sampled over as many of these as it holds
+TABLES, PICKS = 2, 4  # tables for each number of steps, sampled steps in each
 RATE = 0.15  # edits for each word of the item that a match may have
-AGREE = 0.32  # share of the embedding in which a hit has to agree with the item
-SHORTEST = 6
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000  # of the benchmark, held at once
+_MASK = (1 << 20) - 1
+
+
+@dataclass
+class Table:
+    """Windows by their key: the sampled steps, which low bits keys have, the sorted keys, the item of each and the window's first word in it."""
+
+    picks: np.ndarray
+    salt: np.ndarray
+    marks: np.ndarray
+    keys: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
 
 
 @dataclass
 class Items:
-    """A block of the benchmark: ids, words of each as hashes, and the LSH tables of each length class."""
+    """A block of the benchmark: ids, words of each as hashes, and the tables."""
 
     ids: list[int]
     words: list[np.ndarray]
-    classes: list[tuple[int, list]]
-    anchors: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # of each size: sorted hashes of pieces, the item and the place in it of each
+    tables: list[Table]
 
 
 def walk(h: np.ndarray, steps: int, stop: np.ndarray) -> np.ndarray:
@@ -56,86 +67,54 @@ def walk(h: np.ndarray, steps: int, stop: np.ndarray) -> np.ndarray:
     bits = np.append(T.salted(h, 77), U(0))
     at, limit, out = np.arange(size, dtype=np.int32), stop.astype(np.int32), np.empty((steps, size), np.int32)
     for j in range(steps):
-        if j and j % 64 == 0:
-            bits = T.salted(bits, j)
         there = out[j]
         np.copyto(there, at)
         there[at >= limit] = size
-        at += ((bits[there] >> U(j % 64)) & U(1)).astype(np.int32)
+        at += ((bits[there] >> U(j)) & U(1)).astype(np.int32)
     return out
 
 
-def _length_class(n: int) -> int:
-    return max(SHORTEST, 1 << (n.bit_length() - 1))
-
-
-def _picks(cls: int) -> np.ndarray:
-    """Sampled steps of each table: a fixed draw for the length class, over the steps that its shortest items fill."""
-    steps = min(int(1.6 * cls), 96)
-    return np.sort(np.array([np.random.default_rng([cls, t]).choice(steps, PICKS, replace=False) for t in range(TABLES)]), axis=1)
-
-
-def _keys(embedded: np.ndarray, picks: np.ndarray, table: int) -> np.ndarray:
-    key = np.full(embedded.shape[1], U(table))
-    for p in picks[table]:
-        key = T.mix(key * U(3) + embedded[p])
-    return key
-
-
-_MASK = (1 << 16) - 1
+def _samples(steps: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sampled steps of each table and the multipliers of their words: fixed draws. The last step is always sampled."""
+    out = []
+    for t in range(TABLES if steps > PICKS else 1):
+        rng = np.random.default_rng([steps, t])
+        picks = np.sort(np.append(rng.choice(steps - 1, min(PICKS, steps) - 1, replace=False), steps - 1))
+        out.append((picks.astype(int), rng.integers(1, 1 << 62, len(picks)).astype(U) | U(1)))
+    return out
 
 
-def _grams(h: np.ndarray, sizes: list[int]):
-    """(size, hash of the size words from each place on) for each of the ascending sizes."""
-    key, n = np.zeros(len(h), U), 0
-    for size in sizes:
-        for n in range(n, size):
-            key = T.mix(key[: max(0, len(h) - n)] * U(3) + h[n:])
-        n = size
-        yield size, key
+def _keys(emitted, picks: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The hash of the sampled words; emitted(step) gives those of a step."""
+    return T.mix(sum((emitted(j) * m for j, m in zip(picks[1:], salt[1:], strict=True)), emitted(picks[0]) * salt[0]))
 
 
-def _anchors(parts: list[np.ndarray], rate: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The pieces of all items that the tables hold: one more of each than it may have edits, of one size."""
-    cuts: dict[int, list[tuple[int, int, int]]] = {}
-    for k, p in enumerate(parts):
-        if len(p) >= SHORTEST:
-            pieces = int(rate * len(p)) + 1
-            size = len(p) // pieces
-            key = dict(_grams(p, [size]))[size]
-            cuts.setdefault(size, []).extend((int(key[i * len(p) // pieces]), k, i * len(p) // pieces) for i in range(pieces))
-    out = []
-    for size, rows in sorted(cuts.items()):
-        rows.sort()
-        out.append((size, np.array([r[0] for r in rows], U), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])))
-    return out
+def windows(n: int, rate: float = RATE) -> list[tuple[int, int]]:
+    """(first word, words) of an item's windows: one more than it may have edits, apart from each other."""
+    pieces = int(rate * n) + 1
+    return [(i * n // pieces, n // pieces) for i in range(pieces)]
 
 
 def index(ids: list[int], texts: list, rate: float = RATE) -> Items:
     w = T.words(texts)
     parts = [w.hash[a:b] for a, b in zip(w.bounds, w.bounds[1:], strict=False)]
-    kept = [(i, p) for i, p in zip(ids, parts, strict=True) if len(p)]
-    by_class: dict[int, list[int]] = {}
-    for k, (_, p) in enumerate(kept):
-        by_class.setdefault(_length_class(len(p)) if len(p) >= SHORTEST else len(p), []).append(k)
-    classes = []
-    for cls, members in sorted(by_class.items()):
-        picks = _picks(cls) if cls >= SHORTEST else np.array([list(range(cls))])
-        steps = int(picks.max()) + 1
-        if cls >= SHORTEST:
-            emb = np.stack([np.append(h, U(0))[walk(h, steps, np.full(len(h), len(h)))[:, 0]] for h in (kept[k][1] for k in members)], axis=1)
-        else:
-            emb = np.stack([kept[k][1] for k in members], axis=1)
-        tables = []
-        for t in range(len(picks)):
-            seen = np.zeros((picks.shape[1], _MASK + 1), bool)  # which words the items have at each sampled position
-            for p, marks in zip(picks[t], seen, strict=True):
-                marks[(emb[p] & U(_MASK)).astype(np.int64)] = True
-            key = _keys(emb, picks, t)
-            order = np.argsort(key, kind="stable")
-            tables.append((seen, key[order], order))
-        classes.append((cls, [picks, tables, emb, np.array(members)]))
-    return Items([i for i, _ in kept], [p for _, p in kept], classes, _anchors([p for _, p in kept], rate))
+    known = [(i, p) for i, p in zip(ids, parts, strict=True) if len(p)]
+    cut = [(k, a, p[a : a + size]) for k, (_, p) in enumerate(known) for a, size in windows(len(p), rate)]
+    h = np.concatenate([np.zeros(0, U), *(x for *_, x in cut)])
+    first = np.cumsum([0, *(len(x) for *_, x in cut)])
+    places = walk(h, STEPS[-1], np.repeat(first[1:], np.diff(first)))[:, first[:-1]]
+    inside = (places < len(h)).sum(axis=0)  # steps of each window's walk
+    item, place, ended = np.array([k for k, *_ in cut], np.int64), np.array([a for _, a, _ in cut], np.int64), np.append(h, U(0))
+    tables = []
+    for c, more in zip(STEPS, [*STEPS[1:], 1 << 30], strict=True):
+        at = np.flatnonzero((inside >= c) & (inside < more))
+        for picks, salt in _samples(c) if len(at) else []:
+            keys = _keys(lambda j, at=at: ended[places[j, at]], picks, salt)
+            order = np.argsort(keys, kind="stable")
+            marks = np.zeros(_MASK + 1, bool)
+            marks[(keys & U(_MASK)).astype(np.int64)] = True
+            tables.append(Table(picks, salt, marks, keys[order], item[at[order]], place[at[order]]))
+    return Items([i for i, _ in known], [p for _, p in known], tables)
 
 
 def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -155,68 +134,59 @@ def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best // wide, n - best % wide
 
 
+def _slack(n: int, rate: float) -> int:
+    """How far before an item's expected first word a match may begin; it ends at most twice as far behind."""
+    return int(rate * n) + 2 if rate * n >= 1 else 0
+
+
+def _plausible(pair: np.ndarray, words: list[np.ndarray], h: np.ndarray, begin: np.ndarray, stop: np.ndarray, rate: float) -> np.ndarray:
+    """Which (item, start) have so many of the item's words around them that the rest may be edits: a match has as many places with its words."""
+    good = np.zeros(pair.shape[1], bool)
+    edge = np.flatnonzero(np.diff(pair[0], prepend=-1, append=-1))
+    for lo, hi in zip(edge, edge[1:], strict=False):
+        item = words[pair[0, lo]]
+        own, slack = np.sort(item), _slack(len(item), rate)
+        reach = np.arange(-slack, len(item) + 2 * slack)
+        for a in range(lo, hi, max(1, 1_000_000 // len(reach))):
+            at = pair[1, a : min(hi, a + max(1, 1_000_000 // len(reach)))]
+            place = at[:, None] + reach
+            word = h[np.clip(place, 0, len(h) - 1)]
+            has = own[np.minimum(np.searchsorted(own, word), len(own) - 1)] == word
+            has &= (place >= begin[at][:, None]) & (place < stop[at][:, None])
+            good[a : a + len(at)] = has.sum(axis=1) >= len(item) - int(rate * len(item))
+    return good
+
+
 def search(texts: list, items: Items, rate: float = RATE) -> list[tuple[int, int, int, int]]:
     """(text, item id, first word, edit distance) of the best match of each item in each text that it matches."""
     w = T.words(texts)
     h, bounds, doc = w.hash, w.bounds, w.doc
     if not len(h) or not items.ids:
         return []
-    stop = bounds[1:][doc]
-    need = max([int(c[0].max()) + 1 for cls, c in items.classes if cls >= SHORTEST], default=0)
-    ended = np.append(h, U(0))  # what a walk emits past the end of its text
-    small = (ended & U(_MASK)).astype(np.uint16)
-    embedded = walk(h, need, stop)
+    begin, ended = bounds[:-1][doc], np.append(h, U(0))  # a walk emits 0 past the end of its text
+    embedded = walk(h, STEPS[-1], bounds[1:][doc])
+    emitted = [ended[x] for x in embedded]
     start, member = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for cls, (picks, tables, own, members) in items.classes:
-        if cls < SHORTEST:  # the words themselves
-            at = np.flatnonzero(stop - np.arange(len(h)) >= cls)
-            view = np.stack([at + k for k in range(cls)])
-        else:
-            at, view = None, embedded
-        for t, (seen, keys, order) in enumerate(tables):
-            alive = None
-            for p, marks in zip(picks[t], seen, strict=True):
-                alive = np.flatnonzero(marks[small[view[p]]]) if alive is None else alive[marks[small[view[p][alive]]]]
-            key = np.full(len(alive), U(t))
-            for p in picks[t]:
-                key = T.mix(key * U(3) + ended[view[p][alive]])
-            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = hi - lo
-            hit = np.repeat(np.arange(len(key)), n)
-            col = order[np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + lo[hit]]
-            place = alive[hit]
-            if cls >= SHORTEST and len(place):
-                agree = np.zeros(len(place))
-                for j in range(len(own)):
-                    agree += ended[embedded[j][place]] == own[j][col]
-                near = agree >= AGREE * len(own)
-                place, col = place[near], col[near]
-            start.append(place if at is None else at[place])
-            member.append(members[col])
-    begin = bounds[:-1][doc]
-    for (_, keys, item, place), (size, key) in zip(items.anchors, _grams(h, [a[0] for a in items.anchors]), strict=True):
-        marked = np.zeros(_MASK + 1, bool)
-        marked[(keys & U(_MASK)).astype(np.int64)] = True
-        at = np.flatnonzero(stop[: len(key)] - np.arange(len(key)) >= size)
-        at = at[marked[(key[at] & U(_MASK)).astype(np.int64)]]
-        lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
+    for t in items.tables:
+        key = _keys(emitted.__getitem__, t.picks, t.salt)
+        at = np.flatnonzero(t.marks[(key & U(_MASK)).astype(np.int64)])
+        lo, hi = np.searchsorted(t.keys, key[at], "left"), np.searchsorted(t.keys, key[at], "right")
         n = hi - lo
         hit = np.repeat(np.arange(len(at)), n)
         row = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + lo[hit]
-        start.append(np.maximum(at[hit] - place[row], begin[at[hit]]))
-        member.append(item[row])
+        start.append(np.maximum(at[hit] - t.place[row], begin[at[hit]]))
+        member.append(t.item[row])
     pair = np.unique(np.stack([np.concatenate(member), np.concatenate(start)]), axis=1)
+    pair = pair[:, _plausible(pair, items.words, h, begin, bounds[1:][doc], rate)]
     found = sorted(zip(doc[pair[1]].tolist(), pair[0].tolist(), pair[1].tolist(), strict=True))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     done: dict[tuple[int, int], int] = {}
     for d, k, a in found:
         item = items.words[k]
-        slack = int(rate * len(item)) + 2 if len(item) >= SHORTEST else 0
+        slack = _slack(len(item), rate)
         if a < done.get((d, k), -1):  # the spans around an earlier hit cover this one
             continue
         lo, hi = max(int(bounds[d]), a - slack), min(int(bounds[d + 1]), a + len(item) + 2 * slack)
-        if (item[:, None] == h[lo:hi][None, :]).any(1).sum() < len(item) - int(rate * len(item)):  # each word that the span lacks is an edit
-            continue
         edits, start = best_span(item, h[lo:hi])
         done[d, k] = a + 1 if edits else hi
         if edits <= rate * len(item) and (edits, lo + start) < best.get((d, k), (1 << 60, 0)):
@@ -236,24 +206,45 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield [r.id for r in rows], [r.text for r in rows]
 
 
+_held: dict[str, Items] = {}
+
+
+def _indexed(name: str, block: tuple[list, list], rate: float) -> Items:
+    """The index of a block; a worker keeps the last one for its next tasks."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = index(*block, rate)
+    return _held[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, first_word, edits) for each document and benchmark item that it holds."""
-    spark, out = docs.sparkSession, None
+    """(doc_id, item_id, first_word, edits) for each document and benchmark item that it holds.
+
+    With several blocks the findings of each are written before the next block is fetched, so that one is held at a time."""
+    spark, out, last = docs.sparkSession, None, None
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("edits", pa.int64())])
     for ids, items in blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast((ids, items))
+        if last is not None:
+            out = _written(out, *last)
+        shared, name = spark.sparkContext.broadcast((ids, items)), uuid.uuid4().hex
 
-        def scan(batches, shared=shared):
-            known = index(*shared.value, rate)
+        def scan(batches, shared=shared, name=name):
+            known = _indexed(name, shared.value, rate)
             for b in batches:
                 names, texts = b.column("doc_id"), b.column("text").to_pylist()
                 rows = [(names[lo + d].as_py(), *hit) for lo, hi in T.chunks(texts, 400_000) for d, *hit in search(texts[lo:hi], known, rate)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], schema=schema)
 
-        part = texts.mapInArrow(scan, "doc_id long, item_id long, first_word long, edits long")
-        out = part if out is None else out.unionByName(part)
-    return out
+        last = (texts.mapInArrow(scan, "doc_id long, item_id long, first_word long, edits long"), shared)
+    return last[0] if out is None else _written(out, *last)
+
+
+def _written(out: DataFrame | None, part: DataFrame, shared) -> DataFrame:
+    """out and part, whose rows are written, so that its block is needed no more."""
+    done = kept(part)
+    shared.destroy()
+    return done if out is None else out.unionByName(done)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
