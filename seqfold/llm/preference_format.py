@@ -12,15 +12,22 @@ than those named are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqfold.llm.storage import kept
+
+MARKS = 6  # characters that rendering adds to a turn's role and text: "<|", "|>" and two line ends
+
 
 def threads(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turns): each conversation's turns (role, text) in order."""
-    rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("t"))
-    return whole.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    """(conv_id, turns): each conversation's turns (role, text, end) in order; end: where a turn's rendered form ends, counted over all
+    turns up to it. Repeated rows are dropped as rows, before any array is built."""
+    rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = rows.withColumn("end", F.sum(F.length("role") + F.length("text") + MARKS).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text", "end"))).alias("t"))
+    return whole.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["end"].alias("end"))).alias("turns"))
 
 
 def by_first_turn(conversations: DataFrame) -> DataFrame:
@@ -40,30 +47,28 @@ def _turn(t: Column) -> Column:
     return F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n"))
 
 
-def _mask(turns: Column) -> Column:
-    """Spans of the assistant's texts in the rendered turns; one pass over the turns carries the length so far."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"))
-
-    def add(a: Column, t: Column) -> Column:
-        start = a["at"] + F.length(t["role"]) + 5  # "<|", "|>" and the line's end
-        end = start + F.length(t["text"])
-        span = F.concat(F.when(a["spans"] == "", F.lit("")).otherwise(F.lit(",")), start.cast("string"), F.lit(":"), end.cast("string"))
-        return F.struct((end + 1).alias("at"), F.when(t["role"] == "assistant", F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-    return F.aggregate(turns, begin, add, lambda a: a["spans"])
+def _mask(turns: Column, before: Column) -> Column:
+    """Spans of the assistant's texts in the rendered turns, which begin behind before characters of their conversation."""
+    spans = F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: F.concat((t["end"] - 1 - F.length(t["text"]) - before).cast("string"), F.lit(":"), (t["end"] - 1 - before).cast("string")))
+    return F.array_join(spans, ",")
 
 
 def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id, prefix_turns, prompt, chosen, chosen_mask, rejected, rejected_mask) for each pair.
 
-    Without a rejected conversation all turns but the last are the prompt, and rejected is empty."""
-    none = F.array().cast("array<struct<role:string,text:string>>")
-    left = pairs.join(conversations.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c")), "chosen_id")
-    both = left.join(conversations.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("r")), "rejected_id", "left").withColumn("r", F.coalesce("r", none))
+    Without a rejected conversation all turns but the last are the prompt, and rejected is empty; such pairs are taken apart before
+    the join, so that their null keys do not meet in one task. Pairs and conversations are written once, so that the joins can split
+    a conversation that is chosen over very many others."""
+    conversations, pairs = kept(conversations), kept(pairs)
+    chosen = conversations.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c"))
+    rejected = conversations.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("r"))
+    two = pairs.where("rejected_id is not null").join(rejected, "rejected_id").join(chosen, "chosen_id")
     short = F.least(F.size("c"), F.size("r"))
     same = F.zip_with(F.slice("c", F.lit(1), short), F.slice("r", F.lit(1), short), lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))
     miss = F.array_position(same, F.lit(False)).cast("int")
-    n = F.when(F.col("rejected_id").isNull(), F.size("c") - 1).when(miss > 0, miss - 1).otherwise(short)
-    cut = both.withColumn("n", n)
-    cut = cut.select("chosen_id", "rejected_id", "n", F.slice("c", F.lit(1), F.col("n")).alias("p"), F.slice("c", F.col("n") + 1, F.size("c")).alias("c"), F.slice("r", F.col("n") + 1, F.size("r")).alias("r"))
-    return cut.select("chosen_id", "rejected_id", F.col("n").cast("long").alias("prefix_turns"), _render(F.col("p")).alias("prompt"), _render(F.col("c")).alias("chosen"), _mask(F.col("c")).alias("chosen_mask"), _render(F.col("r")).alias("rejected"), _mask(F.col("r")).alias("rejected_mask"))
+    alone = pairs.where("rejected_id is null").join(chosen, "chosen_id").withColumn("r", F.array().cast("array<struct<role:string,text:string,end:bigint>>"))
+    columns = ["chosen_id", "rejected_id", "c", "r", "n"]
+    both = two.withColumn("n", F.when(miss > 0, miss - 1).otherwise(short)).select(columns).unionByName(alone.withColumn("n", F.size("c") - 1).select(columns))
+    begin = F.coalesce(F.get(F.col("c"), F.col("n") - 1)["end"], F.lit(0))  # the prefix is the same in both
+    cut = both.select("chosen_id", "rejected_id", "n", begin.alias("begin"), F.slice("c", F.lit(1), F.col("n")).alias("p"), F.slice("c", F.col("n") + 1, F.size("c")).alias("c"), F.slice("r", F.col("n") + 1, F.size("r")).alias("r"))
+    return cut.select("chosen_id", "rejected_id", F.col("n").cast("long").alias("prefix_turns"), _render(F.col("p")).alias("prompt"), _render(F.col("c")).alias("chosen"), _mask(F.col("c"), F.col("begin")).alias("chosen_mask"), _render(F.col("r")).alias("rejected"), _mask(F.col("r"), F.col("begin")).alias("rejected_mask"))
