@@ -1,10 +1,12 @@
 """License scans by a positional index of rare licence words, in DataFrame functions alone.
 
-Document frequencies of the licence vocabulary are counted over all documents. The index holds, for each template, the word
-of its mandatory key phrase that has the highest inverse document frequency, and its position. A document looks up those of
-these rare words that it has; a word at place p and a posting at position t propose that the template begins at
-word p - t. Of the proposed places those count at which a share of LEAST or more of the template's words, in their
-relative positions, and all words of the key phrase stand; as the key phrase is mandatory, no place is missed. Base labels come from exact phrases, wherever they stand.
+Document frequencies of the licence vocabulary are counted over all documents. The index holds postings (word, template,
+position) of the highest inverse document frequency of each template: the rarest word of its mandatory key phrase, its pivot, and then
+its rarest other words, two more in all than a match may lack. A document looks up those of these words that it
+has; each place of a pivot proposes where its template begins, and the template's other postings are intersected with it by
+relative position: one of them at least has to stand where the proposed beginning puts it. A match that has the share LEAST of the
+template's words in their places, those of the key phrase among them, always passes, so no place is missed; what passes is verified on all
+words. Base labels come from exact phrases, wherever they stand.
 
 A word is a run of digits, a-z (A-Z are lower-cased) and characters beyond ASCII. A null text counts as empty: no words, no
 labels, score 0. Texts are read whole; repeated rows get equal results; input columns other than id
@@ -13,6 +15,8 @@ and text are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +63,11 @@ def rarity(docs: DataFrame, templates=TEMPLATES) -> dict[str, float]:
     return {w: (total + 1.0) / (df.get(w, 0) + 1.0) for w in vocabulary(templates)}
 
 
+def lacking(n: int, least: float = LEAST) -> int:
+    """How many words of a template of n a match may lack."""
+    return n - math.ceil(least * n - 1e-9)
+
+
 def _places(words: Column, phrase: str) -> Column:
     parts = phrase.split()
     last = F.size(words) - len(parts)
@@ -79,32 +88,41 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     score: the largest share of a template's words found in place, its key phrase among them; else 0."""
     worded = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     idf = rarity(worded, templates)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for n, (_, text, key) in enumerate(templates):
+    catalogue, pivots = [], {}
+    for n, (label, text, key) in enumerate(templates):
         words, phrase = text.split(), key.split()
-        at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
-        best = max(range(len(phrase)), key=lambda k: (idf[phrase[k]], phrase[k]))
-        postings.setdefault(phrase[best], []).append((n, at + best))
-    ranked = F.array(*map(F.lit, sorted(postings, key=lambda w: (-idf[w], w))))
-    index = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in ps]))])
-    catalogue = F.array(*[
-        F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t.split())).alias("words"), F.lit(f" {t} ".index(f" {key} ") and len(t[: f" {t} ".index(f" {key} ")].split())).alias("start"), F.lit(len(key.split())).alias("size"))
-        for label, t, key in templates
-    ])
+        start = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+        pivot = max(range(start, start + len(phrase)), key=lambda k: (idf[words[k]], words[k]))
+        others = sorted((k for k in range(len(words)) if k != pivot), key=lambda k: (-idf[words[k]], words[k], k))[: lacking(len(words), least) + 1]
+        pivots.setdefault(words[pivot], []).append((n, pivot))
+        posted = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(words[k]).alias("w")) for k in others])
+        catalogue.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(start).alias("start"), F.lit(len(phrase)).alias("size"), posted.alias("posted")))
+    catalogue = F.array(*catalogue)
+    ranked = F.array(*map(F.lit, sorted(pivots, key=lambda w: (-idf[w], w))))
+    index = F.create_map(*[x for w, ps in pivots.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in ps]))])
     base = [_places(F.col("words"), p) for p in PHRASES]
     found = worded.select("doc_id", "words", *[b.alias(f"b{k}") for k, b in enumerate(base)], F.array_intersect(ranked, "words").alias("rare"))
 
+    def stands(at: Column, word: Column) -> Column:
+        return F.when(at >= 0, F.coalesce(F.get(F.col("words"), at) == word, F.lit(False))).otherwise(False)
+
     def proposed(words: Column, rare: Column) -> Column:
-        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x["w"]))
-        return F.array_distinct(F.flatten(F.transform(at, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["n"].alias("n"), (x["i"] - p["p"]).alias("at"))))))
+        """(template, beginning) of each place of a pivot; a template has one pivot, so none comes twice."""
+        at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(at, lambda i: F.transform(F.element_at(index, F.get(words, i)), lambda p: F.struct(p["n"].alias("n"), (i - p["p"]).alias("at")))))
+
+    def met(c: Column) -> Column:
+        posted = F.get(catalogue, c["n"])["posted"]  # none for a template of one word
+        return (F.size(posted) == 0) | F.exists(posted, lambda p: stands(c["at"] + p["p"], p["w"]))
 
     def matched(c: Column) -> Column:
         t = F.get(catalogue, c["n"])
-        same = F.transform(t["words"], lambda w, p: F.when(c["at"] + p >= 0, F.coalesce(F.get(F.col("words"), c["at"] + p) == w, F.lit(False))).otherwise(False))
+        same = F.transform(t["words"], lambda w, p: stands(c["at"] + p, w))
         share = F.size(F.filter(same, lambda s: s)) / F.size(same)
         return F.struct(t["label"].alias("label"), share.alias("share"), F.forall(F.slice(same, t["start"] + 1, t["size"]), lambda s: s).alias("key"))
 
-    cands = found.withColumn("hits", F.when(F.size("rare") > 0, F.filter(F.transform(proposed(F.col("words"), F.col("rare")), matched), lambda m: m["key"] & (m["share"] >= least))).otherwise(F.array().cast("array<struct<label:string,share:double,key:boolean>>")))
+    meets = F.filter(proposed(F.col("words"), F.col("rare")), met)
+    cands = found.withColumn("hits", F.when(F.size("rare") > 0, F.filter(F.transform(meets, matched), lambda m: m["key"] & (m["share"] >= least))).otherwise(F.array().cast("array<struct<label:string,share:double,key:boolean>>")))
     named = F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
     places = cands.withColumns({"base": F.concat(*[F.col(f"b{k}") for k in range(len(base))]), "named": named})
     return places.select(
