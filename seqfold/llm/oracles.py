@@ -15,14 +15,14 @@ def _secret_scan() -> str:
     for n, r in enumerate(secrets.RULES):
         p = _quoted(r.pattern)
         parts.append(f"SELECT doc_id, {n} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, {p}) AS f, string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}, {r.group}) AS part FROM d WHERE regexp_matches(t, {p})")
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.RULES)
-    names = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.RULES)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    names = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(parts)}),
 e AS (SELECT doc_id, rank, kind, least, f, g, part, unnest(range(1, len(f) + 1)) AS i FROM m),
 s AS (SELECT doc_id, rank, kind, length(part[i]) >= least AS ok, length(f[i]) AS size, CAST(sum(length(g[i]) + length(f[i])) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS stop FROM e),
-a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, rank) AS spans FROM s WHERE ok GROUP BY doc_id)
-SELECT d.doc_id, {names}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, rank) AS spans, string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, rank) FILTER (WHERE rank < {len(secrets.BASE)}) AS base FROM s WHERE ok GROUP BY doc_id)
+SELECT d.doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
 
 def _url_filter() -> str:

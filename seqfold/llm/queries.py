@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqfold.llm import byte_bpe, cgk_decontam, license_index, maxscore, ordinal_quality, preference_format, probminhash, secrets, toxicity_chain, url_bloom
+from seqfold.llm.storage import shared_folder
 
 #: Rules for URLs (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -20,16 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.report(docs, secrets.scan(docs))
-    kinds = [r.kind for r in secrets.RULES]
-    spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    """The base rules' findings are in the ledger when the other rules come: the second run scans the added pairs alone."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}"
+    secrets.enter(docs, folder, secrets.BASE)
+    found = secrets.report(docs, secrets.enter(docs, folder))
+    kinds = [r.kind for r in secrets.BASE]
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     def count(kind: str) -> Column:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    named = found.select("doc_id", *map(count, kinds), spans.alias("spans"))
-    return named.select("doc_id", *[f"n_{k}" for k in kinds], F.sha2("spans", 256).alias("base_sha256"), "spans")
+    base = joined(F.filter("found", lambda s: s["kind"].isin(kinds)))
+    return found.select("doc_id", *map(count, kinds), F.sha2(base, 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ drops the pairs the ledger has, runs only the remaining rules over only the rema
 join back to every path that holds the blob. Spans are in code points, end exclusive; of a rule's
 matches, leftmost and non-overlapping, those stay whose measured group has the rule's least length.
 
+The ledger is a folder of increments, one written by each run of `enter`, and read back by the next one: a blob that any earlier
+run has scanned under a rule's version is never scanned under it again, whatever path or version of a file brings it.
+
 A null text counts as empty. Repeated rows share a blob and are each reported. Long texts are scanned
 whole; their matches are numbered and summed in rows, not in nested arrays. Input columns other than the
 id and the text are ignored, so none can clash. An empty table gives an empty report.
@@ -13,13 +16,17 @@ id and the text are ignored, so none can clash. An empty table gives an empty re
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqfold.llm.storage import kept
 
+CHUNK = 2048  # characters
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -30,12 +37,22 @@ class Rule:
     least: int
 
 
-#: The rules, in the order in which kinds are listed. {24,} and {16,} find exactly the runs that are long enough.
-RULES = (
+#: The base rules, in the order in which kinds are listed. {24,} and {16,} find exactly the runs that are long enough.
+BASE = (
     Rule("assign", "1", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", "1", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", "1", r"[0-9a-f]{24,}", 0, 24),
 )
+#: What is looked for beside them: tokens of public services by their documented prefixes, web tokens, key blocks, passwords in URLs.
+RULES = (
+    *BASE,
+    Rule("github", "1", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
+    Rule("slack", "1", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    Rule("google", "1", r"AIza[A-Za-z0-9_-]{35}", 0, 39),
+    Rule("jwt", "1", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+    Rule("key_block", "1", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27),
+    Rule("url_password", "1", r"://[A-Za-z0-9._-]{1,64}:([A-Za-z0-9._~!$*+=-]{3,64})@", 1, 3),
+)
 
 
 def with_blob(docs: DataFrame, text_col: str = "text", name: str = "blob") -> DataFrame:
@@ -78,6 +95,22 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return found.select("blob", "found", F.explode("due").alias("n")).select("blob", kind.alias("kind"), version.alias("version"), spans.alias("spans"))
 
 
+def enter(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The ledger in folder after docs came in: what they bring that is not in it is scanned and written to it as one more increment."""
+    scan(docs, ledger(docs.sparkSession, folder), rules, text_col).write.parquet(f"{folder}/{uuid.uuid4().hex}")
+    return ledger(docs.sparkSession, folder)
+
+
+def ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All increments in folder; None if there is no such folder yet."""
+    try:
+        return spark.read.schema("blob binary, kind string, version string, spans array<struct<start:bigint,end:bigint>>").option("recursiveFileLookup", True).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found) for every row of docs: array<struct<start, rank, kind, end>> in order of start, then rank of the kind."""
     rank = F.element_at(F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (f"{r.kind}@{r.version}", n)]), F.concat("kind", F.lit("@"), "version"))
@@ -88,20 +121,33 @@ def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
     return paths.join(by_blob, "blob", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")).alias("found"))
 
 
-def masked(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """docs with the spans that the ledger has for a text's blob replaced by [kind]; overlapping spans become the first's kind.
+def _merged(ledger: DataFrame) -> DataFrame:
+    """(_blob, _found, _tail): the spans of a blob that begin at or behind the end of those before, in order, each with where the text
+    between begins, and the end of all."""
+    each = ledger.where(F.size("spans") > 0).select("blob", "kind", F.explode("spans").alias("s")).select("blob", "kind", "s.start", "s.end")
+    sofar = Window.partitionBy("blob").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    told = each.withColumn("from", F.coalesce(F.max("end").over(sofar), F.lit(0).cast("long")))
+    fresh = F.when(F.col("start") >= F.col("from"), F.struct("from", "start", "end", "kind"))
+    return told.groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.collect_list(fresh)).alias("_found"), F.max("end").alias("_tail"))
 
-    Rows without a finding, null texts among them, stay as they are."""
-    keyed = with_blob(docs, text_col, "_blob")
-    held = ledger.where(F.size("spans") > 0).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("part"))
-    by_blob = kept(held.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("_found")).withColumnRenamed("blob", "_blob"))
-    text = F.col(text_col)
 
-    def step(a: Column, s: Column) -> Column:
-        before = text.substr((a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        fresh = s["start"] >= a["at"]
-        out = F.when(fresh, F.concat(a["out"], before, F.lit("["), s["kind"], F.lit("]"))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+def _part(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end) of a text that is cut into chunks, without a walk from the text's beginning."""
+    a, b = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    head, tail = F.coalesce(F.get(chunks, a), F.lit("")), F.coalesce(F.get(chunks, b), F.lit(""))
+    inner = F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+    within = head.substr((start - a * CHUNK + 1).cast("int"), (end - start).cast("int"))
+    return F.when(a == b, within).otherwise(F.concat(head.substr((start - a * CHUNK + 1).cast("int"), F.lit(CHUNK)), inner, tail.substr(F.lit(1), (end - b * CHUNK).cast("int"))))
+
+
+def masked(docs: DataFrame, ledger: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the spans that the ledger has for a text's blob replaced by [kind]; overlapping spans become the first's kind.
 
-    rest = F.aggregate("_found", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
-    return keyed.join(by_blob, "_blob", "left").withColumn(text_col, F.when(F.col("_found").isNotNull(), rest).otherwise(text)).select(docs.columns)
+    Rows without a finding, null texts among them, stay as they are. The work is linear in a text's length and findings: spans are merged
+    as rows, and the text is cut into chunks once."""
+    by_blob, text = kept(_merged(ledger)), F.col(text_col)
+    chunks = F.when(F.col("_found").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    joined = with_blob(docs, text_col, "_blob").join(by_blob, "_blob", "left").withColumn("_chunks", chunks)
+    pieces = F.transform("_found", lambda s: F.concat(_part(F.col("_chunks"), s["from"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
+    rest = _part(F.col("_chunks"), F.col("_tail"), F.length(text))
+    return joined.withColumn(text_col, F.when(F.col("_found").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(text)).select(docs.columns)
