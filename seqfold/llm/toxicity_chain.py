@@ -1,6 +1,7 @@
 """Toxicity: a classifier chain. Each category's linear model also sees the earlier categories' log-odds.
 
-In training those are out-of-fold predictions, so that a later model learns from what it will see later.
+In training those are out-of-fold predictions, so that a later model learns from what it will see later. The category that
+decides stands last, so a decision comes through the whole chain.
 Fitted on a bounded sample on the driver, applied to every row in Arrow batches. A null or empty text has
 no features and gets the models' intercepts; repeated rows get equal results; an empty table gives an
 empty table; input columns named like an output are replaced. A category with one class is a constant.
@@ -22,9 +23,9 @@ FOLDS = 3
 REJECT_AT = 0.35
 #: Name of each category, in the order of the chain, and whether labels (quality, toxic) put a document in it.
 CATEGORIES = (
-    ("toxic", lambda quality, toxic: toxic == 1),
-    ("toxic_prose", lambda quality, toxic: toxic == 1 and quality == 1),
     ("unfit", lambda quality, toxic: toxic == 1 or quality == 0),
+    ("toxic_prose", lambda quality, toxic: toxic == 1 and quality == 1),
+    ("toxic", lambda quality, toxic: toxic == 1),
 )
 
 
@@ -73,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = labelled.SAMPLE_ROWS) -
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
-    """docs with p_<category> for each category and rejected: the first category's probability is reject_at or more."""
+    """docs with p_<category> for each category and rejected: the last category's probability, which rests on those before it, is reject_at or more."""
 
     @F.arrow_udf("array<double>")
     def chained(text: pa.Array) -> pa.Array:
@@ -82,4 +83,4 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", reject_at: floa
 
     scored = docs.withColumn("__chain", chained(F.col(text_col)))
     scored = scored.withColumns({f"p_{n}": F.col("__chain")[k] for k, n in enumerate(chain.names)})
-    return scored.withColumn("rejected", F.col("__chain")[0] >= reject_at).drop("__chain")
+    return scored.withColumn("rejected", F.col("__chain")[len(chain.names) - 1] >= reject_at).drop("__chain")
