@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqfold.llm import byte_bpe, cgk_decontam, components, labelled, license_index, linear, maxscore, oracles, ordinal_quality, preference_format, probminhash, queries, secrets, toxicity_chain, url_bloom
+from seqfold.llm import byte_bpe, cgk_decontam, components, labelled, license_index, linear, maxscore, oracles, ordinal_quality, preference_format, probminhash, queries, secrets, storage, toxicity_chain, url_bloom
 from seqfold.llm import tokens as T
 from tests.compare import connection, same
 
@@ -44,7 +44,8 @@ def test_query_equals_sql(spark, name):
 def plain_spans(text):
     found, text = [], text or ""
     assign = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-    for rank, (kind, pattern, group, least) in enumerate([("assign", assign, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]):
+    more = [(r.kind, r.pattern, r.group, r.least) for r in secrets.RULES[3:]]
+    for rank, (kind, pattern, group, least) in enumerate([("assign", assign, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), *more]):
         found += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
     return sorted(found)
 
@@ -60,12 +61,42 @@ def test_secret_ledger_is_incremental(spark, odd):
     assert secrets.scan(odd, first).count() == 0
     more = odd.unionByName(odd.limit(1).withColumn("text", F.lit("passwd=zzzzzz9")))
     fresh = secrets.scan(more, first)
-    assert {r.kind for r in fresh.collect()} == {"assign", "access", "hex"} and fresh.select("blob").distinct().count() == 1
+    assert {r.kind for r in fresh.collect()} == {r.kind for r in secrets.RULES} and fresh.select("blob").distinct().count() == 1
     newer = (secrets.Rule("hex", "2", r"[0-9a-f]{30,}", 0, 30), *secrets.RULES[:2])
     again = secrets.scan(odd, first, newer).collect()
     assert {(r.kind, r.version) for r in again} == {("hex", "2")} and len(again) == odd.select(F.coalesce("text", F.lit(""))).distinct().count()
 
 
+def test_ledger_folder_grows_by_what_is_new(spark, odd, tmp_path):
+    folder = str(tmp_path / "ledger")
+    blobs = odd.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert secrets.ledger(spark, folder) is None
+    assert secrets.enter(odd, folder, secrets.BASE).count() == 3 * blobs
+    assert secrets.enter(odd, folder).count() == len(secrets.RULES) * blobs  # the added rules alone
+    assert secrets.enter(odd.limit(3), folder).count() == len(secrets.RULES) * blobs
+    more = spark.createDataFrame([(50, "a new version: secret=abcdef9")], "doc_id long, text string")
+    whole = secrets.enter(more, folder)
+    assert whole.count() == len(secrets.RULES) * (blobs + 1) and whole.select("blob", "kind", "version").distinct().count() == whole.count()
+    got = {(r.doc_id, tuple(map(tuple, r.found))) for r in secrets.report(odd.select("doc_id", "text").unionByName(more), whole).collect()}
+    assert got == {(r.doc_id, tuple(plain_spans(r.text))) for r in odd.select("doc_id", "text").unionByName(more).collect()}
+
+
+def test_masking_by_brute_force(spark):
+    rng, rows = random.Random(1), [(999, None), (1000, "")]
+    parts = ["token = abcdef123456", "secret:token:abcdefgh", "AKIA" + "Z" * 16, "deadbeef" * 4, "x://me:secret=abcdef12@h", "passwd=://u:pw1@", "gho_" + "a" * 36, "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh", "-----BEGIN RSA PRIVATE KEY-----", "AIza" + "b" * 36, "xoxb-1234567890-a"]
+    for i in range(120):
+        rows.append((i, "".join(rng.choice([*parts, "é" * rng.randrange(4000), "".join(rng.choices("ab é:/@=x🙂 \n", k=30))]) for _ in range(rng.randrange(12)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"start": F.lit(1), "_none": F.lit(2)})
+    got = {r.doc_id: r.text for r in secrets.masked(docs, secrets.scan(docs)).collect()}
+    for d, t in rows:
+        out, at = "", 0
+        for start, _, kind, end in sorted((a, b, k, e) for a, _, k, e in plain_spans(t) for b in [e]):
+            if start >= at:
+                out += t[at:start] + f"[{kind}]"
+            at = max(at, end)
+        assert got[d] == (None if t is None else out + t[at:])
+
+
 def test_masking(spark, odd):
     got = {(r.doc_id, r.text) for r in secrets.masked(odd, secrets.scan(odd)).collect()}
     assert (6, "[assign] [access]") in got and (0, None) in got and (5, LONG) in got and len(got) == odd.distinct().count()
@@ -78,7 +109,7 @@ def test_classifiers_held_out(spark):
     random.Random(1).shuffle(rows)
     train, test = rows[:2900], rows[2900:]
     chain = toxicity_chain.fit_texts([r.text for r in train], np.array([[int(f(r.quality, r.toxic)) for _, f in toxicity_chain.CATEGORIES] for r in train]), [n for n, _ in toxicity_chain.CATEGORIES])
-    p = chain.probabilities([r.text for r in test])[:, 0] >= toxicity_chain.REJECT_AT
+    p = chain.probabilities([r.text for r in test])[:, -1] >= toxicity_chain.REJECT_AT
     y = np.array([r.toxic for r in test]) == 1
     assert (p & y).sum() / y.sum() > 0.85 and (p & ~y).sum() / (~y).sum() < 0.01
     grade = np.array([0 if r.quality == 0 else 1 if r.toxic else 2 for r in train])
@@ -89,6 +120,103 @@ def test_classifiers_held_out(spark):
     assert ((tails[:, 0] >= 0.5) == good).mean() > 0.9
 
 
+def plain_features(text):
+    """Counts of words, of their prefixes and of runs of symbols."""
+    coded, counts = (text or "").lower(), {}
+    words, symbols = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", coded), re.findall(r"[!-/:-@\[-`{-~]+", coded)
+    for w in words:
+        raw = w.encode()
+        for f in [("w", raw)] + [(n, raw[:n]) for n in linear.PREFIXES if len(raw) > n]:
+            counts[f] = counts.get(f, 0) + 1
+    for x in symbols:
+        counts["s", x.encode()] = counts.get(("s", x.encode()), 0) + 1
+    return {f: 0.5 + (8 * c / max(1, len(words) + len(symbols))) ** 0.5 for f, c in counts.items()}
+
+
+def test_features_by_brute_force(texts):
+    some = [t for t in ODD if t != LONG] + list(texts.values())[:40]
+    row, key, val = linear.features(some)
+    names = {}
+    for i, t in enumerate(some):
+        want, mine = sorted(plain_features(t).values()), sorted(val[row == i].tolist())
+        assert np.allclose(want, mine, atol=1e-5)
+    for i in (5, 12, 20):  # equal features have equal ids in all texts
+        names.setdefault(i, set(key[row == i].tolist()))
+    assert len(names[12] & names[20]) == len(plain_features(some[12]).keys() & plain_features(some[20]).keys())
+
+
+def dense(x):
+    out = np.zeros((x.n, len(x.vocab)))
+    np.add.at(out, (x.row, x.col), x.val)
+    return out
+
+
+def small_corpus(n=160):
+    rng = random.Random(4)
+    marks = [rng.randrange(3) for _ in range(n)]
+    return [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "one", "two"][g : g + 4], k=30)) for g in marks], np.array(marks)
+
+
+def test_logistic_regression_by_brute_force():
+    """The fitted loss, penalties and all, is that of plain proximal steps on the dense matrix; so are the chain's probabilities."""
+    texts, grade = small_corpus()
+    x, y = linear.matrix(texts, 1), (grade == 2).astype(float)
+    full, w, b = dense(x), np.zeros(len(x.vocab)), 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(full @ w + b)))
+        w, b = w - 0.05 * (full.T @ (p - y) / len(y) + 1e-5 * w), b - 0.05 * (p - y).mean()
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.05 * 2e-4, 0)
+
+    def loss(w, b):
+        s = full @ w + b
+        return np.mean(np.log1p(np.exp(-np.where(y == 1, s, -s)))) + 2e-4 * np.abs(w).sum() + 5e-6 * (w * w).sum()
+
+    m = linear.fit_logistic(x, y, steps=3000)
+    own = np.zeros(len(x.vocab))
+    own[np.searchsorted(x.vocab, m.vocab)] = m.weight
+    assert loss(own, m.bias) <= loss(w, b) + 2e-3
+    chain = toxicity_chain.fit_texts(texts, np.stack([grade > 0, grade == 2], axis=1).astype(int), ["a", "b"])
+    seen = np.zeros((len(texts), 0))
+    for k, m in enumerate(chain.models):
+        own = np.zeros(len(x.vocab))
+        own[np.searchsorted(x.vocab, m.vocab)] = m.weight
+        s = full @ own + m.bias + seen @ m.extra
+        assert np.allclose(1 / (1 + np.exp(-np.clip(s, -12, 12))), chain.probabilities(texts)[:, k], atol=1e-6)
+        seen = np.column_stack([seen, np.clip(s, -12, 12)])
+    assert chain.models[1].extra.size == 1
+
+
+def test_ordinal_regression_by_brute_force():
+    texts, grade = small_corpus()
+    x = linear.matrix(texts, 1)
+    full = dense(x)
+
+    def loss(w, cuts):
+        tail = 1 / (1 + np.exp(-(full @ w)[:, None] + cuts))
+        edges, each = np.column_stack([np.ones(len(grade)), tail, np.zeros(len(grade))]), np.arange(len(grade))
+        p = edges[each, grade] - edges[each, grade + 1]
+        return -np.log(np.maximum(p, 1e-9)).mean()
+
+    m = ordinal_quality.OrdinalModel(*linear.fit_ordinal(x, grade, 3, steps=2000))
+    own = np.zeros(len(x.vocab))
+    own[np.searchsorted(x.vocab, m.linear.vocab)] = m.linear.weight
+    here, cuts, rng = loss(own, m.thresholds), m.thresholds, np.random.default_rng(1)
+    penalty = 1e-4 * np.abs(own).sum()
+    for _ in range(300):  # no small step in any direction is better
+        step, cut = rng.normal(0, 0.02, len(own)), rng.normal(0, 0.02, 2)
+        assert loss(own + step, cuts + cut) + 1e-4 * np.abs(own + step).sum() >= here + penalty - 1e-3
+    tails = m.tails(texts)
+    assert np.allclose(tails, 1 / (1 + np.exp(-((full @ own)[:, None] - cuts))), atol=1e-6) and (tails.argmin(axis=1) == 1).all()
+    assert ((tails > 0.5).sum(axis=1) == grade).mean() > 0.9
+
+
+def test_sample_is_bounded_by_characters_whatever_the_length_of_a_text(spark, odd):
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in labelled.sample(odd, marks)} == set(range(10))  # the longest text too
+    few = labelled.sample(odd, marks, chars=400_000)
+    assert 0 < len(few) <= 10 and sum(len(r.text) for r in few) <= 400_000 and len(labelled.sample(odd, marks, limit=4)) == 4
+
+
 def test_classifiers_on_odd_input(spark, odd, none):
     marks = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (4, None, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     for m in (marks, marks.where("false")):
@@ -249,6 +377,8 @@ def test_licences(spark, odd, none):
     got = [tuple(r) for r in license_index.scan(docs).collect()]
     assert sorted(got, key=str) == sorted([(r.doc_id, *plain_licence(r.text)) for r in docs.collect()], key=str)
     assert license_index.scan(none).count() == 0
+    short = (("one", "zlib", "zlib"), ("two", "curl zlib", "zlib"))
+    assert [(r.labels, r.score) for r in license_index.scan(spark.createDataFrame([(1, "zlib"), (2, "curl zlib zlib")], "doc_id long, text string"), short).orderBy("doc_id").collect()] == [("one", 1.0), ("one,two", 1.0)]
 
 
 def test_bpe_equals_the_library(spark, odd, none, texts):
@@ -269,7 +399,7 @@ def test_bpe_equals_the_library(spark, odd, none, texts):
     assert byte_bpe.digests(none, queries.TOKENIZER, public_tokenizers.PATTERN).count() == 0
 
 
-def test_top_k_by_brute_force(spark):
+def test_top_k_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.integers(-3, 4, (400, 9))
     x[100:200] = x[100]  # many ties
@@ -283,6 +413,10 @@ def test_top_k_by_brute_force(spark):
         assert sorted(got[q]) == [(k + 1, i, -v) for k, (v, i) in enumerate(best)]
     assert set(got) == set(range(0, 400, 20))
     assert maxscore.top_k(df.where("false"), df.where("false")).count() == 0
+    again = df.withColumns({"shard": F.lit("x"), "v": F.lit(1), "asked": F.lit(2)})
+    monkeypatch.setattr(maxscore, "SHARD", 50)
+    monkeypatch.setattr(maxscore, "SEEDS", 64)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in maxscore.top_k(again, again.where("vec_id % 20 = 0"), 20).collect()} == {(q, *r) for q, rows in got.items() for r in rows}
 
 
 def test_quantising(spark):
@@ -418,7 +552,33 @@ def test_pipeline(spark, texts):
 
 def test_pipeline_stages_on_odd_input(spark, odd):
     docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    all_rows = sorted((r.doc_id, r.text) for r in docs.where("doc_id is not null").collect() if r.text is not None)
     for name, stage in corpus_pipeline.STAGES:
-        for rows in (docs, docs.where("false")):
-            got = stage(spark, rows, FOLDER)
-            assert got.count() <= rows.count(), name
+        assert stage(spark, docs.where("false"), FOLDER).count() == 0, name
+        left = stage(spark, docs, FOLDER).collect()
+        if name in ("secret_scan", "encode"):
+            assert len(left) == docs.count(), name
+        if name in ("near_duplicates", "decontaminate"):  # each text stays, once or as often as it stood
+            assert {r.text for r in left} == {t for _, t in all_rows} | {None, "no id"}, name
+            assert len(left) == docs.count() if name == "decontaminate" else len(left) == docs.select("text").distinct().count(), name
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(ValueError):
+        storage.shared_folder(type("Session", (), {"sparkContext": Context()})())
+
+
+def test_preference_pairs_of_a_very_common_first_turn(spark):
+    turns = spark.range(3000).selectExpr("id % 1000 as conv_id", "id div 1000 as turn", "'user' as role", "case when id < 1000 then 'hi' else concat('t', id % 7) end as text")
+    conv = preference_format.threads(turns)
+    got = preference_format.format_pairs(conv, preference_format.by_first_turn(conv)).collect()
+    assert len(got) == 999 and {r.chosen_id for r in got} == {0} and {r.prefix_turns for r in got} == {1, 3}
