@@ -36,8 +36,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by their kind where the ledger's findings name its blob."""
-    return secrets.masked(docs, secrets.scan(docs)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Every document, its secrets replaced by their kind where the ledger's findings name its blob. The ledger is a folder of this run."""
+    ledger = secrets.enter(docs, f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}")
+    return secrets.masked(docs, ledger).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
