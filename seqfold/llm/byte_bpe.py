@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import sys
 from array import array
 
 import ahocorasick
@@ -24,7 +25,30 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 150_000  # entries that each of a worker's dictionaries holds at most
+MEMO = 200_000  # units that a worker keeps at most; pairs of tokens, which are smaller, eight times as many
+_UNITS = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+
+
+class Memo:
+    """A dictionary of two generations, bounded by entries: when the young one is full it becomes the old one, which is dropped.
+
+    What is asked for again moves to the young one, so frequent keys stay."""
+
+    def __init__(self, entries: int = MEMO):
+        self.half, self.young, self.old = max(1, entries // 2), {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class Bpe:
@@ -37,10 +61,12 @@ class Bpe:
         for b, i in self.ids.items():
             self.entries.add_word(b, i)
         self.entries.make_automaton()
+        self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.shorter: dict[int, int] = {}  # the longest entry that begins a token, -1 for none
+        self.heads: dict[str, int] = {}  # the longest entry that begins a path of the automaton: as many keys as it has places
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, bytes] = {}
+        self.pairs = Memo(8 * MEMO)
+        self.units = Memo()
 
     def last_merge(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -58,105 +84,111 @@ class Bpe:
 
         Goes back in time: undoes the later of the merges beside the boundary, and fails if the two tokens
         that then meet there would have merged before what was undone."""
-        key = a << 24 | b
-        known = self.pairs.get(key)
-        if known is None:
-            x, y, before = a, b, 1 << 60
-            while True:
-                across = self.ranks.get(self.bytes[x] + self.bytes[y])
-                if across is not None and across < before:
-                    known = False
-                    break
-                hx, hy = self.last_merge(x), self.last_merge(y)
-                if hx and (x > y or not hy):
-                    before, x = x, hx[1]
-                elif hy:
-                    before, y = y + 1, hy[0]  # at equal rank the left one, across the boundary, comes first
-                else:
-                    known = True
-                    break
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
-
-    def piece(self, raw: bytes) -> tuple[int, ...]:
+        x, y, before = a, b, 1 << 60
+        while True:
+            across = self.ranks.get(self.bytes[x] + self.bytes[y])
+            if across is not None and across < before:
+                return False
+            hx, hy = self.last_merge(x), self.last_merge(y)
+            if hx and (x > y or not hy):
+                before, x = x, hx[1]
+            elif hy:
+                before, y = y + 1, hy[0]  # at equal rank the left one, across the boundary, comes first
+            else:
+                return True
+
+    def head(self, text: str) -> int:
+        """The longest entry that begins text, -1 for none."""
+        ids = self.ids
+        for n in range(len(text), 0, -1):
+            token = ids.get(text[:n])
+            if token is not None:
+                return token
+        return -1
+
+    def next_shorter(self, token: int) -> int:
+        """The longest other entry that begins token, -1 for none."""
+        less = self.shorter.get(token)
+        if less is None:
+            less = self.shorter[token] = self.head(self.bytes[token][:-1].decode("latin-1"))
+        return less
+
+    def follower(self, last: int, token: int) -> int:
+        """The longest of token and the entries that begin it that is compatible behind last, -1 for none; memoised."""
+        key = last << 24 | token
+        found = self.pairs.get(key)
+        if found is None:
+            found = token
+            while found >= 0 and not self.compatible(last, found):
+                found = self.next_shorter(found)
+            self.pairs.put(key, found)
+        return found
+
+    def piece(self, raw: bytes) -> bytes:
         """The tokens of one match of the pattern."""
         whole = self.ranks.get(raw)
         if whole is not None:
-            return (whole,)
-        text, ids, pairs, longest = raw.decode("latin-1"), self.ids, self.pairs, self.entries.longest_prefix
-        n, at, out, sizes, failed = len(text), 0, [], [], set()
-        size = longest(text)
-        while at < n:
-            while size:
-                token = ids.get(text[at : at + size])
-                if token is not None and at + size not in failed:
-                    if not out:
+            return whole.to_bytes(4, sys.byteorder)
+        text, heads, known, sizes, width, longest = raw.decode("latin-1"), self.heads, self.pairs.young, self.size, self.width, self.entries.longest_prefix
+        n, at, last, out, failed = len(text), 0, -1, [], None
+        while True:
+            rest = text[at : at + width]
+            path = rest[: longest(rest)]
+            token = heads.get(path)
+            if token is None:
+                token = heads[path] = self.head(path)
+            while True:  # the longest entry that fits between last and a place that has not failed
+                if last >= 0 and token >= 0:
+                    found = known.get(last << 24 | token)
+                    token = self.follower(last, token) if found is None else found
+                if token >= 0:
+                    if failed is None or at + sizes[token] not in failed:
                         break
-                    fits = pairs.get(out[-1] << 24 | token)
-                    if self.compatible(out[-1], token) if fits is None else fits:
-                        break
-                size -= 1
-            if size:
-                out.append(token)
-                sizes.append(size)
-                at += size
-                size = longest(text[at : at + self.width])
-            else:
-                failed.add(at)
+                    token = self.next_shorter(token)
+                    continue
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
-                out.pop()
-                size = sizes.pop()
-                at -= size
-                size -= 1
-        return tuple(out)
+                if failed is None:
+                    failed = set()
+                failed.add(at)
+                token = out.pop()
+                at -= sizes[token]
+                last = out[-1] if out else -1
+                token = self.next_shorter(token)
+            out.append(token)
+            at += sizes[token]
+            if at == n:
+                return array("I", out).tobytes()
+            last = token
+
+    def part(self, text: str) -> bytes:
+        """piece, kept for the next time if it is short."""
+        got = self.units.get(text)
+        if got is None:
+            got = self.piece(text.encode("utf-8"))
+            if len(text) <= 64:
+                self.units.put(text, got)
+        return got
 
     def unit(self, text: str) -> bytes:
-        out, known = array("I"), self.pieces
-        for p in self.find(text):
-            got = known.get(p)
-            if got is None:
-                got = self.piece(p.encode("utf-8"))
-                if len(p) <= 64:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    known[p] = got
-            out.extend(got)
-        return out.tobytes()
+        """The ids of a white space run or of a visible one, kept for the next time if it is short."""
+        got = self.units.get(text)
+        if got is None:
+            parts = self.find(text)
+            got = b"".join([self.part(p) for p in parts]) if len(parts) > 1 else self.piece(text.encode("utf-8"))
+            if len(text) <= 64:
+                self.units.put(text, got)
+        return got
 
     def encode(self, text: str | None) -> bytes:
         """The ids as unsigned 32-bit integers in the machine's order.
 
-        No match of the pattern crosses the place before a single space between two visible characters, so
-        the text is cut there, and the encodings of the short units, most of them words, are memoised."""
+        No match of the pattern goes over from visible characters to white space or has more than one space before
+        them, so the text is cut there, and the encodings of the short units, most of them words, are memoised."""
         if not text:
             return b""
-        cuts = text.split(" ")
-        if len(cuts) == 1:
-            return self.unit(text)
-        out, known, i, n = [], self.units, 0, len(cuts)
-        while i < n:
-            u = cuts[i]
-            if i and u and not u[0].isspace() and not u[-1].isspace():  # the next cut begins a unit anew
-                if i + 1 == n or (cuts[i + 1] and not cuts[i + 1][0].isspace()):
-                    got = known.get(u)
-                    if got is None:
-                        got = self.unit(" " + u)
-                        if len(u) <= 64:
-                            if len(known) >= MEMO:
-                                known.clear()
-                            known[u] = got
-                    out.append(got)
-                    i += 1
-                    continue
-            j = i + 1  # white space touches this cut: join up to the next clean place
-            while j < n and not (cuts[j] and not cuts[j][0].isspace() and cuts[j - 1] and not cuts[j - 1][-1].isspace()):
-                j += 1
-            out.append(self.unit((" " if i else "") + " ".join(cuts[i:j])))
-            i = j
-        return b"".join(out)
+        known, unit = self.units.young, self.unit
+        return b"".join([known.get(u) or unit(u) for u in _UNITS(text)])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
