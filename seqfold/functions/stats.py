@@ -24,11 +24,32 @@ def bh(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> DataFram
     return ranked.withColumn("adjusted_p", F.least(F.lit(1.0), least)).drop("_r", "_n")
 
 
+BINS = 1024
+
+
+def running(df: DataFrame, by: list[str], value: str, ties: list[str], add: str | None = None) -> DataFrame:
+    """df with rank, from 1, in the order of the number value and then of ties within by, and with cum, the sum of add up to the row.
+
+    No task sorts a whole group: rows are dealt by equal bins of a group's range of values, and what lies in lower bins is
+    added from BINS sums a group. The bin follows from the value alone, so ranks do not depend on partitions."""
+    keys = [F.col(c) for c in by]
+    total = F.sum(add) if add else F.count("*")
+    range_ = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    binned = df.join(F.broadcast(range_), by) if by else df.join(F.broadcast(range_))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS), F.lit(BINS - 1))).otherwise(0).cast("int")
+    binned = binned.withColumn("_bin", at).drop("_lo", "_hi")
+    below = (Window.partitionBy(*keys) if by else Window.partitionBy(F.lit(0))).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), total.alias("_s"))
+    before = sums.select(*keys, "_bin", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_s0"))
+    inner = Window.partitionBy(*keys, "_bin").orderBy(value, *ties)
+    told = binned.withColumn("_i", F.row_number().over(inner)).withColumn("_c", (F.sum(add) if add else F.count("*")).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    return told.join(F.broadcast(before), [*by, "_bin"]).withColumns({"rank": F.col("_i") + F.col("_n0"), "cum": F.col("_c") + F.col("_s0")}).drop("_bin", "_n0", "_s0", "_i", "_c")
+
+
 def gini(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     """(key, gini) of non-negative values; 0 for an empty or all-zero group."""
-    rows = df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(value, tie)))
     n, s = F.count("*"), F.sum(value)
-    return rows.groupBy(key).agg(F.when(s > 0, 2 * F.sum(F.col("_r") * F.col(value)) / (n * s) - (n + 1) / n).otherwise(0.0).alias("gini"))
+    return running(df.select(key, value, tie), [key], value, [tie]).groupBy(key).agg(F.when(s > 0, 2 * F.sum(F.col("rank") * F.col(value)) / (n * s) - (n + 1) / n).otherwise(0.0).alias("gini"))
 
 
 def mann_whitney(df: DataFrame, value: str, in_a: str, by: str) -> DataFrame:
@@ -40,8 +61,7 @@ def mann_whitney(df: DataFrame, value: str, in_a: str, by: str) -> DataFrame:
 
 def mann_whitney_counts(counts: DataFrame, value: str, by: str) -> DataFrame:
     """mann_whitney of (by, value, a, t): how many rows of group a, and in all, have each distinct value."""
-    before = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
+    ranked = running(counts.select(by, value, "a", "t"), [by], value, [], "t").withColumn("rank", F.col("cum") - F.col("t") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(by).agg(F.sum("a").alias("n_a"), F.sum("t").alias("n"), F.sum(F.col("a") * F.col("rank")).alias("ra"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     u = sums.withColumn("n_b", F.col("n") - F.col("n_a")).withColumn("u", F.col("ra") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     pairs = F.col("n_a") * F.col("n_b")
@@ -51,20 +71,32 @@ def mann_whitney_counts(counts: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def ks(df: DataFrame, value: str, in_a: str) -> DataFrame:
-    """One row: n_a, n_b and the two-sample Kolmogorov-Smirnov statistic of the rows of a against all rows. Values are counted first."""
+    """One row: n_a, n_all, the two-sample Kolmogorov-Smirnov statistic d of the rows of a against all rows, and its asymptotic p.
+    Values are counted first."""
     counts = df.groupBy(value).agg(F.sum(F.col(in_a).cast("long")).alias("a"), F.count("*").alias("t"))
-    sofar = Window.partitionBy(F.lit(0)).orderBy(value)
-    steps = counts.select(F.sum("a").over(sofar).alias("ca"), F.sum("t").over(sofar).alias("ct"))
+    steps = running(running(counts, [], value, [], "a").withColumnRenamed("cum", "ca").drop("rank"), [], value, [], "t").select("ca", F.col("cum").alias("ct"))
     total = counts.agg(F.sum("a").alias("na"), F.sum("t").alias("nt"))
-    return steps.join(F.broadcast(total)).agg(F.max("na").alias("n_a"), F.max("nt").alias("n_all"), F.max(F.abs(F.col("ca") / F.col("na") - F.col("ct") / F.col("nt"))).alias("d"))
+    d = steps.join(F.broadcast(total)).agg(F.max("na").alias("n_a"), F.max("nt").alias("n_all"), F.max(F.abs(F.col("ca") / F.col("na") - F.col("ct") / F.col("nt"))).alias("d"))
+    return d.withColumn("p_value", ks_p("d", "n_a", "n_all"))
 
 
-def ks_p(d: float, n: int, m: int) -> float:
-    """Asymptotic p of the statistic."""
-    lam = d * math.sqrt(n * m / (n + m))
-    if lam < 0.2:
-        return 1.0
-    return max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))))
+@F.pandas_udf(T.DoubleType())
+def ks_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """Asymptotic p of the statistic, on summary rows; null where a side is empty."""
+
+    def tail(d, n, m):
+        if d is None or d != d or not n or not m:
+            return None
+        lam = d * math.sqrt(n * m / (n + m))
+        return 1.0 if lam < 0.2 else max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))))
+
+    return pd.Series([tail(*x) for x in zip(d, n, m, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    """chi2_p of summary rows; 1 without a degree of freedom."""
+    return pd.Series([chi2_p(a, int(n)) if n > 0 else 1.0 for a, n in zip(x, df, strict=True)], dtype=float)
 
 
 def chi2_p(x: float, df: int) -> float:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqfold.functions import stats
+from seqfold.operators import sequences
 from seqfold.operators.sequences import kmer_counts, kmer_freq, occurrences, positions
 
 
@@ -26,6 +28,18 @@ def background(cds: DataFrame, k: int) -> DataFrame:
     return sums.join(F.broadcast(n)).select("kmer", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"))
 
 
+def target_z(cds: DataFrame, targets: list[str]) -> DataFrame:
+    """(gene, mean_z, min_z, max_z, sum_freq) of every gene over the target codons, against all genes; a codon without spread is left out.
+
+    Frequencies come row by row and their moments are one row, so no cells are grouped or joined."""
+    per = sequences.target_freq(cds, targets)
+    moments = per.agg(*[f(c).alias(f"{name}_{c}") for c in targets for name, f in (("m", F.avg), ("sd", F.stddev_samp))])
+    cells = F.filter(F.array(*[F.when(F.col(f"sd_{c}") > 0, F.struct(F.col(c).alias("f"), ((F.col(c) - F.col(f"m_{c}")) / F.col(f"sd_{c}")).alias("z"))) for c in targets]), lambda x: x.isNotNull())
+    rows = per.join(F.broadcast(moments)).select("gene", cells.alias("x")).where(F.size("x") > 0)
+    zs = F.transform("x", lambda x: x["z"])
+    return rows.select("gene", (F.aggregate(zs, F.lit(0.0), lambda a, z: a + z) / F.size("x")).alias("mean_z"), F.array_min(zs).alias("min_z"), F.array_max(zs).alias("max_z"), F.aggregate("x", F.lit(0.0), lambda a, x: a + x["f"]).alias("sum_freq"))
+
+
 def composition(cds: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """(kmer, observed, expected, z_score, cohens_d, n_set): a set against all genes, in closed form: the standard error is sd / sqrt(n).
 
@@ -78,11 +92,67 @@ def deviation(values: DataFrame, key: str, value: str, chosen: DataFrame, n_all:
     return d.select(key, "observed", "expected", "sd", "n_set", F.when(F.col("sd") > 1e-12, (F.col("observed") - F.col("expected")) / (F.col("sd") / F.sqrt("n_set"))).otherwise(0.0).alias("z_score"))
 
 
-def attribution(aa: DataFrame, codon: DataFrame, z: float = 1.96) -> DataFrame:
-    """(codon, aa, aa_z, rscu_z, attribution). aa: (aa, z_score); codon: (codon, aa, z_score). Significant: |z| over z."""
-    both = codon.select("codon", "aa", F.col("z_score").alias("rscu_z")).join(F.broadcast(aa.select("aa", F.col("z_score").alias("aa_z"))), "aa", "left")
-    a, r = F.abs(F.coalesce("aa_z", F.lit(0.0))) > z, F.abs("rscu_z") > z
-    return both.select("codon", "aa", "aa_z", "rscu_z", F.when(a & r, "Both").when(a, "AA-driven").when(r, "Synonymous-driven").otherwise("None").alias("attribution"))
+ALPHA = 0.05  # a test counts as significant if its adjusted p is below
+
+
+def attribution(aa: DataFrame, codon: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(codon, aa, aa_z, rscu_z, aa_p, rscu_p, attribution). aa: (aa, z_score, adjusted_p); codon: (codon, aa, z_score, adjusted_p)."""
+    left = aa.select("aa", F.col("z_score").alias("aa_z"), F.col("adjusted_p").alias("aa_p"))
+    both = codon.select("codon", "aa", F.col("z_score").alias("rscu_z"), F.col("adjusted_p").alias("rscu_p")).join(F.broadcast(left), "aa", "left").na.fill({"aa_z": 0.0, "aa_p": 1.0})
+    a, r = F.col("aa_p") < alpha, F.col("rscu_p") < alpha
+    return both.select("codon", "aa", "aa_z", "rscu_z", "aa_p", "rscu_p", F.when(a & r, "Both").when(a, "AA-driven").when(r, "Synonymous-driven").otherwise("None").alias("attribution"))
+
+
+def attribution_summary(attributed: DataFrame) -> DataFrame:
+    """One row: n_significant, the numbers of each kind and their shares of the significant ones in percent, 0 without any."""
+    kinds = (("aa_driven", "AA-driven"), ("synonymous_driven", "Synonymous-driven"), ("both", "Both"))
+    n = attributed.agg(F.count_if(F.col("attribution") != "None").alias("n_significant"), *[F.count_if(F.col("attribution") == v).alias(f"n_{k}") for k, v in kinds])
+    return n.select("n_significant", *[f"n_{k}" for k, _ in kinds], *[F.coalesce(F.try_divide(100.0 * F.col(f"n_{k}"), F.col("n_significant")), F.lit(0.0)).alias(f"pct_{k}") for k, _ in kinds])
+
+
+def synonymous_drivers(codon: DataFrame, rules: DataFrame, alpha: float = ALPHA, high: int = 5) -> DataFrame:
+    """(codon, aa, rscu_z, driver, gc3, decoding_type, copies) of the codons with a significant synonymous deviation.
+
+    codon: (codon, aa, n_syn, z_score, adjusted_p). Of the explanations the first that fits counts: none for a family of one codon; a favoured
+    codon that is read without wobble by a tRNA that exists; one with over high tRNA copies; favoured if it ends in G or C, or not if it does not."""
+    rows = codon.where(F.col("adjusted_p") < alpha).join(F.broadcast(rules.select("codon", "decoding_type", "copies")), "codon", "left").withColumn("gc3", F.substring("codon", 3, 1).isin("G", "C").cast("int"))
+    up, copies = F.col("z_score") > 0, F.coalesce("copies", F.lit(0))
+    driver = (
+        F.when(F.col("n_syn") <= 1, "not_applicable").when(up & (F.col("decoding_type") == "watson_crick") & (copies > 0), "wobble_avoidance").when(up & (copies > high), "tRNA_supply")
+        .when((up & (F.col("gc3") == 1)) | (~up & (F.col("gc3") == 0)), "GC3_bias").otherwise("unclassified")
+    )
+    return rows.select("codon", "aa", F.col("z_score").alias("rscu_z"), driver.alias("driver"), "gc3", F.coalesce("decoding_type", F.lit("unknown")).alias("decoding_type"), copies.alias("copies"))
+
+
+def drivers(cds: DataFrame, chosen: DataFrame, codons: list[str]) -> DataFrame:
+    """(kmer, gene, frequency, contribution, rank, cum, influential) for each codon and gene of a set.
+
+    contribution: the gene's frequency less the mean of all genes. rank: by contribution, falling where the set's mean is above that of
+    all genes and rising where it is below. by_size, cum: rank and share of the sizes by falling size. influential: leaving the gene out moves the
+    set's z-score by over 2."""
+    per = sequences.target_freq(cds, codons).drop("n").join(chosen.distinct().withColumn("_in", F.lit(True)), "gene", "left")
+    moments = per.agg(*[f(c).alias(f"{name}_{c}") for c in codons for name, f in (("m", F.avg), ("sd", F.stddev_samp), ("g", lambda c: F.avg(F.when(F.col("_in"), F.col(c)))), ("a", lambda c: F.sum(F.abs(F.when(F.col("_in"), F.col(c))))))], F.count("_in").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("kmer"), F.col(c).alias("frequency"), F.col(f"m_{c}").alias("mean"), F.col(f"sd_{c}").alias("sd"), F.col(f"g_{c}").alias("set_mean")) for c in codons])).alias("x")
+    rows = per.where("_in").join(F.broadcast(moments)).select("gene", "n", each).select("gene", "n", "x.*").withColumn("contribution", F.col("frequency") - F.col("mean")).withColumn("size", F.round(F.abs("contribution"), 15))
+    spread = F.col("sd") / F.sqrt("n")
+    left_out = ((F.col("n") * F.col("set_mean") - F.col("frequency")) / (F.col("n") - 1) - F.col("mean")) / (F.col("sd") / F.sqrt(F.col("n") - 1))
+    moved = F.when((F.col("n") > 1) & (F.col("sd") > 0), F.abs((F.col("set_mean") - F.col("mean")) / spread - left_out) > 2).otherwise(False)
+    rows = rows.select("kmer", "gene", "frequency", "contribution", "size", (-F.col("size")).alias("_size"), F.round(F.when(F.col("set_mean") > F.col("mean"), -F.col("contribution")).otherwise(F.col("contribution")), 15).alias("_signed"), moved.alias("influential"))
+    signed = stats.running(rows, ["kmer"], "_signed", ["gene"]).withColumnRenamed("rank", "_rank").drop("cum")
+    total = rows.groupBy("kmer").agg(F.sum("size").alias("_total"))
+    sized = stats.running(signed, ["kmer"], "_size", ["gene"], "size").join(F.broadcast(total), "kmer")
+    return sized.select("kmer", "gene", "frequency", "contribution", "size", F.col("_rank").alias("rank"), F.col("rank").alias("by_size"), F.try_divide("cum", "_total").alias("cum"), "influential")
+
+
+def driver_summary(genes: DataFrame) -> DataFrame:
+    """(kmer, n_genes, n50, n80, gini, n_influential, top_driver, top_contribution): how few genes a codon's deviation rests on."""
+    near = F.col("cum") + 1e-9
+    n, s = F.count("*"), F.sum("size")
+    return genes.groupBy("kmer").agg(
+        n.alias("n_genes"), F.coalesce(F.min(F.when(near >= 0.5, F.col("by_size"))), n).alias("n50"), F.coalesce(F.min(F.when(near >= 0.8, F.col("by_size"))), n).alias("n80"),
+        F.when(s > 0, (2 * ((n + 1) * s - F.sum(F.col("by_size") * F.col("size"))) / (n * s)) - (n + 1) / n).otherwise(0.0).alias("gini"),
+        F.count_if("influential").alias("n_influential"), F.min_by("gene", "rank").alias("top_driver"), F.min_by("contribution", "rank").alias("top_contribution"),
+    )
 
 
 def positional_freq(cds: DataFrame, symbols: DataFrame, bins: int = 100) -> DataFrame:

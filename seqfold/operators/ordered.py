@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqfold.functions import stats
 from seqfold.operators.sequences import codon_array
 
 
@@ -49,6 +50,25 @@ def proportions(counts: DataFrame) -> DataFrame:
     return counts.agg(total.alias("total"), *[(F.sum(k) / total).alias(k) for k in kinds])
 
 
+KINDS = ("ff", "fs", "sf", "ss")
+
+
+def ratio(x: Column, y: Column) -> Column:
+    """x / y; without y infinite, or 1 if there is no x either."""
+    return F.when(y > 0, x / y).when(x > 0, float("inf")).otherwise(1.0)
+
+
+def compared(counts_a: DataFrame, counts_b: DataFrame) -> DataFrame:
+    """One row: transitions of a set against all: fs_enrichment, fs_sf_set, fs_sf_all, folds of each kind, chi2 with its degrees of freedom and p."""
+    a, b = (proportions(c).select([F.col(x).alias(f"{s}_{x}") for x in ("total", *KINDS)]) for c, s in ((counts_a, "a"), (counts_b, "b")))
+    both = a.join(F.broadcast(b))
+    col = F.col
+    chi2 = sum((F.when(col(f"b_{k}") > 0, F.pow(col(f"a_{k}") - col(f"b_{k}"), F.lit(2)) / col(f"b_{k}")).otherwise(0.0) for k in KINDS[1:]), F.when(col("b_ff") > 0, F.pow(col("a_ff") - col("b_ff"), F.lit(2)) / col("b_ff")).otherwise(0.0))
+    cells = sum(((col(f"b_{k}") > 0).cast("int") for k in KINDS[1:]), (col("b_ff") > 0).cast("int"))
+    row = both.select(ratio(col("a_fs"), col("b_fs")).alias("fs_enrichment"), ratio(col("a_fs"), col("a_sf")).alias("fs_sf_set"), ratio(col("b_fs"), col("b_sf")).alias("fs_sf_all"), *[ratio(col(f"a_{k}"), col(f"b_{k}")).alias(f"fold_{k}") for k in KINDS], (col("a_total") * chi2).alias("chi2"), (cells - 1).alias("df"))
+    return row.withColumn("p_value", stats.chi2_tail(F.coalesce("chi2", F.lit(0.0)), F.coalesce("df", F.lit(0))))
+
+
 def runs(pos: DataFrame, target: Column, least: int = 2) -> DataFrame:
     """(gene, n_runs, longest): runs of least or more consecutive targets."""
     hit = pos.where(target).withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("gene").orderBy("pos")))

@@ -27,11 +27,12 @@ def bootstrap_mean(values: DataFrame, observed: DataFrame, n_draw: DataFrame, re
 def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_set: int, reps: int = 10_000, seed: int = 42, weight: str | None = None) -> DataFrame:
     """(kmer, observed, mean_b, sd_b, z_score): resamples n_set of the genes, reps times, for every k-mer at once.
 
-    Replicates are never joined to cells. How often gene g is drawn in a replicate is Poisson with mean n_set / N, given
-    the sum, so each task draws the counts for its own genes from a seed of the gene and adds up, for every replicate block,
-    count * freq by k-mer: tasks hold (replicates of a pass) x (k-mers), and partial sums meet in a group by block. For k of 1 and 2; triplets
-    have the closed form.
-    genes: (gene, idx, w); freq: (gene, kmer, freq)."""
+    Replicates are never joined to cells. Each task draws how often its own genes come in each replicate from a seed of the gene, as
+    Poisson numbers with mean n_set / N, and adds up count * freq by k-mer: it holds (replicates of a pass) x (k-mers). The numbers are not
+    conditioned on their sum: a replicate has n_set genes on average, and its mean is a ratio to the number drawn, whose spread is that of
+    multinomial draws up to terms of 1 / n_set. Partial sums are rows by replicate and k-mer, which Spark adds up. For k of 1 and 2;
+    triplets have the closed form.
+    genes: (gene) or (gene, weight); freq: (gene, kmer, freq)."""
     total = genes.count()
     block = 250
     kmers = [r.kmer for r in observed.select("kmer").orderBy("kmer").collect()]
@@ -55,25 +56,28 @@ def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_se
                         s[np.ix_(hit, cols)] += c[hit, None] * v[None, :]
         for b, s, m in zip(starts, sums, mass, strict=True):
             if m.any():
-                yield pd.DataFrame({"block": [b // block], "sums": [s.ravel().tolist()], "mass": [m.tolist()]})
+                cell = np.flatnonzero(s)
+                yield pd.DataFrame({"rep": b + np.flatnonzero(m), "at": np.int32(-1), "sum": m[m != 0]})
+                for lo in range(0, len(cell), 100_000):
+                    one = cell[lo : lo + 100_000]
+                    yield pd.DataFrame({"rep": b + one // s.shape[1], "at": (one % s.shape[1]).astype(np.int32), "sum": s.ravel()[one]})
 
     packed = freq.groupBy("gene").agg(F.collect_list("kmer").alias("kmers"), F.collect_list("freq").alias("freqs"))
     rows = genes.join(packed, "gene", "left").select("gene", F.col(weight).alias("w") if weight else F.lit(1.0).alias("w"), F.coalesce("kmers", F.array().cast("array<string>")).alias("kmers"), F.coalesce("freqs", F.array().cast("array<double>")).alias("freqs"))
     span = max(block, block * (20_000_000 // (block * max(1, len(kmers)))))  # replicates of a pass: a task holds 160 MB of sums at most
     parts = None
     for first in range(0, reps, span):
-        one = rows.mapInPandas(lambda batches, first=first: partial(batches, first, min(first + span, reps)), "block int, sums array<double>, mass array<double>")
+        one = rows.mapInPandas(lambda batches, first=first: partial(batches, first, min(first + span, reps)), "rep long, at int, sum double")
         parts = one if parts is None else parts.unionByName(one)
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        mass = np.sum([np.array(x) for x in pdf["mass"]], axis=0)
-        sums = np.sum([np.array(x) for x in pdf["sums"]], axis=0).reshape(len(mass), len(kmers))
-        means = sums[mass > 0] / mass[mass > 0][:, None]
-        return pd.DataFrame({"kmer": kmers, "n": float(len(means)), "s": means.sum(axis=0), "q": (means**2).sum(axis=0)})
-
-    moments = parts.groupBy("block").applyInPandas(finish, "kmer string, n double, s double, q double").groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    sums = parts.groupBy("rep", "at").agg(F.sum("sum").alias("sum"))  # combined before the shuffle
+    mass = sums.where("at < 0").select("rep", F.col("sum").alias("mass"))
+    names = freq.sparkSession.createDataFrame(list(enumerate(kmers)), "at int, kmer string")  # 3,721 at most
+    means = sums.where("at >= 0").join(F.broadcast(mass), "rep").select("at", (F.col("sum") / F.col("mass")).alias("mean"))
+    n = mass.agg(F.count("*").alias("n"))
+    moments = means.groupBy("at").agg(F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q")).join(F.broadcast(n))
+    named = moments.join(F.broadcast(names), "at")
     mean, sd = F.col("s") / F.col("n"), F.sqrt(F.greatest((F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
-    return observed.join(moments, "kmer").select("kmer", "observed", mean.alias("mean_b"), sd.alias("sd_b"), F.when(sd > 0, (F.col("observed") - mean) / sd).otherwise(0.0).alias("z_score"))
+    return observed.join(named, "kmer").select("kmer", "observed", mean.alias("mean_b"), sd.alias("sd_b"), F.when(sd > 0, (F.col("observed") - mean) / sd).otherwise(0.0).alias("z_score"))
 
 
 def shuffled_runs(cds: DataFrame, family: dict[str, str], targets: list[str], permutations: int = 1000, seed: int = 42) -> DataFrame:

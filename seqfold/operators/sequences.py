@@ -22,35 +22,36 @@ def codon_array(seq: Column) -> Column:
     return F.regexp_extract_all(seq, F.lit("..."), F.lit(0))
 
 
-def kmer_array(codons: Column, k: int) -> Column:
-    """Overlapping runs of k symbols."""
-    if k == 1:
-        return codons
-    runs = F.transform(codons, lambda c, i: F.concat(c, *[F.get(codons, i + j) for j in range(1, k)]))
-    return F.slice(runs, F.lit(1), F.greatest(F.size(codons) - (k - 1), F.lit(0)))
+def kmer_array(seq: Column, k: int) -> Column:
+    """Overlapping runs of k symbols of a sequence, in one linear pass: each match moves on by a symbol and looks k symbols ahead."""
+    return codon_array(seq) if k == 1 else F.regexp_extract_all(seq, F.lit(f"(?=(.{{{3 * k}}}))..."), F.lit(1))
+
+
+# The arrays below are exploded where they are made: an array that is a column of its own first is several times slower to explode.
 
 
 def positions(cds: DataFrame) -> DataFrame:
     """(gene, pos, codon, n): one row for each symbol; n is the number of the gene's symbols."""
-    return cds.select("gene", codon_array(F.col("seq")).alias("c")).select("gene", F.size("c").alias("n"), F.posexplode("c").alias("pos", "codon"))
+    return cds.select("gene", (F.length("seq") / 3).cast("int").alias("n"), F.posexplode(codon_array(F.col("seq"))).alias("pos", "codon"))
 
 
 def kmer_counts(cds: DataFrame, k: int) -> DataFrame:
     """(gene, kmer, cnt): how often each run of k symbols occurs. Counts are combined before the shuffle."""
-    runs = cds.select("gene", codon_array(F.col("seq")).alias("c")).select("gene", F.explode(kmer_array(F.col("c"), k)).alias("kmer"))
-    return runs.groupBy("gene", "kmer").agg(F.count("*").alias("cnt"))
+    return cds.select("gene", F.explode(kmer_array(F.col("seq"), k)).alias("kmer")).groupBy("gene", "kmer").agg(F.count("*").alias("cnt"))
 
 
-def sense(kmer: Column) -> Column:
+def sense(kmer: Column, k: int) -> Column:
     """Whether a k-mer has sense codons only."""
-    return ~kmer.rlike(f"^(...)*({'|'.join(STOPS)})")
+    out = ~F.substring(kmer, 1, 3).isin(*STOPS)
+    for i in range(1, k):
+        out = out & ~F.substring(kmer, 3 * i + 1, 3).isin(*STOPS)
+    return out
 
 
 def occurrences(cds: DataFrame, k: int) -> DataFrame:
     """(gene, kmer, windows): a row for each sense k-mer in place; windows counts all of the gene's runs, with stops too."""
-    runs = cds.select("gene", codon_array(F.col("seq")).alias("c"))
-    rows = runs.select("gene", (F.size("c") - (k - 1)).alias("windows"), F.explode(kmer_array(F.col("c"), k)).alias("kmer"))
-    return rows.where(sense(F.col("kmer")))
+    rows = cds.select("gene", (F.length("seq") / 3 - (k - 1)).cast("int").alias("windows"), F.explode(kmer_array(F.col("seq"), k)).alias("kmer"))
+    return rows.where(sense(F.col("kmer"), k))
 
 
 def kmer_freq(cds: DataFrame, k: int) -> DataFrame:
@@ -59,6 +60,12 @@ def kmer_freq(cds: DataFrame, k: int) -> DataFrame:
     return counts.select("gene", "kmer", (F.col("cnt") / F.col("windows")).alias("freq"))
 
 
+def target_freq(cds: DataFrame, targets: list[str]) -> DataFrame:
+    """(gene, n, and a column for each target codon): its frequency in the gene, 0 where it is absent. Row by row, without a shuffle."""
+    held = cds.select("gene", codon_array(F.col("seq")).alias("c")).select("gene", F.size("c").alias("n"), *[(F.size("c") - F.size(F.array_remove("c", t))).alias(t) for t in targets])
+    return held.select("gene", "n", *[F.when(F.col("n") > 0, F.col(t) / F.col("n")).otherwise(0.0).alias(t) for t in targets])
+
+
 def trimmed(cds: DataFrame, codons: int) -> DataFrame:
     """cds without the first codons; genes that end before stay, with an empty sequence."""
     return cds.withColumn("seq", F.substring("seq", 3 * codons + 1, 2**31 - 1))

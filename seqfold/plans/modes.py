@@ -55,13 +55,7 @@ def families(kmer):
 
 
 def _regression(cds: DataFrame, chosen: DataFrame) -> DataFrame:
-    symbols = dims.symbols(cds.sparkSession).where("n_syn > 1")
-    counts = frequency.codon_counts(cds, symbols)
-    family = counts.groupBy("gene", "aa").agg(F.sum("cnt").alias("n"))
-    grid = family.join(F.broadcast(symbols), "aa").join(counts.select("gene", "codon", "cnt"), ["gene", "codon"], "left")
-    gene = cds.select("gene", F.round(sequences.gc3(F.col("seq")), 3).alias("gc3")).join(chosen.distinct().withColumn("i", F.lit(1)), "gene", "left").select("gene", "gc3", F.coalesce("i", F.lit(0)).alias("inside"))
-    rows = grid.join(gene, "gene").groupBy("codon", "inside", "gc3").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("k"), F.sum("n").alias("n"))
-    return glm.by_codon(rows)
+    return glm.by_codon(glm.shares(cds, chosen, dims.symbols(cds.sparkSession)))
 
 
 def demand(cds: DataFrame, chosen: DataFrame, expression: DataFrame, k: int = 1, top_n: int | None = None, n_bootstrap: int = 10_000, seed: int = 42) -> dict[str, DataFrame]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from seqfold.functions import dims, stats
 from seqfold.operators import frequency, glm, ids, ordered, resample, sequences, weights
-from seqfold.plans.queries import _reverse, _sizes
-from seqfold.plans.registry import Tables, query, r6
+from seqfold.plans.queries import _reverse
+from seqfold.plans.registry import Tables, query, r6, tested
 from seqfold.sources import readers
 
 
@@ -167,12 +167,7 @@ def event_transitions(t: Tables) -> DataFrame:
 @query()
 def glm_gc3(t: Tables) -> DataFrame:
     """Per codon the set's effect in a binomial regression that holds GC3; tested against plain Newton steps."""
-    counts = frequency.codon_counts(t.cds, t.symbols).where("n_syn > 1")
-    family = counts.groupBy("gene", "aa").agg(F.sum("cnt").alias("n"))
-    grid = family.join(F.broadcast(t.symbols.where("n_syn > 1")), "aa").join(counts.select("gene", "codon", "cnt"), ["gene", "codon"], "left")
-    gene = t.cds.select("gene", F.round(sequences.gc3(F.col("seq")), 3).alias("gc3")).join(t.set_a.withColumn("i", F.lit(1)), "gene", "left").select("gene", "gc3", F.coalesce("i", F.lit(0)).alias("inside"))
-    rows = grid.join(gene, "gene").groupBy("codon", "inside", "gc3").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("k"), F.sum("n").alias("n"))  # at most 1001 x 2 rows a codon
-    fitted = glm.by_codon(rows).withColumn("p_value", stats.normal_p("z_score"))
+    fitted = glm.by_codon(glm.shares(t.cds, t.set_a, t.symbols)).withColumn("p_value", stats.normal_p("z_score"))
     return stats.bh(fitted, "p_value", "codon")
 
 
@@ -198,24 +193,12 @@ def run_permutations(t: Tables) -> DataFrame:
     return resample.shuffled_runs(frequency.members(t.cds, t.set_b), dims.FAMILY, ["GAA", "AGA"], permutations=1000)
 
 
-@query()
+_CHK = "SELECT kmer, sum(freq) / n AS expected, coalesce(sum(freq) FILTER (WHERE g.gene IS NOT NULL), 0) / m AS observed, sqrt(greatest((sum(freq * freq) - sum(freq) * sum(freq) / n) / (n - 1), 0)) AS sd, m FROM {f1} f LEFT JOIN (SELECT gene FROM {tz} WHERE mean_z >= 2) g ON g.gene = f.gene, {ng}, (SELECT count(*) AS m FROM {tz} WHERE mean_z >= 2) GROUP BY kmer, n, m"
+
+
+@query("SELECT kmer, round(observed, 6) + 0.0 AS observed, round(expected, 6) + 0.0 AS expected, round(z_score, 4) + 0.0 AS z_score, round(adjusted_p, 6) AS adjusted_p FROM (" + tested(f"(SELECT *, CASE WHEN sd > 1e-12 THEN (observed - expected) / (sd / sqrt(m)) ELSE 0 END AS z_score FROM ({_CHK}))", "kmer") + ")")
 def reverse_check(t: Tables) -> DataFrame:
     """The genes that a reverse lookup finds at z of two or more, checked as a set of their own."""
     found = _reverse(t).where("mean_z >= 2").select("gene")
     c = frequency.composition(t.cds, found, 1).withColumn("p_value", stats.normal_p("z_score"))
-    return stats.bh(c, "p_value", "kmer")
-
-
-@query()
-def enrichment(t: Tables) -> DataFrame:
-    """The flagship query."""
-    from seqfold.plans.queries import enrichment as flagship
-
-    return flagship(t)
-
-
-@query("SELECT kmer, round(sum(z * z), 2) AS size FROM (SELECT bin, codon AS kmer, CASE WHEN sd > 1e-12 THEN (t / m - s / n) / (sd / sqrt(m)) ELSE 0 END AS z FROM (SELECT bin, codon, n, m, sum(freq) AS s, coalesce(sum(freq) FILTER (WHERE a.gene IS NOT NULL), 0) AS t, sqrt(greatest((sum(freq * freq) - sum(freq) * sum(freq) / n) / (n - 1), 0)) AS sd FROM {pfreq} v LEFT JOIN {seta} a ON a.gene = v.gene, {ng}, {na} GROUP BY bin, codon, n, m)) GROUP BY kmer ORDER BY round(sum(z * z), 2) DESC, kmer LIMIT 10")
-def positional_top(t: Tables) -> DataFrame:
-    cells = frequency.positional_freq(t.cds, t.symbols).withColumn("cell", F.struct("bin", "codon"))
-    z = frequency.deviation(cells, "cell", "freq", t.set_a, _sizes(t)).groupBy(F.col("cell.codon").alias("kmer")).agg(F.round(F.sum(F.col("z_score") * F.col("z_score")), 2).alias("size"))
-    return z.orderBy(F.desc("size"), "kmer").limit(10)
+    return stats.bh(c, "p_value", "kmer").select("kmer", r6("observed").alias("observed"), r6("expected").alias("expected"), (F.round("z_score", 4) + 0.0).alias("z_score"), F.round("adjusted_p", 6).alias("adjusted_p"))

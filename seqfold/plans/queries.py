@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqfold.functions import stats
 from seqfold.operators import frequency, ordered, resample, sequences, weights
-from seqfold.plans.registry import P_SQL, Tables, query, r6
+from seqfold.plans.registry import P_SQL, PARTS, Tables, query, r6
 
 R = "round({}, 6) + 0.0"
 
@@ -110,20 +110,21 @@ def normal_p(t: Tables) -> DataFrame:
     return c.select("kmer", F.round("z_score", 4).alias("z_score"), F.round(stats.normal_p("z_score"), 6).alias("p_value"))
 
 
-_PX = f"SELECT kmer, z_score, {P_SQL} AS p FROM (SELECT *, greatest(1e-12, least(6.5, abs(z_score) / sqrt(2))) AS x FROM {{comp1}})"
+@query("SELECT kmer, round(adjusted_p, 6) AS adjusted_p FROM {bhcomp1}")
+def bh_adjust(t: Tables) -> DataFrame:
+    return _tested(frequency.composition(t.cds, t.set_a, 1), "kmer").select("kmer", F.round("adjusted_p", 6).alias("adjusted_p"))
 
 
-@query(f"SELECT kmer, round(least(1, min(p * n / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS adjusted_p FROM (SELECT kmer, p, row_number() OVER (ORDER BY p, kmer) AS k, count(*) OVER () AS n FROM ({_PX}))")
-def bh_adjust(t: Tables) -> DataFrame:
-    c = frequency.composition(t.cds, t.set_a, 1).withColumn("p_value", stats.normal_p("z_score"))
-    return stats.bh(c, "p_value", "kmer").select("kmer", F.round("adjusted_p", 6).alias("adjusted_p"))
+def _tested(scored: DataFrame, key: str) -> DataFrame:
+    return stats.bh(scored.withColumn("p_value", stats.normal_p("z_score")), "p_value", key)
 
 
+@query("SELECT kmer, aa, round(observed, 6) + 0.0 AS observed, round(expected, 6) + 0.0 AS expected, round(z_score, 4) + 0.0 AS z_score, round(p, 6) AS p_value, round(adjusted_p, 6) AS adjusted_p, round(cohens_d, 5) + 0.0 AS cohens_d FROM {bhcomp1} JOIN {sym} ON codon = kmer")
 def enrichment(t: Tables) -> DataFrame:
     """The flagship: a set's composition against all, with tests adjusted and families named."""
-    c = frequency.composition(t.cds, t.set_a, 1).withColumn("p_value", stats.normal_p("z_score"))
-    named = stats.bh(c, "p_value", "kmer").join(F.broadcast(t.symbols.withColumnRenamed("codon", "kmer")), "kmer")
-    return named.select("kmer", "aa", "observed", "expected", "z_score", "p_value", "adjusted_p", "cohens_d").orderBy(F.abs("z_score").desc(), "kmer")
+    named = _tested(frequency.composition(t.cds, t.set_a, 1), "kmer").join(F.broadcast(t.symbols.withColumnRenamed("codon", "kmer")), "kmer")
+    shown = named.orderBy(F.abs("z_score").desc(), "kmer")
+    return shown.select("kmer", "aa", r6("observed").alias("observed"), r6("expected").alias("expected"), (F.round("z_score", 4) + 0.0).alias("z_score"), F.round("p_value", 6).alias("p_value"), F.round("adjusted_p", 6).alias("adjusted_p"), (F.round("cohens_d", 5) + 0.0).alias("cohens_d"))
 
 
 @query(f"""SELECT gene, round(freq, 9) AS freq, aa FROM {{aaf}}""")
@@ -147,10 +148,11 @@ def _sizes(t: Tables) -> DataFrame:
 
 
 def _layers(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Tested deviations of families and of synonymous usage."""
     counts = frequency.codon_counts(t.cds, t.symbols)
     aa = frequency.deviation(frequency.aa_freq(counts), "aa", "freq", t.set_a, _sizes(t))
     codon = frequency.deviation(frequency.rscu(counts), "codon", "rscu", t.set_a, _sizes(t))
-    return aa, codon.join(F.broadcast(t.symbols.select("codon", "aa")), "codon")
+    return _tested(aa, "aa"), _tested(codon, "codon").join(F.broadcast(t.symbols), "codon")
 
 
 @query("SELECT aa, round(observed, 6) + 0.0 AS observed, round(expected, 6) + 0.0 AS expected, round(z_score, 4) + 0.0 AS z_score FROM {aadev}")
@@ -158,27 +160,26 @@ def aa_deviation(t: Tables) -> DataFrame:
     return _layers(t)[0].select("aa", r6("observed").alias("observed"), r6("expected").alias("expected"), (F.round("z_score", 4) + 0.0).alias("z_score"))
 
 
-_ATTR = "SELECT codon, aa, a.z_score AS aa_z, r.z_score AS rscu_z, CASE WHEN abs(a.z_score) > 1.96 AND abs(r.z_score) > 1.96 THEN 'Both' WHEN abs(a.z_score) > 1.96 THEN 'AA-driven' WHEN abs(r.z_score) > 1.96 THEN 'Synonymous-driven' ELSE 'None' END AS attribution FROM {rdev} r JOIN {sym} USING (codon) JOIN {aadev} a USING (aa)"
-
-
-@query(f"SELECT codon, aa, round(aa_z, 4) + 0.0 AS aa_z, round(rscu_z, 4) + 0.0 AS rscu_z, attribution FROM ({_ATTR})")
+@query("SELECT codon, aa, round(aa_z, 4) + 0.0 AS aa_z, round(rscu_z, 4) + 0.0 AS rscu_z, attribution FROM {attr}")
 def attribution(t: Tables) -> DataFrame:
     a = frequency.attribution(*_layers(t))
     return a.select("codon", "aa", (F.round("aa_z", 4) + 0.0).alias("aa_z"), (F.round("rscu_z", 4) + 0.0).alias("rscu_z"), "attribution")
 
 
-@query(f"SELECT attribution, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM ({_ATTR}) GROUP BY attribution")
+_KINDS = (("aa_driven", "AA-driven"), ("synonymous_driven", "Synonymous-driven"), ("both", "Both"))
+_N = "count(*) FILTER (WHERE attribution <> 'None')"
+
+
+@query(f"SELECT {_N} AS n_significant, " + ", ".join(f"count(*) FILTER (WHERE attribution = '{v}') AS n_{k}, round(CASE WHEN {_N} > 0 THEN 100.0 * count(*) FILTER (WHERE attribution = '{v}') / {_N} ELSE 0 END::DOUBLE, 4) AS pct_{k}" for k, v in _KINDS) + " FROM {attr}")
 def attribution_summary(t: Tables) -> DataFrame:
-    per = frequency.attribution(*_layers(t)).groupBy("attribution").agg(F.count("*").alias("n"))
-    return per.select("attribution", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6).alias("share"))
+    s = frequency.attribution_summary(frequency.attribution(*_layers(t)))
+    return s.select([F.round(c, 4).alias(c) if c.startswith("pct_") else F.col(c) for c in s.columns])
 
 
-@query(f"SELECT codon, CASE WHEN abs(rscu_z) <= 1.96 THEN 'not_applicable' WHEN decoding_type = 'wobble' AND rscu_z < 0 THEN 'wobble_avoidance' WHEN copies > 5 AND rscu_z > 0 THEN 'tRNA_supply' WHEN substr(codon, 3, 1) IN ('G', 'C') AND rscu_z > 0 THEN 'GC3_bias' ELSE 'unclassified' END AS driver FROM ({_ATTR}) x JOIN {{rules}} USING (codon)")
+@query("SELECT codon, aa, round(z_score, 4) + 0.0 AS rscu_z, CASE WHEN n_syn <= 1 THEN 'not_applicable' WHEN z_score > 0 AND decoding_type = 'watson_crick' AND copies > 0 THEN 'wobble_avoidance' WHEN z_score > 0 AND copies > 5 THEN 'tRNA_supply' WHEN (z_score > 0) = (substr(codon, 3, 1) IN ('G', 'C')) THEN 'GC3_bias' ELSE 'unclassified' END AS driver FROM {bhrscu} JOIN {sym} USING (codon) JOIN (SELECT codon, decoding_type, copies FROM {rules}) USING (codon) WHERE adjusted_p < 0.05")
 def synonymous_drivers(t: Tables) -> DataFrame:
-    a = frequency.attribution(*_layers(t)).join(F.broadcast(t.rules.select("codon", "decoding_type", "copies")), "codon")
-    z = F.col("rscu_z")
-    driver = F.when(F.abs(z) <= 1.96, "not_applicable").when((F.col("decoding_type") == "wobble") & (z < 0), "wobble_avoidance").when((F.col("copies") > 5) & (z > 0), "tRNA_supply")
-    return a.select("codon", driver.when(F.substring("codon", 3, 1).isin("G", "C") & (z > 0), "GC3_bias").otherwise("unclassified").alias("driver"))
+    d = frequency.synonymous_drivers(_layers(t)[1], t.rules)
+    return d.select("codon", "aa", (F.round("rscu_z", 4) + 0.0).alias("rscu_z"), "driver")
 
 
 @query("SELECT codon, aa, anticodon, decoding_type, copies FROM {rules}")
@@ -261,13 +262,14 @@ def transitions(t: Tables) -> DataFrame:
 _PROP = "SELECT sum(ff + fs + sf + ss) AS total, sum(ff) / sum(ff + fs + sf + ss) AS ff, sum(fs) / sum(ff + fs + sf + ss) AS fs, sum(sf) / sum(ff + fs + sf + ss) AS sf, sum(ss) / sum(ff + fs + sf + ss) AS ss FROM {trans}"
 
 
-@query(f"SELECT round(a.fs / b.fs, 6) AS fs_enrichment, round(a.fs / a.sf, 6) AS fs_sf_set, round(b.fs / b.sf, 6) AS fs_sf_all, round(a.total * ((a.ff - b.ff) ** 2 / b.ff + (a.fs - b.fs) ** 2 / b.fs + (a.sf - b.sf) ** 2 / b.sf + (a.ss - b.ss) ** 2 / b.ss), 4) AS chi2 FROM ({_PROP} SEMI JOIN {{seta}} USING (gene)) a, ({_PROP}) b")
+_CHI = "a.total * ((a.ff - b.ff) ** 2 / b.ff + (a.fs - b.fs) ** 2 / b.fs + (a.sf - b.sf) ** 2 / b.sf + (a.ss - b.ss) ** 2 / b.ss)"
+
+
+@query(f"SELECT round(fs_enrichment, 6) AS fs_enrichment, round(fs_sf_set, 6) AS fs_sf_set, round(fs_sf_all, 6) AS fs_sf_all, round(f1, 6) AS fold_ff, round(f2, 6) AS fold_fs, round(f3, 6) AS fold_sf, round(f4, 6) AS fold_ss, round(chi2, 4) AS chi2, round({P_SQL} + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2), 6) AS p_value FROM (SELECT *, least(6.5, sqrt(chi2 / 2)) AS x FROM (SELECT a.fs / b.fs AS fs_enrichment, a.fs / a.sf AS fs_sf_set, b.fs / b.sf AS fs_sf_all, a.ff / b.ff AS f1, a.fs / b.fs AS f2, a.sf / b.sf AS f3, a.ss / b.ss AS f4, {_CHI} AS chi2 FROM ({_PROP} SEMI JOIN {{seta}} USING (gene)) a, ({_PROP}) b))")
 def transition_ratios(t: Tables) -> DataFrame:
     counts = ordered.pair_counts(t.cds, t.fast)
-    a, b = ordered.proportions(frequency.members(counts, t.set_a)), ordered.proportions(counts)
-    both = a.select([F.col(c).alias(f"a_{c}") for c in a.columns]).join(F.broadcast(b.select([F.col(c).alias(f"b_{c}") for c in b.columns])))
-    chi2 = sum(((F.pow(F.col(f"a_{k}") - F.col(f"b_{k}"), F.lit(2)) / F.col(f"b_{k}")) for k in ("fs", "sf", "ss")), F.pow(F.col("a_ff") - F.col("b_ff"), F.lit(2)) / F.col("b_ff"))
-    return both.select(F.round(F.expr("a_fs / b_fs"), 6).alias("fs_enrichment"), F.round(F.expr("a_fs / a_sf"), 6).alias("fs_sf_set"), F.round(F.expr("b_fs / b_sf"), 6).alias("fs_sf_all"), F.round(F.col("a_total") * chi2, 4).alias("chi2"))
+    c = ordered.compared(frequency.members(counts, t.set_a), counts)
+    return c.select([F.round(x, 4 if x == "chi2" else 6).alias(x) for x in c.columns if x != "df"])
 
 
 @query("SELECT gene, round(fs / (ff + fs + sf + ss), 6) + 0.0 AS fs_share FROM {trans}")
@@ -336,11 +338,24 @@ def positional_freq(t: Tables) -> DataFrame:
     return frequency.positional_freq(t.cds, t.symbols).withColumn("freq", F.round("freq", 6))
 
 
-@query("SELECT bin, codon, round(t / m, 6) + 0.0 AS observed, round(s / n, 6) + 0.0 AS expected, round(CASE WHEN sd > 1e-12 THEN (t / m - s / n) / (sd / sqrt(m)) ELSE 0 END, 3) + 0.0 AS z_score FROM (SELECT bin, codon, n, m, sum(freq) AS s, coalesce(sum(freq) FILTER (WHERE a.gene IS NOT NULL), 0) AS t, sqrt(greatest((sum(freq * freq) - sum(freq) * sum(freq) / n) / (n - 1), 0)) AS sd FROM {pfreq} v LEFT JOIN {seta} a ON a.gene = v.gene, {ng}, {na} GROUP BY bin, codon, n, m)")
+@query("SELECT bin, codon, round(observed, 6) + 0.0 AS observed, round(expected, 6) + 0.0 AS expected, round(z_score, 3) + 0.0 AS z_score FROM {pz}")
 def positional_z(t: Tables) -> DataFrame:
+    d = _positional(t)
+    return d.select("bin", "codon", r6("observed").alias("observed"), r6("expected").alias("expected"), (F.round("z_score", 3) + 0.0).alias("z_score"))
+
+
+def _positional(t: Tables) -> DataFrame:
     cells = frequency.positional_freq(t.cds, t.symbols).withColumn("cell", F.struct("bin", "codon"))
-    d = frequency.deviation(cells, "cell", "freq", t.set_a, _sizes(t))
-    return d.select("cell.bin", "cell.codon", r6("observed").alias("observed"), r6("expected").alias("expected"), (F.round("z_score", 3) + 0.0).alias("z_score"))
+    return frequency.deviation(cells, "cell", "freq", t.set_a, _sizes(t)).select("cell.bin", "cell.codon", "observed", "expected", "z_score")
+
+
+@query("SELECT kmer, direction, round(z, 3) + 0.0 AS z FROM (SELECT kmer, 'enriched' AS direction, hi AS z, row_number() OVER (ORDER BY round(hi, 6) DESC, kmer) AS k FROM (SELECT codon AS kmer, max(abs(z_score)) AS hi FROM {pz} GROUP BY codon) UNION ALL SELECT kmer, 'depleted', lo, row_number() OVER (ORDER BY round(lo, 6), kmer) FROM (SELECT codon AS kmer, min(z_score) AS lo FROM {pz} GROUP BY codon)) WHERE k <= 5")
+def positional_top(t: Tables) -> DataFrame:
+    """Five codons by their largest absolute score in any bin, and five by their least score."""
+    per = _positional(t).groupBy(F.col("codon").alias("kmer")).agg(F.max(F.abs("z_score")).alias("hi"), F.min("z_score").alias("lo"))
+    up = per.orderBy(F.round("hi", 6).desc(), "kmer").limit(5).select("kmer", F.lit("enriched").alias("direction"), F.col("hi").alias("z"))
+    low = per.orderBy(F.round("lo", 6), "kmer").limit(5).select("kmer", F.lit("depleted").alias("direction"), F.col("lo").alias("z"))
+    return up.unionByName(low).withColumn("z", F.round("z", 3) + 0.0)
 
 
 @query("SELECT kmer, round(2 * sum(k * freq) / (count(*) * sum(freq)) - (count(*) + 1) / count(*), 6) + 0.0 AS gini FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY freq, gene) AS k FROM {f1} SEMI JOIN {seta} USING (gene)) GROUP BY kmer")
@@ -371,35 +386,27 @@ def _rank_tests(t: Tables) -> DataFrame:
     return stats.mann_whitney_counts(seen.unionByName(zeros), "freq", "kmer")
 
 
-@query("SELECT max(na) AS n_a, max(nt) AS n_all, round(max(abs(ca / na - ct / nt)), 6) AS d FROM (SELECT sum(a) OVER (ORDER BY len) AS ca, sum(t) OVER (ORDER BY len) AS ct, sum(a) OVER () AS na, sum(t) OVER () AS nt FROM (SELECT len, sum(CASE WHEN s.gene IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS a, count(*) AS t FROM {stats} x LEFT JOIN {seta} s ON s.gene = x.gene GROUP BY len))")
+@query("SELECT n_a, n_all, round(d, 6) AS d, round(CASE WHEN lam < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: (-1) ** (k - 1) * exp(-2 * k * k * lam * lam))))) END::DOUBLE, 6) AS p_value FROM (SELECT *, d * sqrt(n_a * n_all / (n_a + n_all)) AS lam FROM (SELECT max(na) AS n_a, max(nt) AS n_all, max(abs(ca / na - ct / nt)) AS d FROM (SELECT sum(a) OVER (ORDER BY len) AS ca, sum(t) OVER (ORDER BY len) AS ct, sum(a) OVER () AS na, sum(t) OVER () AS nt FROM (SELECT len, sum(CASE WHEN s.gene IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS a, count(*) AS t FROM {stats} x LEFT JOIN {seta} s ON s.gene = x.gene GROUP BY len))))")
 def ks_stat(t: Tables) -> DataFrame:
     lengths = t.cds.select("gene", F.length("seq").alias("len")).join(t.set_a.withColumn("in_a", F.lit(True)), "gene", "left").withColumn("in_a", F.coalesce("in_a", F.lit(False)))
-    return stats.ks(lengths, "len", "in_a").withColumn("d", F.round("d", 6))
+    return stats.ks(lengths, "len", "in_a").select("n_a", "n_all", F.round("d", 6).alias("d"), F.round("p_value", 6).alias("p_value"))
 
 
-@query("SELECT gene, round(avg(z), 4) + 0.0 AS mean_z, round(min(z), 4) + 0.0 AS min_z, round(max(z), 4) + 0.0 AS max_z, round(sum(freq), 6) + 0.0 AS sum_freq FROM (SELECT c.gene, kmer, coalesce(freq, 0) AS freq, (coalesce(freq, 0) - mean) / sd AS z FROM {cds} c CROSS JOIN (SELECT * FROM {bg1} WHERE kmer IN ('GAA', 'AGA') AND sd > 0) b LEFT JOIN {f1} f USING (gene, kmer)) GROUP BY gene")
+@query("SELECT gene, round(mean_z, 4) + 0.0 AS mean_z, round(min_z, 4) + 0.0 AS min_z, round(max_z, 4) + 0.0 AS max_z, round(sum_freq, 6) + 0.0 AS sum_freq FROM {tz}")
 def reverse_lookup(t: Tables) -> DataFrame:
     return _reverse(t).select("gene", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean_z", "min_z", "max_z")], r6("sum_freq").alias("sum_freq"))
 
 
-def _reverse(t: Tables, targets: tuple[str, ...] = ("GAA", "AGA")) -> DataFrame:
-    """(gene, mean_z, min_z, max_z, sum_freq) over the targets, for every gene."""
-    bg = frequency.background(t.cds, 1).where(F.col("kmer").isin(*targets) & (F.col("sd") > 0))
-    grid = t.cds.select("gene").withColumn("kmer", F.explode(F.array(*map(F.lit, targets)))).join(F.broadcast(bg), "kmer")
-    freq = sequences.kmer_freq(t.cds, 1).where(F.col("kmer").isin(*targets))
-    z = grid.join(freq, ["gene", "kmer"], "left").withColumn("freq", F.coalesce("freq", F.lit(0.0))).withColumn("z", (F.col("freq") - F.col("mean")) / F.col("sd"))
-    return z.groupBy("gene").agg(F.avg("z").alias("mean_z"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.sum("freq").alias("sum_freq"))
+def _reverse(t: Tables) -> DataFrame:
+    return frequency.target_z(t.cds, ["GAA", "AGA"])
 
 
-_REV = "SELECT gene, avg((coalesce(freq, 0) - mean) / sd) AS mean_z FROM {cds} c CROSS JOIN (SELECT * FROM {bg1} WHERE kmer IN ('GAA', 'AGA') AND sd > 0) b LEFT JOIN {f1} f USING (gene, kmer) GROUP BY gene"
-
-
-@query(f"SELECT gene, round(mean_z, 4) + 0.0 AS mean_z FROM ({_REV}) ORDER BY round(mean_z, 9) DESC, gene LIMIT 50")
+@query("SELECT gene, round(mean_z, 4) + 0.0 AS mean_z FROM {tz} ORDER BY round(mean_z, 9) DESC, gene LIMIT 50")
 def reverse_topn(t: Tables) -> DataFrame:
     return _reverse(t).orderBy(F.round("mean_z", 9).desc(), "gene").limit(50).select("gene", (F.round("mean_z", 4) + 0.0).alias("mean_z"))
 
 
-@query(f"WITH z AS ({_REV}) SELECT gene, round(mean_z, 4) + 0.0 AS mean_z FROM z WHERE mean_z >= (SELECT quantile_cont(mean_z, 0.95) FROM z) - 1e-9")
+@query("WITH z AS (SELECT * FROM {tz}) SELECT gene, round(mean_z, 4) + 0.0 AS mean_z FROM z WHERE mean_z >= (SELECT quantile_cont(mean_z, 0.95) FROM z) - 1e-9")
 def reverse_pctl(t: Tables) -> DataFrame:
     z = _reverse(t)
     cut = z.agg(F.expr("percentile(mean_z, 0.95)").alias("cut"))
@@ -410,13 +417,10 @@ _PAIRS = "SELECT a.gene AS g1, b.gene AS g2, a.k AS pair FROM (SELECT gene, row_
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Orthologous genes by rank within two groups. The rank comes from a range-partitioned sort and offsets of its partitions."""
+    """Orthologous genes by rank within two groups."""
     def ranked(lang: str, name: str) -> DataFrame:
-        genes = t.cds.where(F.col("lang") == lang).select(F.col("gene").alias(name)).repartitionByRange(name).sortWithinPartitions(name)
-        local = genes.select(name, F.spark_partition_id().alias("part")).withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(name)))
-        sizes = local.groupBy("part").agg(F.count("*").alias("n"))
-        offset = sizes.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        return local.join(F.broadcast(offset), "part").select(name, (F.col("i") + F.col("before")).alias("pair"))
+        genes = t.read("documents").where(F.col("lang") == lang).select(F.col("doc_id").alias(name))
+        return stats.running(genes, [], name, []).select(name, F.col("rank").alias("pair"))
 
     return ranked("fr", "g1").join(ranked("de", "g2"), "pair")
 
@@ -432,33 +436,45 @@ def _rscu_pairs(t: Tables) -> DataFrame:
     return left.join(dense.select(F.col("gene").alias("g2"), "codon", F.col("rscu").alias("y")), ["g2", "codon"])
 
 
-_RP = f"SELECT pair, d1.codon, d1.aa, d1.rscu AS x, d2.rscu AS y FROM ({_PAIRS}) p JOIN {{dense}} d1 ON d1.gene = p.g1 JOIN {{dense}} d2 ON d2.gene = p.g2 AND d2.codon = d1.codon"
+PARTS["rpairs"] = f"SELECT pair, p.g1, d1.codon, d1.aa, d1.rscu AS x, d2.rscu AS y FROM ({_PAIRS}) p JOIN {{dense}} d1 ON d1.gene = p.g1 JOIN {{dense}} d2 ON d2.gene = p.g2 AND d2.codon = d1.codon"
 
 
-@query(f"SELECT pair, codon, aa, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM ({_RP})")
+@query("SELECT pair, codon, aa, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM {rpairs}")
 def rscu_scatter(t: Tables) -> DataFrame:
     return _rscu_pairs(t).select("pair", "codon", "aa", r6("x").alias("x"), r6("y").alias("y"))
 
 
-_RC = f"SELECT pair, count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN corr(x, y) END AS r FROM ({_RP}) GROUP BY pair"
+PARTS["corrs"] = "SELECT pair, g1, count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN corr(x, y) END AS r FROM {rpairs} GROUP BY pair, g1"
 
 
 def _correlations(t: Tables) -> DataFrame:
     ok = (F.count("*") >= 5) & (F.stddev_pop("x") > 1e-12) & (F.stddev_pop("y") > 1e-12)
-    return _rscu_pairs(t).groupBy("pair").agg(F.count("*").alias("n"), F.when(ok, F.corr("x", "y")).alias("r"))
+    return _rscu_pairs(t).groupBy("pair", "g1").agg(F.count("*").alias("n"), F.when(ok, F.corr("x", "y")).alias("r"))
 
 
-@query(f"SELECT pair, n, round(r, 6) + 0.0 AS r FROM ({_RC})")
+@query("SELECT pair, n, round(r, 6) + 0.0 AS r FROM {corrs}")
 def rscu_corr(t: Tables) -> DataFrame:
     return _correlations(t).select("pair", "n", r6("r").alias("r"))
 
 
-@query(f"SELECT count(r) AS n, round(avg(r), 6) AS mean_r, round(median(r), 6) AS median_r, round(stddev_samp(r), 6) AS sd_r FROM ({_RC})")
+_BOOT = """h AS (SELECT rep, i, (rep::BIGINT * 1103515245 + i::BIGINT * 12345 + 42) % 2147483647 AS h0 FROM range(10000) r(rep), (SELECT count(*) AS m FROM a), range(m) s(i)),
+h1 AS (SELECT rep, ((h0 * h0) % 2147483647 * 48271 + 11) % 2147483647 AS h FROM h), h2 AS (SELECT rep, ((h * h) % 2147483647 * 48271 + 11) % 2147483647 AS h FROM h1), h3 AS (SELECT rep, ((h * h) % 2147483647 * 48271 + 11) % 2147483647 AS h FROM h2),
+b AS (SELECT stddev_samp(x) AS sd_b FROM (SELECT rep, avg(r) AS x FROM h3, (SELECT count(*) AS n FROM v) JOIN v ON idx = h % n GROUP BY rep))"""
+
+
+@query(f"WITH v AS (SELECT row_number() OVER (ORDER BY pair) - 1 AS idx, r, g1 FROM {{corrs}} WHERE r IS NOT NULL), a AS (SELECT * FROM v SEMI JOIN {{seta}} ON g1 = gene), {_BOOT} SELECT (SELECT count(*) FROM a) AS n, (SELECT count(*) FROM v) AS n_all, (SELECT round(avg(r), 6) FROM a) AS mean_r, (SELECT round(median(r), 6) FROM a) AS median_r, (SELECT round(stddev_samp(r), 6) FROM a) AS sd_r, (SELECT round(avg(r), 6) FROM v) AS mean_all, round(((SELECT avg(r) FROM a) - (SELECT avg(r) FROM v)) / sd_b, 4) + 0.0 AS z_score FROM b")
 def compare_summary(t: Tables) -> DataFrame:
-    return _correlations(t).agg(F.count("r").alias("n"), F.round(F.avg("r"), 6).alias("mean_r"), F.round(F.median("r"), 6).alias("median_r"), F.round(F.stddev_samp("r"), 6).alias("sd_r"))
+    """Correlations of the pairs of a set against all pairs: resampled means give the standard error, the mean of all the centre."""
+    corr = _correlations(t).where("r is not null")
+    ranked = stats.running(corr, [], "pair", []).select((F.col("rank") - 1).alias("idx"), F.col("r").alias("value"), "g1")
+    inside = ranked.join(t.set_a.withColumnRenamed("gene", "g1"), "g1", "left_semi")
+    z = resample.bootstrap_mean(ranked.select("idx", "value"), inside.agg(F.avg("value").alias("observed")), inside.agg(F.count("*").alias("m")), 10_000, 42)
+    own = inside.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_r"), F.round(F.median("value"), 6).alias("median_r"), F.round(F.stddev_samp("value"), 6).alias("sd_r"))
+    whole = ranked.agg(F.count("*").alias("n_all"), F.avg("value").alias("centre"))
+    return own.join(F.broadcast(whole)).join(F.broadcast(z)).select("n", "n_all", "mean_r", "median_r", "sd_r", F.round("centre", 6).alias("mean_all"), (F.round((F.col("observed") - F.col("centre")) / F.col("sd_b"), 4) + 0.0).alias("z_score"))
 
 
-@query(f"WITH c AS ({_RC}), p AS ({_RP}), d AS (SELECT pair FROM c WHERE r <= (SELECT quantile_cont(r, 0.25) FROM c) + 1e-12), b AS (SELECT pair, aa, first(codon ORDER BY round(x, 9) DESC, codon) AS c1, first(codon ORDER BY round(y, 9) DESC, codon) AS c2 FROM p SEMI JOIN d USING (pair) GROUP BY pair, aa) SELECT pair, count(*) FILTER (WHERE c1 <> c2) AS n_differ FROM b GROUP BY pair")
+@query("WITH c AS (SELECT * FROM {corrs}), p AS (SELECT * FROM {rpairs}), d AS (SELECT pair FROM c WHERE r <= (SELECT quantile_cont(r, 0.25) FROM c) + 1e-12), b AS (SELECT pair, aa, first(codon ORDER BY round(x, 9) DESC, codon) AS c1, first(codon ORDER BY round(y, 9) DESC, codon) AS c2 FROM p SEMI JOIN d USING (pair) GROUP BY pair, aa) SELECT pair, count(*) FILTER (WHERE c1 <> c2) AS n_differ FROM b GROUP BY pair")
 def divergent_pairs(t: Tables) -> DataFrame:
     rows, corr = _rscu_pairs(t), _correlations(t)
     cut = corr.agg(F.expr("percentile(r, 0.25)").alias("cut"))
@@ -468,30 +484,18 @@ def divergent_pairs(t: Tables) -> DataFrame:
 
 
 def _drivers(t: Tables) -> DataFrame:
-    """Per codon and gene of the set: contribution to the mean's deviation, rank and cumulative share."""
-    inside = frequency.members(t.cds, t.set_a)
-    n = inside.agg(F.count("*").alias("n"))
-    bg = frequency.background(t.cds, 1)
-    grid = inside.select("gene").withColumn("kmer", F.explode(F.array(*[F.lit(c) for c in ("GAA", "AGA", "CTG")])))
-    rows = grid.join(sequences.kmer_freq(inside, 1), ["gene", "kmer"], "left").join(F.broadcast(bg), "kmer").join(F.broadcast(n))
-    c = (F.coalesce("freq", F.lit(0.0)) - F.col("mean")) / F.col("n")
-    order = Window.partitionBy("kmer").orderBy(F.desc("size"), "gene")
-    ranked = rows.select("kmer", "gene", c.alias("contribution"), F.round(F.abs(c), 15).alias("size"))
-    return ranked.withColumn("rank", F.row_number().over(order)).withColumn("cum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("size").over(Window.partitionBy("kmer")))
-
-
-_DRV = "SELECT kmer, gene, contribution, size, row_number() OVER (PARTITION BY kmer ORDER BY size DESC, gene) AS rank, sum(size) OVER (PARTITION BY kmer ORDER BY size DESC, gene ROWS UNBOUNDED PRECEDING) / sum(size) OVER (PARTITION BY kmer) AS cum FROM (SELECT kmer, gene, (coalesce(freq, 0) - mean) / m AS contribution, round(abs((coalesce(freq, 0) - mean) / m), 15) AS size FROM (SELECT gene, unnest(['GAA', 'AGA', 'CTG']) AS kmer FROM {cds} SEMI JOIN {seta} USING (gene)) g LEFT JOIN {f1} f USING (gene, kmer) JOIN {bg1} b USING (kmer), {na})"
+    return frequency.drivers(t.cds, t.set_a, ["GAA", "AGA", "CTG"])
 
 
-@query(f"SELECT kmer, gene, round(contribution, 9) + 0.0 AS contribution, round(cum, 5) AS cum FROM ({_DRV})")
+@query("SELECT kmer, gene, round(contribution, 6) + 0.0 AS contribution, rank, by_size, round(cum, 5) AS cum FROM {drv}")
 def driver_genes(t: Tables) -> DataFrame:
-    return _drivers(t).select("kmer", "gene", (F.round("contribution", 9) + 0.0).alias("contribution"), F.round("cum", 5).alias("cum"))
+    return _drivers(t).select("kmer", "gene", r6("contribution").alias("contribution"), "rank", "by_size", F.round("cum", 5).alias("cum"))
 
 
-@query(f"SELECT kmer, count(*) AS n_genes, round(sum(contribution), 6) + 0.0 AS total, min(rank) FILTER (WHERE cum >= 0.5 - 1e-9)::INT AS n50, min(rank) FILTER (WHERE cum >= 0.8 - 1e-9)::INT AS n80 FROM ({_DRV}) GROUP BY kmer")
+@query("SELECT kmer, count(*) AS n_genes, min(by_size) FILTER (WHERE cum >= 0.5 - 1e-9) AS n50, min(by_size) FILTER (WHERE cum >= 0.8 - 1e-9) AS n80, round(2 * sum((count_all + 1 - by_size) * size) / (count(*) * sum(size)) - (count(*) + 1) / count(*), 6) + 0.0 AS gini, arg_min(gene, rank) AS top_driver, round(arg_min(contribution, rank), 6) + 0.0 AS top_contribution FROM (SELECT *, count(*) OVER (PARTITION BY kmer) AS count_all FROM {drv}) GROUP BY kmer")
 def driver_summary(t: Tables) -> DataFrame:
-    near = F.col("cum") + 1e-9
-    return _drivers(t).groupBy("kmer").agg(F.count("*").alias("n_genes"), r6(F.sum("contribution")).alias("total"), F.min(F.when(near >= 0.5, F.col("rank"))).alias("n50"), F.min(F.when(near >= 0.8, F.col("rank"))).alias("n80"))
+    d = frequency.driver_summary(_drivers(t))
+    return d.select("kmer", "n_genes", "n50", "n80", r6("gini").alias("gini"), "top_driver", r6("top_contribution").alias("top_contribution"))
 
 
 @query("SELECT avg(len) AS mean_length, round(avg(gc), 6) AS mean_gc, round(avg(len) FILTER (WHERE s.gene IS NOT NULL), 6) AS set_length, round(avg(gc) FILTER (WHERE s.gene IS NOT NULL), 6) AS set_gc FROM {stats} x LEFT JOIN {seta} s ON s.gene = x.gene")
@@ -500,10 +504,20 @@ def gene_summary(t: Tables) -> DataFrame:
     return rows.agg(F.avg("len").alias("mean_length"), F.round(F.avg("gc"), 6).alias("mean_gc"), F.round(F.avg(F.when(F.col("i") == 1, F.col("len"))), 6).alias("set_length"), F.round(F.avg(F.when(F.col("i") == 1, F.col("gc"))), 6).alias("set_gc"))
 
 
-@query("SELECT count(*) FILTER (WHERE z_score > 3) AS enriched, count(*) FILTER (WHERE z_score < -3) AS depleted, count(*) AS tested FROM {comp1}")
+_SIG = "SELECT kmer, z_score, row_number() OVER (PARTITION BY z_score > 0 ORDER BY round(abs(z_score), 6) DESC, kmer) AS k FROM {bhcomp1} WHERE adjusted_p < 0.05 AND z_score <> 0"
+
+
+@query(f"SELECT count(*) FILTER (WHERE z_score > 0) AS enriched, count(*) FILTER (WHERE z_score < 0) AS depleted, (SELECT count(*) FROM {{bhcomp1}}) AS tested, coalesce(string_agg(kmer, ',' ORDER BY k) FILTER (WHERE z_score > 0 AND k <= 5), '') AS top_enriched, coalesce(string_agg(kmer, ',' ORDER BY k) FILTER (WHERE z_score < 0 AND k <= 5), '') AS top_depleted FROM ({_SIG})")
 def exec_summary(t: Tables) -> DataFrame:
-    c = frequency.composition(t.cds, t.set_a, 1)
-    return c.agg(F.count_if(F.col("z_score") > 3).alias("enriched"), F.count_if(F.col("z_score") < -3).alias("depleted"), F.count("*").alias("tested"))
+    """Significant codons in each direction, and the five strongest of each. As many rows meet as there are codons."""
+    c = _tested(frequency.composition(t.cds, t.set_a, 1), "kmer").withColumn("sig", F.col("adjusted_p") < frequency.ALPHA)
+
+    def top(side: Column) -> Column:
+        named = F.sort_array(F.collect_list(F.when(F.col("sig") & side, F.struct((-F.round(F.abs("z_score"), 6)).alias("z"), "kmer"))))
+        return F.array_join(F.transform(F.slice(named, 1, 5), lambda x: x["kmer"]), ",")
+
+    up, low = F.col("z_score") > 0, F.col("z_score") < 0
+    return c.agg(F.count_if(F.col("sig") & up).alias("enriched"), F.count_if(F.col("sig") & low).alias("depleted"), F.count("*").alias("tested"), top(up).alias("top_enriched"), top(low).alias("top_depleted"))
 
 
 @query("SELECT n_set, list_filter([CASE WHEN n_set < 10 THEN 'k1' END, CASE WHEN n_set < 30 THEN 'k2' END, CASE WHEN n_set < 100 THEN 'k3' END], lambda x: x IS NOT NULL)::VARCHAR AS warnings FROM (SELECT m AS n_set FROM {nb})")
@@ -516,10 +530,7 @@ def power_check(t: Tables) -> DataFrame:
 @query("WITH v AS (SELECT row_number() OVER (ORDER BY gene) - 1 AS idx, gc3 AS value, gene FROM {stats}), h AS (SELECT rep, i, (rep::BIGINT * 1103515245 + i::BIGINT * 12345 + 42) % 2147483647 AS h0 FROM range(200) r(rep), {nb}, range(m) s(i)), h1 AS (SELECT rep, ((h0 * h0) % 2147483647 * 48271 + 11) % 2147483647 AS h FROM h), h2 AS (SELECT rep, ((h * h) % 2147483647 * 48271 + 11) % 2147483647 AS h FROM h1), h3 AS (SELECT rep, ((h * h) % 2147483647 * 48271 + 11) % 2147483647 AS h FROM h2), m AS (SELECT rep, avg(value) AS x FROM h3, {ng} JOIN v ON v.idx = h % n GROUP BY rep), o AS (SELECT avg(value) AS observed FROM v SEMI JOIN {setb} USING (gene)) SELECT round(observed, 6) AS observed, round(avg(x), 6) AS mean_b, round(stddev_samp(x), 6) AS sd_b, round((observed - avg(x)) / stddev_samp(x), 4) AS z_score FROM m, o GROUP BY observed")
 def bootstrap_z(t: Tables) -> DataFrame:
     rows = t.cds.select("gene", sequences.gc3(F.col("seq")).alias("value"))
-    local = rows.repartitionByRange("gene").select("gene", "value", F.spark_partition_id().alias("part")).withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("gene")))
-    sizes = local.groupBy("part").agg(F.count("*").alias("c"))
-    before = sizes.select("part", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    values = local.join(F.broadcast(before), "part").select((F.col("i") - 1 + F.col("before")).alias("idx"), "value")
+    values = stats.running(rows, [], "gene", []).select((F.col("rank") - 1).alias("idx"), "value")
     inside = rows.join(t.set_b, "gene", "left_semi")
     z = resample.bootstrap_mean(values, inside.agg(F.avg("value").alias("observed")), inside.agg(F.count("*").alias("m")), 200, 42)
     return z.select(F.round("observed", 6).alias("observed"), F.round("mean_b", 6).alias("mean_b"), F.round("sd_b", 6).alias("sd_b"), F.round("z_score", 4).alias("z_score"))

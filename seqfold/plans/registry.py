@@ -26,7 +26,7 @@ class Tables:
 
     @property
     def cds(self) -> DataFrame:
-        return sequences.from_documents(spread(self.read("documents"), "doc_id"))
+        return sequences.from_documents(spread(self.read("documents").select("doc_id", "text", "lang", "n_chars"), "doc_id"))
 
     def rated(self, quality: int) -> DataFrame:
         """The genes of a set: each id once."""
@@ -66,10 +66,10 @@ class Tables:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df, dealt by its key if its files give fewer partitions than there are cores. What groups by the key later then needs no other shuffle;
+    """df, dealt by its key if it has fewer files than there are cores. What groups by the key later then needs no other shuffle;
     a table of many files is left as it lies, and counts are combined before their shuffle instead."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def r6(x: Column | str) -> Column:
@@ -89,6 +89,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: Parts that others name several times: derived once.
+OFTEN = {"cds", "codons", "nxt", "k1", "k2", "k3", "f1", "f2", "f3", "cc", "dense", "rscu", "aaf", "tai", "fast", "expr", "trans", "stats", "track", "smooth", "pfreq", "pz", "comp1", "comp2", "bhcomp1", "bhaa", "bhrscu", "corrs", "rpairs", "drv"}
+
+
 def assembled(sql: str) -> str:
     """sql behind a WITH clause of the shared parts that it names, directly or through others."""
     need: dict[str, str] = {}
@@ -103,7 +107,7 @@ def assembled(sql: str) -> str:
     main = visit(sql)
     if need and main.startswith("WITH "):
         main = ", " + main[5:]
-    return ("WITH " + ",\n".join(f"{n} AS ({b})" for n, b in need.items()) + "\n" if need else "") + main
+    return ("WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in OFTEN else ''}({b})" for n, b in need.items()) + "\n" if need else "") + main
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -114,6 +118,16 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SENSE = "NOT regexp_matches(kmer, '^(...)*(TAA|TAG|TGA)')"
 _SD = "sqrt(greatest((sum(freq * freq) - sum(freq) * sum(freq) / n) / (n - 1), 0))"
 
+#: Two-sided normal tail from the series of the error function, clamped where it is zero to nine digits.
+P_SQL = "greatest(0, 1 - exp(-x * x) * list_sum(list_transform(range(0, 160), lambda i: exp((2 * i + 1) * ln(x) - lgamma(i + 1.5)))))"
+
+
+def tested(source: str, key: str) -> str:
+    """SQL of source (key, z_score, ...) with p and adjusted_p, Benjamini-Hochberg."""
+    p = f"SELECT *, {P_SQL} AS p FROM (SELECT *, greatest(1e-12, least(6.5, abs(z_score) / sqrt(2))) AS x FROM {source})"
+    return f"SELECT *, least(1, min(p * bh_n / bh_k) OVER (ORDER BY bh_k DESC ROWS UNBOUNDED PRECEDING)) AS adjusted_p FROM (SELECT *, row_number() OVER (ORDER BY p, {key}) AS bh_k, count(*) OVER () AS bh_n FROM ({p}))"
+
+
 PARTS: dict[str, str] = {
     "cds": f"SELECT doc_id AS gene, substr(s, 1, (length(s) // 3) * 3) AS seq, lang, n_chars FROM (SELECT doc_id, lang, n_chars, translate(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g'), '{_LETTERS}', '{('ACGT' * 13)[:52]}') AS s FROM documents)",
     "ca": "SELECT gene, regexp_extract_all(seq, '...') AS c FROM {cds}",
@@ -156,5 +170,13 @@ for _k in (1, 2, 3):
     PARTS[f"comp{_k}"] = f"SELECT kmer, coalesce(observed, 0) AS observed, mean AS expected, m AS n_set, CASE WHEN sd > 0 THEN (coalesce(observed, 0) - mean) / (sd / sqrt(m)) ELSE 0 END AS z_score, CASE WHEN sd > 0 THEN (coalesce(observed, 0) - mean) / sd ELSE 0 END AS cohens_d FROM {{bg{_k}}} LEFT JOIN {{gm{_k}}} USING (kmer), {{na}}"
 for _n, _src, _key in (("aadev", "aaf", "aa"), ("rdev", "rscu", "codon")):
     PARTS[_n] = f"SELECT {_key}, t / m AS observed, s / n AS expected, sd, CASE WHEN sd > 1e-12 THEN (t / m - s / n) / (sd / sqrt(m)) ELSE 0 END AS z_score FROM (SELECT {_key}, n, m, sum(freq) AS s, coalesce(sum(freq) FILTER (WHERE a.gene IS NOT NULL), 0) AS t, {_SD} AS sd FROM {{{_src}}} v LEFT JOIN {{seta}} a ON a.gene = v.gene, {{ng}}, {{na}} GROUP BY {_key}, n, m)"
-#: Two-sided normal tail from the series of the error function, clamped where it is zero to nine digits.
-P_SQL = "greatest(0, 1 - exp(-x * x) * list_sum(list_transform(range(0, 160), lambda i: exp((2 * i + 1) * ln(x) - lgamma(i + 1.5)))))"
+PARTS |= {
+    "bhcomp1": tested("{comp1}", "kmer"),
+    "bhcomp2": tested("{comp2}", "kmer"),
+    "bhaa": tested("{aadev}", "aa"),
+    "bhrscu": tested("{rdev}", "codon"),
+    "attr": "SELECT r.codon, s.aa, coalesce(a.z_score, 0) AS aa_z, r.z_score AS rscu_z, coalesce(a.adjusted_p, 1) AS aa_p, r.adjusted_p AS rscu_p, CASE WHEN coalesce(a.adjusted_p, 1) < 0.05 AND r.adjusted_p < 0.05 THEN 'Both' WHEN a.adjusted_p < 0.05 THEN 'AA-driven' WHEN r.adjusted_p < 0.05 THEN 'Synonymous-driven' ELSE 'None' END AS attribution FROM {bhrscu} r JOIN {sym} s ON s.codon = r.codon LEFT JOIN {bhaa} a ON a.aa = s.aa",
+    "pz": "SELECT bin, codon, t / m AS observed, s / n AS expected, CASE WHEN sd > 1e-12 THEN (t / m - s / n) / (sd / sqrt(m)) ELSE 0 END AS z_score FROM (SELECT bin, codon, n, m, sum(freq) AS s, coalesce(sum(freq) FILTER (WHERE a.gene IS NOT NULL), 0) AS t, sqrt(greatest((sum(freq * freq) - sum(freq) * sum(freq) / n) / (n - 1), 0)) AS sd FROM {pfreq} v LEFT JOIN {seta} a ON a.gene = v.gene, {ng}, {na} GROUP BY bin, codon, n, m)",
+    "tz": "SELECT gene, avg(z) AS mean_z, min(z) AS min_z, max(z) AS max_z, sum(freq) AS sum_freq FROM (SELECT c.gene, coalesce(freq, 0) AS freq, (coalesce(freq, 0) - mean) / sd AS z FROM {cds} c CROSS JOIN (SELECT * FROM {bg1} WHERE kmer IN ('GAA', 'AGA') AND sd > 0) b LEFT JOIN {f1} f USING (gene, kmer)) GROUP BY gene",
+    "drv": "SELECT kmer, gene, freq, contribution, size, row_number() OVER (PARTITION BY kmer ORDER BY round(CASE WHEN up THEN -contribution ELSE contribution END, 15), gene) AS rank, row_number() OVER (PARTITION BY kmer ORDER BY size DESC, gene) AS by_size, sum(size) OVER (PARTITION BY kmer ORDER BY size DESC, gene ROWS UNBOUNDED PRECEDING) / sum(size) OVER (PARTITION BY kmer) AS cum FROM (SELECT kmer, gene, freq, freq - mean AS contribution, round(abs(freq - mean), 15) AS size, avg(freq) OVER (PARTITION BY kmer) > mean AS up FROM (SELECT g.kmer, g.gene, coalesce(freq, 0) AS freq, mean FROM (SELECT gene, unnest(['GAA', 'AGA', 'CTG']) AS kmer FROM {cds} SEMI JOIN {seta} USING (gene)) g LEFT JOIN {f1} f USING (gene, kmer) JOIN {bg1} b USING (kmer)))",
+}
