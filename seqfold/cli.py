@@ -13,7 +13,7 @@ from seqfold.sources import readers, sinks
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seqfold")
-    p.add_argument("mode", choices=["enrichment", "demand", "optimality", "collision", "attribution", "cai", "reverse", "differential"])
+    p.add_argument("mode", choices=["enrichment", "demand", "optimality", "collision", "compare", "attribution", "cai", "reverse", "deep-dive", "differential", "report"])
     p.add_argument("--cds", required=True, help="Parquet (gene, seq), or FASTA by its suffix")
     p.add_argument("--genes", help="gene list: # comments, commas or white space")
     p.add_argument("--genes-b", help="second list of a differential")
@@ -34,14 +34,30 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--top", type=int)
     p.add_argument("--zscore-cutoff", type=float)
     p.add_argument("--percentile", type=float)
+    p.add_argument("--check", action="store_true", help="test what reverse finds as a set of its own, if ten genes or more")
+    p.add_argument("--method", default="wtai", choices=["tai", "wtai"])
+    p.add_argument("--min-genes", type=int, default=10)
+    p.add_argument("--adj-p", type=float, default=0.05)
+    p.add_argument("--positional", action="store_true")
+    p.add_argument("--cluster", action="store_true")
+    p.add_argument("--cluster-codons", default="")
+    p.add_argument("--cluster-top", type=int, default=5)
+    p.add_argument("--cluster-window", type=int, default=15)
+    p.add_argument("--permutations", type=int, default=1000)
+    p.add_argument("--cds-2", help="sequences of the other species of compare")
+    p.add_argument("--orthologs", help="tab-separated: g1, g2")
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("seqfold").getOrCreate()
-    cds = readers.fasta(spark, a.cds) if any(x in a.cds for x in (".fa", ".fasta", ".fsa")) else spark.read.parquet(a.cds)
-    cds = cds.select(F.col("gene").cast("string").alias("gene"), "seq")
+
+    def sequences(path: str):
+        rows = readers.fasta(spark, path) if any(x in path for x in (".fa", ".fasta", ".fsa")) else spark.read.parquet(path)
+        return rows.select(F.col("gene").cast("string").alias("gene"), "seq")
+
+    cds = sequences(a.cds)
 
     def listed(path: str):
         return readers.gene_list(spark.read.text(path)).select(F.col("token").alias("gene")).distinct()
@@ -51,13 +67,31 @@ def main(argv: list[str] | None = None) -> None:
     run = {
         "enrichment": lambda: modes.composition(cds, chosen, a.kmer, a.background, a.trim_ramp, a.model, a.n_bootstrap, a.seed),
         "demand": lambda: modes.demand(cds, chosen, expression, a.kmer, a.top_n, a.n_bootstrap, a.seed),
-        "optimality": lambda: modes.profile(cds, chosen, a.window, a.wobble_penalty, a.ramp_codons),
-        "collision": lambda: modes.collision(cds, chosen, a.wobble_penalty, a.threshold),
+        "optimality": lambda: modes.profile(cds, chosen, a.window, a.wobble_penalty, a.ramp_codons, a.method),
+        "collision": lambda: modes.collision(cds, chosen, a.wobble_penalty, a.threshold, a.method),
+        "compare": lambda: modes.compare(cds, sequences(a.cds_2), readers.table(spark, a.orthologs, "g1 string, g2 string"), chosen.withColumnRenamed("gene", "g1"), a.n_bootstrap, a.seed),
         "attribution": lambda: modes.disentangle(cds, chosen),
         "cai": lambda: modes.adaptation(cds, chosen, expression),
-        "reverse": lambda: {"genes": modes.reverse(cds, a.codons.split(","), a.top, a.zscore_cutoff, a.percentile)},
-        "differential": lambda: {"results": modes.differential(cds, chosen, listed(a.genes_b))},
+        "reverse": lambda: reverse(),
+        "deep-dive": lambda: deep_dive(),
+        "differential": lambda: modes.differential(cds, chosen, listed(a.genes_b)),
+        "report": lambda: modes.report(cds, chosen, expression, a.n_bootstrap, a.seed)[0],
     }
+
+    def reverse() -> dict:
+        found = modes.reverse(cds, a.codons.split(","), a.top, a.zscore_cutoff, a.percentile)
+        enough = a.check and found.limit(10).count() == 10
+        return {"genes": found} | ({"check": modes.composition(cds, found.select("gene"), n_bootstrap=a.n_bootstrap)["results"]} if enough else {})
+
+    def deep_dive() -> dict:
+        out = {f"drivers_{k}": v for k, v in modes.drivers(cds, chosen, adj_p=a.adj_p).items()}
+        if a.positional:
+            out |= {f"positional_{k}": v for k, v in modes.positional(cds, chosen).items()}
+        if a.cluster:
+            picked = [c for c in a.cluster_codons.split(",") if c] or None
+            out |= {f"cluster_{k}": v for k, v in modes.clusters(cds, chosen, picked, a.cluster_window, a.permutations, a.seed, a.cluster_top).items()}
+        return out
+
     sinks.bundle(run[a.mode](), {k: v for k, v in vars(a).items() if v is not None}, a.output_dir)
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqfold.functions import decoding
 
 #: The standard genetic code, codons in the order of bases TCAG.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -11,47 +14,15 @@ FAMILY = {a + b + c: THREE[CODE[16 * i + 4 * j + k]] for i, a in enumerate("TCAG
 SYNONYMS = {c: sum(g == f for g in FAMILY.values()) for c, f in FAMILY.items()}
 STOPS = ("TAA", "TAG", "TGA")
 
-#: Decoding of yeast codons, as codon:anticodon, "~" before a wobble pairing; a family to a line.
-YEAST_DECODING = """
-TTT:GAA ~TTC:GAA
-TTA:UAG TTG:CAA CTT:GAG ~CTC:GAG ~CTA:UAG CTG:CAG
-ATT:AAU ~ATC:AAU ATA:IAU
-ATG:CAU
-GTT:AAC ~GTC:AAC GTA:CAC ~GTG:CAC
-TCT:AGA ~TCC:AGA TCA:UGA TCG:CGA AGT:GCU ~AGC:GCU
-CCT:AGG ~CCC:AGG CCA:UGG CCG:CGG
-ACT:AGU ~ACC:AGU ~ACA:UGU ACG:CGU
-GCT:AGC ~GCC:AGC ~GCA:UGC GCG:CGC
-TAT:GUA ~TAC:GUA
-CAT:GUG ~CAC:GUG
-CAA:UUG CAG:CUG
-AAT:GUU ~AAC:GUU
-AAA:UUU AAG:CUU
-GAT:GUC ~GAC:GUC
-GAA:UUC GAG:CUC
-TGT:GCA ~TGC:GCA
-TGG:CCA
-CGT:ACG ~CGC:ACG CGA:ICG CGG:CCG AGA:UCU AGG:CCU
-GGT:ACC ~GGC:ACC ~GGA:UCC GGG:CCC
-"""
-
-#: Yeast tRNA gene copies by anticodon.
-YEAST_COPIES = """
-AAC 2 AAG 1 AAU 2 ACA 4 ACC 16 ACG 6 ACU 4 AGC 11 AGG 10 AGU 11 AUC 15 AUG 7 AUU 10 CAA 10 CAC 2 CAG 3 CAU 13
-CCA 6 CCC 2 CCG 1 CCU 1 CGC 1 CGG 2 CGU 4 CUC 14 CUG 9 CUU 14 GAA 10 GAC 14 GAG 7 GAU 2 GCA 0 GCC 3 GCG 6 GCU 11
-GGC 5 GGG 0 GGU 9 GUC 4 GUG 1 GUU 2 IAU 1 UCU 11 UGC 0 UGG 10 UGU 0 UUC 2 UUG 1 UUU 7
-"""
-
-
-def rules() -> list[tuple[str, str, str, str]]:
+
+def rules(species: str = "yeast") -> list[tuple[str, str, str, str]]:
     """(codon, family, anticodon, decoding type)."""
-    pairs = [x.split(":") for x in YEAST_DECODING.split()]
-    return [(c.lstrip("~"), FAMILY[c.lstrip("~")], a, "wobble" if c[0] == "~" else "watson_crick") for c, a in pairs]
+    return [r[:4] for r in decoding.RULES[species]]
 
 
-def copies() -> list[tuple[str, int]]:
-    x = YEAST_COPIES.split()
-    return [(a, int(n)) for a, n in zip(x[::2], x[1::2], strict=True)]
+def copies(species: str = "yeast") -> list[tuple[str, int]]:
+    """(anticodon, copies)."""
+    return [(a, n) for a, _, n in decoding.COPIES[species]]
 
 
 def symbols(spark: SparkSession) -> DataFrame:
@@ -59,9 +30,22 @@ def symbols(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, FAMILY[c], SYNONYMS[c]) for c in sorted(FAMILY)], "codon string, aa string, n_syn int")
 
 
-def wobble_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules(), "codon string, aa string, anticodon string, decoding_type string")
+def wobble_rules(spark: SparkSession, species: str = "yeast") -> DataFrame:
+    return spark.createDataFrame(rules(species), "codon string, aa string, anticodon string, decoding_type string")
+
+
+def trna_copies(spark: SparkSession, species: str = "yeast", found: DataFrame | None = None, least: int = 20) -> DataFrame:
+    """(anticodon, copies): those found in headers if they name least anticodons, else the fixed ones of the species."""
+    if found is not None and found.limit(least).count() == least:
+        return found.select("anticodon", F.col("copies").cast("int").alias("copies"))
+    return spark.createDataFrame(copies(species), "anticodon string, copies int")
 
 
-def trna_copies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(copies(), "anticodon string, copies int")
+def kmers(spark: SparkSession, k: int, sense_only: bool = True) -> DataFrame:
+    """(kmer, families): all runs of k codons, in order; 61, 3,721 or 226,981 of sense codons. families: Lys-Ala of AAGGCT, ? for a stop."""
+    codons = sorted(FAMILY) if sense_only else sorted(a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT")
+    one = spark.createDataFrame([(c, FAMILY.get(c, "?")) for c in codons], "codon string, family string")
+    out = one.select(F.col("codon").alias("kmer"), F.col("family").alias("families"))
+    for _ in range(k - 1):  # k is 1 to 3
+        out = out.crossJoin(F.broadcast(one)).select(F.concat("kmer", "codon").alias("kmer"), F.concat("families", F.lit("-"), "family").alias("families"))
+    return out.orderBy("kmer")

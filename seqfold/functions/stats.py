@@ -77,20 +77,19 @@ def ks(df: DataFrame, value: str, in_a: str) -> DataFrame:
     steps = running(running(counts, [], value, [], "a").withColumnRenamed("cum", "ca").drop("rank"), [], value, [], "t").select("ca", F.col("cum").alias("ct"))
     total = counts.agg(F.sum("a").alias("na"), F.sum("t").alias("nt"))
     d = steps.join(F.broadcast(total)).agg(F.max("na").alias("n_a"), F.max("nt").alias("n_all"), F.max(F.abs(F.col("ca") / F.col("na") - F.col("ct") / F.col("nt"))).alias("d"))
-    return d.withColumn("p_value", ks_p("d", "n_a", "n_all"))
+    return d.withColumn("p_value", ks_tail("d", F.coalesce("n_a", F.lit(0)), F.coalesce("n_all", F.lit(0))))
 
 
-@F.pandas_udf(T.DoubleType())
-def ks_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """Asymptotic p of the statistic, on summary rows; null where a side is empty."""
+def ks_p(d: float, n: int, m: int) -> float:
+    """Asymptotic p of the statistic."""
+    lam = d * math.sqrt(n * m / (n + m))
+    return 1.0 if lam < 0.2 else max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))))
 
-    def tail(d, n, m):
-        if d is None or d != d or not n or not m:
-            return None
-        lam = d * math.sqrt(n * m / (n + m))
-        return 1.0 if lam < 0.2 else max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))))
 
-    return pd.Series([tail(*x) for x in zip(d, n, m, strict=True)], dtype=float)
+@F.pandas_udf(T.DoubleType())
+def ks_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """ks_p of summary rows; null where a side is empty."""
+    return pd.Series([ks_p(x, a, b) if x == x and a > 0 and b > 0 else None for x, a, b in zip(d.astype(float), n, m, strict=True)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())

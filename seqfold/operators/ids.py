@@ -76,3 +76,8 @@ def name_matched(left: DataFrame, right: DataFrame, curated: DataFrame, blocked:
 
 def normalised_line(name: Column) -> Column:
     return F.translate(F.upper(name), " -():", "")
+
+
+def numeric_text(number: Column) -> Column:
+    """An identifier that was read as a number, as text: 6122.0 is 6122."""
+    return number.cast("double").cast("long").cast("string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqfold.functions import stats
+from seqfold.operators import sequences
 from seqfold.operators.sequences import codon_array
 
 
@@ -69,6 +70,22 @@ def compared(counts_a: DataFrame, counts_b: DataFrame) -> DataFrame:
     return row.withColumn("p_value", stats.chi2_tail(F.coalesce("chi2", F.lit(0.0)), F.coalesce("df", F.lit(0))))
 
 
+def fs_deciles(cds: DataFrame, fast: list[str], bins: int = 10) -> DataFrame:
+    """(bin, n): pairs of a fast symbol and one that is not, by the tenth of the sequence in which they begin."""
+    codons = codon_array(F.col("seq"))
+    rows = cds.select("gene", codons.alias("c")).select(F.size("c").alias("n"), F.posexplode(F.zip_with(F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", F.lit(2), F.size("c")), lambda a, b: a.isin(fast) & ~b.isin(fast))).alias("pos", "hit"))
+    return rows.where("hit").groupBy(F.least(F.expr(f"pos * {bins} div (n - 1)"), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def fs_pairs(cds: DataFrame, chosen: DataFrame, symbols: DataFrame, fast: list[str]) -> DataFrame:
+    """(kmer, n_set, n_all, fold, z_score) of pairs of a fast and a slow codon: their number in a set against what all genes let expect (Poisson)."""
+    slow = [r.codon for r in symbols.collect() if r.codon not in fast]  # of 61
+    pairs = sequences.kmer_counts(cds, 2).where(F.substring("kmer", 1, 3).isin(fast) & F.substring("kmer", 4, 3).isin(slow))
+    both = pairs.join(chosen.withColumn("inside", F.lit(1)), "gene", "left").groupBy("kmer").agg(F.coalesce(F.sum(F.when(F.col("inside") == 1, F.col("cnt"))), F.lit(0).cast("long")).alias("n_set"), F.sum("cnt").alias("n_all"))
+    e = F.col("n_all") * F.col("ts") / F.col("ta")
+    return both.join(F.broadcast(both.agg(F.sum("n_set").alias("ts"), F.sum("n_all").alias("ta")))).select("kmer", "n_set", "n_all", (F.col("n_set") / e).alias("fold"), ((F.col("n_set") - e) / F.sqrt(e)).alias("z_score"))
+
+
 def runs(pos: DataFrame, target: Column, least: int = 2) -> DataFrame:
     """(gene, n_runs, longest): runs of least or more consecutive targets."""
     hit = pos.where(target).withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("gene").orderBy("pos")))

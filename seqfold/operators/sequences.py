@@ -77,12 +77,16 @@ def region(cds: DataFrame, start: int, end: int | None, least: int = 1) -> DataF
     return cds.withColumn("seq", F.substring("seq", 3 * start + 1, size)).where(F.length("seq") >= 3 * least)
 
 
+def is_coding(s: Column) -> Column:
+    """Whether a sequence has ACGT only, a length in threes, a start and an end codon and none inside; never null."""
+    inside = F.exists(codon_array(s.substr(F.lit(1), F.length(s) - 3)), lambda c: c.isin(*STOPS))
+    return F.coalesce(s.rlike("^[ACGT]+$") & (F.length(s) % 3 == 0) & s.startswith("ATG") & s.rlike(f"({'|'.join(STOPS)})$") & ~inside, F.lit(False))
+
+
 def validated(raw: DataFrame) -> DataFrame:
-    """(gene, valid, seq): a coding sequence has ACGT only, a length in threes, a start and an end codon, none inside; the end is cut off."""
-    s = F.col("seq")
-    body = F.expr("substring(seq, 1, length(seq) - 3)")
-    ok = s.rlike("^[ACGT]+$") & (F.length(s) % 3 == 0) & s.startswith("ATG") & s.rlike(f"({'|'.join(STOPS)})$") & ~F.exists(codon_array(body), lambda c: c.isin(*STOPS))
-    return raw.select("gene", F.coalesce(ok, F.lit(False)).alias("valid"), F.when(ok, body).alias("seq"))
+    """(gene, valid, seq) of (gene, seq): whether it is a coding sequence, and if so the sequence without its end codon."""
+    ok = is_coding(F.col("seq"))
+    return raw.select("gene", ok.alias("valid"), F.when(ok, F.expr("substring(seq, 1, length(seq) - 3)")).alias("seq"))
 
 
 def gc(seq: Column) -> Column:

@@ -43,10 +43,10 @@ def cai_weights(counts: DataFrame, expression: DataFrame, share: float = 0.05, l
 
 
 def tpm(counts: DataFrame) -> DataFrame:
-    """(gene, tpm) of (gene, count, length): counts for each kilobase, scaled to a million. Needs positive lengths."""
+    """(gene, tpm) of (gene, count, length): counts for each kilobase, scaled to a million. Rows without a count or a positive length are left out; if all counts are 0 the query fails."""
     rpk = counts.where("length > 0 and count >= 0").select("gene", (F.col("count") / (F.col("length") / 1000.0)).alias("rpk"))
     total = rpk.agg(F.sum("rpk").alias("total"))
-    return rpk.join(F.broadcast(total)).select("gene", F.when(F.col("total") > 0, F.col("rpk") / F.col("total") * 1e6).alias("tpm"))
+    return rpk.join(F.broadcast(total)).select("gene", F.when(F.col("total") > 0, F.col("rpk") / F.col("total") * 1e6).otherwise(F.raise_error(F.lit("all counts are zero")).cast("double")).alias("tpm"))
 
 
 def demand(cds: DataFrame, expression: DataFrame, k: int = 1, top: int | None = None) -> DataFrame:

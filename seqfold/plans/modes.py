@@ -5,11 +5,13 @@ draws of whole genes, an analytic one from the closed form of the same standard
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqfold.functions import dims, stats
-from seqfold.operators import frequency, glm, ordered, resample, sequences, weights
+from seqfold.operators import frequency, glm, ordered, resample, sequences, tables, weights
+from seqfold.sources import ingest
 
 POWER = {1: 10, 2: 30, 3: 100}  # genes that a set should have for k
 
@@ -54,6 +56,17 @@ def families(kmer):
     return F.array_join(F.transform(sequences.codon_array(kmer), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("?"))), "-")
 
 
+def annotated(kmer):
+    """AAG-GCT (Lys-Ala) of AAGGCT."""
+    return F.concat(F.array_join(sequences.codon_array(kmer), "-"), F.lit(" ("), families(kmer), F.lit(")"))
+
+
+def tpm_of_counts(counts: DataFrame, keys: DataFrame | None = None, least: float = 0) -> DataFrame:
+    """(gene, tpm), largest first, of raw counts (gene, count, length); without lengths of their own those under keys (key, length)."""
+    known = counts if keys is None else ingest.with_lengths(counts, keys)
+    return weights.tpm(known.where(F.col("count") >= least)).orderBy(F.desc("tpm"), "gene")
+
+
 def _regression(cds: DataFrame, chosen: DataFrame) -> DataFrame:
     return glm.by_codon(glm.shares(cds, chosen, dims.symbols(cds.sparkSession)))
 
@@ -77,8 +90,17 @@ def profile(cds: DataFrame, chosen: DataFrame, window: int = 10, wobble_penalty:
     lines = {name: ordered.metagene(ordered.smoothed(ordered.scored(sequences.positions(c), w, method), window)).withColumnRenamed("profile", name) for name, c in (("geneset", inside), ("genome", cds))}
     track = ordered.scored(sequences.positions(inside), w, method).where(F.col("n") > ramp_codons)
     halves = track.groupBy("gene").agg(F.avg(F.when(F.col("pos") < ramp_codons, F.col("score"))).alias("ramp"), F.avg(F.when(F.col("pos") >= ramp_codons, F.col("score"))).alias("body"))
-    regions = {f"{name}_composition": composition(sequences.region(cds, a, b), chosen)["results"] for name, a, b in (("ramp", 0, ramp_codons), ("body", ramp_codons, None))}
-    return {"metagene": lines["geneset"].join(lines["genome"], "bin"), "ramp": halves.agg(F.avg("ramp").alias("ramp"), F.avg("body").alias("body"), (F.avg("ramp") - F.avg("body")).alias("delta")), "genes": weights.geometric(frequency.codon_counts(cds, dims.symbols(spark)), w, method, method)} | regions
+    return {"metagene": lines["geneset"].join(lines["genome"], "bin"), "ramp": halves.agg(F.avg("ramp").alias("ramp"), F.avg("body").alias("body"), (F.avg("ramp") - F.avg("body")).alias("delta")), "genes": weights.geometric(frequency.codon_counts(cds, dims.symbols(spark)), w, method, method)} | {f"{k}_composition": v for k, v in regions(cds, chosen, 0, ramp_codons, 1).items()}
+
+
+def regions(cds: DataFrame, chosen: DataFrame, start: int = 1, ramp_codons: int = 50, least: int = 3, least_set: int = 5, least_all: int = 100) -> dict[str, DataFrame]:
+    """Tested composition of the ramp, codons from start on, and of the body behind it; without least_set genes of the set and least_all of all a region is left out."""
+    out = {}
+    for name, a, b in (("ramp", start, start + ramp_codons), ("body", start + ramp_codons, None)):
+        part = sequences.region(cds, a, b, least)
+        if part.limit(least_all).count() == least_all and frequency.members(part, chosen).limit(least_set).count() == least_set:
+            out[name] = _tested(frequency.composition(part, chosen.distinct(), 1))
+    return out
 
 
 def collision(cds: DataFrame, chosen: DataFrame, wobble_penalty: float = 0.5, threshold: float | None = None, method: str = "wtai") -> dict[str, DataFrame]:
@@ -91,30 +113,45 @@ def collision(cds: DataFrame, chosen: DataFrame, wobble_penalty: float = 0.5, th
     a, b = ordered.pair_counts(inside, fast), ordered.pair_counts(cds, fast)
     both = ordered.proportions(a).withColumn("of", F.lit("geneset")).unionByName(ordered.proportions(b).withColumn("of", F.lit("genome")))
     share = F.try_divide("fs", F.col("ff") + F.col("fs") + F.col("sf") + F.col("ss"))
-    return {"proportions": both, "genes": a.withColumn("fs_share", share).orderBy(F.desc("fs_share"), "gene")}
+    deciles = ordered.fs_deciles(inside, fast).withColumnRenamed("n", "geneset").join(ordered.fs_deciles(cds, fast).withColumnRenamed("n", "genome"), "bin", "full").na.fill(0)
+    return {
+        "proportions": both, "comparison": ordered.compared(a, b), "genes": a.withColumn("fs_share", share).orderBy(F.desc("fs_share"), "gene"),
+        "deciles": deciles, "dicodons": _tested(ordered.fs_pairs(cds, chosen.distinct(), dims.symbols(spark), fast)),
+    }
 
 
-def disentangle(cds: DataFrame, chosen: DataFrame) -> dict[str, DataFrame]:
-    """Family-level and within-family deviations, and what each codon's deviation is due to."""
-    symbols = dims.symbols(cds.sparkSession)
+def disentangle(cds: DataFrame, chosen: DataFrame, species: str = "yeast") -> dict[str, DataFrame]:
+    """Family-level and within-family deviations, what each codon's deviation is due to, and what explains the synonymous ones."""
+    spark, chosen = cds.sparkSession, chosen.distinct()
+    symbols = dims.symbols(spark)
     counts = frequency.codon_counts(cds, symbols)
     n = cds.agg(F.count("*").alias("n")).join(F.broadcast(frequency.members(cds, chosen).agg(F.count("*").alias("n_set"))))
-    aa = frequency.deviation(frequency.aa_freq(counts), "aa", "freq", chosen.distinct(), n)
-    codon = frequency.deviation(frequency.rscu(counts), "codon", "rscu", chosen.distinct(), n).join(F.broadcast(symbols.select("codon", "aa")), "codon")
+    aa = _tested(frequency.deviation(frequency.aa_freq(counts), "aa", "freq", chosen, n), "aa")
+    codon = _tested(frequency.deviation(frequency.rscu(counts), "codon", "rscu", chosen, n), "codon").join(F.broadcast(symbols), "codon")
     named = frequency.attribution(aa, codon)
-    return {"families": _tested(aa, "aa"), "codons": _tested(codon, "codon"), "attribution": named, "summary": named.groupBy("attribution").agg(F.count("*").alias("n"))}
+    rules = weights.with_copies(dims.wobble_rules(spark, species), dims.trna_copies(spark, species))
+    return {"families": aa, "codons": codon, "attribution": named, "summary": frequency.attribution_summary(named), "drivers": frequency.synonymous_drivers(codon, rules)}
 
 
-def compare(cds1: DataFrame, cds2: DataFrame, pairs: DataFrame, chosen: DataFrame) -> dict[str, DataFrame]:
-    """Correlation of synonymous usage between paired genes of two populations; chosen: (g1)."""
+def compare(cds1: DataFrame, cds2: DataFrame, pairs: DataFrame, chosen: DataFrame, n_bootstrap: int = 10_000, seed: int = 42) -> dict[str, DataFrame]:
+    """Correlation of synonymous usage between paired genes of two populations; chosen: (g1). The set's mean is tested against resampled
+    means of all pairs, and the set's pairs in the lowest quarter are listed with the number of families whose preferred codon differs."""
     symbols = dims.symbols(cds1.sparkSession)
     left, right = (frequency.rscu_dense(c, frequency.codon_counts(c, symbols), symbols) for c in (cds1, cds2))
     rows = pairs.join(left.select(F.col("gene").alias("g1"), "codon", "aa", F.col("rscu").alias("x")), "g1").join(right.select(F.col("gene").alias("g2"), "codon", F.col("rscu").alias("y")), ["g2", "codon"])
     ok = (F.count("*") >= 5) & (F.stddev_pop("x") > 1e-12) & (F.stddev_pop("y") > 1e-12)
     corr = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.when(ok, F.corr("x", "y")).alias("r"))
     marked = corr.where("r is not null").join(chosen.distinct().withColumn("in_a", F.lit(True)), "g1", "left").na.fill(False, ["in_a"]).withColumn("all", F.lit(1))
-    summary = marked.groupBy("in_a").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"), F.median("r").alias("median_r"))
-    return {"pairs": corr, "scatter": rows, "summary": summary, "test": stats.mann_whitney(marked, "r", "in_a", "all")}
+    ranked = stats.running(marked.select("g1", "g2", "r", "in_a"), [], "r", ["g1", "g2"]).select((F.col("rank") - 1).alias("idx"), F.col("r").alias("value"), "in_a")
+    inside, centre = ranked.where("in_a"), ranked.agg(F.avg("value").alias("mean_all"))
+    drawn = resample.bootstrap_mean(ranked.select("idx", "value"), inside.agg(F.avg("value").alias("observed")), inside.agg(F.count("*").alias("m")), n_bootstrap, seed)
+    boot = drawn.join(F.broadcast(centre)).select("observed", "mean_all", "sd_b", F.when(F.col("sd_b") > 0, (F.col("observed") - F.col("mean_all")) / F.col("sd_b")).otherwise(0.0).alias("z_score"))
+    summary = marked.groupBy("in_a").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"), F.median("r").alias("median_r"), F.stddev_samp("r").alias("sd_r"))
+    own = marked.where("in_a")
+    low = own.join(F.broadcast(own.agg(F.percentile("r", F.lit(0.25)).alias("cut"))), F.col("r") <= F.col("cut") + 1e-12).select("g1", "g2", "r")
+    best = rows.join(low, ["g1", "g2"]).groupBy("g1", "g2", "r", "aa").agg(*[F.min(F.struct((-F.round(v, 9)).alias("o"), "codon"))["codon"].alias(n) for v, n in (("x", "c1"), ("y", "c2"))])
+    divergent = best.groupBy("g1", "g2", "r").agg(F.count_if(F.col("c1") != F.col("c2")).alias("n_differ"))
+    return {"pairs": corr, "scatter": rows, "summary": summary, "bootstrap": boot.withColumn("p_value", stats.normal_p("z_score")), "divergent": divergent, "test": stats.mann_whitney(marked, "r", "in_a", "all")}
 
 
 def adaptation(cds: DataFrame, chosen: DataFrame, expression: DataFrame, top_fraction: float = 0.05) -> dict[str, DataFrame]:
@@ -133,10 +170,7 @@ def reverse(cds: DataFrame, codons: list[str], top: int | None = None, zscore_cu
     targets = [c.upper().replace("U", "T") for c in codons]
     if unknown := [c for c in targets if c not in dims.FAMILY]:
         raise ValueError(f"not sense codons: {unknown}")
-    bg = frequency.background(cds, 1).where(F.col("kmer").isin(targets) & (F.col("sd") > 0))
-    grid = cds.select("gene").withColumn("kmer", F.explode(F.array(*map(F.lit, targets)))).join(F.broadcast(bg), "kmer")
-    z = grid.join(sequences.kmer_freq(cds, 1).where(F.col("kmer").isin(targets)), ["gene", "kmer"], "left").na.fill(0.0, ["freq"]).withColumn("z", (F.col("freq") - F.col("mean")) / F.col("sd"))
-    scored = z.groupBy("gene").agg(F.avg("z").alias("mean_z"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.sum("freq").alias("sum_freq"))
+    scored = frequency.target_z(cds, list(dict.fromkeys(targets)))
     if top is not None:
         return scored.orderBy(F.desc("mean_z"), "gene").limit(top)
     if zscore_cutoff is not None or percentile is None:
@@ -145,8 +179,9 @@ def reverse(cds: DataFrame, codons: list[str], top: int | None = None, zscore_cu
     return scored.join(F.broadcast(cut), F.col("mean_z") >= F.col("cut")).drop("cut")
 
 
-def differential(cds: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two sets against each other: means, fold change with its direction, rank test of each codon. A gene of both counts to a."""
+def differential(cds: DataFrame, a: DataFrame, b: DataFrame, species: str = "yeast") -> dict[str, DataFrame]:
+    """Two sets against each other: means, fold change with its direction, rank test and each set's score against all genes for each codon,
+    and what each set's deviations are due to. A gene of both counts to a in the rank test."""
     sides = a.distinct().withColumn("in_a", F.lit(True)).unionByName(b.distinct().join(a, "gene", "left_anti").withColumn("in_a", F.lit(False)))
     genes = cds.select("gene").join(sides, "gene")
     symbols = dims.symbols(cds.sparkSession).select(F.col("codon").alias("kmer"))
@@ -159,31 +194,66 @@ def differential(cds: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     means = known.select("kmer", F.try_divide("sa", "na").alias("mean_a"), F.try_divide("sb", F.col("nn") - F.col("na")).alias("mean_b"))
     fold = (F.coalesce("mean_a", F.lit(0.0)) + 1e-9) / (F.coalesce("mean_b", F.lit(0.0)) + 1e-9)
     tested = stats.mann_whitney_counts(counts, "freq", "kmer").join(means, "kmer").withColumn("fold", fold).withColumn("direction", F.when(fold > 1, "a").otherwise("b"))
-    return _tested(tested.withColumnRenamed("z", "z_score"))
+    scores = [frequency.composition(cds, x.distinct(), 1).select("kmer", F.col("z_score").alias(n)) for x, n in ((a, "genome_z_a"), (b, "genome_z_b"))]
+    results = _tested(tested.withColumnRenamed("z", "z_score")).join(scores[0], "kmer", "left").join(scores[1], "kmer", "left")
+    return {"results": results} | {f"attribution_{n}": disentangle(cds, x, species)["attribution"] for x, n in ((a, "a"), (b, "b"))}
 
 
-def drivers(cds: DataFrame, chosen: DataFrame, codons: list[str]) -> dict[str, DataFrame]:
-    """Which genes a set's deviation comes from: contributions, cumulative shares, influence when a gene is left out."""
-    inside = frequency.members(cds, chosen)
-    n = inside.agg(F.count("*").alias("n"))
-    grid = inside.select("gene").withColumn("kmer", F.explode(F.array(*map(F.lit, codons))))
-    rows = grid.join(sequences.kmer_freq(inside, 1), ["gene", "kmer"], "left").na.fill(0.0, ["freq"]).join(F.broadcast(frequency.background(cds, 1)), "kmer").join(F.broadcast(n))
-    by = Window.partitionBy("kmer")
-    order = by.orderBy(F.desc("size"), "gene")
-    c = rows.withColumn("contribution", (F.col("freq") - F.col("mean")) / F.col("n")).withColumn("size", F.abs("contribution"))
-    mean = F.avg("freq").over(by)
-    left_out = (F.col("n") * mean - F.col("freq")) / (F.col("n") - 1)
-    z, z_out = (mean - F.col("mean")) / (F.col("sd") / F.sqrt("n")), (left_out - F.col("mean")) / (F.col("sd") / F.sqrt(F.col("n") - 1))
-    genes = c.withColumn("rank", F.row_number().over(order)).withColumn("cum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("size").over(by)).withColumn("influential", F.coalesce(F.abs(z - z_out) > 2, F.lit(False)))
-    genes = genes.select("kmer", "gene", "contribution", "size", "rank", "cum", "influential")
-    summary = genes.groupBy("kmer").agg(F.count("*").alias("n_genes"), F.sum("contribution").alias("total"), F.min(F.when(F.col("cum") >= 0.5, F.col("rank"))).alias("n50"), F.min(F.when(F.col("cum") >= 0.8, F.col("rank"))).alias("n80"), F.count_if("influential").alias("n_influential"), F.min_by("gene", "rank").alias("top_driver"))
-    return {"genes": genes, "summary": summary.join(stats.gini(genes, "kmer", "size", "gene"), "kmer")}
-
-
-def clusters(cds: DataFrame, chosen: DataFrame, codons: list[str], window: int = 15, permutations: int = 1000, seed: int = 42) -> dict[str, DataFrame]:
-    """Runs and dense windows of target codons, against synonymous shuffles."""
-    inside = frequency.members(cds, chosen)
+def drivers(cds: DataFrame, chosen: DataFrame, codons: list[str] | None = None, adj_p: float = frequency.ALPHA) -> dict[str, DataFrame]:
+    """Which genes a set's deviation comes from, for the codons asked for, else for all significant ones: contributions, cumulative
+    shares, influence when a gene is left out."""
+    genes = frequency.drivers(cds, chosen, codons or significant(cds, chosen, adj_p))
+    return {"genes": genes, "summary": frequency.driver_summary(genes)}
+
+
+def significant(cds: DataFrame, chosen: DataFrame, adj_p: float = frequency.ALPHA, top: int = 61) -> list[str]:
+    """The top significant codons of a set by falling score, at most 61; all of them if none is significant."""
+    tested = _tested(frequency.composition(cds, chosen.distinct(), 1)).where(F.col("adjusted_p") < adj_p)
+    return [r.kmer for r in tested.orderBy(F.round("z_score", 9).desc(), "kmer").limit(top).collect()] or sorted(dims.FAMILY)[:top]
+
+
+def positional(cds: DataFrame, chosen: DataFrame, bins: int = 100, top: int = 5) -> dict[str, DataFrame]:
+    """Usage by relative position: a tested score for each bin and codon, and the codons with the largest and the least scores."""
+    symbols, chosen = dims.symbols(cds.sparkSession), chosen.distinct()
+    n = cds.agg(F.count("*").alias("n")).join(F.broadcast(frequency.members(cds, chosen).agg(F.count("*").alias("n_set"))))
+    cells = frequency.positional_freq(cds, symbols, bins).withColumn("cell", F.struct("bin", "codon"))
+    z = frequency.deviation(cells, "cell", "freq", chosen, n).select("cell", "cell.bin", "cell.codon", "observed", "expected", "z_score")
+    tested = _tested(z, "cell").drop("cell").withColumn("shown", F.when(F.col("adjusted_p") < frequency.ALPHA, F.col("z_score")).otherwise(0.0))
+    per = z.groupBy("codon").agg(F.max(F.abs("z_score")).alias("largest"), F.min("z_score").alias("least"))
+    return {"cells": tested, "top_enriched": per.orderBy(F.round("largest", 9).desc(), "codon").limit(top), "top_depleted": per.orderBy(F.round("least", 9), "codon").limit(top)}
+
+
+def clusters(cds: DataFrame, chosen: DataFrame, codons: list[str] | None = None, window: int = 15, permutations: int = 1000, seed: int = 42, top: int = 5) -> dict[str, DataFrame]:
+    """Runs and dense windows of target codons, by default the set's top significant ones, against synonymous shuffles."""
+    codons, inside = codons or significant(cds, chosen, top=top), frequency.members(cds, chosen)
     pos, target = sequences.positions(inside), F.col("codon").isin(codons)
     tested = resample.shuffled_runs(inside, dims.FAMILY, codons, permutations, seed)
     genes = tested.join(ordered.runs(pos, target).select("gene", "longest"), "gene", "left").join(ordered.dense_windows(pos, target, window), "gene", "left").na.fill(0, ["longest", "n_windows"])
-    return {"genes": genes, "summary": genes.agg(F.count("*").alias("n_genes"), F.avg("n_runs").alias("mean_runs"), F.avg((F.col("p") < 0.05).cast("double")).alias("share_significant"))}
+    return {"genes": genes, "summary": genes.agg(F.count("*").alias("n_genes"), F.avg("n_runs").alias("mean_runs"), F.max("longest").alias("longest"), F.avg((F.col("n_windows") > 0).cast("double")).alias("share_dense"), F.avg((F.col("p") < 0.05).cast("double")).alias("share_significant"))}
+
+
+def report(cds: DataFrame, chosen: DataFrame, expression: DataFrame | None = None, n_bootstrap: int = 10_000, seed: int = 42) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The tables of all analyses of a set, and the message of each analysis that could not be planned. Tables are lazy, to be written by sinks.bundle."""
+    cds = cds.persist()
+    parts = {
+        "mono": lambda: composition(cds, chosen, seed=seed), "matched": lambda: composition(cds, chosen, background="matched", seed=seed), "glm": lambda: composition(cds, chosen, model="glm"),
+        "di": lambda: composition(cds, chosen, k=2, seed=seed), "regions": lambda: regions(cds, chosen), "attribution": lambda: disentangle(cds, chosen), "optimality": lambda: profile(cds, chosen), "collision": lambda: collision(cds, chosen),
+    }
+    if expression is not None:
+        parts |= {"cai": lambda: adaptation(cds, chosen, expression), "demand": lambda: demand(cds, chosen, expression, n_bootstrap=n_bootstrap, seed=seed)}
+    out, failed = {}, {}
+    for name, make in parts.items():
+        try:
+            got = make()
+        except (ValueError, AnalysisException) as e:  # one analysis that does not fit the set leaves the others
+            failed[name] = str(e)
+            continue
+        out |= {f"{name}_{k}": v for k, v in got.items()}
+        if name in ("mono", "matched", "di"):
+            out[f"{name}_top"] = tables.strongest(got["results"], 30)
+        if name == "regions" and len(got) == 2:
+            out["regions_biased"] = tables.biased(got["ramp"], got["body"]).where("biased").orderBy(F.abs("delta").desc(), "kmer").limit(20)
+    symbols = sorted(dims.FAMILY)
+    out["per_gene_codon_freq"] = sequences.target_freq(frequency.members(cds, chosen), symbols).drop("n")
+    out["gene_metadata"] = frequency.members(cds, chosen).select("gene", F.length("seq").alias("cds_length"), sequences.gc(F.col("seq")).alias("gc_content"))
+    return out, failed

@@ -213,12 +213,15 @@ def _cai(t: Tables) -> DataFrame:
     return weights.geometric(counts.where("n_syn > 1"), weights.cai_weights(counts, t.expression), "weight", "cai")
 
 
-@query(f"SELECT gene, round(cai, 6) + 0.0 AS cai FROM ({_CAI})")
+PARTS["cai"] = _CAI
+
+
+@query("SELECT gene, round(cai, 6) + 0.0 AS cai FROM {cai}")
 def cai(t: Tables) -> DataFrame:
     return _cai(t).withColumn("cai", r6("cai"))
 
 
-@query(f"WITH x AS ({_CAI}), s AS (SELECT avg(cai) AS mean, median(cai) AS median FROM x SEMI JOIN {{seta}} USING (gene)) SELECT round(mean, 6) AS mean, round(median, 6) AS median, round(100 * avg(CASE WHEN cai <= mean THEN 1.0 ELSE 0.0 END), 4) AS percentile FROM x, s GROUP BY mean, median")
+@query("WITH x AS (SELECT * FROM {cai}), s AS (SELECT avg(cai) AS mean, median(cai) AS median FROM x SEMI JOIN {seta} USING (gene)) SELECT round(mean, 6) AS mean, round(median, 6) AS median, round(100 * avg(CASE WHEN cai <= mean THEN 1.0 ELSE 0.0 END), 4) AS percentile FROM x, s GROUP BY mean, median")
 def cai_summary(t: Tables) -> DataFrame:
     scores = _cai(t)
     s = scores.join(t.set_a, "gene", "left_semi").agg(F.avg("cai").alias("mean"), F.median("cai").alias("median"))
@@ -279,9 +282,7 @@ def per_gene_fs(t: Tables) -> DataFrame:
 
 @query("SELECT least(pos * 10 // (n - 1), 9)::INT AS bin, count(*) AS n FROM {nxt} WHERE c2 IS NOT NULL AND codon IN (SELECT codon FROM {fast}) AND c2 NOT IN (SELECT codon FROM {fast}) GROUP BY bin")
 def fs_positions(t: Tables) -> DataFrame:
-    fast = t.fast
-    pairs = t.cds.select(sequences.codon_array(F.col("seq")).alias("c")).select(F.size("c").alias("n"), F.posexplode(F.zip_with(F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", F.lit(2), F.size("c")), lambda a, b: a.isin(fast) & ~b.isin(fast))).alias("pos", "hit"))
-    return pairs.where("hit").groupBy(F.least(F.expr("pos * 10 div (n - 1)"), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return ordered.fs_deciles(t.cds, t.fast)
 
 
 _FS = "SELECT codon || c2 AS kmer, count(*) AS n FROM {nxt} %s WHERE codon IN (SELECT codon FROM {fast}) AND c2 IN (SELECT codon FROM {sym} WHERE codon NOT IN (SELECT codon FROM {fast})) GROUP BY ALL"
@@ -289,13 +290,8 @@ _FS = "SELECT codon || c2 AS kmer, count(*) AS n FROM {nxt} %s WHERE codon IN (S
 
 @query(f"WITH a AS ({_FS % 'SEMI JOIN {seta} USING (gene)'}), b AS ({_FS % ''}), j AS (SELECT kmer, coalesce(a.n, 0) AS n_set, b.n AS n_all, b.n * (SELECT sum(n) FROM a) / (SELECT sum(n) FROM b) AS e FROM b LEFT JOIN a USING (kmer)) SELECT kmer, n_set, n_all, round(n_set / e, 6) + 0.0 AS fold, round((n_set - e) / sqrt(e), 4) + 0.0 AS z FROM j")
 def fs_dicodon(t: Tables) -> DataFrame:
-    fast = t.fast
-    slow = [r.codon for r in t.symbols.collect() if r.codon not in fast]
-    pairs = sequences.kmer_counts(t.cds, 2).where(F.substring("kmer", 1, 3).isin(fast) & F.substring("kmer", 4, 3).isin(slow))
-    both = pairs.join(t.set_a.withColumn("inside", F.lit(1)), "gene", "left").groupBy("kmer").agg(F.coalesce(F.sum(F.when(F.col("inside") == 1, F.col("cnt"))), F.lit(0).cast("long")).alias("n_set"), F.sum("cnt").alias("n_all"))
-    total = both.agg(F.sum("n_set").alias("ts"), F.sum("n_all").alias("ta"))
-    e = F.col("n_all") * F.col("ts") / F.col("ta")
-    return both.join(F.broadcast(total)).select("kmer", "n_set", "n_all", r6(F.col("n_set") / e).alias("fold"), (F.round((F.col("n_set") - e) / F.sqrt(e), 4) + 0.0).alias("z"))
+    p = ordered.fs_pairs(t.cds, t.set_a, t.symbols, t.fast)
+    return p.select("kmer", "n_set", "n_all", r6("fold").alias("fold"), (F.round("z_score", 4) + 0.0).alias("z"))
 
 
 @query("SELECT gene, pos, n, round(smooth, 6) + 0.0 AS smooth FROM {smooth}")

@@ -90,7 +90,7 @@ def query(sql: str | None = None):
 
 
 #: Parts that others name several times: derived once.
-OFTEN = {"cds", "codons", "nxt", "k1", "k2", "k3", "f1", "f2", "f3", "cc", "dense", "rscu", "aaf", "tai", "fast", "expr", "trans", "stats", "track", "smooth", "pfreq", "pz", "comp1", "comp2", "bhcomp1", "bhaa", "bhrscu", "corrs", "rpairs", "drv"}
+OFTEN = {"cds", "codons", "nxt", "k1", "k2", "k3", "f1", "f2", "f3", "cc", "dense", "rscu", "aaf", "tai", "fast", "expr", "trans", "stats", "track", "smooth", "pfreq", "pz", "comp1", "comp2", "bhcomp1", "bhaa", "bhrscu", "corrs", "rpairs", "drv", "cai"}
 
 
 def assembled(sql: str) -> str:

@@ -30,20 +30,29 @@ def wide_expression(wide: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def gct(spark: SparkSession, path: str) -> DataFrame:
-    """(gene, symbol, sample, tpm): two lines of preamble, a header, then rows; versions are cut from genes; what is no number is 0."""
-    lines = spark.read.text(path).where("value not like '#%' and not value rlike '^[0-9]+\\\\t[0-9]+$'")
+    """gct_lines of a file, compressed or not."""
+    return gct_lines(spark.read.text(path))
+
+
+def gct_lines(lines: DataFrame) -> DataFrame:
+    """(gene, symbol, sample, tpm) of lines (value): two lines of preamble, a header, then rows; versions are cut from genes; what is no number is 0."""
+    lines = lines.where("value not like '#%' and not value rlike '^[0-9]+\\\\t[0-9]+$'")
     header = lines.where("value like 'Name\\t%'").first().value.split("\t")  # one line
     cells = F.split("value", "\t")
     rows = lines.where("value not like 'Name\\t%'").select(F.substring_index(cells[0], ".", 1).alias("gene"), cells[1].alias("symbol"), F.posexplode(F.slice(cells, 3, len(header))).alias("i", "raw"))
     names = F.array(*map(F.lit, header[2:]))
-    return rows.select("gene", "symbol", F.get(names, F.col("i")).alias("sample"), F.coalesce(F.expr("try_cast(raw as double)"), F.lit(0.0)).alias("tpm"))
+    number = F.expr("try_cast(raw as double)")
+    return rows.select("gene", "symbol", F.get(names, F.col("i")).alias("sample"), F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0)).alias("tpm"))
 
 
 def cell_lines(models: DataFrame, genes: DataFrame) -> DataFrame:
     """(gene, model, tpm) of a matrix of models by genes: columns "SYMBOL (ENTREZ)", values log2(tpm + 1).
 
-    models: model_id and one column for each gene; genes: (gene, symbol, entrez). The first row of a model counts, an
+    models: model_id and one column for each gene, and perhaps is_default, then "Yes" or true for the row of a model that counts;
+    genes: (gene, symbol, entrez). Without that column the first row of a model counts, an
     Entrez match goes before a symbol match, and of several columns of a gene the first."""
+    if "is_default" in models.columns:
+        models = models.where(F.lower(F.col("is_default").cast("string")).isin("yes", "true")).drop("is_default")
     columns = [c for c in models.columns if c != "model_id"]
     long = models.dropDuplicates(["model_id"]).unpivot(["model_id"], columns, "column", "x")
     at = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))

@@ -39,13 +39,18 @@ def test_composition(cds, chosen):
 def test_other_modes(cds, chosen, expression):
     assert modes.demand(cds, chosen, expression, n_bootstrap=250)["results"].count() == 61
     assert modes.collision(cds, chosen)["proportions"].count() == 2
-    assert sum(r.n for r in modes.disentangle(cds, chosen)["summary"].collect()) == 61
+    parts = modes.disentangle(cds, chosen)
+    assert parts["attribution"].count() == 61 and parts["summary"].first().n_significant == parts["attribution"].where("attribution <> 'None'").count()
     assert 0 <= modes.adaptation(cds, chosen, expression)["summary"].first().percentile <= 100
     assert modes.reverse(cds, ["gaa", "AGA"], top=7).count() == 7
     with pytest.raises(ValueError):
         modes.reverse(cds, ["TAA"])
-    d = modes.differential(cds, chosen, cds.join(chosen, "gene", "left_anti").select("gene")).collect()
-    assert len(d) == 61 and all((r.direction == "a") == (r.fold > 1) for r in d)
+    d = modes.differential(cds, chosen, cds.join(chosen, "gene", "left_anti").select("gene"))
+    assert d["results"].count() == 61 and all((r.direction == "a") == (r.fold > 1) and r.genome_z_a * r.genome_z_b <= 0 for r in d["results"].collect()) and d["attribution_b"].count() == 61
+    c = modes.collision(cds, chosen)
+    assert 0 <= c["comparison"].first().p_value <= 1 and c["deciles"].count() == 10 and c["dicodons"].where("adjusted_p is null").count() == 0
+    p = modes.positional(cds, chosen, 10)
+    assert p["cells"].count() == 610 and p["top_enriched"].count() == p["top_depleted"].count() == 5
     s = modes.drivers(cds, chosen, ["GAA"])["summary"].first()
     assert 1 <= s.n50 <= s.n80 <= s.n_genes and 0 <= s.gini <= 1
     assert modes.clusters(cds, chosen.limit(5), ["GAA", "AGA"], permutations=20)["summary"].first().n_genes == 5
@@ -57,6 +62,17 @@ def test_profile_and_compare(cds, chosen):
     pairs = cds.select(F.col("gene").alias("g1"), F.col("gene").alias("g2"))
     c = modes.compare(cds, cds, pairs, chosen.select(F.col("gene").alias("g1")))
     assert c["summary"].agg(F.min("mean_r")).first()[0] == pytest.approx(1.0)
+    shifted = pairs.withColumn("g2", F.reverse("g2"))
+    c = modes.compare(cds, cds, shifted, chosen.select(F.col("gene").alias("g1")), n_bootstrap=500)
+    assert abs(c["bootstrap"].first().z_score) < 8 and c["divergent"].where("n_differ > 18").count() == 0
+    assert set(modes.regions(cds, chosen)) == {"ramp", "body"} and modes.regions(cds.limit(20), chosen) == {}
+
+
+def test_report_leaves_out_what_fails(cds, chosen, expression):
+    tables, failed = modes.report(cds, chosen, expression, n_bootstrap=50)
+    assert not failed and {"mono_results", "mono_top", "regions_biased", "attribution_drivers", "cai_summary", "demand_results", "per_gene_codon_freq"} <= set(tables)
+    assert tables["per_gene_codon_freq"].count() == chosen.count() and len(tables["per_gene_codon_freq"].columns) == 62
+    assert tables["mono_top"].count() <= 60
 
 
 def test_command_line(cds, chosen, tmp_path):
@@ -66,3 +82,7 @@ def test_command_line(cds, chosen, tmp_path):
     spark = cds.sparkSession
     assert spark.read.csv(str(tmp_path / "out/codons"), sep="\t", header=True).count() == 61
     assert json.loads(spark.read.text(str(tmp_path / "out/config")).first().value)["mode"] == "attribution"
+    cli.main(["deep-dive", "--cds", str(tmp_path / "cds"), "--genes", str(tmp_path / "genes.txt"), "--output-dir", str(tmp_path / "deep"), "--cluster", "--permutations", "5"])
+    assert spark.read.csv(str(tmp_path / "deep/drivers_summary"), sep="\t", header=True).count() >= 1
+    cli.main(["reverse", "--cds", str(tmp_path / "cds"), "--codons", "GAA", "--top", "12", "--check", "--output-dir", str(tmp_path / "rev")])
+    assert spark.read.csv(str(tmp_path / "rev/check"), sep="\t", header=True).count() == 61
