@@ -45,7 +45,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = labelled.SAMPLE_ROWS) -
     rows = labelled.sample(docs, labels, limit)
     if not rows:
         return OrdinalModel(linear.Linear(np.zeros(0, np.uint64), np.zeros(0)), np.zeros(2))
-    return fit_texts([r.text for r in rows], np.array([0 if r.quality == 0 else 1 if r.toxic else 2 for r in rows]), 3)
+    grades, texts = np.array([0 if r.quality == 0 else 1 if r.toxic else 2 for r in rows]), [r.text for r in rows]
+    del rows
+    x = linear.matrix(texts)
+    del texts  # the driver holds the matrix alone
+    return OrdinalModel(*linear.fit_ordinal(x, grades, 3))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -49,10 +49,14 @@ class Chain:
 
 def fit_texts(texts: list, marks: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
     """marks: 0/1, a column for each category. Row i belongs to fold i % folds."""
-    x, fold = linear.matrix(texts), np.arange(len(texts)) % folds
-    seen, models = np.zeros((len(texts), 0)), []
+    return fit_matrix(linear.matrix(texts), marks, names, folds)
+
+
+def fit_matrix(x: linear.Sparse, marks: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
+    fold = np.arange(x.n) % folds
+    seen, models = np.zeros((x.n, 0)), []
     for k in range(len(names)):
-        y, ahead = marks[:, k], np.zeros(len(texts))
+        y, ahead = marks[:, k], np.zeros(x.n)
         if k + 1 < len(names):
             for f in range(folds):
                 m = linear.fit_logistic(x, y, fold != f, seen)
@@ -69,8 +73,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = labelled.SAMPLE_ROWS) -
     if not rows:
         nothing = linear.Linear(np.zeros(0, np.uint64), np.zeros(0), -20.0)
         return Chain(names, [nothing] * len(names))
-    marks = np.array([[int(f(r.quality, r.toxic)) for _, f in CATEGORIES] for r in rows])
-    return fit_texts([r.text for r in rows], marks, names)
+    marks, texts = np.array([[int(f(r.quality, r.toxic)) for _, f in CATEGORIES] for r in rows]), [r.text for r in rows]
+    del rows
+    x = linear.matrix(texts)
+    del texts  # the driver holds the matrix alone
+    return fit_matrix(x, marks, names)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
