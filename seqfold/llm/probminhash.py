@@ -199,7 +199,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     An id with several texts has a row for each class that they are in. Rows with a null id are compared, but left out."""
     told = kept(_told(docs, id_col, text_col, similarity))
-    least = told.groupBy("label").agg(F.min("name").alias("class_id"))
+    least = kept(told.groupBy("label").agg(F.min("name").alias("class_id")))  # written, so that the join below can split a very large class
     found = told.where("name is not null").join(least, "label").select(F.col("name").alias("id"), "class_id")
     alone = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("class_id"))
     return found.unionByName(alone).distinct()
@@ -208,7 +208,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class, one with the least id (a null id is the last); rows with a null text stay."""
     told = kept(_told(docs, id_col, text_col, similarity))
-    least = told.groupBy("label").agg(F.min(F.struct(F.col("name").isNull().alias("n"), "name", "id"))["id"].alias("keep"))
+    least = kept(told.groupBy("label").agg(F.min(F.struct(F.col("name").isNull().alias("n"), "name", "id"))["id"].alias("keep")))
     drop = told.join(least, "label").where("id <> keep").select(F.col("id").alias("__row"))
     once = docs.where(F.col(text_col).isNotNull()).withColumn("__row", row_key(id_col, text_col)).join(drop, "__row", "left_anti").dropDuplicates(["__row"]).drop("__row")
     return once.unionByName(docs.where(F.col(text_col).isNull())).select(docs.columns)
