@@ -34,7 +34,7 @@ def by_first_turn(conversations: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id): in each group of conversations with the same first turn, the least id is chosen over
     each other one; a conversation with no other one has a null rejected_id."""
     first = conversations.select("conv_id", F.sha2(F.concat_ws("\u0001", F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"]), 256).alias("first"))
-    least = first.groupBy("first").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n"))
+    least = kept(first.groupBy("first").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n")))  # written, so that the join below can split a very common turn
     both = first.join(least, "first")
     return both.where("n = 1 or conv_id <> chosen_id").select("chosen_id", F.when(F.col("n") > 1, F.col("conv_id")).alias("rejected_id"))
 
