@@ -22,10 +22,11 @@ MARKS = 6  # characters that rendering adds to a turn's role and text: "<|", "|>
 
 def threads(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns): each conversation's turns (role, text, end) in order; end: where a turn's rendered form ends, counted over all
-    turns up to it. Repeated rows are dropped as rows, before any array is built."""
-    rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    placed = rows.withColumn("end", F.sum(F.length("role") + F.length("text") + MARKS).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order))
+    turns up to it. Repeated rows fall together in a set before the one shuffle; what follows keeps its partitions."""
+    rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
+    each = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("t")).select("conv_id", F.posexplode("t").alias("nth", "t"))
+    order = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.select("conv_id", "nth", "t.role", "t.text").withColumn("end", F.sum(F.length("role") + F.length("text") + MARKS).over(order))
     whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text", "end"))).alias("t"))
     return whole.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["end"].alias("end"))).alias("turns"))
 
