@@ -137,7 +137,7 @@ def drivers(cds: DataFrame, chosen: DataFrame, codons: list[str]) -> DataFrame:
     spread = F.col("sd") / F.sqrt("n")
     left_out = ((F.col("n") * F.col("set_mean") - F.col("frequency")) / (F.col("n") - 1) - F.col("mean")) / (F.col("sd") / F.sqrt(F.col("n") - 1))
     moved = F.when((F.col("n") > 1) & (F.col("sd") > 0), F.abs((F.col("set_mean") - F.col("mean")) / spread - left_out) > 2).otherwise(False)
-    rows = rows.select("kmer", "gene", "frequency", "contribution", "size", (-F.col("size")).alias("_size"), F.round(F.when(F.col("set_mean") > F.col("mean"), -F.col("contribution")).otherwise(F.col("contribution")), 15).alias("_signed"), moved.alias("influential"))
+    rows = rows.select("kmer", "gene", "frequency", "contribution", "size", (-F.col("size")).alias("_size"), F.round(F.when(F.col("set_mean") > F.col("mean"), -F.col("contribution")).otherwise(F.col("contribution")), 15).alias("_signed"), moved.alias("influential")).persist()  # a row for each gene of the set and codon, read several times
     signed = stats.running(rows, ["kmer"], "_signed", ["gene"]).withColumnRenamed("rank", "_rank").drop("cum")
     total = rows.groupBy("kmer").agg(F.sum("size").alias("_total"))
     sized = stats.running(signed, ["kmer"], "_size", ["gene"], "size").join(F.broadcast(total), "kmer")
