@@ -60,8 +60,8 @@ def mann_whitney(df: DataFrame, value: str, in_a: str, by: str) -> DataFrame:
 
 
 def mann_whitney_counts(counts: DataFrame, value: str, by: str) -> DataFrame:
-    """mann_whitney of (by, value, a, t): how many rows of group a, and in all, have each distinct value."""
-    ranked = running(counts.select(by, value, "a", "t"), [by], value, [], "t").withColumn("rank", F.col("cum") - F.col("t") + (F.col("t") + 1) / 2)
+    """mann_whitney of (by, value, a, t): how many rows of group a, and in all, have each distinct value. They are read several times, and kept meanwhile."""
+    ranked = running(counts.select(by, value, "a", "t").persist(), [by], value, [], "t").withColumn("rank", F.col("cum") - F.col("t") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(by).agg(F.sum("a").alias("n_a"), F.sum("t").alias("n"), F.sum(F.col("a") * F.col("rank")).alias("ra"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     u = sums.withColumn("n_b", F.col("n") - F.col("n_a")).withColumn("u", F.col("ra") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     pairs = F.col("n_a") * F.col("n_b")
