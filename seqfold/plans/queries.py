@@ -461,8 +461,8 @@ b AS (SELECT stddev_samp(x) AS sd_b FROM (SELECT rep, avg(r) AS x FROM h3, (SELE
 @query(f"WITH v AS (SELECT row_number() OVER (ORDER BY pair) - 1 AS idx, r, g1 FROM {{corrs}} WHERE r IS NOT NULL), a AS (SELECT * FROM v SEMI JOIN {{seta}} ON g1 = gene), {_BOOT} SELECT (SELECT count(*) FROM a) AS n, (SELECT count(*) FROM v) AS n_all, (SELECT round(avg(r), 6) FROM a) AS mean_r, (SELECT round(median(r), 6) FROM a) AS median_r, (SELECT round(stddev_samp(r), 6) FROM a) AS sd_r, (SELECT round(avg(r), 6) FROM v) AS mean_all, round(((SELECT avg(r) FROM a) - (SELECT avg(r) FROM v)) / sd_b, 4) + 0.0 AS z_score FROM b")
 def compare_summary(t: Tables) -> DataFrame:
     """Correlations of the pairs of a set against all pairs: resampled means give the standard error, the mean of all the centre."""
-    corr = _correlations(t).where("r is not null")
-    ranked = stats.running(corr, [], "pair", []).select((F.col("rank") - 1).alias("idx"), F.col("r").alias("value"), "g1")
+    corr = _correlations(t).where("r is not null").persist()  # a row for each pair, ranked and then read several times
+    ranked = stats.running(corr, [], "pair", []).select((F.col("rank") - 1).alias("idx"), F.col("r").alias("value"), "g1").persist()
     inside = ranked.join(t.set_a.withColumnRenamed("gene", "g1"), "g1", "left_semi")
     z = resample.bootstrap_mean(ranked.select("idx", "value"), inside.agg(F.avg("value").alias("observed")), inside.agg(F.count("*").alias("m")), 10_000, 42)
     own = inside.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_r"), F.round(F.median("value"), 6).alias("median_r"), F.round(F.stddev_samp("value"), 6).alias("sd_r"))
