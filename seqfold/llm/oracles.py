@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqfold.llm import license_index, secrets
+from seqfold.llm import divergence_rules, importance, license_index, secrets
 from seqfold.llm.queries import URL_RULES
 
 
@@ -86,5 +86,53 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+def _quality_rules() -> str:
+    d = divergence_rules
+    space = r"[\x20\x09-\x0D]"
+    kinds = [f"length(regexp_replace(coalesce(text, ''), {_quoted(p)}, '', 'g'))" for p in ("[^a-z]+", r"[^\x20\x09-\x0D]+")]
+    kinds += [f"length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), {_quoted(p)}, '', 'g'))" for p in d.CLASSES]
+    js = "sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)))"
+    limits = " AND ".join(f"coalesce({c}, 0) <= {a} + {b} / sqrt(n_words)" for c, (a, b) in d.LIMITS.items())
+    return rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w, [{", ".join(kinds)}] AS c6 FROM documents),
+u AS MATERIALIZED (SELECT *, len(w) AS n, list_append(c6, length(text) - list_sum(c6)::BIGINT) AS c, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM t),
+heavy AS (SELECT text FROM u GROUP BY text HAVING count(*) > 1 AND count(*) * {d.HEAVY} > (SELECT count(*) FROM u)),
+f AS MATERIALIZED (SELECT * FROM u WHERE length(text) >= {d.MIN_CHARS} AND text NOT IN (SELECT text FROM heavy)),
+langs AS (SELECT lang, sum(n)::BIGINT AS total FROM f GROUP BY lang HAVING sum(n) >= {d.MIN_REFERENCE}),
+qc AS (SELECT lang, i, s / sum(s) OVER (PARTITION BY lang) AS q FROM (SELECT lang, i, sum(v)::DOUBLE AS s FROM (SELECT lang, unnest(range(7)) AS i, unnest(c) AS v FROM f SEMI JOIN langs USING (lang)) GROUP BY lang, i)),
+qw AS (SELECT lang, w, m / total AS q FROM (SELECT lang, w, m, row_number() OVER (PARTITION BY lang ORDER BY m DESC, w) AS k FROM (SELECT lang, lower(unnest(w)) AS w, count(*)::DOUBLE AS m FROM f GROUP BY lang, 2) WHERE NOT regexp_matches(w, '{d.NOT_LETTERS}')) JOIN langs USING (lang) WHERE k <= {d.COMMON}),
+cd AS (SELECT r, {js} AS char_distance FROM (SELECT r, v / length(text) AS p, q FROM (SELECT r, lang, text, unnest(range(7)) AS i, unnest(c) AS v FROM u WHERE n >= {d.MIN_WORDS}) JOIN qc USING (lang, i)) GROUP BY r),
+own AS (SELECT r, lower(unnest(w)) AS w, count(*) AS m FROM u WHERE n >= {d.MIN_WORDS} GROUP BY r, 2),
+pw AS (SELECT u.r, coalesce(own.m, 0) / u.n AS p, qw.q FROM u JOIN qw ON qw.lang = u.lang LEFT JOIN own ON own.r = u.r AND own.w = qw.w WHERE u.n >= {d.MIN_WORDS}),
+wd AS (SELECT r, {js} AS word_distance FROM (SELECT r, p, q FROM pw UNION ALL SELECT r, 1 - sum(p), 1 - sum(q) FROM pw GROUP BY r) GROUP BY r),
+x AS (SELECT r, unnest(range(n - 2)) AS i, unnest(list_transform(range(n - 2), lambda i: concat_ws(' ', w[i + 1], w[i + 2], w[i + 3]))) AS run FROM u WHERE n >= 4),
+again AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT r, i FROM x QUALIFY count(*) OVER (PARTITION BY r, run) > 1), range(3) AS o(k) GROUP BY r),
+a AS (SELECT doc_id, n AS n_words, length(text) - c[2] AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, char_distance, word_distance
+      FROM u LEFT JOIN again USING (r) LEFT JOIN cd USING (r) LEFT JOIN wd USING (r)),
+b AS (SELECT *, n_words < {d.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {limits} AS kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM b"""
+
+
+def _importance() -> str:
+    m, li = importance, license_index
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{li.UPPER}', '{li.LOWER}'), '{li.SEPARATORS}'), lambda x: x <> '')"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+b AS (SELECT unnest({words}) AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT r, unnest(words) AS w FROM d),
+tab AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c >> s, 3988292384) ELSE c >> s END) AS c FROM range(256) AS o(n))),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM b)),
+bytes AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS bs FROM v),
+h AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % {m.BUCKETS} AS k FROM bytes, tab),
+s AS (SELECT k, count(*) AS s FROM dw JOIN h USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM b JOIN h USING (w) GROUP BY k),
+n AS (SELECT (SELECT count(*) FROM dw) + {m.BUCKETS} AS ns, (SELECT count(*) FROM b) + {m.BUCKETS} AS nt),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ns / ((s + 1)::DOUBLE * nt)))::BIGINT AS g FROM s LEFT JOIN t USING (k), n),
+f AS (SELECT r, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN h USING (w) JOIN g USING (k) GROUP BY r),
+x AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('{m.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN f USING (r)),
+y AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {m.MIN_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER (PARTITION BY n_features >= {m.MIN_WORDS}) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {m.MIN_WORDS} AND k <= {m.PERCENT} * n // 100 THEN k END AS rank FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _secret_scan(), "op5_preference": _preference(), "op6_url_filter": _url_filter(), "op7_license_scan": _license_scan(), "op9_maxscore": _maxscore()}
+    return {"op1_secret_scan": _secret_scan(), "op5_preference": _preference(), "op6_url_filter": _url_filter(), "op7_license_scan": _license_scan(), "op9_maxscore": _maxscore(), "op11_quality_rules": _quality_rules(), "op12_importance": _importance()}

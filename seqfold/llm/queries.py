@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqfold.llm import byte_bpe, cgk_decontam, license_index, maxscore, ordinal_quality, preference_format, probminhash, secrets, toxicity_chain, url_bloom
+from seqfold.llm import byte_bpe, cgk_decontam, divergence_rules, importance, license_index, maxscore, ordinal_quality, preference_format, probminhash, secrets, toxicity_chain, url_bloom, whitening
 from seqfold.llm.storage import shared_folder
 
 #: Rules for URLs (host, path, verdict).
@@ -82,6 +82,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = divergence_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return told.withColumns({c: F.round(c, 6) for c in divergence_rules.LIMITS})
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_secret_scan, op2_quality, op3_toxicity, op4_decontamination, op5_preference, op6_url_filter, op7_license_scan, op8_byte_bpe, op9_maxscore, op10_near_duplicates)
+    named = (op1_secret_scan, op2_quality, op3_toxicity, op4_decontamination, op5_preference, op6_url_filter, op7_license_scan, op8_byte_bpe, op9_maxscore, op10_near_duplicates, op11_quality_rules, op12_importance, op13_whitening)
     return {f.__name__: f for f in named}
