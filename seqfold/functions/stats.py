@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,8 +54,50 @@ def gini(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     return running(df.select(key, value, tie), [key], value, [tie]).groupBy(key).agg(F.when(s > 0, 2 * F.sum(F.col("rank") * F.col(value)) / (n * s) - (n + 1) / n).otherwise(0.0).alias("gini"))
 
 
+EXACT_SIDE = 8  # the exact distribution serves where one side has at most so many members and no values are tied
+EXACT_CELLS = 2_000_000  # and the product of both sides is at most this, which bounds the table below; the normal form is close long before
+
+
+@functools.lru_cache(maxsize=64)
+def rank_sum_tail(m: int, n: int) -> np.ndarray:
+    """How many of the C(m + n, m) arrangements have U of at most 0, 1, .. m n / 2: exact whole numbers.
+
+    Arrangements with U = u are the partitions of u into at most m parts of at most n, the coefficients of the product over i <= m of
+    (1 - q^(n + i)) / (1 - q^i). Each division is a running sum with stride i and each factor one shifted difference, so the table costs
+    O(m^2 n) and no step depends on another test."""
+    m, n = min(m, n), max(m, n)
+    size = m * n // 2 + 1
+    ways = np.zeros(size, np.int64 if math.comb(m + n, m) < 1 << 62 else object)
+    ways[0] = 1
+    for i in range(1, m + 1):
+        rows = -(-size // i)
+        padded = np.concatenate([ways, np.zeros(rows * i - size, ways.dtype)]).reshape(rows, i)
+        ways = np.add.accumulate(padded, axis=0).ravel()[:size]
+    for i in range(1, m + 1):
+        if n + i < size:
+            ways = ways - np.concatenate([np.zeros(n + i, ways.dtype), ways[: size - n - i]])
+    return np.add.accumulate(ways)
+
+
+def rank_sum_p(n_a: int, n_b: int, u: float) -> float:
+    """Two-sided p of U without ties: twice the smaller tail, 1 at most."""
+    low = int(min(u, n_a * n_b - u))
+    return min(1.0, 2 * (int(rank_sum_tail(n_a, n_b)[low]) / math.comb(n_a + n_b, n_a)))
+
+
+@F.pandas_udf(T.DoubleType())
+def mann_whitney_p(n_a: pd.Series, n_b: pd.Series, u: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    """p of summary rows: exact for small untied samples, else from the normal score. Tests of equal sizes share a table."""
+    def one(a: int, b: int, u: float, tied: float, z: float) -> float:
+        exact = min(a, b) <= EXACT_SIDE and tied == 0 and a * b <= EXACT_CELLS
+        return rank_sum_p(int(a), int(b), u) if exact else math.erfc(abs(z) / math.sqrt(2.0))
+
+    return pd.Series([one(*x) for x in zip(n_a, n_b, u, ties, z, strict=True)], dtype=float)
+
+
 def mann_whitney(df: DataFrame, value: str, in_a: str, by: str) -> DataFrame:
-    """(by, n_a, n_b, u, rank_biserial, z): U of group a from mean ranks, and the tie-corrected normal score with continuity.
+    """(by, n_a, n_b, u, rank_biserial, z, p_value): U of group a from mean ranks, the tie-corrected normal score with continuity, and the two-sided p:
+    from the exact distribution where one side has EXACT_SIDE members at most and no values are tied, else from the score.
 
     Values are counted first, so that ranks come from the distinct values of a group and ties need no sort."""
     return mann_whitney_counts(df.groupBy(by, value).agg(F.sum(F.col(in_a).cast("long")).alias("a"), F.count("*").alias("t")), value, by)
@@ -67,7 +111,9 @@ def mann_whitney_counts(counts: DataFrame, value: str, by: str) -> DataFrame:
     pairs = F.col("n_a") * F.col("n_b")
     sd = F.sqrt(pairs / 12 * (F.col("n") + 1 - F.col("ties") / (F.col("n") * (F.col("n") - 1))))
     gap = F.abs(F.col("u") - pairs / 2) - 0.5
-    return u.where("n_a > 0 and n_b > 0").select(by, "n_a", "n_b", "u", (1 - 2 * F.col("u") / pairs).alias("rank_biserial"), F.when(sd > 0, F.greatest(gap, F.lit(0.0)) / sd * F.signum(F.col("u") - pairs / 2)).otherwise(0.0).alias("z"))
+    score = F.when(sd > 0, F.greatest(gap, F.lit(0.0)) / sd * F.signum(F.col("u") - pairs / 2)).otherwise(0.0)
+    told = u.where("n_a > 0 and n_b > 0").select(by, "n_a", "n_b", "u", (1 - 2 * F.col("u") / pairs).alias("rank_biserial"), score.alias("z"), F.col("ties").cast("double").alias("ties"))
+    return told.withColumn("p_value", mann_whitney_p("n_a", "n_b", "u", "ties", "z")).drop("ties")
 
 
 def ks(df: DataFrame, value: str, in_a: str) -> DataFrame:

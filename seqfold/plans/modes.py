@@ -195,7 +195,7 @@ def differential(cds: DataFrame, a: DataFrame, b: DataFrame, species: str = "yea
     fold = (F.coalesce("mean_a", F.lit(0.0)) + 1e-9) / (F.coalesce("mean_b", F.lit(0.0)) + 1e-9)
     tested = stats.mann_whitney_counts(counts, "freq", "kmer").join(means, "kmer").withColumn("fold", fold).withColumn("direction", F.when(fold > 1, "a").otherwise("b"))
     scores = [frequency.composition(cds, x.distinct(), 1).select("kmer", F.col("z_score").alias(n)) for x, n in ((a, "genome_z_a"), (b, "genome_z_b"))]
-    results = _tested(tested.withColumnRenamed("z", "z_score")).join(scores[0], "kmer", "left").join(scores[1], "kmer", "left")
+    results = stats.bh(tested.withColumnRenamed("z", "z_score"), "p_value", "kmer").join(scores[0], "kmer", "left").join(scores[1], "kmer", "left")
     return {"results": results} | {f"attribution_{n}": disentangle(cds, x, species)["attribution"] for x, n in ((a, "a"), (b, "b"))}
 
 

@@ -363,10 +363,27 @@ def gini(t: Tables) -> DataFrame:
 _MW = "SELECT kmer, c.gene IS NOT NULL AS in_a, coalesce(freq, 0) AS freq, a.gene FROM (SELECT DISTINCT codon AS kmer FROM {sym}) CROSS JOIN (SELECT gene FROM {cds} JOIN ((SELECT gene FROM {seta}) UNION (SELECT gene FROM {setb})) USING (gene)) a LEFT JOIN {f1} f USING (kmer, gene) LEFT JOIN {seta} c ON c.gene = a.gene"
 
 
-@query(f"SELECT kmer, n_a, n_b, u, round(1 - 2 * u / (n_a * n_b), 6) + 0.0 AS rank_biserial, round(CASE WHEN sd > 0 THEN greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / sd * sign(u - n_a * n_b / 2) ELSE 0 END, 4) + 0.0 AS z FROM (SELECT kmer, n_a, n - n_a AS n_b, ra - n_a * (n_a + 1) / 2 AS u, sqrt(n_a * (n - n_a) / 12 * (n + 1 - ties / (n * (n - 1)))) AS sd FROM (SELECT kmer, sum(CASE WHEN in_a THEN 1 ELSE 0 END)::BIGINT AS n_a, count(*) AS n, sum(CASE WHEN in_a THEN k ELSE 0 END) AS ra, sum(c * c - 1)::DOUBLE AS ties FROM (SELECT kmer, in_a, rank() OVER (PARTITION BY kmer ORDER BY freq) + (count(*) OVER (PARTITION BY kmer, freq) - 1) / 2 AS k, count(*) OVER (PARTITION BY kmer, freq) AS c FROM (SELECT kmer, in_a, round(freq, 12) AS freq FROM ({_MW}))) GROUP BY kmer))")
+@query(f"SELECT kmer, n_a, n_b, u, round(1 - 2 * u / (n_a * n_b), 6) + 0.0 AS rank_biserial, round(CASE WHEN sd > 0 THEN greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / sd * sign(u - n_a * n_b / 2) ELSE 0 END, 4) + 0.0 AS z, round({P_SQL}, 6) AS p_value FROM (SELECT *, greatest(1e-12, least(6.5, CASE WHEN sd > 0 THEN greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / sd / sqrt(2) ELSE 0 END)) AS x FROM (SELECT kmer, n_a, n - n_a AS n_b, ra - n_a * (n_a + 1) / 2 AS u, sqrt(n_a * (n - n_a) / 12 * (n + 1 - ties / (n * (n - 1)))) AS sd FROM (SELECT kmer, sum(CASE WHEN in_a THEN 1 ELSE 0 END)::BIGINT AS n_a, count(*) AS n, sum(CASE WHEN in_a THEN k ELSE 0 END) AS ra, sum(c * c - 1)::DOUBLE AS ties FROM (SELECT kmer, in_a, rank() OVER (PARTITION BY kmer ORDER BY freq) + (count(*) OVER (PARTITION BY kmer, freq) - 1) / 2 AS k, count(*) OVER (PARTITION BY kmer, freq) AS c FROM (SELECT kmer, in_a, round(freq, 12) AS freq FROM ({_MW}))) GROUP BY kmer)))")
 def mann_whitney(t: Tables) -> DataFrame:
     """Set a against set b for each codon; genes without it count as zero."""
-    return _rank_tests(t).select("kmer", "n_a", "n_b", "u", r6("rank_biserial").alias("rank_biserial"), (F.round("z", 4) + 0.0).alias("z"))
+    return _rank_tests(t).select("kmer", "n_a", "n_b", "u", r6("rank_biserial").alias("rank_biserial"), (F.round("z", 4) + 0.0).alias("z"), F.round("p_value", 6).alias("p_value"))
+
+
+_EXACT = f"""WITH RECURSIVE v AS (SELECT c_nationkey || '-' || c_mktsegment AS cell, c_custkey % 3 = 0 AS in_a, c_acctbal AS x FROM customer),
+ranked AS (SELECT cell, in_a, rank() OVER (PARTITION BY cell ORDER BY x) + (count(*) OVER (PARTITION BY cell, x) - 1) / 2 AS k, count(*) OVER (PARTITION BY cell, x) AS c FROM v),
+s AS (SELECT cell, count(*) FILTER (WHERE in_a) AS n_a, count(*) FILTER (WHERE NOT in_a) AS n_b, count(*) AS n, coalesce(sum(k) FILTER (WHERE in_a), 0) AS ra, sum(c * c - 1)::DOUBLE AS ties FROM ranked GROUP BY cell),
+t AS (SELECT *, ra - n_a * (n_a + 1) / 2 AS u FROM s WHERE n_a > 0 AND n_b > 0),
+w(n, k, total, ways) AS (SELECT 0, 0, 0, 1::DOUBLE UNION ALL SELECT n + 1, k + b, total + b * (n + 1), sum(ways) FROM w, (VALUES (0), (1)) AS o(b) WHERE n < (SELECT max(n) FROM t WHERE least(n_a, n_b) <= 8) AND k + b <= 8 GROUP BY 1, 2, 3),
+e AS (SELECT cell, sum(ways) FILTER (WHERE total - k * (k + 1) / 2 <= least(u, n_a * n_b - u)) / sum(ways) AS tail FROM t JOIN w ON w.n = t.n AND w.k = least(n_a, n_b) WHERE ties = 0 GROUP BY cell),
+z AS (SELECT *, n_a * n_b AS pairs, sqrt(n_a * n_b / 12 * (n + 1 - ties / (n * (n - 1)))) AS sd FROM t)
+SELECT cell, n_a, n_b, u, round(CASE WHEN tail IS NOT NULL THEN least(1, 2 * tail) ELSE {P_SQL} END, 9) AS p_value FROM (SELECT *, greatest(1e-12, least(6.5, greatest(abs(u - pairs / 2) - 0.5, 0) / sd / sqrt(2))) AS x FROM z) LEFT JOIN e USING (cell)"""
+
+
+@query(_EXACT)
+def rank_sum_exact(t: Tables) -> DataFrame:
+    """Balances of two kinds of customers within each nation and segment: small samples, most of them without ties."""
+    rows = t.read("customer").select(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("cell"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 3 == 0).alias("in_a"))
+    return stats.mann_whitney(rows, "x", "in_a", "cell").select("cell", "n_a", "n_b", "u", F.round("p_value", 9).alias("p_value"))
 
 
 def _rank_tests(t: Tables) -> DataFrame:
