@@ -24,54 +24,73 @@ def bootstrap_mean(values: DataFrame, observed: DataFrame, n_draw: DataFrame, re
     return stats.join(F.broadcast(observed)).select("observed", "mean_b", "sd_b", F.when(F.col("sd_b") > 0, (F.col("observed") - F.col("mean_b")) / F.col("sd_b")).otherwise(0.0).alias("z_score"))
 
 
-def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_set: int, reps: int = 10_000, seed: int = 42, weight: str | None = None) -> DataFrame:
-    """(kmer, observed, mean_b, sd_b, z_score): resamples n_set of the genes, reps times, for every k-mer at once.
-
-    Replicates are never joined to cells. Each task draws how often its own genes come in each replicate from a seed of the gene, as
-    Poisson numbers with mean n_set / N, and adds up count * freq by k-mer: it holds (replicates of a pass) x (k-mers). The numbers are not
-    conditioned on their sum: a replicate has n_set genes on average, and its mean is a ratio to the number drawn, whose spread is that of
-    multinomial draws up to terms of 1 / n_set. Partial sums are rows by replicate and k-mer, which Spark adds up. For k of 1 and 2;
-    triplets have the closed form.
-    genes: (gene) or (gene, weight); freq: (gene, kmer, freq)."""
-    total = genes.count()
-    block = 250
-    kmers = [r.kmer for r in observed.select("kmer").orderBy("kmer").collect()]
-    at = {x: i for i, x in enumerate(kmers)}
-    rate = n_set / max(1, total)
+BINS = 512  # of entities, dealt by a hash: how many resampled entities a bin gets is drawn for all bins at once
+
+
+def multinomial(rows: DataFrame, n_draw: int, reps: int, width: int, seed: int) -> DataFrame:
+    """(rep, at, sum): for each replicate of n_draw draws with replacement of the rows, the sum of their values at each place.
+
+    rows: (key, w, at array<int>, v array<double>); a draw of a row adds w * v at its places and w at place -1. Draws are never rows. A replicate's draws
+    are divided over BINS bins of rows by one multinomial number, which every task draws alike from the seed; inside a bin, row after
+    row, by binomial numbers on condition of what is left and of how many rows are left. So each replicate has n_draw draws exactly, a bin needs no
+    other one, and rows are read as a stream. A task holds (replicates of a pass) x (places), 160 MB at most, and adds them up over its rows; Spark adds up the tasks'."""
+    dealt = rows.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(BINS)).cast("int"))
+    sizes = [0] * BINS
+    for r in dealt.groupBy("bin").agg(F.count("*").alias("n")).collect():
+        sizes[r.bin] = r.n
+    total, block = sum(sizes), 250
 
     def partial(batches, first: int, last: int):
-        starts = range(first, last, block)
-        sums = [np.zeros((min(block, last - b), len(kmers))) for b in starts]
-        mass = [np.zeros(len(s)) for s in sums]
+        sums, mass = np.zeros((last - first, width)), np.zeros(last - first)
+        share = np.random.default_rng([seed, first]).multinomial(n_draw, np.array(sizes) / total, size=last - first)
+        now, left, rest, rng = -1, None, 0, None
         for pdf in batches:
-            for gene, w, names, vals in zip(pdf["gene"], pdf["w"], pdf["kmers"], pdf["freqs"], strict=True):
-                rng = np.random.default_rng([seed, first, zlib.crc32(str(gene).encode())])
-                cols = np.array([at[x] for x in names if x in at], int)
-                v = np.array([f for x, f in zip(names, vals, strict=True) if x in at])
-                for s, m in zip(sums, mass, strict=True):
-                    c = rng.poisson(rate, len(s)) * w
-                    m += c
-                    hit = np.flatnonzero(c)
-                    if len(cols):
-                        s[np.ix_(hit, cols)] += c[hit, None] * v[None, :]
-        for b, s, m in zip(starts, sums, mass, strict=True):
-            if m.any():
-                cell = np.flatnonzero(s)
-                yield pd.DataFrame({"rep": b + np.flatnonzero(m), "at": np.int32(-1), "sum": m[m != 0]})
-                for lo in range(0, len(cell), 100_000):
-                    one = cell[lo : lo + 100_000]
-                    yield pd.DataFrame({"rep": b + one // s.shape[1], "at": (one % s.shape[1]).astype(np.int32), "sum": s.ravel()[one]})
-
-    packed = freq.groupBy("gene").agg(F.collect_list("kmer").alias("kmers"), F.collect_list("freq").alias("freqs"))
-    rows = genes.join(packed, "gene", "left").select("gene", F.col(weight).alias("w") if weight else F.lit(1.0).alias("w"), F.coalesce("kmers", F.array().cast("array<string>")).alias("kmers"), F.coalesce("freqs", F.array().cast("array<double>")).alias("freqs"))
-    span = max(block, block * (20_000_000 // (block * max(1, len(kmers)))))  # replicates of a pass: a task holds 160 MB of sums at most
+            for b, w, at, v in zip(pdf["bin"], pdf["w"], pdf["at"], pdf["v"], strict=True):
+                if b != now:
+                    now, left, rest, rng = b, share[:, b].copy(), sizes[b], np.random.default_rng([seed, first, int(b)])
+                c = rng.binomial(left, 1.0 / rest)
+                left -= c
+                rest -= 1
+                hit = np.flatnonzero(c)
+                mass[hit] += c[hit] * w
+                if len(at):
+                    sums[np.ix_(hit, np.asarray(at, int))] += (c[hit] * w)[:, None] * np.asarray(v)[None, :]
+        some = np.flatnonzero(mass)
+        yield pd.DataFrame({"rep": first + some, "at": np.int32(-1), "sum": mass[some]})
+        cell = np.flatnonzero(sums)
+        for lo in range(0, len(cell), 100_000):
+            one = cell[lo : lo + 100_000]
+            yield pd.DataFrame({"rep": first + one // width, "at": (one % width).astype(np.int32), "sum": sums.ravel()[one]})
+
+    if not total or not n_draw:
+        return rows.sparkSession.createDataFrame([], "rep long, at int, sum double")
+    span = max(block, block * (20_000_000 // (block * max(1, width))))  # replicates of a pass
+    held = dealt.repartition("bin").sortWithinPartitions("bin", "key")
     parts = None
     for first in range(0, reps, span):
-        one = rows.mapInPandas(lambda batches, first=first: partial(batches, first, min(first + span, reps)), "rep long, at int, sum double")
+        one = held.mapInPandas(lambda batches, first=first: partial(batches, first, min(first + span, reps)), "rep long, at int, sum double")
         parts = one if parts is None else parts.unionByName(one)
-    sums = parts.groupBy("rep", "at").agg(F.sum("sum").alias("sum"))  # combined before the shuffle
-    mass = sums.where("at < 0").select("rep", F.col("sum").alias("mass"))
+    return parts.groupBy("rep", "at").agg(F.sum("sum").alias("sum"))  # combined before the shuffle
+
+
+def multinomial_mean(values: DataFrame, n_draw: int, reps: int = 10_000, seed: int = 42) -> DataFrame:
+    """(rep, mean): means of reps resamples of n_draw of the values (key, value)."""
+    rows = values.select("key", F.lit(1.0).alias("w"), F.array(F.lit(0)).alias("at"), F.array(F.col("value").cast("double")).alias("v"))
+    sums = multinomial(rows, n_draw, reps, 1, seed)
+    return sums.groupBy("rep").agg((F.coalesce(F.sum(F.when(F.col("at") == 0, F.col("sum"))), F.lit(0.0)) / F.sum(F.when(F.col("at") == -1, F.col("sum")))).alias("mean"))
+
+
+def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_set: int, reps: int = 10_000, seed: int = 42, weight: str | None = None) -> DataFrame:
+    """(kmer, observed, mean_b, sd_b, z_score): resamples exactly n_set of the genes, reps times, for every k-mer at once.
+
+    Replicates are never joined to cells: see multinomial. A replicate's mean is the weighted sum over the weights drawn; of a replicate that draws no weight
+    there is none. For k of 1 and 2; triplets have the closed form. genes: (gene) or (gene, weight); freq: (gene, kmer, freq)."""
+    kmers = [r.kmer for r in observed.select("kmer").orderBy("kmer").collect()]
     names = freq.sparkSession.createDataFrame(list(enumerate(kmers)), "at int, kmer string")  # 3,721 at most
+    packed = freq.join(F.broadcast(names), "kmer").groupBy("gene").agg(F.collect_list("at").alias("at"), F.collect_list("freq").alias("v"))
+    rows = genes.join(packed, "gene", "left").select(F.col("gene").alias("key"), F.col(weight).alias("w") if weight else F.lit(1.0).alias("w"), F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("v", F.array().cast("array<double>")).alias("v"))
+    sums = multinomial(rows, n_set, reps, max(1, len(kmers)), seed)
+    mass = sums.where("at < 0").select("rep", F.col("sum").alias("mass"))
     means = sums.where("at >= 0").join(F.broadcast(mass), "rep").select("at", (F.col("sum") / F.col("mass")).alias("mean"))
     n = mass.agg(F.count("*").alias("n"))
     moments = means.groupBy("at").agg(F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q")).join(F.broadcast(n))

@@ -142,9 +142,9 @@ def compare(cds1: DataFrame, cds2: DataFrame, pairs: DataFrame, chosen: DataFram
     ok = (F.count("*") >= 5) & (F.stddev_pop("x") > 1e-12) & (F.stddev_pop("y") > 1e-12)
     corr = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.when(ok, F.corr("x", "y")).alias("r")).persist()  # a row for each pair, read by every table
     marked = corr.where("r is not null").join(chosen.distinct().withColumn("in_a", F.lit(True)), "g1", "left").na.fill(False, ["in_a"]).withColumn("all", F.lit(1))
-    ranked = stats.running(marked.select("g1", "g2", "r", "in_a"), [], "r", ["g1", "g2"]).select((F.col("rank") - 1).alias("idx"), F.col("r").alias("value"), "in_a").persist()
-    inside, centre = ranked.where("in_a"), ranked.agg(F.avg("value").alias("mean_all"))
-    drawn = resample.bootstrap_mean(ranked.select("idx", "value"), inside.agg(F.avg("value").alias("observed")), inside.agg(F.count("*").alias("m")), n_bootstrap, seed)
+    inside, centre = marked.where("in_a"), marked.agg(F.avg("r").alias("mean_all"))
+    means = resample.multinomial_mean(marked.select(F.struct("g1", "g2").alias("key"), F.col("r").alias("value")), inside.count(), n_bootstrap, seed)
+    drawn = means.agg(F.stddev_samp("mean").alias("sd_b")).join(F.broadcast(inside.agg(F.avg("r").alias("observed"))))
     boot = drawn.join(F.broadcast(centre)).select("observed", "mean_all", "sd_b", F.when(F.col("sd_b") > 0, (F.col("observed") - F.col("mean_all")) / F.col("sd_b")).otherwise(0.0).alias("z_score"))
     summary = marked.groupBy("in_a").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"), F.median("r").alias("median_r"), F.stddev_samp("r").alias("sd_r"))
     own = marked.where("in_a")

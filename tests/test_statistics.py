@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqfold.functions import stats
+from seqfold.operators import resample
 
 
 def test_rank_sum_distribution_by_enumeration():
@@ -39,3 +40,26 @@ def test_exact_and_normal_p_by_size_and_ties(spark):
     for g in ("large", "tied"):
         assert got[g].p_value == pytest.approx(math.erfc(abs(got[g].z) / math.sqrt(2)), abs=1e-14)
     assert abs(got["edge"].p_value - math.erfc(abs(got["edge"].z) / math.sqrt(2))) < 0.02  # both forms are near there
+
+
+def test_multinomial_resamples_have_exactly_so_many_draws(spark):
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=700).tolist()
+    rows = spark.createDataFrame([(i, 1.0, [0, 2], [v, 1.0]) for i, v in enumerate(values)] + [(900, 1.0, [], [])], "key long, w double, at array<int>, v array<double>")
+    got = resample.multinomial(rows, 37, 600, 3, 5).collect()
+    assert {r.sum for r in got if r.at == -1} == {37.0} and {r.rep for r in got} == set(range(600))
+    ones = {r.rep: r.sum for r in got if r.at == 2}
+    assert all(0 < x <= 37 and x == int(x) for x in ones.values()) and not any(r.at == 1 for r in got)
+    assert np.mean(list(ones.values())) == pytest.approx(37 * 700 / 701, abs=0.05)
+    assert resample.multinomial(rows.where("false"), 37, 10, 3, 5).count() == 0
+
+
+def test_multinomial_means_meet_the_closed_form(spark):
+    values = np.random.default_rng(3).gamma(1.0, size=2000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "key long, value double")
+    means = [r["mean"] for r in resample.multinomial_mean(df, 50, 4000, 9).collect()]
+    assert len(means) == 4000
+    assert np.mean(means) == pytest.approx(values.mean(), abs=4 * values.std() / math.sqrt(50 * 4000))
+    assert np.std(means) == pytest.approx(values.std() / math.sqrt(50), rel=0.05)
+    again = [r["mean"] for r in resample.multinomial_mean(df.repartition(7), 50, 4000, 9).collect()]
+    assert sorted(again) == pytest.approx(sorted(means), abs=1e-12)  # draws follow the seed, not the partitions
