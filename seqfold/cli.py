@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from seqfold.functions import dims
 from seqfold.plans import modes
 from seqfold.sources import readers, sinks
 
@@ -15,6 +16,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seqfold")
     p.add_argument("mode", choices=["enrichment", "demand", "optimality", "collision", "compare", "attribution", "cai", "reverse", "deep-dive", "differential", "report"])
     p.add_argument("--cds", required=True, help="Parquet (gene, seq), or FASTA by its suffix")
+    p.add_argument("--species", default="yeast", choices=dims.known_species(), help="whose tRNAs and wobble rules hold")
+    p.add_argument("--trna", help="FASTA of tRNA genes, whose copies hold instead of the fixed ones if they name 20 anticodons")
     p.add_argument("--genes", help="gene list: # comments, commas or white space")
     p.add_argument("--genes-b", help="second list of a differential")
     p.add_argument("--expression", help="tab-separated: gene, tpm")
@@ -64,18 +67,19 @@ def main(argv: list[str] | None = None) -> None:
 
     chosen = listed(a.genes) if a.genes else None
     expression = readers.table(spark, a.expression, "gene string, tpm double") if a.expression else None
+    found = readers.trna_headers(spark.read.text(a.trna).where("startswith(value, '>')").withColumn("line", F.monotonically_increasing_id())) if a.trna else None
     run = {
         "enrichment": lambda: modes.composition(cds, chosen, a.kmer, a.background, a.trim_ramp, a.model, a.n_bootstrap, a.seed),
         "demand": lambda: modes.demand(cds, chosen, expression, a.kmer, a.top_n, a.n_bootstrap, a.seed),
-        "optimality": lambda: modes.profile(cds, chosen, a.window, a.wobble_penalty, a.ramp_codons, a.method),
-        "collision": lambda: modes.collision(cds, chosen, a.wobble_penalty, a.threshold, a.method),
+        "optimality": lambda: modes.profile(cds, chosen, a.window, a.wobble_penalty, a.ramp_codons, a.method, a.species, found),
+        "collision": lambda: modes.collision(cds, chosen, a.wobble_penalty, a.threshold, a.method, a.species, found),
         "compare": lambda: modes.compare(cds, sequences(a.cds_2), readers.table(spark, a.orthologs, "g1 string, g2 string"), chosen.withColumnRenamed("gene", "g1"), a.n_bootstrap, a.seed),
-        "attribution": lambda: modes.disentangle(cds, chosen),
+        "attribution": lambda: modes.disentangle(cds, chosen, a.species, found),
         "cai": lambda: modes.adaptation(cds, chosen, expression),
         "reverse": lambda: reverse(),
         "deep-dive": lambda: deep_dive(),
-        "differential": lambda: modes.differential(cds, chosen, listed(a.genes_b)),
-        "report": lambda: modes.report(cds, chosen, expression, a.n_bootstrap, a.seed)[0],
+        "differential": lambda: modes.differential(cds, chosen, listed(a.genes_b), a.species),
+        "report": lambda: modes.report(cds, chosen, expression, a.n_bootstrap, a.seed, a.species, found)[0],
     }
 
     def reverse() -> dict:

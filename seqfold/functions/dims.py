@@ -15,14 +15,18 @@ SYNONYMS = {c: sum(g == f for g in FAMILY.values()) for c, f in FAMILY.items()}
 STOPS = ("TAA", "TAG", "TGA")
 
 
+def known_species() -> list[str]:
+    return list(decoding.RULES)
+
+
 def rules(species: str = "yeast") -> list[tuple[str, str, str, str]]:
     """(codon, family, anticodon, decoding type)."""
-    return [r[:4] for r in decoding.RULES[species]]
+    return list(decoding.RULES[species])
 
 
 def copies(species: str = "yeast") -> list[tuple[str, int]]:
     """(anticodon, copies)."""
-    return [(a, n) for a, _, n in decoding.COPIES[species]]
+    return list(decoding.COPIES[species])
 
 
 def symbols(spark: SparkSession) -> DataFrame:

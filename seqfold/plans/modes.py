@@ -6,7 +6,7 @@ draws of whole genes, an analytic one from the closed form of the same standard
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqfold.functions import dims, stats
@@ -82,11 +82,15 @@ def demand(cds: DataFrame, chosen: DataFrame, expression: DataFrame, k: int = 1,
     return {"results": _tested(scored), "top_genes": weights.demand_rank(inside, expression).orderBy(F.desc("weight"), "gene")}
 
 
-def profile(cds: DataFrame, chosen: DataFrame, window: int = 10, wobble_penalty: float = 0.5, ramp_codons: int = 50, method: str = "wtai") -> dict[str, DataFrame]:
-    """Optimality along genes: metagene profiles, ramp against body, scores by gene, composition of both regions."""
+def decoding_rules(spark: SparkSession, species: str, found: DataFrame | None = None) -> DataFrame:
+    """How a species reads codons, with its tRNA copies: those found (aa, anticodon, copies) if they are enough, else its fixed ones."""
+    return weights.with_copies(dims.wobble_rules(spark, species), dims.trna_copies(spark, species, found))
+
+
+def profile(cds: DataFrame, chosen: DataFrame, window: int = 10, wobble_penalty: float = 0.5, ramp_codons: int = 50, method: str = "wtai", species: str = "yeast", found: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Optimality along genes by a species' tRNAs: metagene profiles, ramp against body, scores by gene, composition of both regions."""
     spark, inside = cds.sparkSession, frequency.members(cds, chosen)
-    rules = weights.with_copies(dims.wobble_rules(spark), dims.trna_copies(spark))
-    w = weights.tai_weights(rules, wobble_penalty)
+    w = weights.tai_weights(decoding_rules(spark, species, found), wobble_penalty)
     lines = {name: ordered.metagene(ordered.smoothed(ordered.scored(sequences.positions(c), w, method), window)).withColumnRenamed("profile", name) for name, c in (("geneset", inside), ("genome", cds))}
     track = ordered.scored(sequences.positions(inside), w, method).where(F.col("n") > ramp_codons)
     halves = track.groupBy("gene").agg(F.avg(F.when(F.col("pos") < ramp_codons, F.col("score"))).alias("ramp"), F.avg(F.when(F.col("pos") >= ramp_codons, F.col("score"))).alias("body"))
@@ -103,10 +107,10 @@ def regions(cds: DataFrame, chosen: DataFrame, start: int = 1, ramp_codons: int
     return out
 
 
-def collision(cds: DataFrame, chosen: DataFrame, wobble_penalty: float = 0.5, threshold: float | None = None, method: str = "wtai") -> dict[str, DataFrame]:
-    """Transitions between fast and slow codons. A codon is fast from the threshold on, by default the median weight."""
+def collision(cds: DataFrame, chosen: DataFrame, wobble_penalty: float = 0.5, threshold: float | None = None, method: str = "wtai", species: str = "yeast", found: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Transitions between codons that a species reads fast and slowly. A codon is fast from the threshold on, by default the median weight."""
     spark, inside = cds.sparkSession, frequency.members(cds, chosen)
-    w = weights.tai_weights(weights.with_copies(dims.wobble_rules(spark), dims.trna_copies(spark)), wobble_penalty)
+    w = weights.tai_weights(decoding_rules(spark, species, found), wobble_penalty)
     values = sorted((r[method], r.codon) for r in w.collect())  # 61 rows
     middle = (values[30][0] + values[(len(values) - 1) // 2][0]) / 2 if threshold is None else threshold
     fast = [c for v, c in values if v >= middle]
@@ -120,7 +124,7 @@ def collision(cds: DataFrame, chosen: DataFrame, wobble_penalty: float = 0.5, th
     }
 
 
-def disentangle(cds: DataFrame, chosen: DataFrame, species: str = "yeast") -> dict[str, DataFrame]:
+def disentangle(cds: DataFrame, chosen: DataFrame, species: str = "yeast", found: DataFrame | None = None) -> dict[str, DataFrame]:
     """Family-level and within-family deviations, what each codon's deviation is due to, and what explains the synonymous ones."""
     spark, chosen = cds.sparkSession, chosen.distinct()
     symbols = dims.symbols(spark)
@@ -129,7 +133,7 @@ def disentangle(cds: DataFrame, chosen: DataFrame, species: str = "yeast") -> di
     aa = _tested(frequency.deviation(frequency.aa_freq(counts), "aa", "freq", chosen, n), "aa")
     codon = _tested(frequency.deviation(frequency.rscu(counts), "codon", "rscu", chosen, n), "codon").join(F.broadcast(symbols), "codon")
     named = frequency.attribution(aa, codon)
-    rules = weights.with_copies(dims.wobble_rules(spark, species), dims.trna_copies(spark, species))
+    rules = decoding_rules(spark, species, found)
     return {"families": aa, "codons": codon, "attribution": named, "summary": frequency.attribution_summary(named), "drivers": frequency.synonymous_drivers(codon, rules)}
 
 
@@ -232,12 +236,12 @@ def clusters(cds: DataFrame, chosen: DataFrame, codons: list[str] | None = None,
     return {"genes": genes, "summary": genes.agg(F.count("*").alias("n_genes"), F.avg("n_runs").alias("mean_runs"), F.max("longest").alias("longest"), F.avg((F.col("n_windows") > 0).cast("double")).alias("share_dense"), F.avg((F.col("p") < 0.05).cast("double")).alias("share_significant"))}
 
 
-def report(cds: DataFrame, chosen: DataFrame, expression: DataFrame | None = None, n_bootstrap: int = 10_000, seed: int = 42) -> tuple[dict[str, DataFrame], dict[str, str]]:
+def report(cds: DataFrame, chosen: DataFrame, expression: DataFrame | None = None, n_bootstrap: int = 10_000, seed: int = 42, species: str = "yeast", found: DataFrame | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """The tables of all analyses of a set, and the message of each analysis that could not be planned. Tables are lazy, to be written by sinks.bundle."""
     cds = cds.persist()
     parts = {
         "mono": lambda: composition(cds, chosen, seed=seed), "matched": lambda: composition(cds, chosen, background="matched", seed=seed), "glm": lambda: composition(cds, chosen, model="glm"),
-        "di": lambda: composition(cds, chosen, k=2, seed=seed), "regions": lambda: regions(cds, chosen), "attribution": lambda: disentangle(cds, chosen), "optimality": lambda: profile(cds, chosen), "collision": lambda: collision(cds, chosen),
+        "di": lambda: composition(cds, chosen, k=2, seed=seed), "regions": lambda: regions(cds, chosen), "attribution": lambda: disentangle(cds, chosen, species, found), "optimality": lambda: profile(cds, chosen, species=species, found=found), "collision": lambda: collision(cds, chosen, species=species, found=found),
     }
     if expression is not None:
         parts |= {"cai": lambda: adaptation(cds, chosen, expression), "demand": lambda: demand(cds, chosen, expression, n_bootstrap=n_bootstrap, seed=seed)}

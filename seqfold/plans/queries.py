@@ -182,14 +182,18 @@ def synonymous_drivers(t: Tables) -> DataFrame:
     return d.select("codon", "aa", (F.round("rscu_z", 4) + 0.0).alias("rscu_z"), "driver")
 
 
-@query("SELECT codon, aa, anticodon, decoding_type, copies FROM {rules}")
+@query("SELECT codon, aa, anticodon, decoding_type, copies, cnt FROM {rules} JOIN (SELECT kmer, sum(cnt)::BIGINT AS cnt FROM {k1} GROUP BY kmer) ON kmer = codon")
 def wobble_join(t: Tables) -> DataFrame:
-    return t.rules.select("codon", "aa", "anticodon", "decoding_type", "copies")
+    """How each codon that occurs is read, and how often it occurs."""
+    used = sequences.kmer_counts(t.cds, 1).groupBy(F.col("kmer").alias("codon")).agg(F.sum("cnt").alias("cnt"))
+    return used.join(F.broadcast(t.rules), "codon").select("codon", "aa", "anticodon", "decoding_type", "copies", "cnt")
 
 
-@query("SELECT codon, round(tai, 6) AS tai, round(wtai, 6) AS wtai FROM {tai}")
+@query("SELECT codon, sum(cnt)::BIGINT AS cnt, round(tai, 6) AS tai, round(wtai, 6) AS wtai FROM {k1} JOIN {tai} ON codon = kmer GROUP BY codon, tai, wtai")
 def tai_weights(t: Tables) -> DataFrame:
-    return t.tai.select("codon", F.round("tai", 6).alias("tai"), F.round("wtai", 6).alias("wtai"))
+    """The weights of the codons that occur, and how often they do."""
+    used = sequences.kmer_counts(t.cds, 1).groupBy(F.col("kmer").alias("codon")).agg(F.sum("cnt").alias("cnt"))
+    return used.join(F.broadcast(t.tai), "codon").select("codon", "cnt", F.round("tai", 6).alias("tai"), F.round("wtai", 6).alias("wtai"))
 
 
 @query("SELECT gene, round(v, 6) + 0.0 AS wtai FROM {geom}")
@@ -197,6 +201,29 @@ def gene_tai(t: Tables) -> DataFrame:
     return weights.geometric(frequency.codon_counts(t.cds, t.symbols), t.tai, "wtai", "wtai").withColumn("wtai", r6("wtai"))
 
 
+def _by_species(species: str) -> None:
+    """The optimality of genes and their transitions by the rules and copies of a species."""
+
+    def gene_tai_of(t: Tables) -> DataFrame:
+        return weights.geometric(frequency.codon_counts(t.cds, t.symbols), t.tai_of(species), "wtai", "wtai").withColumn("wtai", r6("wtai"))
+
+    def transitions_of(t: Tables) -> DataFrame:
+        return ordered.pair_counts(t.cds, t.fast_of(species))
+
+    def used_weights_of(t: Tables) -> DataFrame:
+        used = sequences.kmer_counts(t.cds, 1).groupBy(F.col("kmer").alias("codon")).agg(F.sum("cnt").alias("cnt"))
+        return used.join(F.broadcast(t.tai_of(species)), "codon").select("codon", "cnt", F.round("tai", 6).alias("tai"), F.round("wtai", 6).alias("wtai"))
+
+    gene_tai_of.__name__, transitions_of.__name__, used_weights_of.__name__ = f"gene_tai_{species}", f"transitions_{species}", f"used_weights_{species}"
+    query(f"SELECT gene, round(v, 6) + 0.0 AS wtai FROM {{geom_{species}}}")(gene_tai_of)
+    query(f"SELECT gene, ff, fs, sf, ss FROM {{trans_{species}}}")(transitions_of)
+    query(f"SELECT codon, sum(cnt)::BIGINT AS cnt, round(tai, 6) AS tai, round(wtai, 6) AS wtai FROM {{k1}} JOIN {{tai_{species}}} ON codon = kmer GROUP BY codon, tai, wtai")(used_weights_of)
+
+
+for _species in ("human", "mouse"):
+    _by_species(_species)
+
+
 _CAIW = "SELECT codon, aa, CASE WHEN n_syn = 1 THEN 1.0 ELSE greatest(cnt / max(cnt) OVER (PARTITION BY aa), 0.01) END::DOUBLE AS weight FROM (SELECT codon, aa, n_syn, sum(cnt)::DOUBLE AS cnt FROM {cc} SEMI JOIN (SELECT gene FROM (SELECT gene, row_number() OVER (ORDER BY tpm DESC, gene) AS k, count(*) OVER () AS n FROM {expr}) WHERE k <= greatest(10, floor(n * 0.05))) USING (gene) GROUP BY ALL)"
 
 

@@ -52,17 +52,27 @@ class Tables:
     def tai(self) -> DataFrame:
         return weights.tai_weights(self.rules)
 
+    def tai_of(self, species: str) -> DataFrame:
+        return weights.tai_weights(weights.with_copies(dims.wobble_rules(self.spark, species), dims.trna_copies(self.spark, species)))
+
+    def fast_of(self, species: str) -> list[str]:
+        return upper_half(self.tai_of(species))
+
     @property
     def expression(self) -> DataFrame:
         return weights.tpm(self.cds.select("gene", F.col("n_chars").alias("count"), F.length("seq").alias("length")))
 
     @property
     def fast(self) -> list[str]:
-        """Codons whose wobble-adjusted weight is at least the median: at most 61 of them."""
-        w = sorted((r.wtai, r.codon) for r in self.tai.collect())
-        n = len(w)
-        middle = (w[(n - 1) // 2][0] + w[n // 2][0]) / 2
-        return [c for x, c in w if x >= middle]
+        return upper_half(self.tai)
+
+
+def upper_half(tai: DataFrame) -> list[str]:
+    """Codons whose wobble-adjusted weight is at least the median: at most 61 of them."""
+    w = sorted((r.wtai, r.codon) for r in tai.collect())
+    n = len(w)
+    middle = (w[(n - 1) // 2][0] + w[n // 2][0]) / 2
+    return [c for x, c in w if x >= middle]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -163,6 +173,11 @@ PARTS: dict[str, str] = {
     "ords": "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events",
     "li": "SELECT l_suppkey AS gene, l_returnflag AS aa, l_linestatus AS codon, count(*) AS cnt FROM lineitem GROUP BY ALL",
 }
+for _s in ("human", "mouse"):  # the same parts by the rules and copies of another species
+    PARTS |= {f"rules0_{_s}": _values(dims.rules(_s), "codon, aa, anticodon, decoding_type"), f"copies_{_s}": _values(dims.copies(_s), "anticodon, copies")}
+    for _n in ("rules", "pen", "tai", "fast", "geom", "trans"):
+        PARTS[f"{_n}_{_s}"] = re.sub(r"\{(rules0|copies|rules|pen|tai|fast)\}", rf"{{\1_{_s}}}", PARTS[_n])
+    OFTEN |= {f"tai_{_s}", f"fast_{_s}"}
 for _k in (1, 2, 3):
     PARTS[f"f{_k}"] = f"SELECT gene, kmer, cnt / (length(seq) / 3 - {_k - 1}) AS freq FROM {{k{_k}}} JOIN {{cds}} USING (gene) WHERE {_SENSE}"
     PARTS[f"bg{_k}"] = f"SELECT kmer, sum(freq) / n AS mean, {_SD} AS sd FROM {{f{_k}}}, {{ng}} GROUP BY kmer, n"

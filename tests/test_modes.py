@@ -86,3 +86,21 @@ def test_command_line(cds, chosen, tmp_path):
     assert spark.read.csv(str(tmp_path / "deep/drivers_summary"), sep="\t", header=True).count() >= 1
     cli.main(["reverse", "--cds", str(tmp_path / "cds"), "--codons", "GAA", "--top", "12", "--check", "--output-dir", str(tmp_path / "rev")])
     assert spark.read.csv(str(tmp_path / "rev/check"), sep="\t", header=True).count() == 61
+
+
+def test_species_decide_optimality_and_collision(spark, cds, chosen):
+    scores = {s: {r.gene: r.wtai for r in modes.profile(cds, chosen, species=s)["genes"].collect()} for s in ("yeast", "human", "mouse")}
+    assert scores["yeast"] != scores["human"] != scores["mouse"]
+    fast = {s: modes.collision(cds, chosen, species=s)["proportions"].collect() for s in ("yeast", "human")}
+    assert fast["yeast"] != fast["human"]
+    few = spark.createDataFrame([("Leu", "UAA", 3)], "aa string, anticodon string, copies long")
+    assert {r.gene: r.wtai for r in modes.profile(cds, chosen, found=few)["genes"].collect()} == scores["yeast"]  # too few are found: the fixed copies hold
+    many = spark.createDataFrame([("X", a + b + "A", 1 + i) for i, (a, b) in enumerate((a, b) for a in "ACGU" for b in "ACGU")] + [("X", a + "AG", 2) for a in "ACGU"], "aa string, anticodon string, copies long")
+    assert {r.gene: r.wtai for r in modes.profile(cds, chosen, found=many)["genes"].collect()} != scores["yeast"]
+
+
+def test_weights_of_a_species_by_hand(spark):
+    rules = {r.codon: r for r in modes.decoding_rules(spark, "human").collect()}
+    most = max(r.copies for r in rules.values())
+    w = {r.codon: r for r in modes.weights.tai_weights(modes.decoding_rules(spark, "human")).collect()}
+    assert len(w) == 61 and all(abs(w[c].tai - (r.copies or 0.5) / most) < 1e-12 for c, r in rules.items())
