@@ -26,26 +26,44 @@ def bh(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> DataFram
     return ranked.withColumn("adjusted_p", F.least(F.lit(1.0), least)).drop("_r", "_n")
 
 
-BINS = 1024
+BINS = 256  # of ranked rows, a power of two
+SAMPLE = 8_192  # rows, about, that the bins' bounds are read from
+
+
+def _bounds(df: DataFrame, place: Column) -> DataFrame:
+    """One row: bounds, BINS - 1 places at equal steps of the sorted sample. Rows enter the sample by a hash of their place, so it depends on the
+    data alone, and equal places enter once."""
+    total = df.agg(F.count("*").alias("_n"))
+    told = df.select(place.alias("_p"), F.xxhash64(place).alias("_h")).join(F.broadcast(total))
+    drawn = told.where(F.pmod("_h", F.greatest(F.lit(1), F.expr(f"_n div {SAMPLE}"))) == 0)
+    one = drawn.agg(F.sort_array(F.collect_set("_p")).alias("_s"))
+    steps = F.sequence(F.lit(1), F.lit(BINS - 1))
+    return one.select(F.transform(steps, lambda k: F.get("_s", F.least(F.floor(k * F.size("_s") / BINS).cast("int"), F.size("_s") - 1))).alias("_bounds"))
 
 
 def running(df: DataFrame, by: list[str], value: str, ties: list[str], add: str | None = None) -> DataFrame:
-    """df with rank, from 1, in the order of the number value and then of ties within by, and with cum, the sum of add up to the row.
+    """df with rank, from 1, in the order of value and then of ties within by, and with cum, the sum of add up to the row.
 
-    No task sorts a whole group: rows are dealt by equal bins of a group's range of values, and what lies in lower bins is
-    added from BINS sums a group. The bin follows from the value alone, so ranks do not depend on partitions."""
+    No task sorts a whole group: rows are dealt by ranges of (by, value, ties), whose bounds are quantiles of a sample of these, and what
+    lies in a group's lower ranges is added from a row for each range and group in it. Neither values far out nor very many equal ones
+    fill a range: equal ones are divided by ties, in order. Only rows that are alike in all of them stay together. The bounds follow from the
+    data alone, so ranks do not depend on partitions."""
     keys = [F.col(c) for c in by]
     total = F.sum(add) if add else F.count("*")
-    range_ = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    binned = df.join(F.broadcast(range_), by) if by else df.join(F.broadcast(range_))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS), F.lit(BINS - 1))).otherwise(0).cast("int")
-    binned = binned.withColumn("_bin", at).drop("_lo", "_hi")
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*by, value, *ties])])
+    told = df.join(F.broadcast(_bounds(df, place))).withColumn("_place", place)
+    step, at = BINS // 2, F.lit(0)
+    while step:  # a binary search; a range begins at its bound
+        told = told.withColumn("_bin", at)
+        at = F.col("_bin") + F.when(F.coalesce(F.get("_bounds", F.col("_bin") + (step - 1)) <= F.col("_place"), F.lit(False)), step).otherwise(0)
+        step //= 2
+    binned = told.withColumn("_bin", at).drop("_bounds", "_place")
     below = (Window.partitionBy(*keys) if by else Window.partitionBy(F.lit(0))).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), total.alias("_s"))
+    sums = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), total.alias("_s"))  # BINS rows and one more for each group, at most
     before = sums.select(*keys, "_bin", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_s0"))
     inner = Window.partitionBy(*keys, "_bin").orderBy(value, *ties)
     told = binned.withColumn("_i", F.row_number().over(inner)).withColumn("_c", (F.sum(add) if add else F.count("*")).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    return told.join(F.broadcast(before), [*by, "_bin"]).withColumns({"rank": F.col("_i") + F.col("_n0"), "cum": F.col("_c") + F.col("_s0")}).drop("_bin", "_n0", "_s0", "_i", "_c")
+    return told.join(before, [*by, "_bin"]).withColumns({"rank": F.col("_i") + F.col("_n0"), "cum": F.col("_c") + F.col("_s0")}).drop("_bin", "_n0", "_s0", "_i", "_c")
 
 
 def gini(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact distributions and resampling against enumeration and closed forms."""
 
+import bisect
 import itertools
 import math
 import random
@@ -63,3 +64,37 @@ def test_multinomial_means_meet_the_closed_form(spark):
     assert np.std(means) == pytest.approx(values.std() / math.sqrt(50), rel=0.05)
     again = [r["mean"] for r in resample.multinomial_mean(df.repartition(7), 50, 4000, 9).collect()]
     assert sorted(again) == pytest.approx(sorted(means), abs=1e-12)  # draws follow the seed, not the partitions
+
+
+def ranked(rows, by, value, ties, add):
+    out, sofar = {}, {}
+    for r in sorted(rows, key=lambda r: (r[by], r[value], r[ties])):
+        n, s = sofar.get(r[by], (0, 0))
+        sofar[r[by]] = (n + 1, s + r[add])
+        out[r[by], r[ties]] = sofar[r[by]]
+    return out
+
+
+def test_ranks_stand_ties_and_outliers(spark):
+    rng = random.Random(6)
+    n = 60_000
+    values = {"ties": [0.0 if rng.random() < 0.99 else rng.random() for _ in range(n)], "outlier": [1e9, *(rng.random() for _ in range(n - 1))], "few": [3.0, -1.0, 3.0]}
+    rows = [(g, v, f"n{i:06d}", i % 7) for g, vs in values.items() for i, v in enumerate(vs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double, name string, w long")
+    got = stats.running(df, ["g"], "v", ["name"], "w")
+    assert {(r.g, r.name): (r["rank"], r.cum) for r in got.collect()} == ranked([{"g": g, "v": v, "name": t, "w": w} for g, v, t, w in rows], "g", "v", "name", "w")
+    assert got.columns == ["g", "v", "name", "w", "rank", "cum"]
+    place = F.struct(F.col("g").alias("k0"), F.col("v").alias("k1"), F.col("name").alias("k2"))
+    bounds = stats._bounds(df, place).first()["_bounds"]
+    assert len(bounds) == stats.BINS - 1 and [tuple(b) for b in bounds] == sorted(tuple(b) for b in bounds)
+    cuts = [tuple(b) for b in bounds]
+    sizes = np.bincount([bisect.bisect_right(cuts, (g, v, t)) for g, v, t, _ in rows], minlength=stats.BINS)
+    assert sizes.max() < 3 * sizes.mean()
+    assert {(r.g, r.name): r["rank"] for r in stats.running(df.repartition(9), ["g"], "v", ["name"]).collect()} == {(r.g, r.name): r["rank"] for r in got.collect()}
+
+
+def test_ranks_of_nothing_and_of_equal_rows(spark):
+    df = spark.createDataFrame([(1.0, 5)] * 40 + [(None, 1)], "v double, w long")
+    assert sorted(r["rank"] for r in stats.running(df, [], "v", [], "w").collect()) == list(range(1, 42))
+    assert stats.running(df.where("false"), [], "v", []).count() == 0
