@@ -21,6 +21,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--genes", help="gene list: # comments, commas or white space")
     p.add_argument("--genes-b", help="second list of a differential")
     p.add_argument("--expression", help="tab-separated: gene, tpm")
+    p.add_argument("--samples", help="tab-separated: sample, gene, tpm of tissues, from which the abundances are chosen")
+    p.add_argument("--line-samples", help="the same of cell lines")
+    p.add_argument("--tissue", help="which tissue of --samples; without one their median")
+    p.add_argument("--cell-line", help="which cell line of --line-samples, or the tissue that stands for it")
     p.add_argument("--output-dir", required=True)
     p.add_argument("--kmer", type=int, default=1, choices=[1, 2, 3])
     p.add_argument("--background", default="all", choices=["all", "matched"])
@@ -67,6 +71,9 @@ def main(argv: list[str] | None = None) -> None:
 
     chosen = listed(a.genes) if a.genes else None
     expression = readers.table(spark, a.expression, "gene string, tpm double") if a.expression else None
+    if expression is None and a.samples:
+        tissues, lines = (readers.table(spark, x, "sample string, gene string, tpm double") if x else None for x in (a.samples, a.line_samples))
+        expression = modes.expression_for(tissues, a.tissue, a.cell_line, lines)
     found = readers.trna_headers(spark.read.text(a.trna).where("startswith(value, '>')").withColumn("line", F.monotonically_increasing_id())) if a.trna else None
     run = {
         "enrichment": lambda: modes.composition(cds, chosen, a.kmer, a.background, a.trim_ramp, a.model, a.n_bootstrap, a.seed),

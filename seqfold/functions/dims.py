@@ -14,6 +14,21 @@ FAMILY = {a + b + c: THREE[CODE[16 * i + 4 * j + k]] for i, a in enumerate("TCAG
 SYNONYMS = {c: sum(g == f for g in FAMILY.values()) for c, f in FAMILY.items()}
 STOPS = ("TAA", "TAG", "TGA")
 
+#: Cell lines, and the tissue that stands for each where it was not measured.
+LINE_TISSUES = (
+    ("HEK293T", "Kidney - Cortex"),
+    ("HEK293", "Kidney - Cortex"),
+    ("HELA", "Uterus"),
+    ("U2OS", "Cells - Cultured fibroblasts"),
+    ("A549", "Lung"),
+    ("MCF7", "Breast - Mammary Tissue"),
+    ("K562", "Cells - EBV-transformed lymphocytes"),
+    ("JURKAT", "Cells - EBV-transformed lymphocytes"),
+    ("HEPG2", "Liver"),
+    ("SHSY5Y", "Brain - Cortex"),
+    ("RPE1", "Cells - Cultured fibroblasts"),
+)
+
 
 def known_species() -> list[str]:
     return list(decoding.RULES)

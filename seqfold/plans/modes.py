@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqfold.functions import dims, stats
-from seqfold.operators import frequency, glm, ordered, resample, sequences, tables, weights
+from seqfold.operators import frequency, glm, names, ordered, resample, sequences, tables, weights
 from seqfold.sources import ingest
 
 POWER = {1: 10, 2: 30, 3: 100}  # genes that a set should have for k
@@ -71,6 +71,36 @@ def _regression(cds: DataFrame, chosen: DataFrame) -> DataFrame:
     return glm.by_codon(glm.shares(cds, chosen, dims.symbols(cds.sparkSession)))
 
 
+def expression_for(samples: DataFrame, tissue: str | None = None, cell_line: str | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """(gene, tpm) of one sample. samples, lines: (sample, gene, tpm) of tissues and of cell lines; without a name, the median over all tissues.
+
+    A tissue is the one that is named, else the first, by name, that holds the asked one; a cell line is matched in both directions, and without a
+    match the tissue that stands for it is taken. A name that fits nothing is an error that lists what there is."""
+    if tissue is not None and cell_line is not None:
+        raise ValueError("a tissue or a cell line, not both")
+    if tissue is None and cell_line is None:
+        return samples.groupBy("gene").agg(F.median("tpm").alias("tpm"))
+
+    def listed(df: DataFrame) -> DataFrame:
+        return df.select(F.col("sample").alias("name")).distinct().withColumn("place", F.col("name"))
+
+    def asked(name: str) -> DataFrame:
+        return samples.sparkSession.createDataFrame([(name,)], "ask string")
+
+    found = None
+    if cell_line is not None:
+        known = listed(lines) if lines is not None else listed(samples).where("false")
+        found = names.cell_lines(asked(cell_line), known).first()
+        if found["how"] in ("exact", "substring"):
+            return lines.where(F.col("sample") == found["name"]).select("gene", "tpm")
+        tissue = found["name"]
+    best = names.tissues(asked(tissue), listed(samples)).first()["name"] if tissue is not None else None
+    if best is None:
+        there = [r.name for r in listed(samples if cell_line is None or lines is None else lines).orderBy("name").limit(20).collect()]
+        raise ValueError(f"no sample for {cell_line or tissue!r}; there are {', '.join(there)} and possibly more")
+    return samples.where(F.col("sample") == best).select("gene", "tpm")
+
+
 def demand(cds: DataFrame, chosen: DataFrame, expression: DataFrame, k: int = 1, top_n: int | None = None, n_bootstrap: int = 10_000, seed: int = 42) -> dict[str, DataFrame]:
     """Usage weighted by abundance and length, against resampled genes; top_n holds for the background only."""
     inside = frequency.members(cds, chosen)

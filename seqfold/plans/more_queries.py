@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqfold.functions import dims, stats
-from seqfold.operators import frequency, glm, ids, ordered, resample, sequences, weights
+from seqfold.operators import frequency, glm, ids, names, ordered, resample, sequences, weights
 from seqfold.plans.queries import _reverse
 from seqfold.plans.registry import Tables, query, r6, tested
 from seqfold.sources import readers
@@ -116,6 +116,34 @@ def cell_line_match(t: Tables) -> DataFrame:
     return t.read("customer").where(line.contains("0000012")).select("c_custkey", line.alias("line"))
 
 
+_ASKED = "CASE p_partkey % 5 WHEN 0 THEN 'customer-#' || lpad(p_partkey::VARCHAR, 9, '0') WHEN 1 THEN '#' || lpad((p_partkey // 10)::VARCHAR, 8, '0') WHEN 2 THEN 'my Customer#' || lpad(p_partkey::VARCHAR, 9, '0') || ' (cell)' WHEN 3 THEN p_partkey::VARCHAR ELSE 'hela' || p_partkey END"
+_LINES = "upper(translate({}, ' -():', ''))"
+
+
+@query(f"""WITH n AS (SELECT {_LINES.format("c_name")} AS n, min(c_custkey) AS place, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY 1),
+p(line, tissue, place) AS (VALUES {", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(dims.LINE_TISSUES))}),
+a AS (SELECT DISTINCT ask, {_LINES.format("ask")} AS a FROM (SELECT {_ASKED} AS ask FROM part)),
+m AS (SELECT ask, name, CASE WHEN a = n THEN 'exact' ELSE 'substring' END AS how, (a <> n)::INT AS rank, place FROM a JOIN n ON contains(n, a) OR contains(a, n)
+UNION ALL SELECT ask, tissue, 'proxy', 2 + (a <> line)::INT, place FROM a JOIN p ON contains(line, a) OR contains(a, line))
+SELECT ask, name, how FROM a LEFT JOIN m USING (ask) QUALIFY row_number() OVER (PARTITION BY ask ORDER BY rank, place) = 1""")
+def cell_line_choice(t: Tables) -> DataFrame:
+    """A line for each of many asked names: equal, holding or held, else the tissue that stands for it."""
+    k = F.col("p_partkey")
+    ask = F.when(k % 5 == 0, F.concat(F.lit("customer-#"), F.lpad(k.cast("string"), 9, "0"))).when(k % 5 == 1, F.concat(F.lit("#"), F.lpad(F.expr("p_partkey div 10").cast("string"), 8, "0")))
+    ask = ask.when(k % 5 == 2, F.concat(F.lit("my Customer#"), F.lpad(k.cast("string"), 9, "0"), F.lit(" (cell)"))).when(k % 5 == 3, k.cast("string")).otherwise(F.concat(F.lit("hela"), k.cast("string")))
+    return names.cell_lines(t.read("part").select(ask.alias("ask")), t.read("customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("place")))
+
+
+@query("""WITH n AS (SELECT translate(lower(p_type), '_-', '  ') AS n, min(p_partkey) AS place, arg_max(p_type, p_partkey) AS name FROM part GROUP BY 1),
+a AS (SELECT DISTINCT c_mktsegment AS ask, translate(lower(c_mktsegment), '_-', '  ') AS a FROM customer UNION SELECT DISTINCT substr(p_type, 2, 4 + p_partkey % 3), translate(lower(substr(p_type, 2, 4 + p_partkey % 3)), '_-', '  ') FROM part)
+SELECT ask, name, CASE WHEN a = n THEN 'exact' WHEN name IS NOT NULL THEN 'substring' END AS how FROM a LEFT JOIN n ON contains(n, a) QUALIFY row_number() OVER (PARTITION BY ask ORDER BY (a <> n)::INT, place) = 1""")
+def tissue_choice(t: Tables) -> DataFrame:
+    """A tissue for each of many asked names: equal, else the first that holds it."""
+    p = t.read("part")
+    asked = t.read("customer").select(F.col("c_mktsegment").alias("ask")).unionByName(p.select(F.expr("substring(p_type, 2, 4 + int(p_partkey % 3))").alias("ask")))
+    return names.tissues(asked, p.select(F.col("p_type").alias("name"), F.col("p_partkey").alias("place")))
+
+
 @query("SELECT i::INT AS bin, count(*) AS n FROM (SELECT least(floor(gc * 39), 38) AS i FROM {stats}) GROUP BY i")
 def histogram(t: Tables) -> DataFrame:
     """39 equal bins on [0, 1], the last one closed."""

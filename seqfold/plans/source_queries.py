@@ -101,11 +101,12 @@ def scan_gct(t: Tables) -> DataFrame:
     return readers.gct_lines(lines).where("tpm > 0").withColumn("tpm", F.round("tpm", 4))
 
 
-@query("SELECT s_suppkey AS gene, 'L' || l_linestatus AS model, round(greatest(2 ** (q % 7) - 1, 0), 4) AS tpm FROM (SELECT l_suppkey, l_linestatus, count(*) AS q FROM lineitem WHERE l_suppkey <= 6 GROUP BY ALL) JOIN supplier ON s_suppkey = l_suppkey")
+@query("SELECT s_suppkey AS gene, 'L' || l_linestatus AS model, round(greatest(2 ** (q % 7) - 1, 0), 4) AS tpm FROM (SELECT l_suppkey, l_linestatus, count(*) AS q FROM lineitem GROUP BY ALL) JOIN supplier ON s_suppkey = l_suppkey")
 def scan_cell_lines(t: Tables) -> DataFrame:
     """A matrix of models by genes: rows that are not a model's default are left out, values are turned back from logarithms."""
-    per = t.read("lineitem").where("l_suppkey <= 6").groupBy(F.concat(F.lit("L"), "l_linestatus").alias("model_id")).pivot("l_suppkey", list(range(7))).agg(F.count("l_orderkey"))
-    named = per.select("model_id", *[(C(str(i)) % 7).cast("double").alias(f"SYM{i} ({1000 + i})") for i in range(7)])
+    genes_ = [r.s_suppkey for r in t.read("supplier").select("s_suppkey").orderBy("s_suppkey").collect()]  # a matrix has a column for each gene
+    per = t.read("lineitem").groupBy(F.concat(F.lit("L"), "l_linestatus").alias("model_id")).pivot("l_suppkey", genes_).agg(F.count("l_orderkey"))
+    named = per.select("model_id", *[(C(str(i)) % 7).cast("double").alias(f"SYM{i} ({1000 + i})") for i in genes_])
     other = named.select("model_id", *[F.lit(3.0).alias(c) for c in named.columns[1:]])
     models = named.withColumn("is_default", F.lit("Yes")).unionByName(other.withColumn("is_default", F.lit("No")))
     genes = t.read("supplier").select(C("s_suppkey").alias("gene"), F.concat(F.lit("SYM"), "s_suppkey").alias("symbol"), F.when(C("s_suppkey") % 2 == 0, (C("s_suppkey") + 1000).cast("string")).alias("entrez"))
@@ -184,11 +185,11 @@ def numeric_ids(t: Tables) -> DataFrame:
 # --- what a report shows ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT kmer, round(z_score, 4) + 0.0 AS z_score, round(-log10(greatest(p, 1e-300)), 4) + 0.0 AS height FROM {bhcomp1} WHERE p > 1e-6")
+@query("SELECT kmer, round(z_score, 4) + 0.0 AS z_score, round(least(-log10(greatest(p, 1e-300)), 6), 3) + 0.0 AS height FROM {bhcomp1}")
 def volcano(t: Tables) -> DataFrame:
-    """Scores against clipped logarithms of p, above the digits that both engines share."""
-    c = _tested(frequency.composition(t.cds, t.set_a, 1), "kmer").where("p_value > 1e-6")
-    return c.select("kmer", _z(), (F.round(-F.log10(F.greatest("p_value", F.lit(1e-300))), 4) + 0.0).alias("height"))
+    """Scores of all codons against the logarithm of p, which is clipped at a height of 6, where the plot ends."""
+    c = _tested(frequency.composition(t.cds, t.set_a, 1), "kmer")
+    return c.select("kmer", _z(), (F.round(F.least(-F.log10(F.greatest("p_value", F.lit(1e-300))), F.lit(6.0)), 3) + 0.0).alias("height"))
 
 
 def _top(source: str, key: str, top: int, where: str = "adjusted_p < 0.05") -> str:
