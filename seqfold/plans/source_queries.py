@@ -165,9 +165,11 @@ def ortholog_lookup(t: Tables) -> DataFrame:
     return tables.ortholog_lookup(ahead.unionByName(back), t.read("customer").where("c_nationkey < 12").select(C("c_custkey").alias("gene")), "a")
 
 
-@query("SELECT a.codon || b.codon AS kmer, a.aa || '-' || b.aa AS families FROM {sym} a, {sym} b")
+@query("SELECT kmer, families, coalesce(n, 0)::BIGINT AS n FROM (SELECT a.codon || b.codon AS kmer, a.aa || '-' || b.aa AS families FROM {sym} a, {sym} b) LEFT JOIN (SELECT kmer, sum(cnt)::BIGINT AS n FROM {k2} GROUP BY kmer) USING (kmer)")
 def kmer_enumerate(t: Tables) -> DataFrame:
-    return dims.kmers(t.spark, 2)
+    """Every pair of sense codons with its families, and how often it occurs, which may be never."""
+    seen = sequences.kmer_counts(t.cds, 2).groupBy("kmer").agg(F.sum("cnt").alias("n"))
+    return dims.kmers(t.spark, 2).join(seen, "kmer", "left").select("kmer", "families", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT kmer, substr(kmer, 1, 3) || '-' || substr(kmer, 4, 3) || ' (' || coalesce(a.aa, '?') || '-' || coalesce(b.aa, '?') || ')' AS label FROM (SELECT DISTINCT kmer FROM {k2}) LEFT JOIN {sym} a ON a.codon = substr(kmer, 1, 3) LEFT JOIN {sym} b ON b.codon = substr(kmer, 4, 3)")
