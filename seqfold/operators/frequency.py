@@ -51,6 +51,15 @@ def composition(cds: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return d.select("kmer", "observed", "expected", "n_set", "z_score", F.when(F.col("sd") > 1e-12, gap / F.col("sd")).otherwise(0.0).alias("cohens_d"))
 
 
+def against(known: DataFrame, inside: DataFrame, k: int) -> DataFrame:
+    """composition of a set's sequences against known moments (kmer, mean, sd), as background or a store of backgrounds has them: all genes need
+    not be read. A k-mer that the moments do not have is left out."""
+    both = known.join(geneset_mean(inside, k), "kmer", "left").join(F.broadcast(inside.agg(F.count("*").alias("n_set"))))
+    seen, some = F.when(F.col("n_set") > 0, F.coalesce("observed", F.lit(0.0))), F.col("sd") > 1e-12
+    d = both.select("kmer", seen.alias("observed"), F.col("mean").alias("expected"), "sd", "n_set").withColumn("gap", F.col("observed") - F.col("expected"))
+    return d.select("kmer", "observed", "expected", "n_set", F.when(some, F.col("gap") / (F.col("sd") / F.sqrt("n_set"))).otherwise(0.0).alias("z_score"), F.when(some, F.col("gap") / F.col("sd")).otherwise(0.0).alias("cohens_d"))
+
+
 def matched_pool(stats: DataFrame, chosen: DataFrame) -> DataFrame:
     """Genes whose length and GC lie in the set's widened ranges. stats: (gene, len, gc)."""
     span = stats.join(chosen, "gene", "left_semi").agg((F.min("len") * 0.8).alias("l0"), (F.max("len") * 1.2).alias("l1"), (F.min("gc") - 0.05).alias("g0"), (F.max("gc") + 0.05).alias("g1"))

@@ -60,6 +60,15 @@ def kmer_freq(cds: DataFrame, k: int) -> DataFrame:
     return counts.select("gene", "kmer", (F.col("cnt") / F.col("windows")).alias("freq"))
 
 
+def cells(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, kmer, freq) of sense k-mers of rows (keys, seq), and for each row an empty k-mer that counts as 1: its sum is the number of rows, those
+    with a null or short sequence too, so that means need no second pass."""
+    windows = F.greatest(F.length(F.coalesce("seq", F.lit(""))) / 3 - (k - 1), F.lit(0)).cast("int").alias("windows")
+    each = rows.select(*keys, windows, F.explode(F.concat(F.array(F.lit("")), kmer_array(F.coalesce("seq", F.lit("")), k))).alias("kmer"))
+    counts = each.where(sense(F.col("kmer"), k)).groupBy(*keys, "kmer", "windows").agg(F.count("*").alias("cnt"))
+    return counts.select(*keys, "kmer", F.when(F.col("kmer") == "", F.col("cnt").cast("double")).otherwise(F.try_divide("cnt", "windows")).alias("freq"))
+
+
 def target_freq(cds: DataFrame, targets: list[str]) -> DataFrame:
     """(gene, n, and a column for each target codon): its frequency in the gene, 0 where it is absent. Row by row, without a shuffle."""
     held = cds.select("gene", codon_array(F.col("seq")).alias("c")).select("gene", F.size("c").alias("n"), *[(F.size("c") - F.size(F.array_remove("c", t))).alias(t) for t in targets])

@@ -6,12 +6,12 @@ draws of whole genes, an analytic one from the closed form of the same standard
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqfold.functions import dims, stats
-from seqfold.operators import frequency, glm, names, ordered, resample, sequences, tables, weights
-from seqfold.sources import ingest
+from seqfold.operators import frequency, glm, many, names, ordered, resample, sequences, tables, weights
+from seqfold.sources import ingest, shared
 
 POWER = {1: 10, 2: 30, 3: 100}  # genes that a set should have for k
 
@@ -20,8 +20,9 @@ def _tested(df: DataFrame, key: str = "kmer") -> DataFrame:
     return stats.bh(df.withColumn("p_value", stats.normal_p("z_score")), "p_value", key)
 
 
-def composition(cds: DataFrame, chosen: DataFrame, k: int = 1, background: str = "all", trim_ramp: int = 0, model: str = "analytic", n_bootstrap: int = 10_000, seed: int = 42) -> dict[str, DataFrame]:
-    """k-mer usage of a set against all genes, or against those with its range of length and GC. Trimming holds for the set only."""
+def composition(cds: DataFrame, chosen: DataFrame, k: int = 1, background: str = "all", trim_ramp: int = 0, model: str = "analytic", n_bootstrap: int = 10_000, seed: int = 42, moments: DataFrame | None = None) -> dict[str, DataFrame]:
+    """k-mer usage of a set against all genes, or against those with its range of length and GC. Trimming holds for the set only.
+    moments: (kmer, mean, sd) of all genes, as backgrounds.read has them; they spare the pass over all sequences."""
     if k not in POWER:
         raise ValueError("k is 1, 2 or 3")
     if background not in ("all", "matched") or model not in ("analytic", "bootstrap", "glm"):
@@ -38,12 +39,12 @@ def composition(cds: DataFrame, chosen: DataFrame, k: int = 1, background: str =
         if k != 1:
             raise ValueError("the regression is for k = 1")
         return out | {"results": _tested(_regression(cds, chosen), "codon")}
-    stat = frequency.background(cds, k)
+    stat = frequency.background(cds, k) if moments is None else moments
     if model == "bootstrap":
         scored = resample.bootstrap_kmers(sequences.kmer_freq(pool, k), pool.select("gene"), observed, inside.count(), n_bootstrap, seed).withColumnRenamed("mean_b", "expected").drop("sd_b")
     else:
         size = inside.agg(F.count("*").alias("n_set"))
-        both = frequency.background(pool, k).join(observed, "kmer", "left").join(F.broadcast(size))
+        both = (stat if background == "all" else frequency.background(pool, k)).join(observed, "kmer", "left").join(F.broadcast(size))
         seen = F.coalesce("observed", F.lit(0.0))
         scored = both.select("kmer", seen.alias("observed"), F.col("mean").alias("expected"), F.when(F.col("sd") > 0, (seen - F.col("mean")) / (F.col("sd") / F.sqrt("n_set"))).otherwise(0.0).alias("z_score"))
     effect = scored.join(stat, "kmer").withColumn("cohens_d", F.when(F.col("sd") > 0, (F.col("observed") - F.col("mean")) / F.col("sd")).otherwise(0.0)).drop("mean", "sd")
@@ -213,9 +214,9 @@ def reverse(cds: DataFrame, codons: list[str], top: int | None = None, zscore_cu
     return scored.join(F.broadcast(cut), F.col("mean_z") >= F.col("cut")).drop("cut")
 
 
-def differential(cds: DataFrame, a: DataFrame, b: DataFrame, species: str = "yeast") -> dict[str, DataFrame]:
+def differential(cds: DataFrame, a: DataFrame, b: DataFrame, species: str = "yeast", moments: DataFrame | None = None) -> dict[str, DataFrame]:
     """Two sets against each other: means, fold change with its direction, rank test and each set's score against all genes for each codon,
-    and what each set's deviations are due to. A gene of both counts to a in the rank test."""
+    and what each set's deviations are due to. A gene of both counts to a in the rank test. moments: of all genes, as for composition."""
     sides = a.distinct().withColumn("in_a", F.lit(True)).unionByName(b.distinct().join(a, "gene", "left_anti").withColumn("in_a", F.lit(False)))
     genes = cds.select("gene").join(sides, "gene")
     symbols = dims.symbols(cds.sparkSession).select(F.col("codon").alias("kmer"))
@@ -228,11 +229,25 @@ def differential(cds: DataFrame, a: DataFrame, b: DataFrame, species: str = "yea
     means = known.select("kmer", F.try_divide("sa", "na").alias("mean_a"), F.try_divide("sb", F.col("nn") - F.col("na")).alias("mean_b"))
     fold = (F.coalesce("mean_a", F.lit(0.0)) + 1e-9) / (F.coalesce("mean_b", F.lit(0.0)) + 1e-9)
     tested = stats.mann_whitney_counts(counts, "freq", "kmer").join(means, "kmer").withColumn("fold", fold).withColumn("direction", F.when(fold > 1, "a").otherwise("b"))
-    scores = [frequency.composition(cds, x.distinct(), 1).select("kmer", F.col("z_score").alias(n)) for x, n in ((a, "genome_z_a"), (b, "genome_z_b"))]
+    def against_all(x: DataFrame, name: str) -> DataFrame:
+        scored = frequency.composition(cds, x.distinct(), 1) if moments is None else frequency.against(moments, frequency.members(cds, x), 1)
+        return scored.select("kmer", F.col("z_score").alias(name))
+
+    scores = [against_all(a, "genome_z_a"), against_all(b, "genome_z_b")]
     results = stats.bh(tested.withColumnRenamed("z", "z_score"), "p_value", "kmer").join(scores[0], "kmer", "left").join(scores[1], "kmer", "left")
     return {"results": results} | {f"attribution_{n}": disentangle(cds, x, species)["attribution"] for x, n in ((a, "a"), (b, "b"))}
 
 
+def deep_dive(cds: DataFrame, chosen: DataFrame, results: DataFrame, adj_p: float = frequency.ALPHA, cluster_top: int | None = None, window: int = 15, permutations: int = 1000, seed: int = 42) -> dict[str, DataFrame]:
+    """What stands behind tested results (kmer, z_score, adjusted_p), which may have been read from a results folder: drivers of every significant
+    codon and, if cluster_top is given, the runs of the top ones. The composition is not computed again."""
+    codons = strongest(results, adj_p)
+    out = {f"drivers_{k}": v for k, v in drivers(cds, chosen, codons).items()}
+    if cluster_top is not None:
+        out |= {f"cluster_{k}": v for k, v in clusters(cds, chosen, codons[:cluster_top], window, permutations, seed).items()}
+    return out
+
+
 def drivers(cds: DataFrame, chosen: DataFrame, codons: list[str] | None = None, adj_p: float = frequency.ALPHA) -> dict[str, DataFrame]:
     """Which genes a set's deviation comes from, for the codons asked for, else for all significant ones: contributions, cumulative
     shares, influence when a gene is left out."""
@@ -240,9 +255,26 @@ def drivers(cds: DataFrame, chosen: DataFrame, codons: list[str] | None = None,
     return {"genes": genes, "summary": frequency.driver_summary(genes)}
 
 
+def gene_sets(cds: DataFrame, sets: DataFrame, k: int = 1, top: int = 30) -> dict[str, DataFrame]:
+    """Every set of sets (name, gene) in all of a gene, its ramp and its body: tested composition, its strongest k-mers, and those biased between
+    ramp and body. One pass over the sequences serves all sets and regions."""
+    results = shared.written(many.compositions(cds, sets, k), "sets")  # summary rows, read by three tables
+    place = F.row_number().over(Window.partitionBy("name", "region").orderBy(F.abs(F.round("z_score", 6)).desc(), "kmer"))
+    best = results.where(F.col("adjusted_p") < frequency.ALPHA).withColumn("place", place).where(F.col("place") <= top)
+    side = {r: results.where(F.col("region") == r).select("name", "kmer", F.col("z_score").alias(f"{r}_z"), F.col("adjusted_p").alias(f"{r}_p")) for r in ("ramp", "body")}
+    both = side["ramp"].join(side["body"], ["name", "kmer"]).withColumn("delta", F.col("ramp_z") - F.col("body_z"))
+    biased = both.where(((F.col("ramp_p") < frequency.ALPHA) | (F.col("body_p") < frequency.ALPHA)) & (F.abs("delta") > 2))
+    return {"results": results, "top": best, "biased": biased}
+
+
 def significant(cds: DataFrame, chosen: DataFrame, adj_p: float = frequency.ALPHA, top: int = 61) -> list[str]:
     """The top significant codons of a set by falling score, at most 61; all of them if none is significant."""
-    tested = _tested(frequency.composition(cds, chosen.distinct(), 1)).where(F.col("adjusted_p") < adj_p)
+    return strongest(_tested(frequency.composition(cds, chosen.distinct(), 1)), adj_p, top)
+
+
+def strongest(results: DataFrame, adj_p: float = frequency.ALPHA, top: int = 61) -> list[str]:
+    """significant of results that are there: (kmer, z_score, adjusted_p)."""
+    tested = results.where(F.col("adjusted_p") < adj_p)
     return [r.kmer for r in tested.orderBy(F.round("z_score", 9).desc(), "kmer").limit(top).collect()] or sorted(dims.FAMILY)[:top]
 
 

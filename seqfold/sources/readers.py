@@ -88,3 +88,9 @@ def orthologs(rows: DataFrame, target: str) -> DataFrame:
     """(gene1, gene2), distinct: one-to-one pairs with the target species that are not of low confidence."""
     ok = rows.where((F.col("homology_type") == "ortholog_one2one") & (F.col("homology_species") == target) & (F.coalesce("is_high_confidence", F.lit("1")) != "0"))
     return ok.select(F.col("gene_stable_id").alias("gene1"), F.col("homology_gene_stable_id").alias("gene2")).distinct()
+
+
+def gene_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(name, gene), distinct, of a folder of gene lists; a list's name is its file's, without the last suffix."""
+    lines = spark.read.text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("name"), "value")
+    return gene_list(lines).select("name", F.col("token").alias("gene")).distinct()
