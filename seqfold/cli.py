@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tissue", help="which tissue of --samples; without one their median")
     p.add_argument("--cell-line", help="which cell line of --line-samples, or the tissue that stands for it")
     p.add_argument("--output-dir", help="where the tables go; not needed by background")
+    p.add_argument("--digits", type=int, default=6, help="significant digits of what is written; 17 keep all, for a later deep-dive")
     p.add_argument("--kmer", type=int, default=1, choices=[1, 2, 3])
     p.add_argument("--background", default="all", choices=["all", "matched"])
     p.add_argument("--model", default="analytic", choices=["analytic", "bootstrap", "glm"])
@@ -130,7 +131,7 @@ def main(argv: list[str] | None = None) -> None:
             out |= {f"cluster_{k}": v for k, v in modes.clusters(cds, chosen, picked, a.cluster_window, a.permutations, a.seed, a.cluster_top).items()}
         return out
 
-    sinks.bundle(run[a.mode](), {k: v for k, v in vars(a).items() if v is not None}, a.output_dir)
+    sinks.bundle(run[a.mode](), {k: v for k, v in vars(a).items() if v is not None}, a.output_dir, a.digits)
 
 
 if __name__ == "__main__":

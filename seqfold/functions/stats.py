@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided tail of the standard normal; the engine has no error function, so this runs in Arrow batches, on summary rows."""
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)), na_action="ignore")
+TERMS = 60  # of the series and of the continued fraction below; they meet at 2, where both have all digits of a double
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, to about 1e-12 of its value down to the least double; null for null.
+
+    Below 2 by the series whose terms are all positive, above by the continued fraction, each from its end, so nothing cancels."""
+    low, high = F.least(x, F.lit(2.0)), F.greatest(x, F.lit(2.0))
+    down = F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1))
+    series = F.aggregate(down, F.lit(1.0), lambda t, i: 1.0 + 2.0 * low * low / (2 * i + 1) * t)
+    fraction = F.aggregate(down, F.lit(0.0), lambda t, i: i / 2.0 / (high + t))
+    near = 1.0 - 2.0 / math.sqrt(math.pi) * low * F.exp(-low * low) * series
+    return F.when(x < 2.0, near).when(x >= 2.0, F.exp(-high * high) / math.sqrt(math.pi) / (high + fraction))
+
+
+def normal_p(z: Column | str) -> Column:
+    """Two-sided tail of the standard normal."""
+    return erfc(F.abs(F.col(z) if isinstance(z, str) else z) / math.sqrt(2.0))
 
 
 def bh(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> DataFrame:
@@ -141,36 +156,30 @@ def ks(df: DataFrame, value: str, in_a: str) -> DataFrame:
     steps = running(running(counts, [], value, [], "a").withColumnRenamed("cum", "ca").drop("rank"), [], value, [], "t").select("ca", F.col("cum").alias("ct"))
     total = counts.agg(F.sum("a").alias("na"), F.sum("t").alias("nt"))
     d = steps.join(F.broadcast(total)).agg(F.max("na").alias("n_a"), F.max("nt").alias("n_all"), F.max(F.abs(F.col("ca") / F.col("na") - F.col("ct") / F.col("nt"))).alias("d"))
-    return d.withColumn("p_value", ks_tail("d", F.coalesce("n_a", F.lit(0)), F.coalesce("n_all", F.lit(0))))
-
-
-def ks_p(d: float, n: int, m: int) -> float:
-    """Asymptotic p of the statistic."""
-    lam = d * math.sqrt(n * m / (n + m))
-    return 1.0 if lam < 0.2 else max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))))
-
-
-@F.pandas_udf(T.DoubleType())
-def ks_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """ks_p of summary rows; null where a side is empty."""
-    return pd.Series([ks_p(x, a, b) if x == x and a > 0 and b > 0 else None for x, a, b in zip(d.astype(float), n, m, strict=True)], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
-    """chi2_p of summary rows; 1 without a degree of freedom."""
-    return pd.Series([chi2_p(a, int(n)) if n > 0 else 1.0 for a, n in zip(x, df, strict=True)], dtype=float)
-
-
-def chi2_p(x: float, df: int) -> float:
-    """Upper tail of chi-squared for up to three degrees of freedom."""
-    if df == 1:
-        return math.erfc(math.sqrt(x / 2))
-    if df == 2:
-        return math.exp(-x / 2)
-    if df == 3:
-        return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
-    raise ValueError("one to three degrees of freedom")
+    return d.withColumn("p_value", ks_p(F.col("d"), F.coalesce("n_a", F.lit(0)), F.coalesce("n_all", F.lit(0))))
+
+
+def ks_p(d: Column, n: Column, m: Column) -> Column:
+    """Asymptotic p of the statistic; null where a side is empty. Below 0.2 the scaled statistic has p = 1 to all digits that its series keeps."""
+    size = F.when((n > 0) & (m > 0), n.cast("double") * m / (n.cast("double") + m))
+    lam = d * F.sqrt(size)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda t, k: t + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam))
+    return F.when(lam < 0.2, 1.0).when(lam.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+
+
+def chi2_p(x: Column, df: Column) -> Column:
+    """Upper tail of chi-squared, for any whole number of degrees of freedom; 1 without one.
+
+    With y = x / 2 it is the sum of y^e exp(-y) / gamma(e + 1) over e below df / 2 in steps of 1 from 0, or from 1/2 behind erfc(sqrt(y)) where df is odd.
+    Terms are positive and go by their logarithms, so small tails keep their digits and large df do not underflow."""
+    y = F.greatest(x.cast("double"), F.lit(0.0)) / 2.0
+    log, odd, n = F.ln(F.greatest(y, F.lit(sys.float_info.min))), df % 2 == 1, F.floor(df / 2).cast("int")
+    first = F.when(odd, 0.5 * log - math.lgamma(1.5)).otherwise(0.0) - y
+    start = F.struct(first.alias("l"), F.lit(0.0).alias("s"))
+    step = F.when(odd, 0.5).otherwise(0.0)
+    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, lambda a, i: F.struct((a["l"] + log - F.ln(step + i)).alias("l"), (a["s"] + F.exp(a["l"])).alias("s")), lambda a: a["s"])
+    total = F.when(n > 0, terms).otherwise(0.0) + F.when(odd, erfc(F.sqrt(y))).otherwise(0.0)
+    return F.when(df.isNull() | x.isNull(), F.lit(None).cast("double")).when((df <= 0) | (x <= 0), 1.0).otherwise(F.least(F.lit(1.0), total))
 
 
 def draws(reps: Column, slot: Column, seed: int, n: Column) -> Column:

@@ -67,7 +67,7 @@ def compared(counts_a: DataFrame, counts_b: DataFrame) -> DataFrame:
     chi2 = sum((F.when(col(f"b_{k}") > 0, F.pow(col(f"a_{k}") - col(f"b_{k}"), F.lit(2)) / col(f"b_{k}")).otherwise(0.0) for k in KINDS[1:]), F.when(col("b_ff") > 0, F.pow(col("a_ff") - col("b_ff"), F.lit(2)) / col("b_ff")).otherwise(0.0))
     cells = sum(((col(f"b_{k}") > 0).cast("int") for k in KINDS[1:]), (col("b_ff") > 0).cast("int"))
     row = both.select(ratio(col("a_fs"), col("b_fs")).alias("fs_enrichment"), ratio(col("a_fs"), col("a_sf")).alias("fs_sf_set"), ratio(col("b_fs"), col("b_sf")).alias("fs_sf_all"), *[ratio(col(f"a_{k}"), col(f"b_{k}")).alias(f"fold_{k}") for k in KINDS], (col("a_total") * chi2).alias("chi2"), (cells - 1).alias("df"))
-    return row.withColumn("p_value", stats.chi2_tail(F.coalesce("chi2", F.lit(0.0)), F.coalesce("df", F.lit(0))))
+    return row.withColumn("p_value", stats.chi2_p(F.coalesce("chi2", F.lit(0.0)), F.coalesce("df", F.lit(0))))
 
 
 def fs_deciles(cds: DataFrame, fast: list[str], bins: int = 10) -> DataFrame:

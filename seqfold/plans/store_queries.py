@@ -73,7 +73,7 @@ _DIVE = "SELECT kmer, gene, frequency, frequency - mean AS contribution FROM (SE
 def dive_from_folder(t: Tables) -> DataFrame:
     """A composition written as a results folder, read back, and the contributions of genes to what it found significant."""
     path, cds = shared.folder(t.spark, "results"), t.cds
-    sinks.bundle({"results": _tested(frequency.composition(cds, t.set_a, 1), "kmer"), "genes": t.set_a}, {"mode": "enrichment", "species": "yeast", "kmer": 1}, path)
+    sinks.bundle({"results": _tested(frequency.composition(cds, t.set_a, 1), "kmer"), "genes": t.set_a}, {"mode": "enrichment", "species": "yeast", "kmer": 1}, path, 17)
     back, _, problems = results.read(t.spark, path)
     if problems:
         raise ValueError("; ".join(problems))

@@ -18,11 +18,12 @@ def tsv(df: DataFrame, path: str, digits: int = 6) -> None:
     df.select([F.format_string(f"%.{digits}g", F.col(c).cast("double")).alias(c) if c in doubles else F.col(c) for c in df.columns]).write.csv(path, sep="\t", header=True)
 
 
-def bundle(frames: dict[str, DataFrame], config: dict, path: str) -> None:
-    """A folder with a table for each frame, all digits kept, and as one row of JSON text the configuration and the tables' schemas; results.read reads it."""
+def bundle(frames: dict[str, DataFrame], config: dict, path: str, digits: int = 6) -> None:
+    """A folder with a table for each frame, and as one row of JSON text the configuration and the tables' schemas; results.read reads it.
+    With 17 digits doubles come back as they were."""
     spark = next(iter(frames.values())).sparkSession
     for name, df in frames.items():
-        tsv(df, f"{path}/{name}", 17)
+        tsv(df, f"{path}/{name}", digits)
     schemas = {name: ", ".join(f"`{c}` {t}" for c, t in df.dtypes) for name, df in frames.items()}
     text = json.dumps(config | {"schemas": schemas}, sort_keys=True)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/config")

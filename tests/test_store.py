@@ -114,7 +114,7 @@ def test_many_sets_of_nothing(spark, cds, chosen):
 def test_results_folder_comes_back_and_is_dived_into(spark, cds, chosen, tmp_path):
     path = str(tmp_path / "run")
     made = modes.composition(cds, chosen)["results"]
-    sinks.bundle({"results": made, "genes": chosen}, {"mode": "enrichment", "species": "yeast", "kmer": 1}, path)
+    sinks.bundle({"results": made, "genes": chosen}, {"mode": "enrichment", "species": "yeast", "kmer": 1}, path, 17)
     tables, config, problems = results.read(spark, path)
     assert not problems and config["mode"] == "enrichment" and set(tables) == {"results", "genes"}
     assert tables["results"].dtypes == made.dtypes and by_kmer(tables["results"], *made.columns) == by_kmer(made, *made.columns)
