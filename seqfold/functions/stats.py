@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,21 @@ from pyspark.sql import types as T
 TERMS = 60  # of the series and of the continued fraction below; they meet at 2, where both have all digits of a double
 
 
+def _folded(steps: Column, y: Column, start: float, step: Callable[[Column, Column, Column], Column]) -> Column:
+    """t, from start on replaced by step(y, t, i) for each i of steps. y goes along in a struct: a column that a lambda names itself may be taken
+    for an alias of the same select that has its name."""
+    first = F.struct(y.alias("y"), F.lit(start).alias("t"))
+    return F.aggregate(steps, first, lambda a, i: F.struct(a["y"].alias("y"), step(a["y"], a["t"], i).alias("t")), lambda a: a["t"])
+
+
 def erfc(x: Column) -> Column:
     """The complementary error function of x >= 0, to about 1e-12 of its value down to the least double; null for null.
 
     Below 2 by the series whose terms are all positive, above by the continued fraction, each from its end, so nothing cancels."""
     low, high = F.least(x, F.lit(2.0)), F.greatest(x, F.lit(2.0))
     down = F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1))
-    series = F.aggregate(down, F.lit(1.0), lambda t, i: 1.0 + 2.0 * low * low / (2 * i + 1) * t)
-    fraction = F.aggregate(down, F.lit(0.0), lambda t, i: i / 2.0 / (high + t))
+    series = _folded(down, low * low, 1.0, lambda y, t, i: 1.0 + 2.0 * y / (2 * i + 1) * t)
+    fraction = _folded(down, high, 0.0, lambda y, t, i: i / 2.0 / (y + t))
     near = 1.0 - 2.0 / math.sqrt(math.pi) * low * F.exp(-low * low) * series
     return F.when(x < 2.0, near).when(x >= 2.0, F.exp(-high * high) / math.sqrt(math.pi) / (high + fraction))
 
@@ -163,7 +171,7 @@ def ks_p(d: Column, n: Column, m: Column) -> Column:
     """Asymptotic p of the statistic; null where a side is empty. Below 0.2 the scaled statistic has p = 1 to all digits that its series keeps."""
     size = F.when((n > 0) & (m > 0), n.cast("double") * m / (n.cast("double") + m))
     lam = d * F.sqrt(size)
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda t, k: t + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam))
+    series = _folded(F.sequence(F.lit(1), F.lit(100)), lam, 0.0, lambda y, t, k: t + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * y * y))
     return F.when(lam < 0.2, 1.0).when(lam.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
@@ -175,9 +183,8 @@ def chi2_p(x: Column, df: Column) -> Column:
     y = F.greatest(x.cast("double"), F.lit(0.0)) / 2.0
     log, odd, n = F.ln(F.greatest(y, F.lit(sys.float_info.min))), df % 2 == 1, F.floor(df / 2).cast("int")
     first = F.when(odd, 0.5 * log - math.lgamma(1.5)).otherwise(0.0) - y
-    start = F.struct(first.alias("l"), F.lit(0.0).alias("s"))
-    step = F.when(odd, 0.5).otherwise(0.0)
-    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, lambda a, i: F.struct((a["l"] + log - F.ln(step + i)).alias("l"), (a["s"] + F.exp(a["l"])).alias("s")), lambda a: a["s"])
+    start = F.struct(log.alias("y"), F.when(odd, 0.5).otherwise(0.0).alias("e"), first.alias("l"), F.lit(0.0).alias("s"))  # as in _folded
+    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, lambda a, i: F.struct(a["y"].alias("y"), a["e"].alias("e"), (a["l"] + a["y"] - F.ln(a["e"] + i)).alias("l"), (a["s"] + F.exp(a["l"])).alias("s")), lambda a: a["s"])
     total = F.when(n > 0, terms).otherwise(0.0) + F.when(odd, erfc(F.sqrt(y))).otherwise(0.0)
     return F.when(df.isNull() | x.isNull(), F.lit(None).cast("double")).when((df <= 0) | (x <= 0), 1.0).otherwise(F.least(F.lit(1.0), total))
 

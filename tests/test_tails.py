@@ -23,6 +23,13 @@ def test_normal_tail_to_the_least_doubles(spark):
     assert odd[0].p is None and odd[1].p == 1.0 and odd[2].p == odd[3].p == 0.0 and math.isnan(odd[4].p)
 
 
+def test_tails_beside_an_alias_of_their_column(spark):
+    row = spark.createDataFrame([(1.23456, 7, 9)], "z double, n long, m long")
+    got = row.select(F.lit(50.0).alias("z"), F.lit(1).alias("n"), stats.normal_p("z").alias("p"), stats.chi2_p(F.col("z"), F.col("n").cast("int")).alias("c"), stats.ks_p(F.col("z"), F.col("n"), F.col("m")).alias("k")).first()
+    alone = row.select(stats.normal_p("z").alias("p"), stats.chi2_p(F.col("z"), F.col("n").cast("int")).alias("c"), stats.ks_p(F.col("z"), F.col("n"), F.col("m")).alias("k")).first()
+    assert got.p == alone.p == pytest.approx(math.erfc(1.23456 / math.sqrt(2)), rel=1e-12) and got.c == alone.c == pytest.approx(integrated(1.23456, 7), rel=1e-8) and got.k == alone.k
+
+
 def even(x: int, df: int) -> float:
     """exp(-y) times an exact sum."""
     y = Fraction(x, 2)
