@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqfold.llm.storage import unused
+
 MEMO = 200_000  # units that a worker keeps at most; pairs of tokens, which are smaller, eight times as many
 _UNITS = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 
@@ -238,5 +240,6 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
             raw.append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(raw, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    done = docs.withColumn("__digest", summary(F.col(text_col)))
-    return done.withColumns({c: F.col("__digest")[c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("__digest")
+    (digest,) = unused(docs, "digest")
+    done = docs.withColumn(digest, summary(F.col(text_col)))
+    return done.withColumns({c: F.col(digest)[c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop(digest)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from seqfold.llm import tokens as T
 from seqfold.llm.probminhash import row_key
-from seqfold.llm.storage import kept
+from seqfold.llm.storage import kept, unused
 
 U = np.uint64
 STEPS = (1, 2, 3, 4, 5, 6, 8, 10, 12)  # of the walk: a window is sampled over as many of these as it holds
@@ -249,6 +249,7 @@ def _written(out: DataFrame | None, part: DataFrame, shared) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a benchmark item, whether or not their ids are null or repeated; rows with a null text stay."""
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    found = contaminated(keyed, benchmark, "__row", text_col, rate=rate).select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(found, "__row", "left_anti").select(docs.columns)
+    (row,) = unused(docs, "row")
+    keyed = docs.withColumn(row, row_key(id_col, text_col))
+    found = contaminated(keyed, benchmark, row, text_col, rate=rate).select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(found, row, "left_anti").select(docs.columns)

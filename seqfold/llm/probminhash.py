@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from seqfold.llm import tokens as T
 from seqfold.llm.components import components
-from seqfold.llm.storage import kept
+from seqfold.llm.storage import kept, unused
 
 U = np.uint64
 BANDS, ROWS = 25, 5
@@ -207,8 +207,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class, one with the least id (a null id is the last); rows with a null text stay."""
+    (row,) = unused(docs, "row")
     told = kept(_told(docs, id_col, text_col, similarity))
     least = kept(told.groupBy("label").agg(F.min(F.struct(F.col("name").isNull().alias("n"), "name", "id"))["id"].alias("keep")))
-    drop = told.join(least, "label").where("id <> keep").select(F.col("id").alias("__row"))
-    once = docs.where(F.col(text_col).isNotNull()).withColumn("__row", row_key(id_col, text_col)).join(drop, "__row", "left_anti").dropDuplicates(["__row"]).drop("__row")
+    drop = told.join(least, "label").where("id <> keep").select(F.col("id").alias(row))
+    once = docs.where(F.col(text_col).isNotNull()).withColumn(row, row_key(id_col, text_col)).join(drop, row, "left_anti").dropDuplicates([row]).drop(row)
     return once.unionByName(docs.where(F.col(text_col).isNull())).select(docs.columns)

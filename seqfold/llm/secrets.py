@@ -9,9 +9,12 @@ matches, leftmost and non-overlapping, those stay whose measured group has the r
 The ledger is a folder of increments, one written by each run of `enter`, and read back by the next one: a blob that any earlier
 run has scanned under a rule's version is never scanned under it again, whatever path or version of a file brings it.
 
+Two runs that enter a blob at the same time, or a run that is retried, write a pair twice; what a rule's version finds in a blob is
+always the same, so readers count a pair once, and `compacted` writes each pair once.
+
 A null text counts as empty. Repeated rows share a blob and are each reported. Long texts are scanned
-whole; their matches are numbered and summed in rows, not in nested arrays. Input columns other than the
-id and the text are ignored, so none can clash. An empty table gives an empty report.
+whole; their matches are numbered and summed in rows, not in nested arrays. A report ignores input columns other than the
+id and the text; `masked` returns all of them, whatever their names. An empty table gives an empty report.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqfold.llm.storage import kept
+from seqfold.llm.storage import kept, unused
 
 CHUNK = 2048  # characters
 
@@ -111,24 +114,31 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
+def compacted(spark: SparkSession, folder: str, to: str) -> DataFrame:
+    """The ledger in folder as one increment in the folder to, each pair of a blob and a rule's version once. Later runs enter into that one."""
+    unique = ledger(spark, folder).dropDuplicates(["blob", "kind", "version"])
+    unique.write.parquet(f"{to}/{uuid.uuid4().hex}")
+    return ledger(spark, to)
+
+
 def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found) for every row of docs: array<struct<start, rank, kind, end>> in order of start, then rank of the kind."""
     rank = F.element_at(F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (f"{r.kind}@{r.version}", n)]), F.concat("kind", F.lit("@"), "version"))
     hits = ledger.where(F.size("spans") > 0).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("part")).where(F.get("part", F.lit(0))["rank"].isNotNull())
-    # at most a row for each rule is gathered; written, so that the join can split a blob with very many paths
-    by_blob = kept(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("found")))
+    # a row for each rule and run that entered it is gathered, and repeats fall away; written, so that the join can split a blob with very many paths
+    by_blob = kept(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.array_distinct(F.collect_list("part")))).alias("found")))
     paths = with_blob(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
     return paths.join(by_blob, "blob", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")).alias("found"))
 
 
-def _merged(ledger: DataFrame) -> DataFrame:
-    """(_blob, _found, _tail): the spans of a blob that begin at or behind the end of those before, in order, each with where the text
+def _merged(ledger: DataFrame, blob: str, found: str, tail: str) -> DataFrame:
+    """(blob, found, tail), so named: the spans of a blob that begin at or behind the end of those before, in order, each with where the text
     between begins, and the end of all."""
     each = ledger.where(F.size("spans") > 0).select("blob", "kind", F.explode("spans").alias("s")).select("blob", "kind", "s.start", "s.end")
     sofar = Window.partitionBy("blob").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     told = each.withColumn("from", F.coalesce(F.max("end").over(sofar), F.lit(0).cast("long")))
     fresh = F.when(F.col("start") >= F.col("from"), F.struct("from", "start", "end", "kind"))
-    return told.groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.collect_list(fresh)).alias("_found"), F.max("end").alias("_tail"))
+    return told.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_list(fresh)).alias(found), F.max("end").alias(tail))
 
 
 def _part(chunks: Column, start: Column, end: Column) -> Column:
@@ -145,9 +155,11 @@ def masked(docs: DataFrame, ledger: DataFrame, text_col: str = "text") -> DataFr
 
     Rows without a finding, null texts among them, stay as they are. The work is linear in a text's length and findings: spans are merged
     as rows, and the text is cut into chunks once."""
-    by_blob, text = kept(_merged(ledger)), F.col(text_col)
-    chunks = F.when(F.col("_found").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
-    joined = with_blob(docs, text_col, "_blob").join(by_blob, "_blob", "left").withColumn("_chunks", chunks)
-    pieces = F.transform("_found", lambda s: F.concat(_part(F.col("_chunks"), s["from"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
-    rest = _part(F.col("_chunks"), F.col("_tail"), F.length(text))
-    return joined.withColumn(text_col, F.when(F.col("_found").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(text)).select(docs.columns)
+    blob, found, tail, cut = unused(docs, "blob", "found", "tail", "chunks")
+    by_blob, text = kept(_merged(ledger, blob, found, tail)), F.col(text_col)
+    hit = F.col(found).isNotNull()
+    chunks = F.when(hit, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    joined = with_blob(docs, text_col, blob).join(by_blob, blob, "left").withColumn(cut, chunks)
+    pieces = F.transform(found, lambda s: F.concat(_part(F.col(cut), s["from"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
+    rest = _part(F.col(cut), F.col(tail), F.length(text))
+    return joined.withColumn(text_col, F.when(hit, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)).select(docs.columns)

@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores before it until no column of df is named so, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := "_" * i + name).lower() not in taken) for name in names]
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written once to the checkpoint folder."""
     shared_folder(df.sparkSession)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from seqfold.llm import labelled, linear
 from seqfold.llm import tokens as T
+from seqfold.llm.storage import unused
 
 FOLDS = 3
 REJECT_AT = 0.35
@@ -88,6 +89,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", reject_at: floa
         p = chain.probabilities(text.to_pylist())
         return pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], p.ravel())
 
-    scored = docs.withColumn("__chain", chained(F.col(text_col)))
-    scored = scored.withColumns({f"p_{n}": F.col("__chain")[k] for k, n in enumerate(chain.names)})
-    return scored.withColumn("rejected", F.col("__chain")[len(chain.names) - 1] >= reject_at).drop("__chain")
+    (all_p,) = unused(docs, "chain")
+    scored = docs.withColumn(all_p, chained(F.col(text_col)))
+    scored = scored.withColumns({f"p_{n}": F.col(all_p)[k] for k, n in enumerate(chain.names)})
+    return scored.withColumn("rejected", F.col(all_p)[len(chain.names) - 1] >= reject_at).drop(all_p)
