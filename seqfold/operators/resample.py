@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqfold.functions.stats import draws
+from seqfold.operators import run_null
 
 
 def bootstrap_mean(values: DataFrame, observed: DataFrame, n_draw: DataFrame, reps: int, seed: int) -> DataFrame:
@@ -100,32 +101,22 @@ def bootstrap_kmers(freq: DataFrame, genes: DataFrame, observed: DataFrame, n_se
 
 
 def shuffled_runs(cds: DataFrame, family: dict[str, str], targets: list[str], permutations: int = 1000, seed: int = 42) -> DataFrame:
-    """(gene, n_runs, p): runs of targets against synonymous shuffles, which permute codons within each family's places. One gene at a time."""
-    wanted = set(targets)
+    """(gene, n_runs, p, exact): runs of two or more targets against synonymous shuffles, which permute codons within each family's places.
 
-    def count(mark: np.ndarray) -> int:
-        edge = np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))
-        return int((np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1) >= 2).sum())
+    p is the probability of so many runs or more, exact by the recurrence of run_null where its states are few enough (see CELLS there), else
+    the share of the given number of shuffles, the observed order among them. A null or empty sequence has no run, and p 1; letters
+    behind the last whole codon are no codon; equal genes with equal sequences have equal rows."""
+    wanted = set(targets)
 
     def test(batches):
         for pdf in batches:
             out = []
             for gene, seq in zip(pdf["gene"], pdf["seq"], strict=True):
-                codons = [seq[i : i + 3] for i in range(0, len(seq), 3)]
+                codons = [seq[i : i + 3] for i in range(0, len(seq) - 2, 3)] if seq else []
                 mark = np.array([c in wanted for c in codons], bool)
-                seen, above = count(mark), 0
-                if seen:
-                    rng = np.random.default_rng([seed, zlib.crc32(str(gene).encode())])
-                    places: dict[str, list[int]] = {}
-                    for i, c in enumerate(codons):
-                        places.setdefault(family.get(c, c), []).append(i)
-                    groups = [np.array(g) for g in places.values() if mark[g].any() and not mark[g].all()]
-                    for _ in range(permutations):
-                        m = mark.copy()
-                        for g in groups:
-                            m[g] = mark[rng.permutation(g)]
-                        above += count(m) >= seen
-                out.append((gene, seen, (above + 1) / (permutations + 1) if seen else 1.0))
-            yield pd.DataFrame(out, columns=["gene", "n_runs", "p"])
-
-    return cds.select("gene", "seq").mapInPandas(test, f"gene {cds.schema['gene'].dataType.simpleString()}, n_runs long, p double")
+                numbers: dict[str, int] = {}
+                group = np.array([numbers.setdefault(family.get(c, c), len(numbers)) for c in codons], int)
+                out.append((gene, *run_null.test(mark, group, permutations, [seed, zlib.crc32(str(gene).encode())])))
+            yield pd.DataFrame(out, columns=["gene", "n_runs", "p", "exact"])
+
+    return cds.select("gene", "seq").mapInPandas(test, f"gene {cds.schema['gene'].dataType.simpleString()}, n_runs long, p double, exact boolean")
