@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqfold.functions import dims
 from seqfold.plans import modes
-from seqfold.sources import backgrounds, readers, results, sinks
+from seqfold.sources import backgrounds, blocks, readers, results, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -66,7 +66,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("seqfold").getOrCreate()
 
     def sequences(path: str):
-        rows = readers.fasta(spark, path) if any(x in path for x in (".fa", ".fasta", ".fsa")) else spark.read.parquet(path)
+        if not any(x in path for x in (".fa", ".fasta", ".fsa")):
+            rows = spark.read.parquet(path)
+        elif path.endswith((".gz", ".bgz")):
+            rows = blocks.sequences(spark, path, ("gene", "seq"))  # in ranges, if the blocks allow it
+        else:
+            rows = readers.fasta(spark, path)
         return rows.select(F.col("gene").cast("string").alias("gene"), "seq")
 
     cds = sequences(a.cds)

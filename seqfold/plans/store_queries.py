@@ -9,7 +9,7 @@ from seqfold.operators import frequency, many
 from seqfold.plans import modes
 from seqfold.plans.queries import _tested
 from seqfold.plans.registry import OFTEN, PARTS, Tables, query, r6, tested
-from seqfold.sources import backgrounds, results, shared, sinks
+from seqfold.sources import backgrounds, blocks, results, shared, sinks
 
 C = F.col
 
@@ -79,3 +79,12 @@ def dive_from_folder(t: Tables) -> DataFrame:
         raise ValueError("; ".join(problems))
     c = modes.deep_dive(cds, back["genes"], back["results"])["drivers_genes"]
     return c.select("kmer", "gene", F.round("frequency", 9).alias("frequency"), (F.round("contribution", 9) + 0.0).alias("contribution"))
+
+
+@query("SELECT gene::VARCHAR AS gene, length(seq) AS n, md5(seq) AS digest FROM {cds} WHERE seq <> ''")
+def scan_sequence_files(t: Tables) -> DataFrame:
+    """Sequences written as FASTA files with wrapped lines and read back in byte ranges, several to a file."""
+    path = shared.folder(t.spark, "sequences")
+    lines = F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n")
+    t.cds.where("seq <> ''").select(F.concat(F.lit(">"), C("gene").cast("string"), F.lit(" written\n"), lines).alias("value")).write.text(path)
+    return blocks.sequences(t.spark, path, ("gene", "seq"), 4 << 20).select("gene", F.length("seq").cast("long").alias("n"), F.md5(C("seq").cast("binary")).alias("digest"))
