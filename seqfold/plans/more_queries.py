@@ -218,7 +218,7 @@ def demand_bootstrap(t: Tables) -> DataFrame:
 @query()
 def run_permutations(t: Tables) -> DataFrame:
     """Runs of a set's target codons against synonymous shuffles."""
-    return resample.shuffled_runs(frequency.members(t.cds, t.set_b), dims.FAMILY, ["GAA", "AGA"], permutations=1000)
+    return resample.shuffled_runs(t.members(t.set_b), dims.FAMILY, ["GAA", "AGA"], permutations=1000)
 
 
 _CHK = "SELECT kmer, sum(freq) / n AS expected, coalesce(sum(freq) FILTER (WHERE g.gene IS NOT NULL), 0) / m AS observed, sqrt(greatest((sum(freq * freq) - sum(freq) * sum(freq) / n) / (n - 1), 0)) AS sd, m FROM {f1} f LEFT JOIN (SELECT gene FROM {tz} WHERE mean_z >= 2) g ON g.gene = f.gene, {ng}, (SELECT count(*) AS m FROM {tz} WHERE mean_z >= 2) GROUP BY kmer, n, m"

@@ -28,6 +28,11 @@ class Tables:
     def cds(self) -> DataFrame:
         return sequences.from_documents(spread(self.read("documents").select("doc_id", "text", "lang", "n_chars"), "doc_id"))
 
+    def members(self, chosen: DataFrame) -> DataFrame:
+        """cds of a set alone, chosen before texts are dealt, so that the others are neither cut into codons nor shuffled for it."""
+        docs = self.read("documents").select("doc_id", "text", "lang", "n_chars")
+        return sequences.from_documents(spread(docs.join(chosen.withColumnRenamed("gene", "doc_id"), "doc_id", "left_semi"), "doc_id"))
+
     def rated(self, quality: int) -> DataFrame:
         """The genes of a set: each id once."""
         return self.read("labels").where(F.col("quality") == quality).select(F.col("doc_id").alias("gene")).distinct()
