@@ -14,6 +14,8 @@ from seqfold.operators import sequences, weights
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+SENT = 2_000_000  # ids of a set that are broadcast, about 60 MB; beyond, they are shuffled
+
 
 class Tables:
     """The tables of a folder, and the frames that the queries share."""
@@ -29,9 +31,11 @@ class Tables:
         return sequences.from_documents(spread(self.read("documents").select("doc_id", "text", "lang", "n_chars"), "doc_id"))
 
     def members(self, chosen: DataFrame) -> DataFrame:
-        """cds of a set alone, chosen before texts are dealt, so that the others are neither cut into codons nor shuffled for it."""
-        docs = self.read("documents").select("doc_id", "text", "lang", "n_chars")
-        return sequences.from_documents(spread(docs.join(chosen.withColumnRenamed("gene", "doc_id"), "doc_id", "left_semi"), "doc_id"))
+        """cds of a set alone, chosen before texts are dealt, so that the others are neither cut into codons nor shuffled for it. A set of at most
+        SENT ids, which is counted, goes to the texts; a larger one meets them by a shuffle of both."""
+        docs, ids = self.read("documents").select("doc_id", "text", "lang", "n_chars"), chosen.withColumnRenamed("gene", "doc_id")
+        side = F.broadcast(ids) if ids.count() <= SENT else ids
+        return sequences.from_documents(spread(docs.join(side, "doc_id", "left_semi"), "doc_id"))
 
     def rated(self, quality: int) -> DataFrame:
         """The genes of a set: each id once."""
