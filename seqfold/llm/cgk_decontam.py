@@ -124,12 +124,15 @@ def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     the best span is carried along (of equal distances the later start)."""
     n = len(text)
     wide = n + 2
-    row = np.arange(n + 1, dtype=np.int64) * -1 + n  # distance * wide + (n - start): the least is the nearest, then latest, start
-    steps = np.arange(n + 1, dtype=np.int64) * wide
+    small = np.int32 if (len(item) + n + 2) * wide < 1 << 31 else np.int64
+    row = n - np.arange(n + 1, dtype=small)  # distance * wide + (n - start): the least is the nearest, then latest, start
+    steps = np.arange(n + 1, dtype=small) * small(wide)
     for word in item:
-        new = row + wide
-        new[1:] = np.minimum(new[1:], row[:-1] + np.where(text == word, 0, wide))
-        row = np.minimum.accumulate(new - steps) + steps
+        new = row + small(wide)
+        np.minimum(new[1:], row[:-1] + (text != word) * small(wide), out=new[1:])
+        new -= steps
+        row = np.minimum.accumulate(new, out=new)
+        row += steps
     best = int(row.min())
     return best // wide, n - best % wide
 
@@ -139,22 +142,41 @@ def _slack(n: int, rate: float) -> int:
     return int(rate * n) + 2 if rate * n >= 1 else 0
 
 
-def _plausible(pair: np.ndarray, words: list[np.ndarray], h: np.ndarray, begin: np.ndarray, stop: np.ndarray, rate: float) -> np.ndarray:
-    """Which (item, start) have so many of the item's words around them that the rest may be edits: a match has as many places with its words."""
-    good = np.zeros(pair.shape[1], bool)
-    edge = np.flatnonzero(np.diff(pair[0], prepend=-1, append=-1))
-    for lo, hi in zip(edge, edge[1:], strict=False):
-        item = words[pair[0, lo]]
-        own, slack = np.sort(item), _slack(len(item), rate)
-        reach = np.arange(-slack, len(item) + 2 * slack)
-        for a in range(lo, hi, max(1, 1_000_000 // len(reach))):
-            at = pair[1, a : min(hi, a + max(1, 1_000_000 // len(reach)))]
-            place = at[:, None] + reach
-            word = h[np.clip(place, 0, len(h) - 1)]
-            has = own[np.minimum(np.searchsorted(own, word), len(own) - 1)] == word
-            has &= (place >= begin[at][:, None]) & (place < stop[at][:, None])
-            good[a : a + len(at)] = has.sum(axis=1) >= len(item) - int(rate * len(item))
-    return good
+def _stretches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where a new stretch of overlapping spans begins; both ends never fall."""
+    return np.flatnonzero(np.append(True, low[1:] >= high[:-1]))
+
+
+def _matches(item: np.ndarray, at: np.ndarray, h: np.ndarray, begin: np.ndarray, stop: np.ndarray, rate: float) -> list[tuple[int, int]]:
+    """(edits, first word) of the best match of item in each stretch of overlapping spans around the hits at, if it is within the limit.
+
+    A span with too few of the item's words cannot hold a match: as many of its places have one of them as a match has words unedited. These are
+    counted once over a stretch, whatever the number of hits in it; an exact copy is seen at once; else one dynamic programme serves a stretch, so
+    an item of n words whose edits lie dense costs n rows of the stretch's length, not n rows for each hit."""
+    n, slack = len(item), _slack(len(item), rate)
+    low, high, own = np.maximum(begin[at], at - slack), np.minimum(stop[at], at + n + 2 * slack), np.sort(item)
+    first = _stretches(low, high)
+    size = high[np.append(first[1:], len(at)) - 1] - low[first]
+    offset = np.cumsum(size) - size
+    place = np.arange(size.sum()) + np.repeat(low[first] - offset, size)
+    has = np.append(0, np.cumsum(own[np.minimum(np.searchsorted(own, h[place]), n - 1)] == h[place]))
+    shift = np.repeat(offset - low[first], np.diff(np.append(first, len(at))))
+    good = has[high + shift] - has[low + shift] >= n - int(rate * n)
+    at, low, high, out = at[good], low[good], high[good], []
+    if not len(at):
+        return out
+    ends = np.minimum(at + n - 1, len(h) - 1)
+    whole = (at + n <= stop[at]) & (h[at] == item[0]) & (h[ends] == item[-1])
+    first = _stretches(low, high)
+    for a, b in zip(first, np.append(first[1:], len(at)), strict=True):
+        copy = next((int(x) for x in at[a:b][whole[a:b]] if np.array_equal(h[x : x + n], item)), None)
+        if copy is not None:
+            out.append((0, copy))
+        elif slack:
+            edits, start = best_span(item, h[low[a] : high[b - 1]])
+            if edits <= rate * n:
+                out.append((edits, int(low[a]) + start))
+    return out
 
 
 def search(texts: list, items: Items, rate: float = RATE) -> list[tuple[int, int, int, int]]:
@@ -177,21 +199,14 @@ def search(texts: list, items: Items, rate: float = RATE) -> list[tuple[int, int
         start.append(np.maximum(at[hit] - t.place[row], begin[at[hit]]))
         member.append(t.item[row])
     pair = np.unique(np.stack([np.concatenate(member), np.concatenate(start)]), axis=1)
-    pair = pair[:, _plausible(pair, items.words, h, begin, bounds[1:][doc], rate)]
-    found = sorted(zip(doc[pair[1]].tolist(), pair[0].tolist(), pair[1].tolist(), strict=True))
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    done: dict[tuple[int, int], int] = {}
-    for d, k, a in found:
-        item = items.words[k]
-        slack = _slack(len(item), rate)
-        if a < done.get((d, k), -1):  # the spans around an earlier hit cover this one
-            continue
-        lo, hi = max(int(bounds[d]), a - slack), min(int(bounds[d + 1]), a + len(item) + 2 * slack)
-        edits, start = best_span(item, h[lo:hi])
-        done[d, k] = a + 1 if edits else hi
-        if edits <= rate * len(item) and (edits, lo + start) < best.get((d, k), (1 << 60, 0)):
-            best[d, k] = (edits, lo + start)
-    return [(d, items.ids[k], start - int(bounds[d]), edits) for (d, k), (edits, start) in sorted(best.items())]
+    edge = np.flatnonzero(np.diff(pair[0], prepend=-1, append=-1))
+    for a, b in zip(edge, edge[1:], strict=False):
+        k = int(pair[0, a])
+        for edits, first in _matches(items.words[k], pair[1, a:b], h, begin, bounds[1:][doc], rate):
+            d = int(doc[min(first, len(doc) - 1)])
+            best[d, k] = min(best.get((d, k), (1 << 60, 0)), (edits, first))
+    return [(d, items.ids[k], first - int(bounds[d]), edits) for (d, k), (edits, first) in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str):

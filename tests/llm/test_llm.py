@@ -252,7 +252,7 @@ def test_decontamination_recall(spark, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
     vocab, rng = [w for t in texts.values() for w in t.split()][:20000], random.Random(2)
     index = cgk_decontam.index([i for i, _ in items], [t for _, t in items])
-    for rate, least in ((0.0, 1.0), (0.05, 0.95), (0.1, 0.93), (0.14, 0.85)):
+    for rate in (0.0, 0.05, 0.1, 0.14):
         edited = []
         for _, t in items:
             ws = t.split()
@@ -261,7 +261,7 @@ def test_decontamination_recall(spark, texts):
                 ws[p : p + rng.randrange(2)] = [rng.choice(vocab)] * rng.randrange(1, 2)
             edited.append(" ".join(rng.choices(vocab, k=50) + ws + rng.choices(vocab, k=50)))
         found = {(d, i) for d, i, *_ in cgk_decontam.search(edited, index)}
-        assert sum((k, i) in found for k, (i, _) in enumerate(items)) >= least * len(items)
+        assert all((k, i) in found for k, (i, _) in enumerate(items))
 
 
 def edited(ws, kind, k, rng):
