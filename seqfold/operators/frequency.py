@@ -133,6 +133,19 @@ def synonymous_drivers(codon: DataFrame, rules: DataFrame, alpha: float = ALPHA,
     return rows.select("codon", "aa", F.col("z_score").alias("rscu_z"), driver.alias("driver"), "gc3", F.coalesce("decoding_type", F.lit("unknown")).alias("decoding_type"), copies.alias("copies"))
 
 
+def contributions(cds: DataFrame, chosen: DataFrame, codons: list[str], means: DataFrame | None = None) -> DataFrame:
+    """(kmer, gene, frequency, contribution) for each codon and gene of a set, as drivers has them, without ranks: the means of all genes (kmer, mean) are given, or come from one
+    pass of sums by codon, and only the set's symbols are counted. Each row of the set brings one more of every codon asked for, which is taken off again."""
+    if means is None:
+        means = geneset_mean(cds, 1).select("kmer", F.col("observed").alias("mean"))
+    means = means.where(F.col("kmer").isin(codons))
+    held = members(cds, chosen).select("gene", F.coalesce("seq", F.lit("")).alias("seq"), F.monotonically_increasing_id().alias("row"))
+    each = held.select("gene", "row", (F.length("seq") / 3).alias("n"), F.explode(F.concat(sequences.codon_array(F.col("seq")), F.array(*map(F.lit, codons)))).alias("kmer"))
+    counts = each.where(F.col("kmer").isin(codons)).groupBy("gene", "row", "n", "kmer").agg((F.count("*") - 1).alias("cnt"))
+    rows = counts.select("kmer", "gene", F.coalesce(F.try_divide("cnt", "n"), F.lit(0.0)).alias("frequency"))
+    return rows.join(F.broadcast(means), "kmer", "left").select("kmer", "gene", "frequency", (F.col("frequency") - F.coalesce("mean", F.lit(0.0))).alias("contribution"))
+
+
 def drivers(cds: DataFrame, chosen: DataFrame, codons: list[str]) -> DataFrame:
     """(kmer, gene, frequency, contribution, rank, cum, influential) for each codon and gene of a set.
 
