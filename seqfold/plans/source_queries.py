@@ -10,7 +10,7 @@ from seqfold.operators import frequency, ids, ordered, sequences, tables, weight
 from seqfold.plans import modes
 from seqfold.plans.queries import _cai, _correlations, _layers, _tested
 from seqfold.plans.registry import OFTEN, PARTS, Tables, query, r6, tested
-from seqfold.sources import ingest, readers
+from seqfold.sources import ingest, readers, shared
 
 C = F.col
 
@@ -103,14 +103,22 @@ def scan_gct(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey AS gene, 'L' || l_linestatus AS model, round(greatest(2 ** (q % 7) - 1, 0), 4) AS tpm FROM (SELECT l_suppkey, l_linestatus, count(*) AS q FROM lineitem GROUP BY ALL) JOIN supplier ON s_suppkey = l_suppkey")
 def scan_cell_lines(t: Tables) -> DataFrame:
-    """A matrix of models by genes: rows that are not a model's default are left out, values are turned back from logarithms."""
-    genes_ = [r.s_suppkey for r in t.read("supplier").select("s_suppkey").orderBy("s_suppkey").collect()]  # a matrix has a column for each gene
-    per = t.read("lineitem").groupBy(F.concat(F.lit("L"), "l_linestatus").alias("model_id")).pivot("l_suppkey", genes_).agg(F.count("l_orderkey"))
-    named = per.select("model_id", *[(C(str(i)) % 7).cast("double").alias(f"SYM{i} ({1000 + i})") for i in genes_])
-    other = named.select("model_id", *[F.lit(3.0).alias(c) for c in named.columns[1:]])
-    models = named.withColumn("is_default", F.lit("Yes")).unionByName(other.withColumn("is_default", F.lit("No")))
+    """A matrix of models by genes, written as a text file of a line for each model and read back: rows that are not a model's default are left out, values are
+    turned back from logarithms. Its lines hold a cell for each supplier, as such files do."""
+    path, suppliers = shared.folder(t.spark, "cell_lines"), t.read("supplier").select(C("s_suppkey").alias("i")).where("i is not null").distinct()
+    per = t.read("lineitem").groupBy(F.concat(F.lit("L"), "l_linestatus").alias("model_id"), C("l_suppkey").alias("i")).agg((F.count("*") % 7).cast("double").cast("string").alias("x"))
+    grid = per.select("model_id").distinct().where("model_id is not null").join(suppliers).join(per, ["model_id", "i"], "left")
+
+    def line(first: Column, cell: Column, last: Column) -> Column:
+        cells = F.transform(F.array_sort(F.collect_list(F.struct("i", cell.alias("x")))), lambda c: c["x"])
+        return F.concat_ws(",", first, F.array_join(cells, ","), last).alias("value")
+
+    measured = F.coalesce("x", F.lit(""))
+    header = suppliers.agg(line(F.lit("model_id"), F.concat(F.lit("SYM"), "i", F.lit(" ("), C("i") + 1000, F.lit(")")), F.lit("is_default")))
+    lines = grid.groupBy("model_id").agg(line(C("model_id"), measured, F.lit("Yes"))).unionByName(grid.groupBy("model_id").agg(line(C("model_id"), F.lit("3.0"), F.lit("No"))))
+    header.unionByName(lines.select("value")).write.text(path)
     genes = t.read("supplier").select(C("s_suppkey").alias("gene"), F.concat(F.lit("SYM"), "s_suppkey").alias("symbol"), F.when(C("s_suppkey") % 2 == 0, (C("s_suppkey") + 1000).cast("string")).alias("entrez"))
-    return readers.cell_lines(models, genes).select("gene", "model", F.round("tpm", 4).alias("tpm"))
+    return readers.cell_line_files(t.spark, path, genes).select("gene", "model", F.round("tpm", 4).alias("tpm"))
 
 
 def _counts(t: Tables) -> DataFrame:

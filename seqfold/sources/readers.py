@@ -54,12 +54,31 @@ def cell_lines(models: DataFrame, genes: DataFrame) -> DataFrame:
     if "is_default" in models.columns:
         models = models.where(F.lower(F.col("is_default").cast("string")).isin("yes", "true")).drop("is_default")
     columns = [c for c in models.columns if c != "model_id"]
-    long = models.dropDuplicates(["model_id"]).unpivot(["model_id"], columns, "column", "x")
-    at = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))
-    keyed = long.select("model_id", at.alias("at"), F.regexp_extract("column", r"^(\S+)", 1).alias("symbol"), F.regexp_extract("column", r"\((\d+)\)", 1).alias("entrez"), F.greatest(F.pow(F.lit(2.0), F.col("x")) - 1, F.lit(0.0)).alias("tpm"))
+    cells = models.dropDuplicates(["model_id"]).select("model_id", F.posexplode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])).alias("at", "c"))
+    return _named_cells(cells.select("model_id", "at", "c.*"), genes)
+
+
+def cell_line_files(spark: SparkSession, path: str, genes: DataFrame) -> DataFrame:
+    """cell_lines of comma-separated files, each of which begins with the same header. A matrix of very many genes has no column of a frame for each: a
+    line is cut into cells by place, and the header's cells meet them by place, so that neither plan nor driver grows with the genes.
+    The header's first cell names the column of models, is_default may stand anywhere, and an empty cell is no measurement. Of several rows of a model the first in the order of files and places counts."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row")).where("trim(value) <> ''")
+    lines = lines.withColumn("head", F.col("value").startswith("model_id,"))
+    names = lines.where("head").orderBy("row").limit(1).select(F.posexplode(F.split("value", ",")).alias("at", "column"))
+    default = names.where("column = 'is_default'").agg(F.max("at").alias("flag"))  # one row; null without that column
+    rows = lines.where("not head").join(F.broadcast(default)).select("row", F.split("value", ",").alias("cells"), "flag").where("flag is null or lower(cells[flag]) in ('yes', 'true')")
+    ids = rows.select(F.col("cells")[0].alias("model_id"), "row")
+    first = ids.groupBy("model_id").agg(F.min("row").alias("row"))
+    cells = rows.join(first.select("row"), "row", "left_semi").select(F.col("cells")[0].alias("model_id"), F.posexplode("cells").alias("at", "raw")).where("at > 0 and raw <> ''")
+    return _named_cells(cells.join(names.where("at > 0 and column <> 'is_default'"), "at").select("model_id", "at", "column", F.expr("try_cast(raw as double)").alias("x")), genes)
+
+
+def _named_cells(cells: DataFrame, genes: DataFrame) -> DataFrame:
+    """(gene, model, tpm) of (model_id, at, column, x)."""
+    keyed = cells.select("model_id", "at", F.regexp_extract("column", r"^(\S+)", 1).alias("symbol"), F.regexp_extract("column", r"\((\d+)\)", 1).alias("entrez"), F.greatest(F.pow(F.lit(2.0), F.col("x")) - 1, F.lit(0.0)).alias("tpm"))
     by_id = genes.where("entrez is not null").groupBy("entrez").agg(F.min("gene").alias("g1"))
     by_name = genes.groupBy("symbol").agg(F.min("gene").alias("g2"))
-    named = keyed.join(F.broadcast(by_id), "entrez", "left").join(F.broadcast(by_name), "symbol", "left").withColumn("gene", F.coalesce("g1", "g2")).where("gene is not null")
+    named = keyed.join(by_id, "entrez", "left").join(by_name, "symbol", "left").withColumn("gene", F.coalesce("g1", "g2")).where("gene is not null")
     return named.groupBy("gene", "model_id").agg(F.min(F.struct("at", "tpm"))["tpm"].alias("tpm")).withColumnRenamed("model_id", "model")
 
 
