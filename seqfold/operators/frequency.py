@@ -14,6 +14,11 @@ def members(cds: DataFrame, chosen: DataFrame) -> DataFrame:
     return cds.join(chosen, "gene", "left_semi")
 
 
+def marked(cds: DataFrame, chosen: DataFrame) -> DataFrame:
+    """cds with inside, 1 for the genes of a set, else null: whole sequences meet the set, before there is a row for each of their symbols or cells."""
+    return cds.join(chosen.select("gene").distinct().withColumn("inside", F.lit(1)), "gene", "left")
+
+
 def geneset_mean(cds: DataFrame, k: int) -> DataFrame:
     """(kmer, observed): the unweighted mean over genes. An occurrence adds 1 / windows, so no counts by gene are needed and only sums by k-mer are shuffled."""
     n = cds.agg(F.count("*").alias("n_genes"))
@@ -44,9 +49,9 @@ def composition(cds: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """(kmer, observed, expected, z_score, cohens_d, n_set): a set against all genes, in closed form: the standard error is sd / sqrt(n).
 
     One pass over the sequences: the sums of the set and of all genes come from the same cells."""
-    flagged = cds.join(chosen.withColumn("inside", F.lit(1)), "gene", "left")
+    flagged = marked(cds, chosen)
     n = flagged.agg(F.count("*").alias("n"), F.count("inside").alias("n_set"))
-    d = deviation(kmer_freq(cds, k), "kmer", "freq", chosen, n)
+    d = deviation(kmer_freq(flagged, k, "inside"), "kmer", "freq", None, n)
     gap = F.col("observed") - F.col("expected")
     return d.select("kmer", "observed", "expected", "n_set", "z_score", F.when(F.col("sd") > 1e-12, gap / F.col("sd")).otherwise(0.0).alias("cohens_d"))
 
@@ -92,9 +97,11 @@ def rscu_dense(cds: DataFrame, counts: DataFrame, symbols: DataFrame, least: int
     return cells.where(F.col("n") >= least).select("gene", "codon", "aa", (F.col("n_syn") * F.coalesce("cnt", F.lit(0)) / F.col("total")).alias("rscu"))
 
 
-def deviation(values: DataFrame, key: str, value: str, chosen: DataFrame, n_all: DataFrame) -> DataFrame:
-    """(key, observed, expected, sd, z_score): a set's mean of a sparse value against all genes. n_all: one row, n and n_set."""
-    sums = values.join(chosen.withColumn("inside", F.lit(1)), "gene", "left").groupBy(key).agg(
+def deviation(values: DataFrame, key: str, value: str, chosen: DataFrame | None, n_all: DataFrame) -> DataFrame:
+    """(key, observed, expected, sd, z_score): a set's mean of a sparse value against all genes. n_all: one row, n and n_set. Without chosen, values
+    have inside from marked."""
+    held = values if chosen is None else values.join(chosen.withColumn("inside", F.lit(1)), "gene", "left")
+    sums = held.groupBy(key).agg(
         F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.coalesce(F.sum(F.when(F.col("inside") == 1, F.col(value))), F.lit(0.0)).alias("t"))
     var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     d = sums.join(F.broadcast(n_all)).select(key, (F.col("t") / F.col("n_set")).alias("observed"), (F.col("s") / F.col("n")).alias("expected"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"), "n_set")
@@ -177,8 +184,8 @@ def driver_summary(genes: DataFrame) -> DataFrame:
     )
 
 
-def positional_freq(cds: DataFrame, symbols: DataFrame, bins: int = 100) -> DataFrame:
-    """(gene, bin, codon, freq): within bins of relative position, over sense codons."""
-    binned = positions(cds).join(F.broadcast(symbols.select("codon")), "codon").withColumn("bin", F.least(F.floor(F.col("pos") / F.col("n") * bins), F.lit(bins - 1)).cast("int"))
-    per = binned.groupBy("gene", "bin", "codon").agg(F.count("*").alias("cnt"))
-    return per.select("gene", "bin", "codon", (F.col("cnt") / F.sum("cnt").over(Window.partitionBy("gene", "bin"))).alias("freq"))
+def positional_freq(cds: DataFrame, symbols: DataFrame, bins: int = 100, *carried: str) -> DataFrame:
+    """(gene, bin, codon, freq): within bins of relative position, over sense codons. carried: columns of a gene that ride along."""
+    binned = positions(cds, *carried).join(F.broadcast(symbols.select("codon")), "codon").withColumn("bin", F.least(F.floor(F.col("pos") / F.col("n") * bins), F.lit(bins - 1)).cast("int"))
+    per = binned.groupBy("gene", "bin", "codon", *carried).agg(F.count("*").alias("cnt"))
+    return per.select("gene", *carried, "bin", "codon", (F.col("cnt") / F.sum("cnt").over(Window.partitionBy("gene", "bin"))).alias("freq"))

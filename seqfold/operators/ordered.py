@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqfold.functions import stats
-from seqfold.operators import sequences
+from seqfold.operators import frequency, sequences
 from seqfold.operators.sequences import codon_array
 
 
@@ -80,8 +80,8 @@ def fs_deciles(cds: DataFrame, fast: list[str], bins: int = 10) -> DataFrame:
 def fs_pairs(cds: DataFrame, chosen: DataFrame, symbols: DataFrame, fast: list[str]) -> DataFrame:
     """(kmer, n_set, n_all, fold, z_score) of pairs of a fast and a slow codon: their number in a set against what all genes let expect (Poisson)."""
     slow = [r.codon for r in symbols.collect() if r.codon not in fast]  # of 61
-    pairs = sequences.kmer_counts(cds, 2).where(F.substring("kmer", 1, 3).isin(fast) & F.substring("kmer", 4, 3).isin(slow))
-    both = pairs.join(chosen.withColumn("inside", F.lit(1)), "gene", "left").groupBy("kmer").agg(F.coalesce(F.sum(F.when(F.col("inside") == 1, F.col("cnt"))), F.lit(0).cast("long")).alias("n_set"), F.sum("cnt").alias("n_all"))
+    pairs = frequency.marked(cds, chosen).select("inside", F.explode(sequences.kmer_array(F.col("seq"), 2)).alias("kmer")).where(F.substring("kmer", 1, 3).isin(fast) & F.substring("kmer", 4, 3).isin(slow))
+    both = pairs.groupBy("kmer").agg(F.count("inside").alias("n_set"), F.count("*").alias("n_all"))  # in place: counts of each gene are not needed
     e = F.col("n_all") * F.col("ts") / F.col("ta")
     return both.join(F.broadcast(both.agg(F.sum("n_set").alias("ts"), F.sum("n_all").alias("ta")))).select("kmer", "n_set", "n_all", (F.col("n_set") / e).alias("fold"), ((F.col("n_set") - e) / F.sqrt(e)).alias("z_score"))
 

@@ -30,9 +30,9 @@ def kmer_array(seq: Column, k: int) -> Column:
 # The arrays below are exploded where they are made: an array that is a column of its own first is several times slower to explode.
 
 
-def positions(cds: DataFrame) -> DataFrame:
-    """(gene, pos, codon, n): one row for each symbol; n is the number of the gene's symbols."""
-    return cds.select("gene", (F.length("seq") / 3).cast("int").alias("n"), F.posexplode(codon_array(F.col("seq"))).alias("pos", "codon"))
+def positions(cds: DataFrame, *carried: str) -> DataFrame:
+    """(gene, pos, codon, n): one row for each symbol; n is the number of the gene's symbols. carried: columns of cds that ride along."""
+    return cds.select("gene", *carried, (F.length("seq") / 3).cast("int").alias("n"), F.posexplode(codon_array(F.col("seq"))).alias("pos", "codon"))
 
 
 def kmer_counts(cds: DataFrame, k: int) -> DataFrame:
@@ -40,6 +40,11 @@ def kmer_counts(cds: DataFrame, k: int) -> DataFrame:
     return cds.select("gene", F.explode(kmer_array(F.col("seq"), k)).alias("kmer")).groupBy("gene", "kmer").agg(F.count("*").alias("cnt"))
 
 
+def kmer_totals(cds: DataFrame, k: int) -> DataFrame:
+    """(kmer, n): how often each run of k symbols occurs in all genes together; only sums by k-mer are shuffled."""
+    return cds.select(F.explode(kmer_array(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
 def sense(kmer: Column, k: int) -> Column:
     """Whether a k-mer has sense codons only."""
     out = ~F.substring(kmer, 1, 3).isin(*STOPS)
@@ -48,16 +53,16 @@ def sense(kmer: Column, k: int) -> Column:
     return out
 
 
-def occurrences(cds: DataFrame, k: int) -> DataFrame:
-    """(gene, kmer, windows): a row for each sense k-mer in place; windows counts all of the gene's runs, with stops too."""
-    rows = cds.select("gene", (F.length("seq") / 3 - (k - 1)).cast("int").alias("windows"), F.explode(kmer_array(F.col("seq"), k)).alias("kmer"))
+def occurrences(cds: DataFrame, k: int, *carried: str) -> DataFrame:
+    """(gene, kmer, windows): a row for each sense k-mer in place; windows counts all of the gene's runs, with stops too. carried: columns of cds that ride along."""
+    rows = cds.select("gene", *carried, (F.length("seq") / 3 - (k - 1)).cast("int").alias("windows"), F.explode(kmer_array(F.col("seq"), k)).alias("kmer"))
     return rows.where(sense(F.col("kmer"), k))
 
 
-def kmer_freq(cds: DataFrame, k: int) -> DataFrame:
-    """(gene, kmer, freq) of sense k-mers. The number of windows rides along in the grouping key, which spares a join."""
-    counts = occurrences(cds, k).groupBy("gene", "kmer", "windows").agg(F.count("*").alias("cnt"))
-    return counts.select("gene", "kmer", (F.col("cnt") / F.col("windows")).alias("freq"))
+def kmer_freq(cds: DataFrame, k: int, *carried: str) -> DataFrame:
+    """(gene, kmer, freq) of sense k-mers. The number of windows rides along in the grouping key, which spares a join, and so do carried columns of a gene."""
+    counts = occurrences(cds, k, *carried).groupBy("gene", "kmer", "windows", *carried).agg(F.count("*").alias("cnt"))
+    return counts.select("gene", *carried, "kmer", (F.col("cnt") / F.col("windows")).alias("freq"))
 
 
 def cells(rows: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -282,8 +282,8 @@ def positional(cds: DataFrame, chosen: DataFrame, bins: int = 100, top: int = 5)
     """Usage by relative position: a tested score for each bin and codon, and the codons with the largest and the least scores."""
     symbols, chosen = dims.symbols(cds.sparkSession), chosen.distinct()
     n = cds.agg(F.count("*").alias("n")).join(F.broadcast(frequency.members(cds, chosen).agg(F.count("*").alias("n_set"))))
-    cells = frequency.positional_freq(cds, symbols, bins).withColumn("cell", F.struct("bin", "codon"))
-    z = frequency.deviation(cells, "cell", "freq", chosen, n).select("cell", "cell.bin", "cell.codon", "observed", "expected", "z_score")
+    cells = frequency.positional_freq(frequency.marked(cds, chosen), symbols, bins, "inside").withColumn("cell", F.struct("bin", "codon"))
+    z = frequency.deviation(cells, "cell", "freq", None, n).select("cell", "cell.bin", "cell.codon", "observed", "expected", "z_score")
     tested = _tested(z, "cell").drop("cell").withColumn("shown", F.when(F.col("adjusted_p") < frequency.ALPHA, F.col("z_score")).otherwise(0.0))
     per = z.groupBy("codon").agg(F.max(F.abs("z_score")).alias("largest"), F.min("z_score").alias("least"))
     return {"cells": tested, "top_enriched": per.orderBy(F.round("largest", 9).desc(), "codon").limit(top), "top_depleted": per.orderBy(F.round("least", 9), "codon").limit(top)}

@@ -147,7 +147,7 @@ def tissue_choice(t: Tables) -> DataFrame:
 @query("SELECT i::INT AS bin, count(*) AS n FROM (SELECT least(floor(gc * 39), 38) AS i FROM {stats}) GROUP BY i")
 def histogram(t: Tables) -> DataFrame:
     """39 equal bins on [0, 1], the last one closed."""
-    rows = t.cds.select(F.least(F.floor(sequences.gc(F.col("seq")) * 39), F.lit(38)).cast("int").alias("bin"))
+    rows = t.rows.select(F.least(F.floor(sequences.gc(F.col("seq")) * 39), F.lit(38)).cast("int").alias("bin"))
     return rows.groupBy("bin").agg(F.count("*").alias("n"))
 
 

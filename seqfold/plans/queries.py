@@ -14,17 +14,17 @@ R = "round({}, 6) + 0.0"
 
 @query("SELECT gene, length(seq) AS length, round(gc, 6) + 0.0 AS gc FROM {cds} JOIN {stats} USING (gene)")
 def gc_content(t: Tables) -> DataFrame:
-    return t.cds.select("gene", F.length("seq").cast("long").alias("length"), r6(sequences.gc(F.col("seq"))).alias("gc"))
+    return t.rows.select("gene", F.length("seq").cast("long").alias("length"), r6(sequences.gc(F.col("seq"))).alias("gc"))
 
 
 @query("SELECT gene, round(gc3, 6) + 0.0 AS gc3 FROM {stats}")
 def gc3(t: Tables) -> DataFrame:
-    return t.cds.select("gene", r6(sequences.gc3(F.col("seq"))).alias("gc3"))
+    return t.rows.select("gene", r6(sequences.gc3(F.col("seq"))).alias("gc3"))
 
 
 @query("SELECT gene, coalesce(regexp_matches(s, '^ATG') AND regexp_matches(s, '(TAA|TAG|TGA)$') AND length(s) % 3 = 0 AND len(list_filter(regexp_extract_all(substr(s, 1, length(s) - 3), '...'), lambda c: c IN ('TAA', 'TAG', 'TGA'))) = 0, false) AS valid FROM (SELECT gene, 'ATG' || seq || 'TAA' AS s FROM {cds})")
 def cds_validate(t: Tables) -> DataFrame:
-    framed = t.cds.select("gene", F.concat(F.lit("ATG"), "seq", F.lit("TAA")).alias("seq"))
+    framed = t.rows.select("gene", F.concat(F.lit("ATG"), "seq", F.lit("TAA")).alias("seq"))
     return sequences.validated(framed).select("gene", "valid")
 
 
@@ -185,14 +185,14 @@ def synonymous_drivers(t: Tables) -> DataFrame:
 @query("SELECT codon, aa, anticodon, decoding_type, copies, cnt FROM {rules} JOIN (SELECT kmer, sum(cnt)::BIGINT AS cnt FROM {k1} GROUP BY kmer) ON kmer = codon")
 def wobble_join(t: Tables) -> DataFrame:
     """How each codon that occurs is read, and how often it occurs."""
-    used = sequences.kmer_counts(t.cds, 1).groupBy(F.col("kmer").alias("codon")).agg(F.sum("cnt").alias("cnt"))
+    used = sequences.kmer_totals(t.rows, 1).select(F.col("kmer").alias("codon"), F.col("n").alias("cnt"))
     return used.join(F.broadcast(t.rules), "codon").select("codon", "aa", "anticodon", "decoding_type", "copies", "cnt")
 
 
 @query("SELECT codon, sum(cnt)::BIGINT AS cnt, round(tai, 6) AS tai, round(wtai, 6) AS wtai FROM {k1} JOIN {tai} ON codon = kmer GROUP BY codon, tai, wtai")
 def tai_weights(t: Tables) -> DataFrame:
     """The weights of the codons that occur, and how often they do."""
-    used = sequences.kmer_counts(t.cds, 1).groupBy(F.col("kmer").alias("codon")).agg(F.sum("cnt").alias("cnt"))
+    used = sequences.kmer_totals(t.rows, 1).select(F.col("kmer").alias("codon"), F.col("n").alias("cnt"))
     return used.join(F.broadcast(t.tai), "codon").select("codon", "cnt", F.round("tai", 6).alias("tai"), F.round("wtai", 6).alias("wtai"))
 
 
@@ -208,10 +208,10 @@ def _by_species(species: str) -> None:
         return weights.geometric(frequency.codon_counts(t.cds, t.symbols), t.tai_of(species), "wtai", "wtai").withColumn("wtai", r6("wtai"))
 
     def transitions_of(t: Tables) -> DataFrame:
-        return ordered.pair_counts(t.cds, t.fast_of(species))
+        return ordered.pair_counts(t.rows, t.fast_of(species))
 
     def used_weights_of(t: Tables) -> DataFrame:
-        used = sequences.kmer_counts(t.cds, 1).groupBy(F.col("kmer").alias("codon")).agg(F.sum("cnt").alias("cnt"))
+        used = sequences.kmer_totals(t.rows, 1).select(F.col("kmer").alias("codon"), F.col("n").alias("cnt"))
         return used.join(F.broadcast(t.tai_of(species)), "codon").select("codon", "cnt", F.round("tai", 6).alias("tai"), F.round("wtai", 6).alias("wtai"))
 
     gene_tai_of.__name__, transitions_of.__name__, used_weights_of.__name__ = f"gene_tai_{species}", f"transitions_{species}", f"used_weights_{species}"
@@ -280,13 +280,13 @@ def demand_rank(t: Tables) -> DataFrame:
 
 @query("SELECT gene, len, round(gc, 9) AS gc FROM {stats}, (SELECT min(len) * 0.8 AS l0, max(len) * 1.2 AS l1, min(gc) - 0.05 AS g0, max(gc) + 0.05 AS g1 FROM {stats} SEMI JOIN {setb} USING (gene)) WHERE len BETWEEN l0 AND l1 AND gc BETWEEN g0 AND g1")
 def matched_background(t: Tables) -> DataFrame:
-    s = t.cds.select("gene", F.length("seq").cast("long").alias("len"), sequences.gc(F.col("seq")).alias("gc"))
+    s = t.rows.select("gene", F.length("seq").cast("long").alias("len"), sequences.gc(F.col("seq")).alias("gc"))
     return frequency.matched_pool(s, t.set_b).withColumn("gc", F.round("gc", 9))
 
 
 @query("SELECT gene, ff, fs, sf, ss FROM {trans}")
 def transitions(t: Tables) -> DataFrame:
-    return ordered.pair_counts(t.cds, t.fast)
+    return ordered.pair_counts(t.rows, t.fast)
 
 
 _PROP = "SELECT sum(ff + fs + sf + ss) AS total, sum(ff) / sum(ff + fs + sf + ss) AS ff, sum(fs) / sum(ff + fs + sf + ss) AS fs, sum(sf) / sum(ff + fs + sf + ss) AS sf, sum(ss) / sum(ff + fs + sf + ss) AS ss FROM {trans}"
@@ -297,19 +297,19 @@ _CHI = "a.total * ((a.ff - b.ff) ** 2 / b.ff + (a.fs - b.fs) ** 2 / b.fs + (a.sf
 
 @query(f"SELECT round(fs_enrichment, 6) AS fs_enrichment, round(fs_sf_set, 6) AS fs_sf_set, round(fs_sf_all, 6) AS fs_sf_all, round(f1, 6) AS fold_ff, round(f2, 6) AS fold_fs, round(f3, 6) AS fold_sf, round(f4, 6) AS fold_ss, round(chi2, 4) AS chi2, round({P_SQL} + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2), 6) AS p_value FROM (SELECT *, least(6.5, sqrt(chi2 / 2)) AS x FROM (SELECT a.fs / b.fs AS fs_enrichment, a.fs / a.sf AS fs_sf_set, b.fs / b.sf AS fs_sf_all, a.ff / b.ff AS f1, a.fs / b.fs AS f2, a.sf / b.sf AS f3, a.ss / b.ss AS f4, {_CHI} AS chi2 FROM ({_PROP} SEMI JOIN {{seta}} USING (gene)) a, ({_PROP}) b))")
 def transition_ratios(t: Tables) -> DataFrame:
-    counts = ordered.pair_counts(t.cds, t.fast)
+    counts = ordered.pair_counts(t.rows, t.fast)
     c = ordered.compared(frequency.members(counts, t.set_a), counts)
     return c.select([F.round(x, 4 if x == "chi2" else 6).alias(x) for x in c.columns if x != "df"])
 
 
 @query("SELECT gene, round(fs / (ff + fs + sf + ss), 6) + 0.0 AS fs_share FROM {trans}")
 def per_gene_fs(t: Tables) -> DataFrame:
-    return ordered.pair_counts(t.cds, t.fast).select("gene", r6(F.expr("fs / (ff + fs + sf + ss)")).alias("fs_share"))
+    return ordered.pair_counts(t.rows, t.fast).select("gene", r6(F.expr("fs / (ff + fs + sf + ss)")).alias("fs_share"))
 
 
 @query("SELECT least(pos * 10 // (n - 1), 9)::INT AS bin, count(*) AS n FROM {nxt} WHERE c2 IS NOT NULL AND codon IN (SELECT codon FROM {fast}) AND c2 NOT IN (SELECT codon FROM {fast}) GROUP BY bin")
 def fs_positions(t: Tables) -> DataFrame:
-    return ordered.fs_deciles(t.cds, t.fast)
+    return ordered.fs_deciles(t.rows, t.fast)
 
 
 _FS = "SELECT codon || c2 AS kmer, count(*) AS n FROM {nxt} %s WHERE codon IN (SELECT codon FROM {fast}) AND c2 IN (SELECT codon FROM {sym} WHERE codon NOT IN (SELECT codon FROM {fast})) GROUP BY ALL"
@@ -317,7 +317,7 @@ _FS = "SELECT codon || c2 AS kmer, count(*) AS n FROM {nxt} %s WHERE codon IN (S
 
 @query(f"WITH a AS ({_FS % 'SEMI JOIN {seta} USING (gene)'}), b AS ({_FS % ''}), j AS (SELECT kmer, coalesce(a.n, 0) AS n_set, b.n AS n_all, b.n * (SELECT sum(n) FROM a) / (SELECT sum(n) FROM b) AS e FROM b LEFT JOIN a USING (kmer)) SELECT kmer, n_set, n_all, round(n_set / e, 6) + 0.0 AS fold, round((n_set - e) / sqrt(e), 4) + 0.0 AS z FROM j")
 def fs_dicodon(t: Tables) -> DataFrame:
-    p = ordered.fs_pairs(t.cds, t.set_a, t.symbols, t.fast)
+    p = ordered.fs_pairs(t.rows, t.set_a, t.symbols, t.fast)
     return p.select("kmer", "n_set", "n_all", r6("fold").alias("fold"), (F.round("z_score", 4) + 0.0).alias("z"))
 
 
@@ -368,8 +368,8 @@ def positional_z(t: Tables) -> DataFrame:
 
 
 def _positional(t: Tables) -> DataFrame:
-    cells = frequency.positional_freq(t.cds, t.symbols).withColumn("cell", F.struct("bin", "codon"))
-    return frequency.deviation(cells, "cell", "freq", t.set_a, _sizes(t)).select("cell.bin", "cell.codon", "observed", "expected", "z_score")
+    cells = frequency.positional_freq(frequency.marked(t.cds, t.set_a), t.symbols, 100, "inside").withColumn("cell", F.struct("bin", "codon"))
+    return frequency.deviation(cells, "cell", "freq", None, _sizes(t)).select("cell.bin", "cell.codon", "observed", "expected", "z_score")
 
 
 @query("SELECT kmer, direction, round(z, 3) + 0.0 AS z FROM (SELECT kmer, 'enriched' AS direction, hi AS z, row_number() OVER (ORDER BY round(hi, 6) DESC, kmer) AS k FROM (SELECT codon AS kmer, max(abs(z_score)) AS hi FROM {pz} GROUP BY codon) UNION ALL SELECT kmer, 'depleted', lo, row_number() OVER (ORDER BY round(lo, 6), kmer) FROM (SELECT codon AS kmer, min(z_score) AS lo FROM {pz} GROUP BY codon)) WHERE k <= 5")
@@ -428,7 +428,7 @@ def _rank_tests(t: Tables) -> DataFrame:
 
 @query("SELECT n_a, n_all, round(d, 6) AS d, round(CASE WHEN lam < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: (-1) ** (k - 1) * exp(-2 * k * k * lam * lam))))) END::DOUBLE, 6) AS p_value FROM (SELECT *, d * sqrt(n_a * n_all / (n_a + n_all)) AS lam FROM (SELECT max(na) AS n_a, max(nt) AS n_all, max(abs(ca / na - ct / nt)) AS d FROM (SELECT sum(a) OVER (ORDER BY len) AS ca, sum(t) OVER (ORDER BY len) AS ct, sum(a) OVER () AS na, sum(t) OVER () AS nt FROM (SELECT len, sum(CASE WHEN s.gene IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS a, count(*) AS t FROM {stats} x LEFT JOIN {seta} s ON s.gene = x.gene GROUP BY len))))")
 def ks_stat(t: Tables) -> DataFrame:
-    lengths = t.cds.select("gene", F.length("seq").alias("len")).join(t.set_a.withColumn("in_a", F.lit(True)), "gene", "left").withColumn("in_a", F.coalesce("in_a", F.lit(False)))
+    lengths = t.rows.select("gene", F.length("seq").alias("len")).join(t.set_a.withColumn("in_a", F.lit(True)), "gene", "left").withColumn("in_a", F.coalesce("in_a", F.lit(False)))
     return stats.ks(lengths, "len", "in_a").select("n_a", "n_all", F.round("d", 6).alias("d"), F.round("p_value", 6).alias("p_value"))
 
 
@@ -438,7 +438,7 @@ def reverse_lookup(t: Tables) -> DataFrame:
 
 
 def _reverse(t: Tables) -> DataFrame:
-    return frequency.target_z(t.cds, ["GAA", "AGA"])
+    return frequency.target_z(t.rows, ["GAA", "AGA"])
 
 
 @query("SELECT gene, round(mean_z, 4) + 0.0 AS mean_z FROM {tz} ORDER BY round(mean_z, 9) DESC, gene LIMIT 50")
@@ -540,7 +540,7 @@ def driver_summary(t: Tables) -> DataFrame:
 
 @query("SELECT avg(len) AS mean_length, round(avg(gc), 6) AS mean_gc, round(avg(len) FILTER (WHERE s.gene IS NOT NULL), 6) AS set_length, round(avg(gc) FILTER (WHERE s.gene IS NOT NULL), 6) AS set_gc FROM {stats} x LEFT JOIN {seta} s ON s.gene = x.gene")
 def gene_summary(t: Tables) -> DataFrame:
-    rows = t.cds.select("gene", F.length("seq").alias("len"), sequences.gc(F.col("seq")).alias("gc")).join(t.set_a.withColumn("i", F.lit(1)), "gene", "left")
+    rows = t.rows.select("gene", F.length("seq").alias("len"), sequences.gc(F.col("seq")).alias("gc")).join(t.set_a.withColumn("i", F.lit(1)), "gene", "left")
     return rows.agg(F.avg("len").alias("mean_length"), F.round(F.avg("gc"), 6).alias("mean_gc"), F.round(F.avg(F.when(F.col("i") == 1, F.col("len"))), 6).alias("set_length"), F.round(F.avg(F.when(F.col("i") == 1, F.col("gc"))), 6).alias("set_gc"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from seqfold.operators import sequences, weights
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+DEALT = 8 << 20  # bytes of text of a partition that is dealt by gene: what is made of it (a row for each symbol or cell, some 100 bytes each) stays in memory
 SENT = 2_000_000  # ids of a set that are broadcast, about 60 MB; beyond, they are shuffled
 
 
@@ -26,8 +28,21 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def parts(self) -> int:
+        """Into how many partitions whole texts are dealt by gene: as many as their bytes ask for, and as there are cores at least."""
+        size = self.read("documents").agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
+        return max(self.spark.sparkContext.defaultParallelism, -(-size // DEALT))
+
     @property
     def cds(self) -> DataFrame:
+        """Sequences dealt by gene, in partitions of bounded size. Texts are shuffled once, as they are; counts, cells and positions of a gene, which are
+        many times larger, then need no shuffle to be grouped, and no task holds more than a partition's."""
+        return sequences.from_documents(self.read("documents").select("doc_id", "text", "lang", "n_chars").repartition(self.parts, "doc_id"))
+
+    @property
+    def rows(self) -> DataFrame:
+        """cds for work row by row, or for sums without genes: files lie as they are, if they are as many as cores."""
         return sequences.from_documents(spread(self.read("documents").select("doc_id", "text", "lang", "n_chars"), "doc_id"))
 
     def members(self, chosen: DataFrame) -> DataFrame:
@@ -69,7 +84,7 @@ class Tables:
 
     @property
     def expression(self) -> DataFrame:
-        return weights.tpm(self.cds.select("gene", F.col("n_chars").alias("count"), F.length("seq").alias("length")))
+        return weights.tpm(self.rows.select("gene", F.col("n_chars").alias("count"), F.length("seq").alias("length")))
 
     @property
     def fast(self) -> list[str]:

@@ -176,13 +176,13 @@ def ortholog_lookup(t: Tables) -> DataFrame:
 @query("SELECT kmer, families, coalesce(n, 0)::BIGINT AS n FROM (SELECT a.codon || b.codon AS kmer, a.aa || '-' || b.aa AS families FROM {sym} a, {sym} b) LEFT JOIN (SELECT kmer, sum(cnt)::BIGINT AS n FROM {k2} GROUP BY kmer) USING (kmer)")
 def kmer_enumerate(t: Tables) -> DataFrame:
     """Every pair of sense codons with its families, and how often it occurs, which may be never."""
-    seen = sequences.kmer_counts(t.cds, 2).groupBy("kmer").agg(F.sum("cnt").alias("n"))
+    seen = sequences.kmer_totals(t.rows, 2)
     return dims.kmers(t.spark, 2).join(seen, "kmer", "left").select("kmer", "families", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT kmer, substr(kmer, 1, 3) || '-' || substr(kmer, 4, 3) || ' (' || coalesce(a.aa, '?') || '-' || coalesce(b.aa, '?') || ')' AS label FROM (SELECT DISTINCT kmer FROM {k2}) LEFT JOIN {sym} a ON a.codon = substr(kmer, 1, 3) LEFT JOIN {sym} b ON b.codon = substr(kmer, 4, 3)")
 def kmer_annotate(t: Tables) -> DataFrame:
-    return sequences.kmer_counts(t.cds, 2).select("kmer").distinct().withColumn("label", modes.annotated(C("kmer")))
+    return sequences.kmer_totals(t.rows, 2).select("kmer").withColumn("label", modes.annotated(C("kmer")))
 
 
 @query("SELECT p_partkey, (floor(p_retailprice)::BIGINT)::VARCHAR AS id FROM part")
@@ -276,7 +276,7 @@ OFTEN |= {"fsa", "fsb", "fsd"}
 @query("SELECT kmer, n_set, n_all, CASE WHEN fold > 100 THEN '>100' ELSE (round(fold, 2) + 0.0)::VARCHAR END AS fold, round(z_score, 4) + 0.0 AS z_score, round(adjusted_p, 6) AS adjusted_p FROM {fsd} ORDER BY round(z_score, 6) DESC, kmer LIMIT 30")
 def top_fs_dicodons(t: Tables) -> DataFrame:
     """Pairs of a fast and a slow codon by their excess in the set, tested and adjusted."""
-    tested_ = _tested(ordered.fs_pairs(t.cds, t.set_a, t.symbols, t.fast), "kmer")
+    tested_ = _tested(ordered.fs_pairs(t.rows, t.set_a, t.symbols, t.fast), "kmer")
     fold = F.when(C("fold") > 100, ">100").otherwise((F.round("fold", 2) + 0.0).cast("string"))
     best = tested_.orderBy(F.round("z_score", 6).desc(), "kmer").limit(30)
     return best.select("kmer", "n_set", "n_all", fold.alias("fold"), _z(), F.round("adjusted_p", 6).alias("adjusted_p"))
