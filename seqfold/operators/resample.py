@@ -13,14 +13,19 @@ from seqfold.functions.stats import draws
 from seqfold.operators import run_null
 
 
+SENT = 2_000_000  # values (a long and a double) that are broadcast
+
+
 def bootstrap_mean(values: DataFrame, observed: DataFrame, n_draw: DataFrame, reps: int, seed: int) -> DataFrame:
     """(mean_b, sd_b, z_score): reps resamples, with replacement, of n_draw of the values (idx, value; idx counts from 0).
 
-    The draws are rows and meet the values by an equi-join on the drawn index; moments of the replicate means follow."""
+    The draws are rows and meet the values by an equi-join on the drawn index; moments of the replicate means follow. Values, of which there are far fewer than
+    draws, go to the draws if their counted number is at most SENT, so that draws are never shuffled; more are met by a shuffle of both."""
     spark, n = values.sparkSession, values.agg(F.count("*").alias("n"))
-    rep = spark.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(n_draw.join(F.broadcast(n))))
+    side = F.broadcast(values) if values.count() <= SENT else values
+    rep = spark.range(0, reps, 1, min(reps, 4 * spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "rep").join(F.broadcast(n_draw.join(F.broadcast(n))))
     drawn = rep.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("idx", draws(F.col("rep"), F.col("slot"), seed, F.col("n")))
-    means = drawn.join(values, "idx").groupBy("rep").agg(F.avg("value").alias("mean"))
+    means = drawn.join(side, "idx").groupBy("rep").agg(F.avg("value").alias("mean"))
     stats = means.agg(F.avg("mean").alias("mean_b"), F.stddev_samp("mean").alias("sd_b"))
     return stats.join(F.broadcast(observed)).select("observed", "mean_b", "sd_b", F.when(F.col("sd_b") > 0, (F.col("observed") - F.col("mean_b")) / F.col("sd_b")).otherwise(0.0).alias("z_score"))
 
@@ -28,12 +33,31 @@ def bootstrap_mean(values: DataFrame, observed: DataFrame, n_draw: DataFrame, re
 BINS = 512  # of entities, dealt by a hash: how many resampled entities a bin gets is drawn for all bins at once
 
 
+RUN = 256  # rows of a bin that are drawn from together
+SLICE = 500  # replicates whose draws from a run are held together
+
+
+def _runs(batches):
+    """(bin, [(w, at, v), ...]) of at most RUN rows of a bin, from batches that are sorted by bin; a run ends with its bin alone or when it is full,
+    so runs do not depend on batches."""
+    now, rows = None, []
+    for pdf in batches:
+        for b, w, at, v in zip(pdf["bin"], pdf["w"], pdf["at"], pdf["v"], strict=True):
+            if rows and (b != now or len(rows) == RUN):
+                yield now, rows
+                rows = []
+            now = b
+            rows.append((w, at, v))
+    if rows:
+        yield now, rows
+
+
 def multinomial(rows: DataFrame, n_draw: int, reps: int, width: int, seed: int) -> DataFrame:
     """(rep, at, sum): for each replicate of n_draw draws with replacement of the rows, the sum of their values at each place.
 
     rows: (key, w, at array<int>, v array<double>); a draw of a row adds w * v at its places and w at place -1. Draws are never rows. A replicate's draws
-    are divided over BINS bins of rows by one multinomial number, which every task draws alike from the seed; inside a bin, row after
-    row, by binomial numbers on condition of what is left and of how many rows are left. So each replicate has n_draw draws exactly, a bin needs no
+    are divided over BINS bins of rows by one multinomial number, which every task draws alike from the seed; inside a bin, over runs of RUN rows, by
+    binomial numbers on condition of what is left and of how many rows are left; inside a run, each draw is one of its rows. Sums are then counts by values, a product of matrices. So each replicate has n_draw draws exactly, a bin needs no
     other one, and rows are read as a stream. A task holds (replicates of a pass) x (places), 160 MB at most, and adds them up over its rows; Spark adds up the tasks'."""
     dealt = rows.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(BINS)).cast("int"))
     sizes = [0] * BINS
@@ -42,26 +66,30 @@ def multinomial(rows: DataFrame, n_draw: int, reps: int, width: int, seed: int)
     total, block = sum(sizes), 250
 
     def partial(batches, first: int, last: int):
-        sums, mass = np.zeros((last - first, width)), np.zeros(last - first)
-        share = np.random.default_rng([seed, first]).multinomial(n_draw, np.array(sizes) / total, size=last - first)
+        n, sums = last - first, np.zeros((last - first, width + 1))  # the weights drawn stand in the last column
+        share = np.random.default_rng([seed, first]).multinomial(n_draw, np.array(sizes) / total, size=n)
         now, left, rest, rng = -1, None, 0, None
-        for pdf in batches:
-            for b, w, at, v in zip(pdf["bin"], pdf["w"], pdf["at"], pdf["v"], strict=True):
-                if b != now:
-                    now, left, rest, rng = b, share[:, b].copy(), sizes[b], np.random.default_rng([seed, first, int(b)])
-                c = rng.binomial(left, 1.0 / rest)
-                left -= c
-                rest -= 1
-                hit = np.flatnonzero(c)
-                mass[hit] += c[hit] * w
-                if len(at):
-                    sums[np.ix_(hit, np.asarray(at, int))] += (c[hit] * w)[:, None] * np.asarray(v)[None, :]
+        for b, rows in _runs(batches):
+            if b != now:
+                now, left, rest, rng = b, share[:, b].copy(), sizes[b], np.random.default_rng([seed, first, int(b)])
+            m = len(rows)
+            drawn = left if m >= rest else rng.binomial(left, m / rest)
+            left, rest = left - drawn, rest - m
+            values = np.zeros((m, width + 1))
+            for i, (w, at, v) in enumerate(rows):
+                values[i, np.asarray(at, int)] = w * np.asarray(v, float)
+                values[i, width] = w
+            for lo in range(0, n, SLICE):  # draws of a slice of replicates as numbers, then their counts by row
+                some = drawn[lo : lo + SLICE]
+                spot = np.repeat(np.arange(len(some)) * m, some) + rng.integers(0, m, int(some.sum()), dtype=np.int32)
+                sums[lo : lo + SLICE] += np.bincount(spot, minlength=len(some) * m).reshape(len(some), m).astype(float) @ values
+        mass = sums[:, width]
         some = np.flatnonzero(mass)
         yield pd.DataFrame({"rep": first + some, "at": np.int32(-1), "sum": mass[some]})
-        cell = np.flatnonzero(sums)
-        for lo in range(0, len(cell), 100_000):
-            one = cell[lo : lo + 100_000]
-            yield pd.DataFrame({"rep": first + one // width, "at": (one % width).astype(np.int32), "sum": sums.ravel()[one]})
+        rep, at = np.nonzero(sums[:, :width])
+        for lo in range(0, len(rep), 100_000):
+            one = slice(lo, lo + 100_000)
+            yield pd.DataFrame({"rep": first + rep[one], "at": at[one].astype(np.int32), "sum": sums[rep[one], at[one]]})
 
     if not total or not n_draw:
         return rows.sparkSession.createDataFrame([], "rep long, at int, sum double")
