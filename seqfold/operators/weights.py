@@ -55,7 +55,8 @@ def demand(cds: DataFrame, expression: DataFrame, k: int = 1, top: int | None =
     if top is not None:
         w = w.orderBy(F.desc("w"), "gene").limit(top)
     total = w.agg(F.sum("w").alias("total"))
-    per = occurrences(cds, k).join(w, "gene").groupBy("kmer").agg(F.sum(F.col("w") / F.col("windows")).alias("s"))
+    weighted = cds.select("gene", "seq").join(w, "gene")  # whole sequences meet their weight, before there is a row for each symbol
+    per = occurrences(weighted, k, "w").groupBy("kmer").agg(F.sum(F.col("w") / F.col("windows")).alias("s"))
     return per.join(F.broadcast(total)).select("kmer", (F.col("s") / F.col("total")).alias("demand"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqfold.functions import dims
 from seqfold.operators import sequences, weights
+from seqfold.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,9 +83,10 @@ class Tables:
     def fast_of(self, species: str) -> list[str]:
         return upper_half(self.tai_of(species))
 
-    @property
+    @cached_property
     def expression(self) -> DataFrame:
-        return weights.tpm(self.rows.select("gene", F.col("n_chars").alias("count"), F.length("seq").alias("length")))
+        """Abundances, written once as a row for each gene: their total and what joins them need the lengths of all texts several times."""
+        return shared.written(weights.tpm(shared.written(self.rows.select("gene", F.col("n_chars").alias("count"), F.length("seq").alias("length")), "lengths")), "expression")
 
     @property
     def fast(self) -> list[str]:
