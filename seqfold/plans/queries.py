@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqfold.functions import stats
 from seqfold.operators import frequency, ordered, resample, sequences, weights
 from seqfold.plans.registry import P_SQL, PARTS, Tables, query, r6
+from seqfold.sources import shared
 
 R = "round({}, 6) + 0.0"
 
@@ -471,8 +472,11 @@ def ortholog_pairs(t: Tables) -> DataFrame:
 
 
 def _rscu_pairs(t: Tables) -> DataFrame:
-    dense = frequency.rscu_dense(t.cds, frequency.codon_counts(t.cds, t.symbols), t.symbols)
-    left = _pairs(t).join(dense.select(F.col("gene").alias("g1"), "codon", "aa", F.col("rscu").alias("x")), "g1")
+    """(pair, g1, g2, codon, aa, x, y). The pairs are written once, and only genes of a pair are counted."""
+    pairs = shared.written(_pairs(t), "pairs")
+    inside = frequency.members(t.cds, pairs.select(F.explode(F.array("g1", "g2")).alias("gene")))
+    dense = shared.written(frequency.rscu_dense(inside, frequency.codon_counts(inside, t.symbols), t.symbols), "rscu")  # read from both sides
+    left = pairs.join(dense.select(F.col("gene").alias("g1"), "codon", "aa", F.col("rscu").alias("x")), "g1")
     return left.join(dense.select(F.col("gene").alias("g2"), "codon", F.col("rscu").alias("y")), ["g2", "codon"])
 
 
@@ -488,8 +492,12 @@ PARTS["corrs"] = "SELECT pair, g1, count(*) AS n, CASE WHEN count(*) >= 5 AND st
 
 
 def _correlations(t: Tables) -> DataFrame:
+    return _correlated(_rscu_pairs(t))
+
+
+def _correlated(rows: DataFrame) -> DataFrame:
     ok = (F.count("*") >= 5) & (F.stddev_pop("x") > 1e-12) & (F.stddev_pop("y") > 1e-12)
-    return _rscu_pairs(t).groupBy("pair", "g1").agg(F.count("*").alias("n"), F.when(ok, F.corr("x", "y")).alias("r"))
+    return rows.groupBy("pair", "g1").agg(F.count("*").alias("n"), F.when(ok, F.corr("x", "y")).alias("r"))
 
 
 @query("SELECT pair, n, round(r, 6) + 0.0 AS r FROM {corrs}")
@@ -516,7 +524,8 @@ def compare_summary(t: Tables) -> DataFrame:
 
 @query("WITH c AS (SELECT * FROM {corrs}), p AS (SELECT * FROM {rpairs}), d AS (SELECT pair FROM c WHERE r <= (SELECT quantile_cont(r, 0.25) FROM c) + 1e-12), b AS (SELECT pair, aa, first(codon ORDER BY round(x, 9) DESC, codon) AS c1, first(codon ORDER BY round(y, 9) DESC, codon) AS c2 FROM p SEMI JOIN d USING (pair) GROUP BY pair, aa) SELECT pair, count(*) FILTER (WHERE c1 <> c2) AS n_differ FROM b GROUP BY pair")
 def divergent_pairs(t: Tables) -> DataFrame:
-    rows, corr = _rscu_pairs(t), _correlations(t)
+    rows = _rscu_pairs(t)
+    corr = shared.written(_correlated(rows), "correlations")  # read for the quantile and for the pairs below it
     cut = corr.agg(F.expr("percentile(r, 0.25)").alias("cut"))
     low = corr.join(F.broadcast(cut), F.col("r") <= F.col("cut") + 1e-12).select("pair")
     best = rows.join(low, "pair", "left_semi").groupBy("pair", "aa").agg(F.min(F.struct(-F.round("x", 9), "codon"))["codon"].alias("c1"), F.min(F.struct(-F.round("y", 9), "codon"))["codon"].alias("c2"))
