@@ -15,6 +15,7 @@ from seqfold.llm import tokens as T
 
 BITS = 40  # width of a feature id; at 2**40 ids collisions between the features of a model are negligible
 PREFIXES = (5, 6, 7, 9)
+PIECE = 1 << 18  # cells of a matrix whose products are held at once
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,12 +87,28 @@ class Linear:
         return out if dense is None or not self.extra.size else out + dense @ self.extra
 
 
+def scores(m: Linear, x: Sparse) -> np.ndarray:
+    """Each row's sum of weights by values, without bias. Columns are looked up once each and cells are added piece by piece, in order."""
+    at, known = locate(m.vocab, x.vocab)
+    weight, used = np.zeros(len(x.vocab)), np.zeros(len(x.vocab), bool)
+    weight[known], used[known] = m.weight[at], True
+    out = np.zeros(x.n)
+    for lo in range(0, len(x.col), PIECE):
+        row, col, val = x.row[lo : lo + PIECE], x.col[lo : lo + PIECE], x.val[lo : lo + PIECE]
+        cell = used[col]
+        np.add.at(out, row[cell], weight[col[cell]] * val[cell])
+    return out
+
+
 def screened(x: Sparse, y: np.ndarray, rows: np.ndarray, top: int) -> np.ndarray:
     """The top columns by the standardised difference of their mean value between high and low y."""
     k = len(x.vocab)
     t = (y - (y * rows).sum() / max(1.0, rows.sum())) * rows
-    s1 = np.bincount(x.col, x.val * t[x.row], k)
-    s2 = np.bincount(x.col, (x.val * x.val) * rows[x.row], k)
+    s1, s2 = np.zeros(k), np.zeros(k)
+    for lo in range(0, len(x.col), PIECE):  # add.at adds in the cells' order, as one bincount of all would, but needs products of a piece alone
+        row, col, val = x.row[lo : lo + PIECE], x.col[lo : lo + PIECE], x.val[lo : lo + PIECE]
+        np.add.at(s1, col, val * t[row])
+        np.add.at(s2, col, (val * val) * rows[row])
     z = np.abs(s1) / np.sqrt(s2 + 1.0)
     return np.sort(np.argsort(-z, kind="stable")[:top])
 

@@ -61,8 +61,7 @@ def fit_matrix(x: linear.Sparse, marks: np.ndarray, names: list[str], folds: int
         if k + 1 < len(names):
             for f in range(folds):
                 m = linear.fit_logistic(x, y, fold != f, seen)
-                at, known = linear.locate(m.vocab, x.vocab[x.col])
-                s = np.bincount(x.row[known], m.weight[at] * x.val[known], x.n) + m.bias + seen @ m.extra
+                s = linear.scores(m, x) + m.bias + seen @ m.extra
                 ahead = np.where(fold == f, s, ahead)
         models.append(linear.fit_logistic(x, y, None, seen))
         seen = np.column_stack([seen, np.clip(ahead, -12, 12)])
